@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, toxicity
+from . import jaccard_join, language_id, mixing, packing, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, block (of its source), row (in the block), slot (of the block) of every document."""
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return out.select("_doc.doc_id", "_doc.source", F.col("_block").alias("block"), F.col("_row").alias("row"), F.col("_slot").alias("slot"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, over 24 shards."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, for shingles of 4 words and a similarity of 0.85."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -31,7 +50,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op3_mixing": op3_mixing,
         "op5_language_id": op5_language_id,
+        "op7_sharding": op7_sharding,
+        "op8_packing": op8_packing,
         "op9_jaccard_join": op9_jaccard_join,
     }
 
