@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, packing, sharding, toxicity
+from . import jaccard_join, language_id, mixing, neighbours, packing, sharding, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 10 nearest of every vector whose id 100 divides, among all others."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, block (of its source), row (in the block), slot (of the block) of every document."""
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return out.select("_doc.doc_id", "_doc.source", F.col("_block").alias("block"), F.col("_row").alias("row"), F.col("_slot").alias("slot"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record that was read back."""
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, over 24 shards."""
     return sharding.shard(table(spark, sf_dir, "documents"))
@@ -50,8 +60,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_neighbours": op2_neighbours,
         "op3_mixing": op3_mixing,
         "op5_language_id": op5_language_id,
+        "op6_warc": op6_warc,
         "op7_sharding": op7_sharding,
         "op8_packing": op8_packing,
         "op9_jaccard_join": op9_jaccard_join,
