@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, neighbours, packing, sharding, toxicity, warc
+from . import edit_prints, html_text, jaccard_join, language_id, mixing, neighbours, packing, sharding, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "hits", "n_words")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page's main text."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     return language_id.language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
@@ -57,16 +62,23 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op10_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return edit_prints.edited_prints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_neighbours": op2_neighbours,
         "op3_mixing": op3_mixing,
+        "op4_html_text": op4_html_text,
         "op5_language_id": op5_language_id,
         "op6_warc": op6_warc,
         "op7_sharding": op7_sharding,
         "op8_packing": op8_packing,
         "op9_jaccard_join": op9_jaccard_join,
+        "op10_edit_prints": op10_edit_prints,
     }
 
 
