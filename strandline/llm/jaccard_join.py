@@ -9,7 +9,8 @@ by binary search, when a pair that the short lists brought up is verified. What
    are linked as such and go on as one).
 2. Counts of the shingles that come first in plain hash order tell long lists from short ones. They go into
    a bitmap of fixed size; where two shingles share a bit, the order is another but still one common order.
-3. A second pass posts the T-occurrence part of every set. Lists of up to ``SHORT`` sets are merged to pairs.
+3. A second pass posts the T-occurrence part of every set. Lists of up to ``SHORT`` sets are merged to pairs,
+   and pairs that met in fewer lists than two linked sets must are dropped.
 4. A list that is long all the same (a large family of near copies) isn't expanded: each of its sets is
    verified against one leader only. Those linked to it are in one component. Sets that aren't are compared
    with each other, and with those linked sets that the triangle inequality for the Jaccard distance leaves
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,15 +44,17 @@ SHORT = 64
 BITMAP_BITS = 25
 BLOCK = 2048
 SALTS = 64
+#: One more shingle is posted for so many of a set.
+EXTRA = 50
 
 
-def unread(n: int, percent: int) -> int:
-    """Shingles to post of a set of n: all but the T - 1 last."""
-    return n - -(-percent * n // 100) + 1
+def posted(n: int, percent: int) -> int:
+    """Shingles to post of a set of n: all but the T - 1 last, and a few more, so that pairs must share several."""
+    return min(n, n - -(-percent * n // 100) + 1 + n // EXTRA)
 
 
 def hash_sets(k: int, percent: int):
-    """doc_id, number of shingles, set id, and of the first of equal sets in a task the low bits of what hash order posts."""
+    """doc_id, number of shingles, set id, and of the first of equal sets in a task the low bits of what hash order would post."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -62,7 +65,7 @@ def hash_sets(k: int, percent: int):
                 ids.append(key := set_id(s) if len(s) else None)
                 fresh = key is not None and key not in seen
                 seen.add(key)
-                heads.append((s[: unread(len(s), percent)].astype(np.uint32).view(np.int32)) if fresh else np.zeros(0, np.int32))
+                heads.append((s[: posted(len(s), percent)].astype(np.uint32).view(np.int32)) if fresh else np.zeros(0, np.int32))
             flat = np.concatenate(heads) if heads else np.zeros(0, np.int32)
             tops = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "sid": pa.array(ids, pa.int64()), "head": pa.ListArray.from_arrays(tops, pa.array(flat))})
@@ -97,7 +100,7 @@ def post(k: int, percent: int, long_lists: np.ndarray):
                     continue
                 seen.add(key)
                 is_long = in_bitmap(long_lists, s.view(np.int64))
-                order = np.concatenate([np.flatnonzero(~is_long), np.flatnonzero(is_long)])[: unread(len(s), percent)]
+                order = np.concatenate([np.flatnonzero(~is_long), np.flatnonzero(is_long)])[: posted(len(s), percent)]
                 grams.append(s[order].view(np.int64))
                 salts.append(np.where(is_long[order], 1 + (key >> 7) % SALTS, 0).astype(np.int32))
                 ids.append(np.full(len(order), key, np.int64))
@@ -108,10 +111,10 @@ def post(k: int, percent: int, long_lists: np.ndarray):
     return run
 
 
-def merge_lists(percent: int):
+def merge_lists(percent: int, short: int):
     """From postings sorted by (gram, salt, sid): pairs of short lists, and the rows of long ones (b null).
 
-    Holds one list of up to SHORT rows beside the batch; of a longer one its rows leave as they come.
+    Holds one list of up to ``short`` rows beside the batch; of a longer one its rows leave as they come.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,14 +122,14 @@ def merge_lists(percent: int):
         open_key, last = None, None  # the list whose rows already left as long ones; the last row seen
         for batch in batches:
             rows = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("gram", "salt", "sid", "n"), strict=True)]
-            yield from _lists(rows, False, percent, state := {"open": open_key, "last": last})
+            yield from _lists(rows, False, percent, short, state := {"open": open_key, "last": last})
             held, open_key, last = state["held"], state["open"], state["last"]
-        yield from _lists(held, True, percent, {"open": open_key, "last": last})
+        yield from _lists(held, True, percent, short, {"open": open_key, "last": last})
 
     return run
 
 
-def _lists(rows: list[np.ndarray], ended: bool, percent: int, state: dict) -> Iterator[pa.RecordBatch]:
+def _lists(rows: list[np.ndarray], ended: bool, percent: int, short: int, state: dict) -> Iterator[pa.RecordBatch]:
     gram, salt, sid, n = rows
     if len(gram):
         fresh = np.ones(len(gram), bool)
@@ -138,8 +141,8 @@ def _lists(rows: list[np.ndarray], ended: bool, percent: int, state: dict) -> It
     begins = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]))))
     sizes = np.diff(np.append(begins, len(gram)))
     key = (int(gram[-1]), int(salt[-1]))
-    whole = len(begins) if ended or sizes[-1] > SHORT or key == state["open"] else len(begins) - 1
-    is_long = (sizes > SHORT) | (salt[begins] > 0)
+    whole = len(begins) if ended or sizes[-1] > short or key == state["open"] else len(begins) - 1
+    is_long = (sizes > short) | (salt[begins] > 0)
     if state["open"] == (int(gram[0]), int(salt[0])):
         is_long[0] = True
     state["held"] = [x[begins[whole] :] for x in (gram, salt, sid, n)] if whole < len(begins) else [x[:0] for x in (gram, salt, sid, n)]
@@ -154,13 +157,14 @@ def _lists(rows: list[np.ndarray], ended: bool, percent: int, state: dict) -> It
         i, j = (at + i).ravel(), (at + j).ravel()
         fits = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]).astype(np.int64)
         i, j = i[fits], j[fits]
-        out.append((np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])))
+        # Rows are sorted by set id, so a < b.
+        out.append((sid[i], sid[j], n[i], n[j]))
     if out:
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_pydict({"gram": pa.nulls(len(a), pa.int64()), "a": a, "b": b, "n": pa.nulls(len(a), pa.int32())})
+        a, b, na, nb = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_pydict({"gram": pa.nulls(len(a), pa.int64()), "a": a, "b": b, "na": na, "nb": nb})
     if is_long.any():
         rows_ = np.repeat(is_long, sizes)
-        yield pa.RecordBatch.from_pydict({"gram": gram[: len(rows_)][rows_], "a": sid[: len(rows_)][rows_], "b": pa.nulls(int(rows_.sum()), pa.int64()), "n": n[: len(rows_)][rows_]})
+        yield pa.RecordBatch.from_pydict({"gram": gram[: len(rows_)][rows_], "a": sid[: len(rows_)][rows_], "b": pa.nulls(int(rows_.sum()), pa.int64()), "na": n[: len(rows_)][rows_], "nb": pa.nulls(int(rows_.sum()), pa.int32())})
 
 
 def texts_of(docs: DataFrame, sids: DataFrame, k: int) -> DataFrame:
@@ -268,18 +272,36 @@ def family_links(lists: DataFrame, checked: DataFrame, docs: DataFrame, k: int,
     return left.join(texts, "sid").groupBy("gram", "i", "j").applyInArrow(block_links(k, percent), "a long, b long")
 
 
+def enough(merged: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the merged pairs that met in as many short lists as two linked sets must.
+
+    Of two sets, the one whose posted part ends first in the common order shares with the other what both
+    posted, and at most all that it has not posted. What it shares in long lists isn't seen here, but is no more
+    than the rows that either has there.
+    """
+    skipped = merged.where("gram is not null").groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("skipped"))
+    pairs = merged.where("b is not null").join(skipped.select(F.col("sid").alias("a"), F.col("skipped").alias("sa")), "a", "left").join(skipped.select(F.col("sid").alias("b"), F.col("skipped").alias("sb")), "b", "left")
+
+    def hidden(n: str) -> Column:
+        own = F.col(n).cast("long")
+        return own - F.least(own, own - F.ceil(percent * own / 100) + 1 + F.floor(own / EXTRA))
+
+    needed = F.ceil(percent * (F.col("na") + F.col("nb")).cast("long") / (100 + percent))
+    least = needed - F.greatest(hidden("na"), hidden("nb")) - F.least(F.coalesce("sa", F.lit(0)), F.coalesce("sb", F.lit(0)))
+    return pairs.where(F.col("seen") >= least).select("a", "b")
+
+
 def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of every row, and links (a, b) between set ids that have the components of all links."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = materialise(docs.select("doc_id", "text").mapInArrow(hash_sets(k, percent), f"doc_id {kind}, n long, sid long, head array<int>"), "sets")
     counts = sets.select(F.explode("head").alias("gram")).groupBy("gram").count().where(F.col("count") > SHORT)
     long_lists = bitmap(counts, "gram")
-    posted = docs.select("text").mapInArrow(post(k, percent, long_lists), "gram long, salt int, sid long, n int")
+    postings = docs.select("text").mapInArrow(post(k, percent, long_lists), "gram long, salt int, sid long, n int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = posted.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "sid").mapInArrow(merge_lists(percent), "gram long, a long, b long, n int")
-    # Pairs repeat in each list that has both; the first step of distinct drops most of them where they arise.
-    merged = materialise(merged.distinct(), "lists")
-    lists = merged.where("gram is not null").select("gram", F.col("a").alias("sid"), "n")
+    merged = postings.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "sid").mapInArrow(merge_lists(percent, SHORT), "gram long, a long, b long, na int, nb int")
+    merged = materialise(merged.groupBy("gram", "a", "b", "na", "nb").agg(F.count("*").alias("seen")), "lists")
+    lists = merged.where("gram is not null").select("gram", F.col("a").alias("sid"), F.col("na").alias("n"))
     heads = lists.groupBy("gram").agg(F.count("*").alias("m"), F.min("sid").alias("leader")).where("m > 1")
     lists = lists.join(heads, "gram")
     short = lists.where(F.col("m") <= SHORT).select("gram", "sid", "n")
@@ -287,7 +309,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataF
     more = short.alias("x").join(short.alias("y"), F.expr("x.gram = y.gram and x.sid < y.sid") & near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
     lists = materialise(lists.where(F.col("m") > SHORT).select("gram", "sid", "leader"), "long")
     led = lists.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b"))
-    pairs = materialise(merged.where("b is not null").select("a", "b").union(more).union(led).distinct(), "pairs")
+    pairs = materialise(enough(merged, percent).union(more).union(led).distinct(), "pairs")
     texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("sid")), k)
     checked = materialise(verify(pairs, texts, k), "checked")
     links = checked.where(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select("a", "b")
