@@ -46,9 +46,11 @@ def grams(text: str) -> np.ndarray | None:
     if not is_letter.any():
         return None
     points = np.where(is_letter, points, 0).astype(np.int64)
-    keep = np.ones(len(points), bool)
-    keep[1:] = is_letter[1:] | is_letter[:-1]
-    points = np.concatenate(([0], points[keep], [0]))
+    keep = is_letter.copy()
+    keep[1:] |= is_letter[:-1]
+    points = np.concatenate(([0], points[keep]))
+    if points[-1]:
+        points = np.append(points, 0)
     found, codes = [points[points > 0]], points
     for _ in range(1, LONGEST):
         codes = (codes[:-1] << _BITS) | points[len(points) - len(codes) + 1 :]
