@@ -50,6 +50,11 @@ def refs(text: Column, pattern: str, group: int = 1) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(" \n\t\r\f\x0b"))
+
+
 def first_match(text: Column, pattern: str, group: int = 1, default: str | None = None) -> Column:
     """The group of the first match, or a default (or null)."""
     found = F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
@@ -92,7 +97,7 @@ def snippet(query: Column, title: Column, summary: Column, radius: int = 80) ->
     at = F.instr(F.lower(summary), F.lower(query))
     start = F.greatest(at - 1 - radius, F.lit(0))
     around = F.substring(summary, start + 1, at - 1 + F.length(query) + radius - start)
-    return F.trim(F.when(F.contains(F.lower(title), F.lower(query)), title).when(at > 0, around).otherwise(title))
+    return strip(F.when(F.contains(F.lower(title), F.lower(query)), title).when(at > 0, around).otherwise(title))
 
 
 def slug(text: Column, words: int = 4) -> Column:
@@ -101,7 +106,7 @@ def slug(text: Column, words: int = 4) -> Column:
 
 def unfenced(reply: Column) -> Column:
     """A model's reply without the code fences around its JSON."""
-    return F.trim(F.regexp_replace(reply, r"```(?:json)?", ""))
+    return strip(F.regexp_replace(reply, r"```(?:json)?", ""))
 
 
 def ordered_case(cases: list[tuple[str, Column]], default: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.bm25 import best
@@ -21,8 +21,12 @@ PATTERNS: tuple[tuple[str, str, tuple[str, ...] | None], ...] = (
 
 def named(queries: DataFrame, patterns=PATTERNS) -> DataFrame:
     """(query_id, what, kind, value): all references in queries(query_id, text)."""
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda v, w=what, t=t: F.struct(F.lit(w).alias("what"), F.lit(t).alias("kind"), v.alias("value"))) for what, p, kinds in patterns for t in (kinds or (None,))]
-    found = [f.cast("array<struct<what:string,kind:string,value:string>>") for f in found]
+
+    def tagged(what: str, kind: str | None, pattern: str) -> Column:
+        values = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+        return F.transform(values, lambda v: F.struct(F.lit(what).alias("what"), F.lit(kind).cast("string").alias("kind"), v.alias("value")))
+
+    found = [tagged(what, kind, p) for what, p, kinds in patterns for kind in (kinds or (None,))]
     return queries.select("query_id", F.explode(F.array_distinct(F.concat(*found))).alias("x")).select("query_id", "x.*").distinct()
 
 

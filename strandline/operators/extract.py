@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.text import contained_words, doc_id_of, first_match, ordered_case, refs
+from strandline.functions.text import contained_words, doc_id_of, first_match, ordered_case, refs, strip
 
 # What marks a type, and the references that a text can hold. (?d): a line ends at \n only.
 REVIEW_STANDARD = r"DESIGN[- ]*SPECIFIC REVIEW STANDARD"
@@ -42,7 +42,7 @@ def doc_type(filename: Column, text: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def _special(text: Column) -> tuple[Column, Column]:
@@ -59,7 +59,7 @@ def _plan(text: Column) -> tuple[Column, Column]:
     pattern = r"(\d{1,2}\.\d{1,2}(?:\.\d{1,2})?)\s+([A-Z][A-Z\s\-()/,:]+)"
     title = squeezed(first_match(rest, pattern, 2, ""))
     for end in TITLE_ENDS:
-        title = F.trim(F.substring_index(title, end, 1))
+        title = strip(F.substring_index(title, end, 1))
     return first_match(rest, pattern, 1, ""), title
 
 
@@ -67,7 +67,7 @@ def _guide(text: Column) -> tuple[Column, Column]:
     number = first_match(text, r"REGULATORY GUIDE\s+(?:RG\s+)?(\d+\.\d+)", 1, "")
     # The pattern holds the row's own number, in quotes.
     pattern = F.concat(F.lit(r"(?s)REGULATORY GUIDE\s+(?:RG\s+)?\Q"), number, F.lit(r"\E.*?\n\s*(.+?)(?:\n\s*A\.\s|$)"))
-    lines = F.transform(F.split(F.trim(F.call_function("regexp_extract", text, pattern, F.lit(1))), "\n"), F.trim)
+    lines = F.transform(F.split(strip(F.call_function("regexp_extract", text, pattern, F.lit(1))), "\n"), strip)
     good = F.filter(lines, lambda x: (F.length(x) > 5) & ~F.startswith(x, F.lit("(")))
     return number, F.when(number == "", "").otherwise(squeezed(F.coalesce(F.get(good, F.lit(0)), F.lit(""))))
 
@@ -107,10 +107,10 @@ def enriched(title: Column, display: Column, kind: Column, section: Column, topi
 def best_section(texts: DataFrame, patterns: list[str], title: str, least: int = 100, whole: int = 8000) -> DataFrame:
     """(id, title, body) for texts(id, text, query): of the sections that the patterns find, longer than ``least``, the
     one that holds most query words; the earliest of several; the text's begin if there is none."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda m, k=k: F.struct(F.lit(k).alias("pattern"), m.alias("body"))) for k, p in enumerate(patterns)]))
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda m: F.struct(m.alias("body"))) for p in patterns]))
     rows = texts.select("id", "text", "query", F.posexplode_outer(F.filter(found, lambda x: F.length(x["body"]) > least)).alias("place", "x"))
     rows = rows.withColumn("score", contained_words(F.col("x.body"), F.col("query")))
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc_nulls_last("score"), "place"))
     rows = rows.withColumn("r", first).where("r = 1")
-    name = F.coalesce(F.nullif(F.trim(F.regexp_extract("x.body", title, 1)), F.lit("")), F.lit("Unknown"))
+    name = F.coalesce(F.nullif(strip(F.regexp_extract("x.body", title, 1)), F.lit("")), F.lit("Unknown"))
     return rows.select("id", F.when(F.col("x").isNull(), "Full Document").otherwise(name).alias("title"), F.coalesce("x.body", F.substring("text", 1, whole)).alias("body"))

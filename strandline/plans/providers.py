@@ -12,6 +12,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.text import unfenced
 
@@ -48,7 +49,7 @@ def ask(rows: DataFrame, column: str, out: str, make: Callable[[], Provider] | P
                 found = [default if default is not None else f"[ERROR {type(error).__name__}]"] * len(pdf)
             yield pdf.assign(**{out: pd.Series(found, index=pdf.index, dtype=object)})
 
-    schema = rows.schema.add(out, "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
     return rows.mapInPandas(run, schema)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.text import numbered, ordered_case
+from strandline.functions.text import numbered, ordered_case, strip
 from strandline.operators.extract import question_refs
 
 # Patterns of what a question's core begins with (at the begin of a line, in any case), and what a rule's text begins with.
@@ -43,8 +43,8 @@ def split_question(question: Column, markers: tuple[str, ...] = MARKERS) -> Colu
 
     def cut(at: Column, least: int) -> Column:
         """``at`` counts characters before the core; null or -1: no cut."""
-        core = F.trim(F.substr(question, at + 1, n))
-        return F.when((at >= 0) & (F.length(core) >= least), F.struct(F.trim(F.substr(question, F.lit(1), at)).alias("background"), core.alias("core")))
+        core = strip(F.substr(question, at + 1, n))
+        return F.when((at >= 0) & (F.length(core) >= least), F.struct(strip(F.substr(question, F.lit(1), at)).alias("background"), core.alias("core")))
 
     def place(text: Column, regex: str) -> Column:
         return F.regexp_instr(text, F.lit(regex)) - 1
@@ -57,7 +57,7 @@ def split_question(question: Column, markers: tuple[str, ...] = MARKERS) -> Colu
     j = F.get(marked, F.lit(0))
     third = F.when(
         F.regexp_like(question, F.lit(RULE_BEGIN)) & j.isNotNull(),
-        F.struct(F.trim(F.array_join(F.slice(sentences, F.lit(1), j), " ")).alias("background"), F.trim(F.array_join(F.slice(sentences, j + 1, F.greatest(F.size(sentences), F.lit(1))), " ")).alias("core")),
+        F.struct(strip(F.array_join(F.slice(sentences, F.lit(1), j), " ")).alias("background"), strip(F.array_join(F.slice(sentences, j + 1, F.greatest(F.size(sentences), F.lit(1))), " ")).alias("core")),
     )
     half = F.floor(n / 2).cast("int")
     rest = F.substr(question, half + 1, n)
@@ -90,7 +90,7 @@ def reject_reason(answer: Column, answerable: Column, confidence: Column, query:
     return F.nullif(
         ordered_case(
             [
-                ("short_answer", F.length(F.trim(F.coalesce(answer, F.lit("")))) < least),
+                ("short_answer", F.length(strip(F.coalesce(answer, F.lit("")))) < least),
                 ("not_answerable", ~F.coalesce(answerable, F.lit(False))),
                 ("low_confidence", F.coalesce(confidence, F.lit("")) == "low"),
                 ("short_query", F.length(F.coalesce(query, F.lit(""))) < least),

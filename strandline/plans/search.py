@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from strandline.functions.text import STOP_WORDS, page_range, tokens, without
 from strandline.operators import bm25, constraint, dense, fusion, graph, trees
 from strandline.plans.providers import Provider, ask, echo, hints, no_hints
+from strandline.session import stored
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,7 @@ class Limits:
     fallback_documents: int = 3
     fallback_sections: int = 2
     title: int = 60
+    rank_iterations: int = 100
 
     @property
     def pool(self) -> int:
@@ -68,7 +70,7 @@ def route(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, how:
     parts = [("rc", bm25.search(corpus.docs.select("doc_id", F.col("words").alias("tokens")), asked, limits.pool))]
     if corpus.nodes is not None:
         parts.append(("kg_cs", constraint.search(asked, corpus.nodes, corpus.edges, limits.pool)))
-        parts.append(("kg_fr", graph_hits(corpus, asked.select("query_id", without(F.col("tokens"), STOP_WORDS).alias("words")), limits.pool)))
+        parts.append(("kg_fr", graph_hits(corpus, asked.select("query_id", without(F.col("tokens"), STOP_WORDS).alias("words")), limits.pool, limits.rank_iterations)))
     if corpus.vectors is not None and corpus.encoder is not None:
         parts.append(("rc_embed", dense.nearest(corpus.vectors, corpus.encoder(asked), limits.pool)))
     hits = None
@@ -79,11 +81,13 @@ def route(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, how:
         # Criteria that the decomposer holds likely make their documents constraint hits.
         likely = hinted.select("query_id", F.explode("hints.likely_criteria").alias("concept")).join(corpus.cites, "concept")
         hits = hits.union(likely.select("query_id", F.lit("kg_cs").alias("source"), "doc_id", F.lit(0.8).alias("score")))
+    # Several steps read the hits, and several the ranking: each is computed once.
+    hits = stored(fusion.once(hits), "hits")
     scored = fusion.fused(hits, how)
     if corpus.cites is not None:
         words = queries.select("query_id", tokens(F.col("text")).alias("words"))
         scored = fusion.with_bonus(scored, fusion.concept_matches(words, corpus.entities), fusion.concept_matches(words, corpus.chapters), corpus.cites, corpus.in_chapter, how)
-    return fusion.top(scored, limits.documents), fusion.once(hits)
+    return stored(fusion.top(scored, limits.documents), "ranked"), hits
 
 
 def sections(picked: DataFrame, nodes: DataFrame, queries: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -131,7 +135,7 @@ def contexts(picked: DataFrame, chosen: DataFrame, limits: Limits | None = None)
 def search(corpus: Corpus, queries: DataFrame, limits: Limits | None = None) -> DataFrame:
     """(query_id, context) of the whole two-layer search."""
     picked, _ = route(corpus, queries, limits)
-    chosen = sections(picked, corpus.sections, queries, limits)
+    chosen = stored(sections(picked, corpus.sections, queries, limits), "sections")
     return contexts(picked, chosen, limits)
 
 

@@ -575,7 +575,7 @@ def page_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH q(w) AS (VALUES ('th'), ('ung'), ('ción'), ('zzz')), t AS (SELECT doc_id, w, split_part(text, chr(10), 1) AS title, text AS summary FROM documents, q)
-  SELECT doc_id, w, trim(CASE WHEN contains(lower(title), w) THEN title WHEN strpos(lower(summary), w) > 0 THEN substring(summary, greatest(strpos(lower(summary), w) - 1 - 80, 0) + 1, strpos(lower(summary), w) - 1 + length(w) + 80 - greatest(strpos(lower(summary), w) - 1 - 80, 0)) ELSE title END, ' ') AS snippet FROM t"""
+  SELECT doc_id, w, trim(CASE WHEN contains(lower(title), w) THEN title WHEN strpos(lower(summary), w) > 0 THEN substring(summary, greatest(strpos(lower(summary), w) - 1 - 80, 0) + 1, strpos(lower(summary), w) - 1 + length(w) + 80 - greatest(strpos(lower(summary), w) - 1 - 80, 0)) ELSE title END, ' ' || chr(10)) AS snippet FROM t"""
 )
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     words = spark.createDataFrame([("th",), ("ung",), ("ción",), ("zzz",)], "w string")
