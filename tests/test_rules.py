@@ -63,10 +63,10 @@ def test_pagerank_sums_to_one(spark, graph_of):
     nodes, edges = graph_of
     seeds = spark.createDataFrame([(1, "gdc:38", 2.0), (1, "doc:P", 1.0), (2, "doc:G", 1.0)], "query_id int, node string, weight double")
     got = {}
-    for r in graph.pagerank(nodes, edges, seeds).collect():
+    for r in graph.pagerank(nodes, edges, seeds, tolerance=1e-4).collect():
         got.setdefault(r.query_id, {})[r.id] = r.rank
     for q, want in ((1, {"gdc:38": 2 / 3, "doc:P": 1 / 3}), (2, {"doc:G": 1.0})):
-        assert abs(sum(got[q].values()) - 1) < 1e-6
+        assert abs(sum(got[q].values()) - 1) < 1e-9
         ids = sorted(got[q])
         out = {i: [r.dst for r in edges.collect() if r.src == i] for i in ids}
         x = dict.fromkeys(ids, 1 / len(ids))
@@ -77,7 +77,7 @@ def test_pagerank_sums_to_one(spark, graph_of):
                 for j in out[i]:
                     y[j] += 0.85 * x[i] / len(out[i])
             x = y
-        assert all(abs(x[i] - got[q][i]) < 1e-4 for i in ids)  # stops at a change of nodes * 1e-6
+        assert all(abs(x[i] - got[q][i]) < 6e-3 for i in ids)  # stops at a change of nodes * 1e-4
 
 
 def test_hops_and_paths(spark, graph_of):
@@ -153,7 +153,7 @@ def test_split_question(spark):
     cases = [
         ("Some background.\n" + core, "Some background.", core), ("Regulatory Basis:\nThe rules say so.\n" + core, "Regulatory Basis:\nThe rules say so.", core),
         ("10 CFR 50 says so. The design is new. " + core, "10 CFR 50 says so. The design is new.", core), ("Short question?", "", "Short question?"),
-        ("a" * 160 + "\n" + "b" * 200, "a" * 160, "b" * 200), ("a" * 300 + "\n" + "b" * 20, "", "a" * 300 + "\n" + "b" * 20),
+        ("a" * 200 + "\n" + "b" * 160, "a" * 200, "b" * 160), ("a" * 300 + "\n" + "b" * 20, "", "a" * 300 + "\n" + "b" * 20),
     ]
     rows = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, q string").select("k", qa.split_question(F.col("q")).alias("s")).collect()
     assert {r.k: (r.s.background, r.s.core) for r in rows} == {k: c[1:] for k, c in enumerate(cases)}
