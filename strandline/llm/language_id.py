@@ -30,6 +30,8 @@ RANKS = 400
 LONGEST = 3
 FIT_ROWS = 4_000
 UNDETERMINED = "und"
+#: Stands for what lies between letters; not 0, so that n-grams of different lengths have different codes.
+BOUNDARY = 1
 _BITS = 21  # a code point's bits; three make a code of 63
 
 
@@ -45,13 +47,13 @@ def grams(text: str) -> np.ndarray | None:
     is_letter = letters()[points]
     if not is_letter.any():
         return None
-    points = np.where(is_letter, points, 0).astype(np.int64)
+    points = np.where(is_letter, points, BOUNDARY).astype(np.int64)
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
-    points = np.concatenate(([0], points[keep]))
-    if points[-1]:
-        points = np.append(points, 0)
-    found, codes = [points[points > 0]], points
+    points = np.concatenate(([BOUNDARY], points[keep]))
+    if points[-1] != BOUNDARY:
+        points = np.append(points, BOUNDARY)
+    found, codes = [points[points != BOUNDARY]], points
     for _ in range(1, LONGEST):
         codes = (codes[:-1] << _BITS) | points[len(points) - len(codes) + 1 :]
         found.append(codes)

@@ -150,7 +150,7 @@ def test_language_distance():
         t = "".join(c if c.isalpha() else " " for c in text.lower())
         t = " " + " ".join(t.split()) + " "
         grams = Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1) if t[i : i + n] != " ")
-        code = lambda g: sum((0 if c == " " else ord(c)) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+        code = lambda g: sum((1 if c == " " else ord(c)) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
         return [c for c, _ in sorted(((code(g), n) for g, n in grams.items()), key=lambda x: (-x[1], x[0]))]
 
     texts = ["The cat and the hat.", "Der Hund und die Katze, über", "a", "Ünïcode 日本 ok"]
