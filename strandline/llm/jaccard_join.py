@@ -231,13 +231,17 @@ def block_links(k: int, percent: int):
         rows, cols = rows[keep], columns[where[keep]]
         order = np.argsort(cols, kind="stable")
         rows, cols = rows[order], cols[order]
-        shared = np.zeros((len(sets), len(sets)), np.float32)
-        for start in range(0, int(cols[-1]) + 1 if len(cols) else 0, 4096):
-            a, b = np.searchsorted(cols, [start, start + 4096])
-            part = np.zeros((len(sets), 4096), np.float32)
+        shared, step = np.zeros((len(sets), len(sets)), np.float32), 1024
+        for start in range(0, int(cols[-1]) + 1 if len(cols) else 0, step):
+            a, b = np.searchsorted(cols, [start, start + step])
+            part = np.zeros((len(sets), step), np.float32)
             part[rows[a:b], cols[a:b] - start] = 1
-            shared += part @ part.T
-        linked = 100 * shared >= percent * (sizes[:, None] + sizes[None] - shared)
+            for r in range(0, len(sets), 256):
+                shared[r : r + 256] += part[r : r + 256] @ part.T
+        linked = np.zeros(shared.shape, bool)
+        for r in range(0, len(sets), 256):
+            both = shared[r : r + 256].astype(np.int64)
+            linked[r : r + 256] = 100 * both >= percent * (sizes[r : r + 256, None] + sizes[None] - both)
         root = np.full(len(sets), -1)
         for i in range(len(sets)):
             if root[i] < 0:
