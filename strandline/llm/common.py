@@ -91,6 +91,19 @@ def byte_chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> I
         at = to
 
 
+def pieces(data: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+    """The bytes of one text in runs of about ``limit``, cut before ASCII white space: a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        to, gap = min(at + limit, len(data)), np.zeros(0, np.int64)
+        while to < len(data) and not len(gap):
+            ahead = data[to : to + 4096]
+            gap = np.flatnonzero((ahead == 32) | ((ahead >= 9) & (ahead <= 13)))
+            to += int(gap[0]) if len(gap) else len(ahead)
+        yield data[at:to]
+        at = to
+
+
 def local_only() -> None:
     """One thread for each worker's libraries: Spark sets the parallelism."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")

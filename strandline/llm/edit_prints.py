@@ -18,15 +18,17 @@ table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .components import components
 from .shingles import U, mix
 
 BITS = 512
@@ -35,7 +37,12 @@ CLASSES = 64
 PERIOD = 8192
 #: Characters that one vectorised run of walks handles; bounds a worker's memory.
 CHARS = 4_000_000
-BANDS = 32
+#: Bands, and the chance at least that two fingerprints of the likeness sought agree in one of them.
+BANDS = 48
+AGREE = 0.13
+#: Fingerprints in a bucket whose pairs are listed; fingerprints in a block of a larger bucket.
+SMALL = 64
+BLOCK = 2048
 
 
 @cache
@@ -92,12 +99,13 @@ def _walk(texts: list[str]) -> Iterator[str]:
     for k, p in enumerate(points):
         steps[rows[: len(p)] + k] = ((p * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.int32) * PERIOD
     table, now = dwell(), np.zeros(len(texts), np.int32)
-    marks, counts = rows.tolist(), alive.tolist()
-    for i, n in enumerate(counts):
-        part, t = steps[marks[i] : marks[i + 1]], now[:n]
-        part += t & (PERIOD - 1)
-        t += table[part]
-        part[:] = t
+    for first in range(0, len(alive), 1 << 16):
+        some = slice(first, first + (1 << 16))
+        for top, n in zip(rows[some].tolist(), alive[some].tolist(), strict=False):
+            part, t = steps[top : top + n], now[:n]
+            part += t & (PERIOD - 1)
+            t += table[part]
+            part[:] = t
     lanes = np.arange(BITS, dtype=U) * U(0x9E3779B97F4A7C15)
     for k, p in enumerate(points):
         ends = steps[rows[: len(p)] + k]
@@ -122,23 +130,98 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-def near(printed: DataFrame, least: float = 0.9, bands: int = BANDS) -> DataFrame:
-    """(a, b, likeness): pairs of distinct fingerprints that share a band and reach ``least``, by verification.
+def sampler(width: int, bands: int):
+    """(fingerprint, band, bits): the bits that each band samples, at places which a seeded hash draws once for all."""
+    places = np.argsort(mix(np.arange(bands * BITS, dtype=U) + U(0xA24BAED4963EE407)).reshape(bands, BITS), axis=1)[:, :width]
+    weights = np.int64(1) << np.arange(width, dtype=np.int64)
 
-    Documents of equal fingerprints are one side of a pair, so copies never multiply pairs. A band is a fixed
-    sample of BITS / bands bits.
-    """
-    width = BITS // 4 // bands
-    own = printed.select("fingerprint").distinct()
-    posted = materialise(own.select("fingerprint", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.substring("fingerprint", k * width + 1, F.lit(width)))).alias("band", "bits")), "bands")
-    pairs = posted.alias("x").join(posted.alias("y"), F.expr("x.band = y.band and x.bits = y.bits and x.fingerprint < y.fingerprint")).select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b")).distinct()
-    words = F.sequence(F.lit(0), F.lit(BITS // 32 - 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.column("fingerprint").slice(at, 1024)
+                keys = bits_of(part.to_pylist())[:, places].astype(np.int64) @ weights
+                rows = np.repeat(np.arange(len(part)), bands)
+                yield pa.RecordBatch.from_pydict({"fingerprint": part.take(pa.array(rows)), "band": np.tile(np.arange(bands, dtype=np.int32), len(part)), "bits": keys.ravel()})
+
+    return run
 
-    def part(c: str, k):
+
+def bits_of(found: list[str]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bytes.fromhex("".join(found)), np.uint8)).reshape(len(found), BITS)
+
+
+def differing(a: str, b: str) -> Column:
+    def part(c: str, k: Column) -> Column:
         return F.conv(F.substring(c, k * 8 + 1, F.lit(8)), 16, 10).cast("long")
 
-    differing = F.aggregate(words, F.lit(0), lambda s, k: s + F.bit_count(part("a", k).bitwiseXOR(part("b", k))))
-    return pairs.withColumn("likeness", F.greatest(F.lit(0.0), 1 - 2 * differing / BITS)).where(F.col("likeness") >= least)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS // 32 - 1)), F.lit(0), lambda s, k: s + F.bit_count(part(a, k).bitwiseXOR(part(b, k))))
+
+
+def block_links(most: int):
+    """Of all pairs in a block that differ in ``most`` bits at most, links that span their components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        found = group.column("fingerprint").to_pylist()
+        bits = bits_of(found).astype(np.float32)
+        ones = bits.sum(1)
+        linked = ones[:, None] + ones[None] - 2 * (bits @ bits.T) <= most
+        seen, out = np.zeros(len(found), bool), []
+        for i in range(len(found)):
+            if seen[i]:
+                continue
+            edge = np.array([i])
+            seen[i] = True
+            while len(edge):
+                new = np.flatnonzero(linked[edge].any(0) & ~seen)
+                out += zip(edge[linked[edge][:, new].argmax(0)].tolist() if len(new) else [], new.tolist(), strict=True)
+                seen[new], edge = True, new
+        return pa.table({"a": pa.array([min(found[i], found[j]) for i, j in out], pa.string()), "b": pa.array([max(found[i], found[j]) for i, j in out], pa.string())})
+
+    return run
+
+
+def near(printed: DataFrame, least: float = 0.9, bands: int = BANDS) -> DataFrame:
+    """(a, b, likeness): verified links, of ``least`` at least, between distinct fingerprints that share a band.
+
+    A band samples so many bits that two fingerprints of that likeness agree in it with a chance of ``AGREE``; all
+    bands miss such a pair with a chance of about 0.001. Copies are one fingerprint. Buckets of up to ``SMALL``
+    fingerprints give all their links. Of larger ones each fingerprint is held against one leader; those that it
+    leaves open, by the triangle inequality, are compared in blocks, and links that span their components come back.
+    """
+    apart = (1 - least) / 2
+    most = int(apart * BITS + 1e-9)
+    width = max(8, min(62, int(math.log(AGREE) / math.log(1 - apart)))) if apart > 0 else 62
+    posted = materialise(printed.select("fingerprint").distinct().mapInArrow(sampler(width, bands), "fingerprint string, band int, bits long"), "bands")
+    buckets = posted.groupBy("band", "bits").agg(F.count("*").alias("m"), F.min("fingerprint").alias("leader")).where("m > 1")
+    posted = materialise(posted.join(buckets, ["band", "bits"]), "buckets")
+    small, large = posted.where(F.col("m") <= SMALL), posted.where(F.col("m") > SMALL)
+    pairs = small.alias("x").join(small.alias("y"), F.expr("x.band = y.band and x.bits = y.bits and x.fingerprint < y.fingerprint")).select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b"))
+
+    led = large.where("fingerprint <> leader").withColumn("d", differing("leader", "fingerprint"))
+    open_ = led.where(F.col("d") > most).groupBy("band", "bits").agg(F.min("d").alias("least"))
+    left = led.join(open_, ["band", "bits"]).where((F.col("d") > most) | (F.col("d") + most >= F.col("least")))
+    left = left.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    left = left.select("band", "bits", "fingerprint", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = left.select("band", "bits", "fingerprint", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spanning = left.groupBy("band", "bits", "i", "j").applyInArrow(block_links(most), "a string, b string")
+
+    links = pairs.union(led.where(F.col("d") <= most).select(F.col("leader").alias("a"), F.col("fingerprint").alias("b"))).union(spanning).distinct()
+    return links.withColumn("likeness", F.greatest(F.lit(0.0), 1 - 2 * differing("a", "b") / BITS)).where(differing("a", "b") <= most)
+
+
+def near_groups(docs: DataFrame, least: float = 0.9) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint, component_id (the smallest doc_id that links of ``least`` reach).
+
+    Null and empty texts are linked with nothing.
+    """
+    printed = materialise(fingerprints(docs), "prints")
+    own = printed.where(F.col("fingerprint") != "0" * (BITS // 4))
+    roots = components(near(own, least).select("a", "b"))
+    classes = own.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    rooted = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(names, "root").select("fingerprint", "component_id")
+    return printed.join(named, "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def followed(docs: DataFrame) -> DataFrame:

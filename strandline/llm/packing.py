@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, hash63, local_only, materialise, rank_within
+from .common import CHUNK_BYTES, byte_chunks, hash63, local_only, materialise, pieces, rank_within
 from .shingles import U, mix, powers
 
 WINDOW = 2048
@@ -95,7 +95,13 @@ class Tokens:
         self.keys, self.slots = keys[order], slots[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        """The ids of each text, without special ones."""
+        """The ids of each text, without special ones. One very long text is read in pieces, which white space parts."""
+        if len(offsets) > 2 or len(data) <= CHUNK_BYTES:
+            yield from self._encode(data, offsets)
+        else:
+            yield np.concatenate([next(self._encode(p, np.array([0, len(p)]))) for p in pieces(data)])
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         whole: dict[int, np.ndarray] = {}
         parts, raw = [], data.tobytes()
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import byte_chunks
+from .common import CHUNK_BYTES, byte_chunks, pieces
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -40,7 +40,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word in order, and the number of words of each text."""
+    """The hash of each word in order, and the number of words of each text. One very long text is read in pieces."""
+    if len(offsets) > 2 or len(data) <= CHUNK_BYTES:
+        return _word_hashes(data, offsets)
+    words = np.concatenate([_word_hashes(p, np.array([0, len(p)]))[0] for p in pieces(data)])
+    return words, np.array([len(words)])
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, docs = len(data), len(offsets) - 1
     if not n:
         return np.zeros(0, U), np.zeros(docs, np.int64)

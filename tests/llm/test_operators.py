@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import edit_prints, entries, html_text, jaccard_join, language_id, mixing, neighbours, packing, sharding, shingles, toxicity, warc
+from strandline.llm.common import pieces
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, count long, rank int, sid long, _source string, _key long, part int"
 
@@ -394,6 +395,61 @@ def test_prints_near_and_far(spark, docs):
     assert edit_prints.near(printed, 0.8).count() == 1
 
 
+def test_near_groups(spark, edge, none, monkeypatch):
+    """Buckets of any size against all pairs; with small bounds the leaders and blocks of large buckets are met."""
+    monkeypatch.setattr(edit_prints, "SMALL", 3)
+    monkeypatch.setattr(edit_prints, "BLOCK", 8)
+    r = random.Random(7)
+    base = [f"{r.getrandbits(edit_prints.BITS):0{edit_prints.BITS // 4}x}" for _ in range(4)]
+    found = list(base)
+    for k in range(120):
+        # A chain away from the first one, so that leaders leave some open; and near copies of the others.
+        x = int(found[-1] if k % 2 else base[1 + k % 3], 16)
+        for _ in range(4):
+            x ^= 1 << r.randrange(edit_prints.BITS)
+        found.append(f"{x:0{edit_prints.BITS // 4}x}")
+    root = {f: f for f in found}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, a in enumerate(found):
+        for b in found[:i]:
+            if edit_prints.likeness(a, b) >= 0.9:
+                root[top(a)] = top(b)
+    links = edit_prints.near(spark.createDataFrame([(k, f) for k, f in enumerate(found)], "doc_id long, fingerprint string"), 0.9).collect()
+    assert all(x.a < x.b and x.likeness == edit_prints.likeness(x.a, x.b) >= 0.9 for x in links)
+    mine = {f: f for f in found}
+    for x in links:
+        old, new = mine[x.a], mine[x.b]
+        mine = {f: new if v == old else v for f, v in mine.items()}
+    for a in found:
+        for b in found:
+            assert (top(a) == top(b)) == (mine[a] == mine[b])
+    got = edit_prints.near_groups(edge).collect()
+    assert len(got) == edge.count() and edit_prints.near_groups(none).count() == 0
+    assert {x.component_id for x in got if x.doc_id in (5, 6)} == {5} and {x.component_id for x in got if x.doc_id in (0, 1)} == {0, 1}
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Pieces of one very long text give the same words and ids as the whole."""
+    import public_tokenizers
+
+    text = " ".join(f"Word{k % 97} l'eau, é{k}\tend" for k in range(300)) + " " + "z" * 500
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = shingles.one_set(text, 5), packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    offsets = np.array([0, len(data)])
+    ids = next(whole[1].encode(data, offsets))
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 64)
+    for module in (shingles, packing):
+        monkeypatch.setattr(module, "pieces", lambda d: pieces(d, 64))
+    assert b"".join(p.tobytes() for p in pieces(data, 64)) == data.tobytes() and sum(1 for _ in pieces(data, 64)) > 50
+    assert np.array_equal(shingles.one_set(text, 5), whole[0]) and np.array_equal(next(whole[1].encode(data, offsets)), ids)
+
+
 def test_edited_prints(spark, edge, none):
     texts = {9: "abcdefghi", 7: "XY", 4: "", 2: "long text of many words here", 1: None}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
