@@ -62,15 +62,35 @@ def rank_within(df: DataFrame, group: list[str], key: str, ties: list[str], out:
     and what precedes a slice from a running sum over slice counts, so that a group of any size is spread
     over many tasks and no row passes through one place.
     """
-    df = df.withColumn("_slice", F.shiftright(F.col(key), HASH_BITS - bits))
+    return rank_sliced(df.withColumn("_slice", F.shiftright(F.col(key), HASH_BITS - bits)), group, [key, *ties], out)
+
+
+def rank_sliced(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``: the 0-based rank of each row in its group by ``_slice``, which is dropped, then ``order``."""
     by = [*group, "_slice"]
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*by).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    ranked = df.withColumn("_in", F.row_number().over(Window.partitionBy(*by).orderBy(key, *ties)))
+    ranked = df.withColumn("_in", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     joined = ranked.join(counts, by, "left")
     return joined.withColumn(out, (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_slice", "_before", "_in")
 
 
+def with_order(df: DataFrame) -> DataFrame:
+    """Add ``_part`` and ``_row``, by which the rows of ``df`` are in the order in which they come.
+
+    Of a table that Spark wrote and that is just read they are the number of the file and the row in it, as reading
+    deals files to partitions by size; of any other frame the partition and the row in it.
+    """
+    # A relation itself, and not what is made of one: that may have another order, but shows the same metadata.
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and df.inputFiles():
+        number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("long")
+        nth = F.regexp_extract(F.col("_metadata.file_name"), r"-c(\d+)\.", 1).try_cast("long")
+        part = F.shiftleft(F.coalesce(number, F.lit(0)), 24) + F.coalesce(nth, F.lit(0))
+        return df.select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    row = F.monotonically_increasing_id()
+    return df.select("*", row.alias("_row")).withColumn("_part", F.shiftright("_row", 33))
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A batch's texts, null as empty."""
     return ["" if x is None else x for x in batch.column(name).to_pylist()]

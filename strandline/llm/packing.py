@@ -7,6 +7,10 @@ enumerated; non-negative least squares finds how often to use each, the counts a
 histogram allows, and the rest is packed greedily, longest first, still by counts. The plan so says, for each
 length, which ranks of its pieces go into which sequences; ranks are dealt out where the pieces are.
 
+Ranks go by a hash, or (``in_order``) by the order of the documents' rows: then the places of each length are
+dealt out evenly along that order, so that what meets in a sequence comes from about the same part of it, and
+sequences are numbered by the first of their pieces.
+
 Defined cases: a null or empty text is the end token alone; repeated rows are packed each on their own; an
 empty table gives an empty result.
 """
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_chunks, hash63, local_only, materialise, pieces, rank_within
+from .common import CHUNK_BYTES, HASH_BITS, byte_chunks, hash63, local_only, materialise, pieces, rank_sliced, rank_within, with_order
 from .shingles import U, mix, powers
 
 WINDOW = 2048
@@ -31,6 +35,9 @@ END = 1
 THIRDS = 24
 STEPS = 400
 CACHE_WORDS = 2_000_000
+#: Places that one row of a plan is unfolded to at most by a task; a step that spreads any run of numbers evenly.
+PLACES = 65_536
+GOLDEN = 0.6180339887498949
 
 #: What the fast path reads: ASCII and the letters of Latin-1; other texts go through the tokenizer as a whole.
 PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
@@ -137,7 +144,7 @@ class Tokens:
 _tokens: dict[str, Tokens] = {}
 
 
-def cut(path: str, window: int):
+def cut(path: str, window: int, keep: tuple[str, ...] = ("doc_id",)):
     """Pieces of each document: full windows from its start, then the rest, with the check sums of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +161,8 @@ def cut(path: str, window: int):
                         sizes.append(min(window, n - start))
                         sums.append(zlib.crc32(raw[4 * start : 4 * (start + window)]))
                         totals.append(n)
-            ids_ = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_pydict({"doc_id": ids_, "start": pa.array(starts, pa.int64()), "length": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()), "doc_tokens": pa.array(totals, pa.int64())})
+            own = {k: batch.column(k).take(pa.array(rows, pa.int64())) for k in keep}
+            yield pa.RecordBatch.from_pydict(own | {"start": pa.array(starts, pa.int64()), "length": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()), "doc_tokens": pa.array(totals, pa.int64())})
 
     return run
 
@@ -250,16 +257,24 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, in
     return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, in_order: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``in_order``: sequences follow the order of the rows of ``docs``.
+    """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = docs.select("doc_id", "text").mapInArrow(cut(tokenizer, window), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    own = {"doc_id": kind} | ({"_part": "long", "_row": "long"} if in_order else {})
+    rows_of = with_order(docs) if in_order else docs
+    schema = ", ".join(f"{k} {v}" for k, v in own.items())
+    pieces = rows_of.select(*own, "text").mapInArrow(cut(tokenizer, window, tuple(own)), f"{schema}, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = materialise(pieces, "pieces")
     histogram = np.zeros(window + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():
         histogram[r["length"]] = r["count"]
     rows = plan(histogram, window)
+    if in_order:
+        return along(pieces, rows)
     keyed = pieces.withColumn("_key", hash63(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("start").cast("string")))
     ranked = rank_within(keyed, ["length"], "_key", ["doc_id", "ids_crc32"], "_rank", bits=8)
     schema = "length long, _from long, _times long, _sequence long, offset long"
@@ -270,6 +285,27 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_at")["_sequence"] + F.col("_rank") - F.col("_at")["_from"]).alias("sequence_id"), F.col("_at")["offset"].alias("offset"))
 
 
+def along(pieces: DataFrame, rows: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The pieces in the places of a plan, along the order (_part, _row, start) of the pieces.
+
+    The sequences of a combination are spread evenly over 0 to 1. Of the places of each length, in that order, each
+    takes the piece of the same rank; and a sequence's number is its rank by the first of its pieces.
+    """
+    schema = "length long, _from long, _times long, _sequence long, offset long, _of long"
+    cuts = [(size, k, min(PLACES, times - k), sequence, at, times) for size, _, times, sequence, at in rows for k in range(0, times, PLACES)]
+    places = pieces.sparkSession.createDataFrame(cuts, schema).select("*", F.explode(F.sequence(F.lit(0), F.col("_times").cast("int") - 1)).alias("_i"))
+    # Combinations that are used once or a few times begin anywhere, so that they are spread over the order as well.
+    shift = F.col("_sequence") * GOLDEN
+    share = (F.col("_from") + F.col("_i") + shift - F.floor(shift)) / F.col("_of")
+    places = places.select("length", "offset", (F.col("_sequence") + F.col("_from") + F.col("_i")).alias("_sequence"), F.least(share * 2.0**HASH_BITS, F.lit(2.0**HASH_BITS - 2**10)).cast("long").alias("_share"))
+    places = rank_within(places, ["length"], "_share", ["_sequence", "offset"], "_rank", bits=8).drop("_share")
+    ranked = rank_sliced(pieces.withColumn("_slice", F.col("_part")), ["length"], ["_row", "start", "ids_crc32"], "_rank")
+    found = materialise(ranked.join(places, ["length", "_rank"]), "placed")
+    first = found.groupBy("_sequence").agg(F.min(F.struct("_part", "_row", "start")).alias("_first")).select("_sequence", F.lit(0).alias("_all"), "_first", F.col("_first._part").alias("_slice"))
+    numbers = rank_sliced(first, ["_all"], ["_first"], "sequence_id").select("_sequence", "sequence_id")
+    return found.join(numbers, "_sequence").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def find(window: int):
     """The last range that begins at or before ``_rank``, by bisection over the sorted array."""
     steps = F.sequence(F.lit(0), F.lit(20))
