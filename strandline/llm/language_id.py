@@ -30,6 +30,13 @@ RANKS = 400
 LONGEST = 3
 FIT_ROWS = 4_000
 UNDETERMINED = "und"
+#: For the least scores: documents of a language in expectation, quantiles of own scores and of shuffled texts,
+#: characters that are shuffled, and the score that is asked for in any case.
+LEAST_ROWS = 1_000
+LOW = 0.01
+HIGH = 0.95
+JUNK_CHARS = 4_000
+LEAST = 0.02
 #: Stands for what lies between letters; not 0, so that n-grams of different lengths have different codes.
 BOUNDARY = 1
 _BITS = 21  # a code point's bits; three make a code of 63
@@ -91,17 +98,25 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "gram": codes, "n": counts.astype(np.int64)})
 
 
-def learn(docs: DataFrame, rows: int = FIT_ROWS, ranks: int = RANKS) -> dict[str, np.ndarray]:
-    """Profiles (``ranks`` codes each) from documents outside the held-out fold: at most about ``rows`` of a language,
-    those in a slice of the hash of doc_id."""
+def fold(docs: DataFrame, rows: int, last: bool = False) -> DataFrame | None:
+    """Documents outside the held-out fold: at most about ``rows`` of a language, those in a slice, the first or the
+    last, of the hash of doc_id. None without any."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(True)))
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes:
-        return {}
-    limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, rows / n) * 2**60))])
+        return None
+    limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, rows / n) * 2**60))])[F.col("lang")]
     key = hash63(F.lit("language"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return train.where(key >= 2**60 - limit if last else key < limit)
+
+
+def learn(docs: DataFrame, rows: int = FIT_ROWS, ranks: int = RANKS) -> dict[str, np.ndarray]:
+    """Profiles (``ranks`` codes each) from documents outside the held-out fold: at most about ``rows`` of a language."""
+    train = fold(docs, rows)
+    if train is None:
+        return {}
     counted = (
-        train.where(key < limit[F.col("lang")]).select("text", "lang")
+        train.select("text", "lang")
         .mapInArrow(count_grams, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
@@ -159,13 +174,45 @@ def language_id(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     return out.withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)))
 
 
-def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.02) -> DataFrame:
-    """The rows of ``docs`` in a language of the profiles; texts without letters, or as good as unlike any profile, go."""
+def junk_of(text: str) -> str:
+    """The first letters and signs of a text in another order: what has a language's letters, but isn't of it."""
+    points = np.array(list(text[:JUNK_CHARS]))
+    return "".join(np.random.default_rng(len(text)).permutation(points))
+
+
+def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], rows: int = LEAST_ROWS) -> dict[str, float]:
+    """By predicted language, the score that a text of it has to reach: a high quantile of what documents outside the
+    held-out fold score with their letters shuffled, but no more than a low quantile of their own scores.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked = Ranked(profiles)
+        for batch in batches:
+            found = []
+            for text in texts(batch, "text"):
+                lang, score = ranked.predict(text)
+                own = ranking(junk_of(text), ranked.ranks) if lang != UNDETERMINED else None
+                if own is not None:
+                    found.append((lang, score, float(1 - ranked.distances(own)[ranked.langs.index(lang)] / (ranked.ranks * len(own)))))
+            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "score", "junk"), x, strict=True)) for x in found], pa.schema([("lang", pa.string()), ("score", pa.float64()), ("junk", pa.float64())]))
+
+    some = fold(docs, rows, last=True) if profiles else None
+    if some is None:
+        return {}
+    scores = some.select("text").mapInArrow(run, "lang string, score double, junk double")
+    rows_ = scores.groupBy("lang").agg(F.percentile("score", F.lit(LOW)).alias("low"), F.percentile("junk", F.lit(HIGH)).alias("junk")).collect()
+    return {r["lang"]: max(LEAST, min(r["low"], r["junk"])) for r in rows_}
+
+
+def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], least: dict[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs`` in a language of the profiles; texts without letters, and those that score below what
+    texts of the language predicted for them reach (``least_scores``), go."""
+    bounds = least_scores(docs, profiles) if least is None else least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = Ranked(profiles)
         for batch in batches:
             found = [ranked.predict(t) for t in texts(batch, "text")]
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= bounds.get(lang, LEAST) for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

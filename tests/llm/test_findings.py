@@ -48,3 +48,21 @@ def test_rows_have_their_order(spark, written):
     docs = materialise(docs.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id"), "ordered") if written else docs
     rows = with_order(docs).collect()
     assert [r.doc_id for r in sorted(rows, key=lambda r: (r._part, r._row))] == sorted(r.doc_id for r in rows)
+
+
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+]
+
+
+def test_other_languages_and_junk_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(4)
+    english = [x.text for x in docs.where("lang = 'en' and length(text) > 1000").orderBy("doc_id").limit(3).collect()]
+    junk = ["".join(r.sample(t[:3000], len(t[:3000]))) for t in english]
+    junk += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(2000)), f"{r.getrandbits(4000):x}"]
+    planted = [(-1 - k, t, "en", "planted", len(t)) for k, t in enumerate([*FOREIGN, *junk])]
+    kept = corpus_pipeline.language_stage(spark, docs.union(spark.createDataFrame(planted, docs.schema)), "")
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(x.doc_id for x in docs.collect())
