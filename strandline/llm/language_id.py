@@ -174,6 +174,14 @@ def language_id(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     return out.withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of a few rows, so that a worker holds few texts at a time; its free memory goes back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def junk_of(text: str) -> str:
     """The first letters and signs of a text in another order: what has a language's letters, but isn't of it."""
     points = np.array(list(text[:JUNK_CHARS]))
@@ -187,7 +195,7 @@ def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], rows: int = L
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = Ranked(profiles)
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text in texts(batch, "text"):
                 lang, score = ranked.predict(text)
@@ -211,7 +219,7 @@ def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], least: dict[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = Ranked(profiles)
-        for batch in batches:
+        for batch in slices(batches):
             found = [ranked.predict(t) for t in texts(batch, "text")]
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= bounds.get(lang, LEAST) for lang, score in found], pa.bool_()))
 
