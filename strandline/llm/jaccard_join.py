@@ -42,7 +42,7 @@ from .shingles import U, batch_sets, one_set, set_id
 #: Sets in a list that is merged; bits of the bitmap of long lists (4 MB); sets in a block of a long list.
 SHORT = 64
 BITMAP_BITS = 25
-BLOCK = 2048
+BLOCK = 1024
 SALTS = 64
 #: One more shingle is posted for so many of a set.
 EXTRA = 50
