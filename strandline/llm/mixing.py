@@ -6,8 +6,9 @@ with the earliest deadline is taken (ties: the source that sorts first). As the
 block meets its deadline, so that at any time each source is less than one block away from its share.
 
 Weights are whole parts of a period, and the schedule repeats with it: one period, a table of ``period`` rows
-that depends on the weights alone, is computed once, and block i of a source is put into repetition i div parts
-at the slot of block i mod parts. A source that has run out leaves its slots empty, and the others keep the
+(a thousand, or four for each source) that depends on the weights alone, is computed once, and block i of a source
+is put into repetition i div parts at the slot of block i mod parts. Tables of sources, not rows of documents, are
+what a single task handles there: 10,000 sources take seconds. A source that has run out leaves its slots empty, and the others keep the
 order in which they would come; no row is dropped or repeated.
 
 Defined cases: null sources are a source of their own; a null or empty text is a row like others; rows that are
@@ -28,6 +29,8 @@ SEED = "mix-1"
 BLOCK_ROWS = 8
 PERIOD = 1000
 POWER = 0.5
+#: Slots that are placed before they are put aside.
+SPAN = 256
 
 
 def source_key() -> Column:
@@ -58,30 +61,44 @@ def parts(docs: DataFrame, weights: dict[str, float] | None = None, period: int
 
 
 def schedule(shares: DataFrame) -> DataFrame:
-    """(_source, parts, period, turn, slot): the slot in a period of each of a source's blocks; one row per slot."""
-    one = shares.groupBy("period").agg(F.array_sort(F.collect_list(F.struct("place", "_source", "parts"))).alias("s"))
+    """(_source, parts, period, turn, slot): the slot in a period of each of a source's blocks; one row per slot.
+
+    Sources with as many parts have the same releases and deadlines, so they are one class that takes its blocks
+    turn by turn and, in a turn, by place: what is due first among sources is due first among the heads of the
+    classes. As classes differ in parts and all parts add up to the period, there are fewer than
+    sqrt(2 * period) of them, and a slot is decided among so many heads, whatever the number of sources.
+    """
+    classes = shares.groupBy("period", "parts").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    one = classes.groupBy("period").agg(F.array_sort(F.collect_list(F.struct("parts", "places"))).alias("s"))
+
+    def head(done: Column, slot: Column, x: Column, k: Column) -> Column:
+        """Of a class of whose blocks ``done`` are placed, the next one, if it is released."""
+        turn, member = F.floor(done / F.size(x["places"])), (done % F.size(x["places"])).cast("int")
+        due = F.ceil((turn + 1) * F.col("period") / x["parts"])
+        return F.when(F.floor(turn * F.col("period") / x["parts"]) <= slot, F.struct(due.alias("due"), F.get(x["places"], member).alias("place"), k.alias("k"), turn.cast("int").alias("turn")))
 
     def take(state: Column, slot: Column) -> Column:
-        """Earliest deadline first among the released: floor(i * period / parts) <= slot."""
-        done = state["done"]
-        choice = F.array_min(
-            F.transform(
-                F.col("s"),
-                lambda x, k: F.when(
-                    F.floor(F.get(done, k) * F.col("period") / x["parts"]) <= slot,
-                    F.struct(F.ceil((F.get(done, k) + 1) * F.col("period") / x["parts"]).alias("due"), k.alias("k")),
-                ),
-            )
-        )["k"]
-        return F.struct(
-            F.transform(done, lambda d, k: d + (k == choice).cast("int")).alias("done"),
-            F.concat(state["out"], F.array(F.struct(choice.alias("k"), F.get(done, choice).alias("turn"), slot.alias("slot")))).alias("out"),
+        """Earliest deadline first among the released. The choice is bound by an array of one, so that it is made once."""
+        choice = F.array_min(F.transform("s", lambda x, k: head(F.get(state["done"], k), slot, x, k)))
+        step = lambda c: F.struct(
+            F.transform(state["done"], lambda d, k: d + (k == c["k"]).cast("int")).alias("done"),
+            F.array_append(state["out"], F.struct(c["place"].alias("place"), c["turn"].alias("turn"), slot.alias("slot"))).alias("out"),
         )
+        return F.get(F.transform(F.array(choice), step), F.lit(0))
+
+    nothing = F.expr("cast(array() as array<struct<place:int,turn:int,slot:int>>)")
+
+    def run(state: Column, first: Column) -> Column:
+        """SPAN slots; what they place is kept as one array, so that long periods don't copy long arrays."""
+        begin = F.struct(state["done"].alias("done"), nothing.alias("out"))
+        slots = F.sequence(first, F.least(first + SPAN, F.col("period")) - 1)
+        step = lambda r: F.struct(r["done"].alias("done"), F.array_append(state["all"], r["out"]).alias("all"))
+        return F.get(F.transform(F.array(F.aggregate(slots, begin, take)), step), F.lit(0))
 
-    start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.expr("cast(array() as array<struct<k:int,turn:int,slot:int>>)").alias("out"))
-    run = F.aggregate(F.sequence(F.lit(0), F.col("period") - 1), start, take)["out"]
-    rows = one.select("s", "period", F.explode(run).alias("x")).withColumn("own", F.get("s", F.col("x.k")))
-    return rows.select("own._source", "own.parts", "period", "x.turn", "x.slot")
+    start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.expr("cast(array() as array<array<struct<place:int,turn:int,slot:int>>>)").alias("all"))
+    spans = F.aggregate(F.sequence(F.lit(0), F.col("period") - 1, F.lit(SPAN)), start, run)["all"]
+    slots = one.select(F.explode(spans).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return slots.join(shares, "place").select("_source", "parts", "period", "turn", "slot")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, power: float = POWER, seed: str = SEED) -> DataFrame:

@@ -1,6 +1,7 @@
 """What a review found missing: each test fails on the code before."""
 
 import random
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -50,6 +51,22 @@ def test_rows_have_their_order(spark, written):
     assert [r.doc_id for r in sorted(rows, key=lambda r: (r._part, r._row))] == sorted(r.doc_id for r in rows)
 
 
+def test_schedule_of_many_sources(spark):
+    """Each block in its window, so that no source is ever a whole block away from its share; and in seconds."""
+    docs = spark.range(3000).select(mixing.F.explode(mixing.F.sequence(mixing.F.lit(0), (mixing.F.col("id") % 7 * mixing.F.col("id") / 20).cast("int"))).alias("doc_id"), mixing.F.concat(mixing.F.lit("s"), mixing.F.col("id")).alias("source"))
+    shares = materialise(mixing.parts(docs, power=1.0), "shares")
+    parts = {r._source: r.parts for r in shares.collect()}
+    begun = time.time()
+    rows = mixing.schedule(shares).orderBy("slot").collect()
+    assert time.time() - begun < 60 and len(parts) == 3000 and len(rows) == sum(parts.values()) == rows[0].period
+    done = dict.fromkeys(parts, 0)
+    for t, r in enumerate(rows):
+        assert r.slot == t and r.turn == done[r._source]
+        done[r._source] += 1
+        assert r.turn * r.period // r.parts <= t < -(-(r.turn + 1) * r.period // r.parts)
+    assert done == parts and len(set(parts.values())) > 3
+
+
 FOREIGN = [
     "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
     "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
