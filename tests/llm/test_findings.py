@@ -1,7 +1,9 @@
 """What a review found missing: each test fails on the code before."""
 
+import hashlib
 import random
 import time
+import zlib
 
 import corpus_pipeline
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from test_operators import check_packing
 from tokenizers import Tokenizer
 
-from strandline.llm import mixing
+from strandline.llm import entries, mixing, sharding, toxicity
 from strandline.llm.common import materialise, with_order
 
 
@@ -83,3 +85,74 @@ def test_other_languages_and_junk_go(spark):
     planted = [(-1 - k, t, "en", "planted", len(t)) for k, t in enumerate([*FOREIGN, *junk])]
     kept = corpus_pipeline.language_stage(spark, docs.union(spark.createDataFrame(planted, docs.schema)), "")
     assert sorted(x.doc_id for x in kept.collect()) == sorted(x.doc_id for x in docs.collect())
+
+
+def plain_density(text, lexicon):
+    """Every entry at every place, by hand."""
+    text = toxicity.base(text)
+    low, hits = toxicity.fold(text), []
+    spared = [(a, a + len(p)) for p in {toxicity.fold(toxicity.base(x)) for x in lexicon.exceptions} for a in range(len(low)) if low.startswith(p, a)]
+    spared = [(a, b) for a, b in spared if not (a and text[a - 1].isalpha()) and not (b < len(text) and text[b].isalpha())]
+    for entry, (weight, stem) in lexicon.entries.items():
+        at = low.find(entry)
+        while at >= 0:
+            end = at + len(entry)
+            if not (at and text[at - 1].isalpha()) and (stem or not (end < len(text) and text[end].isalpha())) and not any(a <= at and end <= b for a, b in spared):
+                hits.append(weight)
+            at = low.find(entry, at + 1)
+    return sum(hits) / max(len(text.split()), 20), len(hits)
+
+
+def test_toxicity_query_by_hand(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.learn(docs, labels)
+    assert len(lexicon.entries) > 5
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = entries.op1_toxicity(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    for r in got:
+        d, n = plain_density(text[r.doc_id], lexicon)
+        p = 1 / (1 + np.exp(-np.clip(lexicon.slope * d + lexicon.offset, -30, 30)))
+        assert r.hits == n and abs(r.score - p) < 1e-9 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_toxicity_long_texts_and_learnt_phrases(spark):
+    lexicon = toxicity.Lexicon({toxicity.fold("stupid"): (3.0, False), toxicity.fold("idiot"): (3.0, False)}, slope=1.0)
+    begun = time.time()
+    assert toxicity.density("stupid mistake idiot " * 40_000, lexicon.automaton())[1] == 40_000
+    assert time.time() - begun < 5
+    r = random.Random(2)
+    words = lambda: " ".join(r.choice("abcdefgh") + str(r.randrange(900)) for _ in range(30))
+    # A word of abuse in toxic documents, and the same word beside a harmless one in clean ones.
+    texts = [(k, f"{words()} foulword {words()}", 1) for k in range(60)] + [(100 + k, f"{words()} foulword garden {words()}", 0) for k in range(6)] + [(200 + k, words(), 0) for k in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in texts], "doc_id long, text string")
+    lexicon = toxicity.learn(docs, spark.createDataFrame([(k, x) for k, _, x in texts], "doc_id long, toxic int"))
+    found = lexicon.automaton()
+    assert toxicity.density("a foulword here", found)[1] == 1 and toxicity.density("a foulword garden here", found)[1] == 0
+
+
+def test_copies_teach_once(spark):
+    r = random.Random(2)
+    words = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(900)) for _ in range(n))
+    copied = words(40) + " harmlessword"
+    rows = [(k, f"{words(30)} foulword", 1) for k in range(60)] + [(100 + k, copied, 1) for k in range(300)] + [(500 + k, words(30), 0) for k in range(400)]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([x[::2] for x in rows], "doc_id long, toxic int")
+    assert all(toxicity.fold("harmlessword")[: len(e)] != e for e in toxicity.learn(docs, labels).entries)
+
+
+def test_sharding_by_hand(spark, sf):
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    key = lambda r: (int(hashlib.md5(f"{sharding.SEED}:{r.doc_id}".encode()).hexdigest()[:15], 16), r.doc_id)
+    order = []
+    for s in {r.source for r in rows}:
+        own = sorted((r for r in rows if r.source == s), key=key)
+        order += [(int((2 * k + 1) / (2 * len(own)) * 2.0**60), "=" + s, k, r) for k, r in enumerate(own)]
+    order.sort(key=lambda x: x[:3])
+    want = {}
+    for place, (*_, r) in enumerate(order):
+        number = place * 24 // len(order)
+        raw = r.text.encode()
+        want[r.doc_id] = (len(raw) + 8, zlib.crc32(raw), "rows", number, place - -(-number * len(order) // 24), None)
+    got = {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in entries.op7_sharding(spark, sf).collect()}
+    assert got == want
