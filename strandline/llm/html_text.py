@@ -2,7 +2,7 @@
 
 A page is read as a flat run of text blocks. A block is described by its words and link density, those of its
 neighbours, and by what encloses it (an article; navigation, notices and the like, told by element or by the
-words of class, id and role). A decision tree, trained on the small labelled table below, says which blocks
+words of class, id and role; a name or a form around an article doesn't make it none). A decision tree, trained on the small labelled table below, says which blocks
 are the main text.
 
 Defined cases: a null or empty html, and a page without main text, give the empty text; markup that is left
@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -31,60 +33,83 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math select button canvas audio video noembed noframes xmp head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BOILER = frozenset("nav footer aside form menu dialog search fieldset".split())
+#: What encloses a block: nothing of note, a form, something that only names itself boilerplate, or something that is.
+CLEAR, FORM, WEAK, STRONG = 0, 1, 2, 3
+#: A form that holds so many times the words that are outside of it and of boilerplate is the page itself.
+WHOLE_PAGE = 10
+BOILER = {"nav": STRONG, "footer": STRONG, "aside": STRONG, "menu": STRONG, "dialog": STRONG, "search": STRONG, "form": FORM, "fieldset": FORM}
 GOOD = frozenset(("article", "main"))
-# Words in class, id or role that name what encloses a block.
-BOILER_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar "
-    "navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside widget widgets related recommended share sharing social comment comments commentlist respond reply replies "
-    "disqus newsletter subscribe subscription signup login search pagination pager toc copyright legal disclaimer toolbar contentinfo complementary skip hidden".split()
+# Words of class, id or role that name what encloses a block: beside the text without doubt, or likely so.
+STRONG_WORDS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay nav navbar navigation menu breadcrumb "
+    "breadcrumbs comment comments commentlist commentform respond reply replies disqus newsletter subscribe subscription signup login search pagination pager contentinfo complementary".split()
 )
+WEAK_WORDS = frozenset(
+    "banner notice notices alert footer header masthead sidebar aside widget widgets related recommended share sharing social toc copyright legal disclaimer toolbar skip hidden".split()
+)
+#: Words that say what shape something has, not what it is: a comment-list is comments, a legal-basis isn't legal matter.
+SHAPES = frozenset(
+    "area bar block body bottom box boxes bottomline button buttons card cards center col column container content contents div element first form group holder icon icons id inner item items last "
+    "left link links list main middle module news outer page panel placement post posts region right row section side sidebar slot small stories story tags text title top unit wrap wrapper zone articles".split()
+)
+#: Words before another that turn it into a property of what encloses the text: has-sidebar, no-header.
+PROPERTIES = frozenset("has have no not non with without is hide show after before".split())
 GOOD_WORDS = frozenset("article articlebody content post entry story main maincontent body text prose".split())
-# A block's own words that make it good only where nothing bad encloses it; elements that p may not hold.
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+# Elements that p may not hold.
 SCOPE = frozenset("div section article main aside nav header footer form table td th li ul ol body html blockquote details dialog figure fieldset".split())
+LISTS = frozenset(("ul", "ol", "menu"))
 
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z][^>]*\Z", re.S)
 NAMED = re.compile(r"(?:\s|^|[\"'])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 SPACE = re.compile(r"\s+")
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
+HEAD_ENDS = re.compile(r"<body(?=[\s/>])|</head", re.I)
+TO_THE_END = frozenset("script style textarea title xmp".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "article", "page_article", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "heading")
+#: A block's place: outside of the text by what encloses it or beside an article; on a page without article; in one.
+OUTSIDE, UNMARKED, INSIDE = 0.0, 1.0, 2.0
 # Fixed values, in the order of FEATURES, then 1 for main text: the labelled table that the tree is trained on.
 LABELLED = (
     # Inside an article: text of any length, headings, lists of links that belong to the text.
-    (60, 0.00, 45, 0.0, 80, 0.0, 0, 1, 1, 0, 1), (120, 0.02, 60, 0.0, 90, 0.0, 0, 1, 1, 0, 1), (5, 0.00, 60, 0.0, 90, 0.0, 0, 1, 1, 0, 1), (1, 0.00, 30, 0.0, 2, 0.0, 0, 1, 1, 0, 1),
-    (7, 0.00, 9, 0.0, 70, 0.0, 0, 1, 1, 1, 1), (3, 0.00, 2, 1.0, 40, 0.1, 0, 1, 1, 1, 1), (14, 1.00, 40, 0.0, 33, 0.0, 0, 1, 1, 0, 1), (2, 1.00, 22, 0.0, 3, 1.0, 0, 1, 1, 0, 1),
-    (35, 0.30, 50, 0.1, 4, 0.0, 0, 1, 1, 0, 1), (900, 0.00, 3, 0.0, 6, 0.3, 0, 1, 1, 0, 1), (12, 0.00, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (8, 0.10, 4, 1.0, 6, 0.5, 0, 1, 1, 0, 1),
+    (60, 0.00, 45, 0.0, 80, 0.0, 2, 0, 1), (120, 0.02, 60, 0.0, 90, 0.0, 2, 0, 1), (5, 0.00, 60, 0.0, 90, 0.0, 2, 0, 1), (1, 0.00, 30, 0.0, 2, 0.0, 2, 0, 1),
+    (7, 0.00, 9, 0.0, 70, 0.0, 2, 1, 1), (3, 0.00, 2, 1.0, 40, 0.1, 2, 1, 1), (14, 1.00, 40, 0.0, 33, 0.0, 2, 0, 1), (2, 1.00, 22, 0.0, 3, 1.0, 2, 0, 1),
+    (35, 0.30, 50, 0.1, 4, 0.0, 2, 0, 1), (900, 0.00, 3, 0.0, 6, 0.3, 2, 0, 1), (12, 0.00, 0, 0.0, 0, 0.0, 2, 0, 1), (8, 0.10, 4, 1.0, 6, 0.5, 2, 0, 1),
+    # The page's first or last block, in an article.
+    (4, 0.00, 0, 0.0, 83, 0.0, 2, 1, 1), (7, 0.00, 0, 0.0, 35, 0.1, 2, 1, 1), (2, 0.00, 0, 0.0, 5, 0.0, 2, 1, 1), (9, 0.00, 0, 0.0, 3, 0.0, 2, 0, 1),
+    (2, 0.00, 40, 0.0, 0, 0.0, 2, 0, 1), (5, 0.00, 60, 0.0, 0, 0.0, 2, 1, 1), (3, 1.00, 0, 0.0, 70, 0.0, 2, 0, 1), (3, 1.00, 20, 0.0, 0, 0.0, 2, 0, 1),
+    (4, 0.00, 0, 0.0, 30, 0.0, 2, 1, 1), (3, 0.00, 0, 0.0, 50, 0.0, 2, 1, 1), (1, 0.00, 0, 0.0, 66, 0.0, 2, 0, 1), (4, 0.00, 0, 0.0, 21, 0.0, 2, 1, 1),
     # Enclosed by something that names itself no part of the text, in an article or out of it.
-    (9, 0.00, 60, 0.0, 90, 0.0, 1, 1, 1, 0, 0), (70, 0.00, 45, 0.0, 50, 0.0, 1, 1, 1, 0, 0), (2, 1.00, 2, 1.0, 2, 1.0, 1, 0, 1, 0, 0), (8, 0.00, 1, 1.0, 7, 0.0, 1, 0, 1, 0, 0),
-    (11, 0.00, 80, 0.0, 0, 0.0, 1, 0, 1, 0, 0), (45, 0.00, 70, 0.0, 40, 0.0, 1, 0, 1, 0, 0), (160, 0.00, 30, 0.0, 60, 0.0, 1, 0, 0, 0, 0), (4, 0.00, 90, 0.0, 35, 0.0, 1, 1, 1, 1, 0),
-    (1, 1.00, 1, 1.0, 1, 1.0, 1, 0, 0, 0, 0), (20, 0.50, 3, 1.0, 9, 0.2, 1, 0, 0, 0, 0), (3, 0.00, 5, 0.0, 120, 0.0, 1, 0, 0, 1, 0), (25, 0.00, 8, 0.0, 2, 0.0, 1, 1, 1, 0, 0),
-    (2, 1.00, 60, 0.0, 2, 1.0, 1, 1, 1, 0, 0), (3, 1.00, 2, 1.0, 40, 0.0, 1, 1, 1, 0, 0), (6, 0.80, 30, 0.0, 50, 0.1, 1, 1, 1, 0, 0), (40, 0.60, 20, 0.0, 9, 1.0, 1, 1, 1, 0, 0),
-    (12, 0.50, 50, 0.0, 0, 0.0, 1, 1, 1, 0, 0), (5, 1.00, 5, 1.0, 5, 1.0, 1, 1, 1, 0, 0), (1, 1.00, 80, 0.0, 90, 0.0, 1, 1, 1, 0, 0), (9, 1.00, 3, 0.0, 4, 0.0, 1, 1, 1, 1, 0),
+    (9, 0.00, 60, 0.0, 90, 0.0, 0, 0, 0), (70, 0.00, 45, 0.0, 50, 0.0, 0, 0, 0), (2, 1.00, 2, 1.0, 2, 1.0, 0, 0, 0), (8, 0.00, 1, 1.0, 7, 0.0, 0, 0, 0),
+    (11, 0.00, 80, 0.0, 0, 0.0, 0, 0, 0), (45, 0.00, 70, 0.0, 40, 0.0, 0, 0, 0), (160, 0.00, 30, 0.0, 60, 0.0, 0, 0, 0), (4, 0.00, 90, 0.0, 35, 0.0, 0, 1, 0),
+    (1, 1.00, 1, 1.0, 1, 1.0, 0, 0, 0), (20, 0.50, 3, 1.0, 9, 0.2, 0, 0, 0), (3, 0.00, 5, 0.0, 120, 0.0, 0, 1, 0), (25, 0.00, 8, 0.0, 2, 0.0, 0, 0, 0),
+    (2, 1.00, 60, 0.0, 2, 1.0, 0, 0, 0), (3, 1.00, 2, 1.0, 40, 0.0, 0, 0, 0), (6, 0.80, 30, 0.0, 50, 0.1, 0, 0, 0), (40, 0.60, 20, 0.0, 9, 1.0, 0, 0, 0),
+    (12, 0.50, 50, 0.0, 0, 0.0, 0, 0, 0), (5, 1.00, 5, 1.0, 5, 1.0, 0, 0, 0), (1, 1.00, 80, 0.0, 90, 0.0, 0, 0, 0), (9, 1.00, 3, 0.0, 4, 0.0, 0, 1, 0),
     # Beside an article.
-    (6, 0.00, 2, 1.0, 8, 0.0, 0, 0, 1, 0, 0), (30, 0.00, 90, 0.0, 5, 0.0, 0, 0, 1, 0, 0), (2, 1.00, 2, 1.0, 2, 1.0, 0, 0, 1, 0, 0), (4, 0.00, 0, 0.0, 70, 0.0, 0, 0, 1, 1, 0),
-    (75, 0.00, 40, 0.0, 12, 0.0, 0, 0, 1, 0, 0), (10, 0.90, 5, 1.0, 6, 0.8, 0, 0, 1, 0, 0), (140, 0.10, 3, 0.0, 3, 1.0, 0, 0, 1, 0, 0), (1, 0.00, 1, 0.0, 1, 0.0, 0, 0, 1, 0, 0),
+    (6, 0.00, 2, 1.0, 8, 0.0, 0, 0, 0), (30, 0.00, 90, 0.0, 5, 0.0, 0, 0, 0), (2, 1.00, 2, 1.0, 2, 1.0, 0, 0, 0), (4, 0.00, 3, 0.0, 70, 0.0, 0, 1, 0),
+    (75, 0.00, 40, 0.0, 12, 0.0, 0, 0, 0), (10, 0.90, 5, 1.0, 6, 0.8, 0, 0, 0), (140, 0.10, 3, 0.0, 3, 1.0, 0, 0, 0), (1, 0.00, 1, 0.0, 1, 0.0, 0, 0, 0),
     # Pages that mark no article: length and links of the block and of its neighbours tell.
-    (60, 0.00, 45, 0.0, 80, 0.0, 0, 0, 0, 0, 1), (200, 0.05, 3, 0.0, 90, 0.0, 0, 0, 0, 0, 1), (18, 0.00, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (6, 0.00, 45, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (4, 0.00, 2, 1.0, 75, 0.0, 0, 0, 0, 1, 1), (9, 0.00, 0, 0.0, 40, 0.1, 0, 0, 0, 1, 1), (28, 0.20, 4, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (33, 0.00, 6, 0.5, 3, 1.0, 0, 0, 0, 0, 1),
-    (8, 0.00, 30, 0.0, 20, 0.1, 0, 0, 0, 0, 1), (110, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (25, 0.00, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (5, 0.00, 25, 0.0, 33, 0.0, 0, 0, 0, 1, 1),
-    (2, 1.00, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (1, 1.00, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (12, 0.90, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 0), (40, 0.85, 50, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (5, 0.00, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 0), (7, 0.20, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 0.00, 2, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (6, 0.50, 4, 0.0, 5, 0.5, 0, 0, 0, 0, 0),
-    (3, 0.00, 2, 1.0, 1, 1.0, 0, 0, 0, 1, 0), (30, 0.70, 5, 1.0, 6, 1.0, 0, 0, 0, 0, 0), (8, 0.00, 90, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (2, 0.00, 4, 0.3, 3, 0.0, 0, 0, 0, 1, 0),
-    (60, 0.00, 3, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (45, 0.00, 2, 1.0, 1, 0.0, 0, 0, 0, 0, 1), (22, 0.00, 3, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (80, 0.10, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (17, 0.00, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (30, 0.00, 12, 0.0, 9, 0.0, 0, 0, 0, 0, 1), (250, 0.02, 6, 0.0, 3, 0.5, 0, 0, 0, 0, 1), (20, 0.15, 18, 0.0, 25, 0.1, 0, 0, 0, 0, 1),
-    (50, 0.00, 0, 0.0, 3, 0.0, 0, 0, 0, 0, 1), (70, 0.20, 7, 0.0, 5, 0.0, 0, 0, 0, 0, 1), (100, 0.00, 2, 0.5, 1, 1.0, 0, 0, 0, 0, 1), (16, 0.10, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (19, 0.00, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 1), (38, 0.25, 3, 0.0, 90, 0.0, 0, 0, 0, 0, 1), (26, 0.00, 5, 0.0, 4, 0.5, 0, 0, 0, 0, 1), (14, 0.00, 24, 0.0, 3, 0.0, 0, 0, 0, 0, 1),
-    (2, 1.00, 0, 0.0, 4, 0.0, 0, 0, 0, 0, 0), (3, 1.00, 0, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (2, 1.00, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (5, 1.00, 80, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (1, 1.00, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0), (4, 0.80, 3, 0.0, 50, 0.0, 0, 0, 0, 0, 0), (9, 1.00, 0, 0.0, 7, 0.0, 0, 0, 0, 0, 0), (20, 1.00, 3, 0.0, 3, 0.0, 0, 0, 0, 0, 0),
-    (3, 0.00, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (2, 0.00, 1, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (4, 0.00, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 0), (1, 0.00, 0, 0.0, 2, 0.0, 0, 0, 0, 0, 0),
-    (6, 0.00, 5, 0.5, 4, 1.0, 0, 0, 0, 0, 0), (5, 0.00, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 0.30, 2, 0.0, 6, 0.0, 0, 0, 0, 0, 0), (8, 0.00, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (60, 0.90, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (35, 0.75, 4, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (25, 0.80, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0), (90, 0.70, 5, 0.0, 6, 0.0, 0, 0, 0, 0, 0),
-    (16, 0.60, 3, 0.5, 2, 1.0, 0, 0, 0, 0, 0), (50, 0.60, 20, 0.5, 10, 1.0, 0, 0, 0, 0, 0), (18, 1.00, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (30, 0.95, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (5, 0.00, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 1), (4, 0.00, 3, 0.0, 50, 0.0, 0, 0, 0, 1, 1), (2, 0.00, 40, 0.0, 45, 0.0, 0, 0, 0, 1, 1), (8, 0.00, 0, 0.0, 70, 0.0, 0, 0, 0, 1, 1),
-    (3, 0.00, 2, 0.0, 2, 1.0, 0, 0, 0, 1, 0), (2, 0.00, 4, 0.0, 1, 1.0, 0, 0, 0, 1, 0), (6, 0.00, 30, 0.0, 3, 1.0, 0, 0, 0, 1, 0), (4, 0.10, 50, 0.0, 28, 0.0, 0, 0, 0, 1, 1),
-    (2, 0.00, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (4, 0.00, 33, 0.0, 48, 0.0, 0, 0, 0, 0, 1), (7, 0.10, 40, 0.0, 36, 0.0, 0, 0, 0, 0, 1), (3, 0.00, 22, 0.0, 29, 0.0, 0, 0, 0, 0, 1),
-    (9, 0.00, 55, 0.0, 21, 0.0, 0, 0, 0, 0, 1), (1, 0.00, 45, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (10, 0.20, 30, 0.1, 26, 0.0, 0, 0, 0, 0, 1), (6, 0.00, 90, 0.0, 40, 0.1, 0, 0, 0, 0, 1),
+    (60, 0.00, 45, 0.0, 80, 0.0, 1, 0, 1), (200, 0.05, 3, 0.0, 90, 0.0, 1, 0, 1), (18, 0.00, 50, 0.0, 60, 0.0, 1, 0, 1), (6, 0.00, 45, 0.0, 60, 0.0, 1, 0, 1),
+    (4, 0.00, 2, 1.0, 75, 0.0, 1, 1, 1), (9, 0.00, 0, 0.0, 40, 0.1, 1, 1, 1), (28, 0.20, 4, 0.0, 40, 0.0, 1, 0, 1), (33, 0.00, 6, 0.5, 3, 1.0, 1, 0, 1),
+    (8, 0.00, 30, 0.0, 20, 0.1, 1, 0, 1), (110, 0.00, 0, 0.0, 0, 0.0, 1, 0, 1), (25, 0.00, 0, 0.0, 0, 0.0, 1, 0, 1), (5, 0.00, 25, 0.0, 33, 0.0, 1, 1, 1),
+    (2, 1.00, 2, 1.0, 2, 1.0, 1, 0, 0), (1, 1.00, 0, 0.0, 1, 1.0, 1, 0, 0), (12, 0.90, 2, 1.0, 30, 0.0, 1, 0, 0), (40, 0.85, 50, 0.0, 3, 1.0, 1, 0, 0),
+    (5, 0.00, 3, 1.0, 4, 0.0, 1, 0, 0), (7, 0.20, 50, 0.0, 0, 0.0, 1, 0, 0), (3, 0.00, 2, 0.0, 2, 1.0, 1, 0, 0), (6, 0.50, 4, 0.0, 5, 0.5, 1, 0, 0),
+    (3, 0.00, 2, 1.0, 1, 1.0, 1, 1, 0), (30, 0.70, 5, 1.0, 6, 1.0, 1, 0, 0), (8, 0.00, 90, 0.0, 2, 1.0, 1, 0, 0), (2, 0.00, 4, 0.3, 3, 0.0, 1, 1, 0),
+    (60, 0.00, 3, 0.0, 2, 0.0, 1, 0, 1), (45, 0.00, 2, 1.0, 1, 0.0, 1, 0, 1), (22, 0.00, 3, 0.0, 4, 0.0, 1, 0, 1), (80, 0.10, 1, 1.0, 2, 1.0, 1, 0, 1),
+    (17, 0.00, 4, 0.0, 0, 0.0, 1, 0, 1), (30, 0.00, 12, 0.0, 9, 0.0, 1, 0, 1), (250, 0.02, 6, 0.0, 3, 0.5, 1, 0, 1), (20, 0.15, 18, 0.0, 25, 0.1, 1, 0, 1),
+    (50, 0.00, 0, 0.0, 3, 0.0, 1, 0, 1), (70, 0.20, 7, 0.0, 5, 0.0, 1, 0, 1), (100, 0.00, 2, 0.5, 1, 1.0, 1, 0, 1), (16, 0.10, 60, 0.0, 2, 1.0, 1, 0, 1),
+    (19, 0.00, 2, 1.0, 2, 1.0, 1, 0, 1), (38, 0.25, 3, 0.0, 90, 0.0, 1, 0, 1), (26, 0.00, 5, 0.0, 4, 0.5, 1, 0, 1), (14, 0.00, 24, 0.0, 3, 0.0, 1, 0, 1),
+    (2, 1.00, 0, 0.0, 4, 0.0, 1, 0, 0), (3, 1.00, 0, 0.0, 60, 0.0, 1, 0, 0), (2, 1.00, 60, 0.0, 0, 0.0, 1, 0, 0), (5, 1.00, 80, 0.0, 2, 1.0, 1, 0, 0),
+    (1, 1.00, 40, 0.0, 30, 0.0, 1, 0, 0), (4, 0.80, 3, 0.0, 50, 0.0, 1, 0, 0), (9, 1.00, 0, 0.0, 7, 0.0, 1, 0, 0), (20, 1.00, 3, 0.0, 3, 0.0, 1, 0, 0),
+    (3, 0.00, 0, 0.0, 2, 1.0, 1, 0, 0), (2, 0.00, 1, 1.0, 5, 1.0, 1, 0, 0), (4, 0.00, 2, 0.0, 3, 0.0, 1, 0, 0), (1, 0.00, 0, 0.0, 2, 0.0, 1, 0, 0),
+    (6, 0.00, 5, 0.5, 4, 1.0, 1, 0, 0), (5, 0.00, 6, 0.0, 0, 0.0, 1, 0, 0), (3, 0.30, 2, 0.0, 6, 0.0, 1, 0, 0), (8, 0.00, 3, 1.0, 2, 1.0, 1, 0, 0),
+    (60, 0.90, 2, 1.0, 3, 1.0, 1, 0, 0), (35, 0.75, 4, 0.0, 60, 0.0, 1, 0, 0), (25, 0.80, 30, 0.0, 40, 0.0, 1, 0, 0), (90, 0.70, 5, 0.0, 6, 0.0, 1, 0, 0),
+    (16, 0.60, 3, 0.5, 2, 1.0, 1, 0, 0), (50, 0.60, 20, 0.5, 10, 1.0, 1, 0, 0), (18, 1.00, 40, 0.0, 60, 0.0, 1, 0, 0), (30, 0.95, 0, 0.0, 0, 0.0, 1, 0, 0),
+    (5, 0.00, 2, 1.0, 60, 0.0, 1, 1, 1), (4, 0.00, 3, 0.0, 50, 0.0, 1, 1, 1), (2, 0.00, 40, 0.0, 45, 0.0, 1, 1, 1), (8, 0.00, 0, 0.0, 70, 0.0, 1, 1, 1),
+    (3, 0.00, 2, 0.0, 2, 1.0, 1, 1, 0), (2, 0.00, 4, 0.0, 1, 1.0, 1, 1, 0), (6, 0.00, 30, 0.0, 3, 1.0, 1, 1, 0), (4, 0.10, 50, 0.0, 28, 0.0, 1, 1, 1),
+    (2, 0.00, 60, 0.0, 50, 0.0, 1, 0, 1), (4, 0.00, 33, 0.0, 48, 0.0, 1, 0, 1), (7, 0.10, 40, 0.0, 36, 0.0, 1, 0, 1), (3, 0.00, 22, 0.0, 29, 0.0, 1, 0, 1),
+    (9, 0.00, 55, 0.0, 21, 0.0, 1, 0, 1), (1, 0.00, 45, 0.0, 70, 0.0, 1, 0, 1), (10, 0.20, 30, 0.1, 26, 0.0, 1, 0, 1), (6, 0.00, 90, 0.0, 40, 0.1, 1, 0, 1),
 )
 
 
@@ -92,13 +117,18 @@ LABELLED = (
 class Block:
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
-    boiler: bool = False
+    level: int = CLEAR
     article: bool = False
     heading: bool = False
+    rescued: int = 0
     text: str = ""
     words: int = 0
     links: float = 0.0
 
+    @property
+    def boiler(self) -> bool:
+        return self.level > CLEAR
+
     def close(self) -> bool:
         self.text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.words = len(self.text.split())
@@ -106,41 +136,127 @@ class Block:
         return bool(self.text)
 
 
-def names(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role name something beside the text, or the text."""
-    boiler = good = False
+@lru_cache(maxsize=4096)
+def named(token: str) -> tuple[int, bool, bool]:
+    """What one word of a class, id or role says: boilerplate (CLEAR, WEAK or STRONG), text, a header."""
+    words = [w.lower() for w in WORDS.findall(token)]
+    good = bool(set(words) & GOOD_WORDS)
+    if not words or words[0] in PROPERTIES:
+        return CLEAR, False, False
+    while len(words) > 1 and words[-1] in SHAPES:
+        words.pop()
+    head = words[-1]
+    level = STRONG if head in STRONG_WORDS or len(words) > 1 and words[0] in ("ad", "ads", "nav") else WEAK if head in WEAK_WORDS else CLEAR
+    return level, good, head in ("header", "masthead")
+
+
+def names(attributes: str, inside: bool) -> tuple[int, bool]:
+    """How far class, id or role name something beside the text, and whether they name the text. A header inside an
+    article is the article's."""
+    boiler, good = CLEAR, False
     for m in NAMED.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            boiler = True
-        elif value:
-            found = set(re.split(r"[^a-z]+", value))
-            boiler |= bool(found & BOILER_WORDS)
-            good |= bool(found & GOOD_WORDS)
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            boiler = STRONG
+        else:
+            for token in value.split():
+                level, fits, header = named(token)
+                boiler = max(boiler, CLEAR if header and inside else level)
+                good |= fits
     return boiler, good and not boiler
 
 
+class Open:
+    """The open elements of a page, each with what holds from it on: level of boilerplate, article, the place of what
+    the article was rescued from (0: nothing), the place where boilerplate begins.
+
+    Counts by name, and the places of lists and their items, say in one step what a search of the stack would:
+    the work on a page grows with its length, however deep it nests."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.states: list[tuple[int, bool, int, int]] = []
+        self.counts: dict[str, int] = {}
+        self.items: list[int] = []
+        self.lists: list[int] = []
+        self.heads = 0
+
+    def state(self) -> tuple[int, bool, int, int]:
+        return self.states[-1] if self.states else (CLEAR, False, 0, 0)
+
+    def push(self, tag: str, state: tuple[int, bool, int, int]) -> None:
+        if tag == "li":
+            self.items.append(len(self.tags))
+        elif tag in LISTS:
+            self.lists.append(len(self.tags))
+        elif tag in HEADINGS:
+            self.heads += 1
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+        self.tags.append(tag)
+        self.states.append(state)
+
+    def close(self, tag: str) -> bool | None:
+        """Close the last ``tag`` and all inside it: whether text before and after are separate blocks; None without one."""
+        if not self.counts.get(tag):
+            return None
+        before, apart = self.state(), False
+        while True:
+            last = self.tags.pop()
+            self.states.pop()
+            self.counts[last] -= 1
+            apart |= last in BLOCKS
+            self.heads -= last in HEADINGS
+            for places in (self.items, self.lists):
+                if places and places[-1] >= len(self.tags):
+                    places.pop()
+            if last == tag:
+                return apart or before != self.state()
+
+    def forget(self, tag: str) -> None:
+        """The last ``tag`` ends, but not what is inside it."""
+        if self.counts.get(tag):
+            k = len(self.tags) - 1
+            while self.tags[k] != tag:
+                k -= 1
+            self.counts[tag] -= 1
+            self.tags[k] = ""
+            self.counts[""] = self.counts.get("", 0) + 1
+
+
+def within(outer: tuple[int, bool, int, int], bad: int, good: bool, tag: str, place: int) -> tuple[int, bool, int, int]:
+    """What holds inside an element. An article or main that only a form or a name calls boilerplate is text again:
+    rescued, which counts if the page has no other article."""
+    level, article, rescued, begin = outer
+    if tag in GOOD and CLEAR < level < STRONG and bad == CLEAR:
+        return CLEAR, True, begin, 0
+    return max(level, bad), article or good or tag in GOOD, rescued, begin if level else place if bad else 0
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with what encloses them."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether boiler or article from here on
+    stack = Open()
+    endless: set[str] = set()
     now = Block()
 
-    def turn(tag: str = "") -> None:
+    def turn() -> None:
         nonlocal now
-        if now.parts and now.close():
-            out.append(now)
-        boiler, article = stack[-1][1:] if stack else (False, False)
-        now = Block(boiler=boiler, article=article, heading=any(x[0] in HEADINGS for x in stack[-4:]))
+        if now.parts:
+            if now.close():
+                out.append(now)
+            now = Block()
+        now.level, now.article, now.rescued, _ = stack.state()
+        now.heading = stack.heads > 0
 
     at, end = 0, len(page)
     while at < end:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else end]
         if text:
-            text = entities.unescape(text)
+            if "&" in text:
+                text = entities.unescape(text)
             now.parts.append(text)
-            if any(x[0] == "a" for x in stack):
+            if stack.counts.get("a"):
                 now.linked.append(text)
         if not m:
             break
@@ -148,25 +264,26 @@ def blocks(page: str) -> list[Block]:
         closed, opened = m[1], m[2] or m[4]
         if closed:
             tag = closed.lower()
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                shift = any(x[0] in BLOCKS or x[1:] != (stack[depth - 1][1:] if depth else (False, False)) for x in stack[depth:])
-                del stack[depth:]
-                if shift:
-                    turn()
-            elif tag in BLOCKS:
+            apart = stack.close(tag)
+            if apart or apart is None and tag in BLOCKS:
                 turn()
         elif opened:
             tag, attributes = opened.lower(), m[3] or m[5] or ""
             if tag in RAW:
-                # Nothing in them is text of the page. A head that isn't closed ends with the body's begin.
+                # Nothing in them is text of the page. Without an end, scripts and the like last until the page ends;
+                # the other elements aren't waited for, and a head ends with the body's begin.
                 if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                    stop = ENDS[tag].search(page, at)
                     if tag == "head":
-                        body = re.compile(r"<body(?=[\s/>])|</head", re.I).search(page, at)
+                        body = HEAD_ENDS.search(page, at)
                         at = body.start() if body else at
-                    else:
-                        at = page.find(">", stop.start()) + 1 or end if stop else end
+                    elif tag not in endless:
+                        stop = ENDS[tag].search(page, at)
+                        if stop:
+                            at = page.find(">", stop.start()) + 1 or end
+                        else:
+                            endless.add(tag)
+                    if tag in endless and tag in TO_THE_END:
+                        at = end
                 if tag not in ("svg", "math"):
                     now.parts.append(" ")
             elif tag == "br":
@@ -176,35 +293,42 @@ def blocks(page: str) -> list[Block]:
                     turn()
             else:
                 if tag in BLOCKS:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p" or tag == "li" and stack[k][0] == "li":
-                            del stack[k:]
-                            break
-                        if stack[k][0] in SCOPE and not (tag == "li" and stack[k][0] not in ("ul", "ol", "menu")):
-                            break
-                elif tag == "a" and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "a"), None)) is not None:
-                    del stack[k]
-                boiler, article = stack[-1][1:] if stack else (False, False)
-                if attributes:
-                    bad, good = names(attributes) if tag not in ("body", "html") else (False, False)
-                else:
-                    bad = good = False
-                bad |= tag in BOILER or tag == "header" and not article
-                state = (boiler or bad, article or good or tag in GOOD)
-                shift = tag in BLOCKS or state != (boiler, article)
-                stack.append((tag, *state))
-                if shift:
+                    # An open p is never outside an open element of SCOPE, as those end it.
+                    stack.close("p")
+                    if tag == "li" and stack.items and (not stack.lists or stack.items[-1] > stack.lists[-1]):
+                        stack.close("li")
+                elif tag == "a":
+                    stack.forget("a")
+                before = stack.state()
+                article = before[1]
+                bad, good = names(attributes, article) if attributes and tag not in ("body", "html") else (CLEAR, False)
+                bad = max(bad, BOILER.get(tag, CLEAR), WEAK if tag == "header" and not article else CLEAR)
+                state = within(before, bad, good, tag, at)
+                stack.push(tag, state)
+                if tag in BLOCKS or state != before:
                     turn()
     turn()
+    # Articles inside what names itself boilerplate are teasers where the page has an article elsewhere, be it one
+    # that was rescued from something that holds more.
+    sizes = Counter()
+    for b in out:
+        sizes[b.rescued] += b.words if b.article and not b.boiler else 0
+    kept = 0 if sizes[0] else max(sizes, key=lambda k: (sizes[k], -k), default=0)
+    for b in out:
+        b.level = STRONG if b.rescued and b.rescued != kept else b.level
+    if sum(b.words for b in out if b.level == FORM) > WHOLE_PAGE * sum(b.words for b in out if b.level == CLEAR):
+        for b in out:
+            b.level = CLEAR if b.level == FORM else b.level
     return out
 
 
 def describe(found: list[Block]) -> list[tuple[float, ...]]:
-    page = float(any(b.article and not b.boiler for b in found))
+    page = any(b.article and not b.boiler for b in found)
     rows = []
     for k, b in enumerate(found):
         before, after = (found[k - 1] if k else Block()), (found[k + 1] if k + 1 < len(found) else Block())
-        rows.append((b.words, b.links, before.words, before.links, after.words, after.links, float(b.boiler), float(b.article), page, float(b.heading)))
+        place = OUTSIDE if b.boiler or page and not b.article else INSIDE if b.article else UNMARKED
+        rows.append((b.words, b.links, before.words, before.links, after.words, after.links, place, float(b.heading)))
     return rows
 
 

@@ -12,7 +12,7 @@ import pytest
 from test_operators import check_packing
 from tokenizers import Tokenizer
 
-from strandline.llm import entries, mixing, sharding, toxicity
+from strandline.llm import entries, html_text, mixing, sharding, toxicity
 from strandline.llm.common import materialise, with_order
 
 
@@ -156,3 +156,53 @@ def test_sharding_by_hand(spark, sf):
         want[r.doc_id] = (len(raw) + 8, zlib.crc32(raw), "rows", number, place - -(-number * len(order) // 24), None)
     got = {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in entries.op7_sharding(spark, sf).collect()}
     assert got == want
+
+
+def made_page(r):
+    """A page of one of many shapes, and the main text that it was made from."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    main, html = [], []
+    for _ in range(r.randrange(3, 9)):
+        t = text(r.randrange(25, 90))
+        main.append(t)
+        if r.random() < 0.3:
+            head = text(4)
+            main.insert(-1, head)
+            html.append(f"<h2>{head}</h2>")
+        shape = r.choice(["<p>%s</p>", "<p>%s", "<div>%s</div>", "<blockquote><p>%s</p></blockquote>", "<section id='legal-basis'><p>%s</p></section>", "<div class='no-sidebar'>%s</div>", "<ul><li>%s</ul>", "<p><b><i>%s</i></b></p>"])
+        html.append(shape % t.replace(" ", r.choice([" ", "\n ", "\t"])))
+        if r.random() < 0.4:
+            html.append(r.choice(["<aside><p>%s</p></aside>", "<div class='share-buttons'>%s</div>", "<script>'%s'</script>", "<div class=\"ad-slot\">%s</div>", "<form><label>%s</label></form>", "<nav>%s</nav>", "<div class='post-comments'><p>%s</p></div>", "<button>%s</button>"]) % text(12))
+    body = "".join(html)
+    for _ in range(r.randrange(0, 3)):
+        body = r.choice(["<div class='layout has-sidebar'>%s</div>", "<div>%s</div>", "<div id='page-wrapper'>%s</div>", "<div class='sidebar-layout related-column no-header'>%s</div>"]) % f"<article>{body}</article>" if "<article>" not in body else f"<div class='with-toc'>{body}</div>"
+    if "<article>" not in body:
+        body = r.choice(["<article>%s</article>", "<main>%s</main>", "<form action=x><article>%s</article></form>"]) % body
+    before = r.choice(["", "<svg><path></svg>", "<header>%s</header>", "<nav><ul><li><a>%s</a></ul></nav>", "<div class='cookie-banner'>%s</div>"])
+    after = r.choice(["", "<footer>%s</footer>", "<aside>%s</aside>", "<div class='related-posts'><article>%s</article></div>", "<div id=comments><article><p>%s</p></article></div>"])
+    fill = lambda x: x % text(20) if "%s" in x else x
+    return f"<!doctype html><html><head><title>{text(3)}</title></head><body>{fill(before)}{body}{fill(after)}</body></html>", " ".join(main)
+
+
+def test_html_of_many_shapes(spark):
+    r = random.Random(8)
+    made = [made_page(r) for _ in range(400)]
+    pages = spark.createDataFrame([(k, None, h) for k, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    for x in html_text.extract(pages).collect():
+        assert x.text == made[x.page_id][1] and x.n_chars == len(x.text), made[x.page_id][0]
+
+
+def test_html_wrappers_and_loose_ends(spark):
+    tree, long = html_text.train(spark), " ".join(["word"] * 40)
+    for page in (
+        f'<div class="has-sidebar"><article><p>{long}</article></div>', f"<form><article><p>{long}</article></form>", f'<article><section id="legal-basis"><p>{long}</section></article>', f'<div class="sidebar"><main>{long}</main></div>',
+        f"<button>x<article>{long}</article>", f"<svg><article>{long}</article>", f'<form id="aspnetForm"><div class="content"><p>{long}</p><p>{long}</p></div><footer>x</footer></form>',
+    ):
+        assert html_text.main_text(page, tree).replace("x ", "").startswith(long), page
+    teaser = f'<div class="related-posts"><article>{long}</article></div>'
+    assert html_text.main_text(f"{teaser}<article>{long} own</article>", tree) == long + " own"
+    begun = time.time()
+    for page in ("<b>" * 80_000 + "</i>" * 80_000, "<ul>" + "<b>" * 60_000 + "<li></li>" * 40_000, "<a><b>" * 50_000 + "<h1>x</h1>" * 50_000, "<svg>" * 100_000, "<div><b>" * 125_000):
+        html_text.blocks(page)
+    assert time.time() - begun < 30
