@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 
 #: Bytes of text that one vectorised step handles; bounds the memory of a Python worker.
 CHUNK_BYTES = 500_000
+#: Rows that are looked at at a time.
+CHUNK_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,20 +77,25 @@ def rank_sliced(df: DataFrame, group: list[str], order: list[str], out: str) ->
     return joined.withColumn(out, (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_slice", "_before", "_in")
 
 
-def with_order(df: DataFrame) -> DataFrame:
-    """Add ``_part`` and ``_row``, by which the rows of ``df`` are in the order in which they come.
+def is_table(df: DataFrame) -> bool:
+    """Whether rows come straight from files, so that their places in these are theirs whenever they are read."""
+    # A relation itself, and not what is made of one: that may have another order, but shows the same metadata.
+    return df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and bool(df.inputFiles())
+
+
+def with_order(df: DataFrame, part_name: str = "_part", row_name: str = "_row") -> DataFrame:
+    """Add ``_part`` and ``_row`` (or other names), by which the rows of ``df`` are in the order in which they come.
 
     Of a table that Spark wrote and that is just read they are the number of the file and the row in it, as reading
     deals files to partitions by size; of any other frame the partition and the row in it.
     """
-    # A relation itself, and not what is made of one: that may have another order, but shows the same metadata.
-    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and df.inputFiles():
+    if is_table(df):
         number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("long")
         nth = F.regexp_extract(F.col("_metadata.file_name"), r"-c(\d+)\.", 1).try_cast("long")
         part = F.shiftleft(F.coalesce(number, F.lit(0)), 24) + F.coalesce(nth, F.lit(0))
-        return df.select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_row"))
+        return df.select("*", part.alias(part_name), F.col("_metadata.row_index").alias(row_name))
     row = F.monotonically_increasing_id()
-    return df.select("*", row.alias("_row")).withColumn("_part", F.shiftright("_row", 33))
+    return df.select("*", row.alias(row_name)).withColumn(part_name, F.shiftright(row_name, 33))
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -98,17 +105,16 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
 
 def byte_chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows (from, to, their UTF-8 bytes, offsets of the texts) of about ``limit`` bytes; null is empty."""
-    col = pc.fill_null(batch.column(name), "").cast(pa.large_string())
-    n = len(col)
-    if not n:
-        return
-    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + n + 1]
-    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
+    for first in range(0, batch.num_rows, CHUNK_ROWS):
+        col = pc.fill_null(batch.column(name).slice(first, CHUNK_ROWS), "").cast(pa.large_string())
+        n = len(col)
+        offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + n + 1]
+        data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            yield first + at, first + to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            at = to
 
 
 def pieces(data: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[np.ndarray]:

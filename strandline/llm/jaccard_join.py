@@ -1,24 +1,27 @@
 """N-gram Jaccard self-join by T-occurrence search over inverted lists, in the manner of DivideSkip.
 
-Two sets whose Jaccard similarity reaches t share at least T = t * max(size) shingles, so of each set all but
-T - 1 shingles can be left unread as long as both sides leave out the last ones of one common order. Shingles
-whose inverted lists are long come last in it: short lists are merged, long ones are skipped and only probed,
-by binary search, when a pair that the short lists brought up is verified. What remains:
+Two sets whose Jaccard similarity reaches t share at least T = t * max(size) shingles. So of a set's lists the
+L = T - 1 last ones of one common order (and, as pairs shall meet several times, a few less) can be left out of
+the merge: what is linked to it occurs T - L times in the others. Long lists come last in that order. What remains:
 
 1. One pass hashes every text to its shingle set, and gives sets that are equal one id (classes of equal sets
    are linked as such and go on as one).
 2. Counts of the shingles that come first in plain hash order tell long lists from short ones. They go into
    a bitmap of fixed size; where two shingles share a bit, the order is another but still one common order.
-3. A second pass posts the T-occurrence part of every set. Lists of up to ``SHORT`` sets are merged to pairs,
-   and pairs that met in fewer lists than two linked sets must are dropped.
-4. A list that is long all the same (a large family of near copies) isn't expanded: each of its sets is
-   verified against one leader only. Those linked to it are in one component. Sets that aren't are compared
+3. A second pass posts the T-occurrence part of every set. Each set gets its short lists (up to ``SHORT`` sets),
+   sorted, and merges them with a heap; sets that occur in fewer of them than a linked set must are dropped.
+4. What is left is probed in the long lists by binary search, with the exact overlap as result. That b is in the
+   list of shingle g says that g is in the set of b, so the lists, which no task could hold, are probed from that
+   side: the shingles of the smaller set are looked up in the larger one's sorted array.
+5. A list that is long all the same (a large family of near copies) isn't merged: each of its sets is probed
+   against one leader only. Those linked to it are in one component. Sets that aren't are compared
    with each other, and with those linked sets that the triangle inequality for the Jaccard distance leaves
-   possible, in blocks, of which only spanning links come back.
-5. Verified links go to connected components.
+   possible, in blocks, of which only spanning links come back. Lists of the same sets are taken once.
+6. Verified links go to connected components.
 
 No pair is lost at any step, nothing is sampled or capped. Texts are read again rather than moved: only texts
-of sets that some list brought up are shuffled.
+of sets that some list brought up are shuffled. What belongs to one shingle or to one leader is dealt out over
+``SPREAD`` keys, so that no family is a task of its own.
 
 Defined cases: null or empty texts and texts without words have an empty set, are linked with nothing, and are
 their own component; rows that repeat a doc_id are joined as separate rows; an empty table gives an empty one;
@@ -27,7 +30,10 @@ a null doc_id takes part, and is no component's name if the component has anothe
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import is_table, materialise, with_order
 from .components import components
 from .shingles import U, batch_sets, one_set, set_id
 
@@ -44,6 +50,10 @@ SHORT = 64
 BITMAP_BITS = 25
 BLOCK = 1024
 SALTS = 64
+#: Keys that the rows of one long list, and the pairs of one leader, are dealt out over.
+SPREAD = 16
+#: Elements of one set's lists that are merged at once.
+MERGED = 200_000
 #: One more shingle is posted for so many of a set.
 EXTRA = 50
 
@@ -111,20 +121,21 @@ def post(k: int, percent: int, long_lists: np.ndarray):
     return run
 
 
-def merge_lists(percent: int, short: int):
-    """From postings sorted by (gram, salt, sid): pairs of short lists, and the rows of long ones (b null).
+def lists(percent: int, short: int):
+    """From postings sorted by (gram, salt, sid): for each set (a) of a short list those after it whose sizes fit
+    (others, sizes); and the rows of long lists, with their gram.
 
     Holds one list of up to ``short`` rows beside the batch; of a longer one its rows leave as they come.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32)]
-        open_key, last = None, None  # the list whose rows already left as long ones; the last row seen
+        open_key = None  # the list whose rows already left as long ones
         for batch in batches:
             rows = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("gram", "salt", "sid", "n"), strict=True)]
-            yield from _lists(rows, False, percent, short, state := {"open": open_key, "last": last})
-            held, open_key, last = state["held"], state["open"], state["last"]
-        yield from _lists(held, True, percent, short, {"open": open_key, "last": last})
+            yield from _lists(rows, False, percent, short, state := {"open": open_key})
+            held, open_key = state["held"], state["open"]
+        yield from _lists(held, True, percent, short, {"open": open_key})
 
     return run
 
@@ -148,23 +159,59 @@ def _lists(rows: list[np.ndarray], ended: bool, percent: int, short: int, state:
     state["held"] = [x[begins[whole] :] for x in (gram, salt, sid, n)] if whole < len(begins) else [x[:0] for x in (gram, salt, sid, n)]
     state["open"] = key if whole == len(begins) and is_long[-1] else None
     is_long, begins, sizes = is_long[:whole], begins[:whole], sizes[:whole]
-    out = []
-    for size in np.unique(sizes[~is_long]):
-        if size < 2:
-            continue
-        at = begins[~is_long & (sizes == size)][:, None]
-        i, j = np.triu_indices(int(size), 1)
-        i, j = (at + i).ravel(), (at + j).ravel()
-        fits = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]).astype(np.int64)
-        i, j = i[fits], j[fits]
-        # Rows are sorted by set id, so a < b.
-        out.append((sid[i], sid[j], n[i], n[j]))
-    if out:
-        a, b, na, nb = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_pydict({"gram": pa.nulls(len(a), pa.int64()), "a": a, "b": b, "na": na, "nb": nb})
+    # Rows are sorted by set id, so of two sets the first has the smaller id.
+    ends = np.repeat(begins + sizes, sizes)
+    first = np.flatnonzero(np.repeat(~is_long, sizes) & (np.arange(len(ends)) + 1 < ends))
+    after = ends[first] - first - 1
+    i = np.repeat(np.arange(len(first)), after)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after) + first[i] + 1
+    own, other = n[first[i]].astype(np.int64), n[j].astype(np.int64)
+    fits = 100 * np.minimum(own, other) >= percent * np.maximum(own, other)
+    i, j = i[fits], j[fits]
+    left = np.bincount(i, minlength=len(first))
+    first, left = first[left > 0], left[left > 0]
+    tops = np.concatenate(([0], np.cumsum(left))).astype(np.int32)
+    if len(first):
+        yield pa.RecordBatch.from_pydict({"gram": pa.nulls(len(first), pa.int64()), "a": sid[first], "na": n[first], "others": pa.ListArray.from_arrays(tops, pa.array(sid[j])), "sizes": pa.ListArray.from_arrays(tops, pa.array(n[j]))})
     if is_long.any():
-        rows_ = np.repeat(is_long, sizes)
-        yield pa.RecordBatch.from_pydict({"gram": gram[: len(rows_)][rows_], "a": sid[: len(rows_)][rows_], "b": pa.nulls(int(rows_.sum()), pa.int64()), "na": n[: len(rows_)][rows_], "nb": pa.nulls(int(rows_.sum()), pa.int32())})
+        at = np.flatnonzero(np.repeat(is_long, sizes))
+        none = pa.ListArray.from_arrays(pa.array([None] * len(at) + [0], pa.int32()), pa.array([], pa.int64())), pa.ListArray.from_arrays(pa.array([None] * len(at) + [0], pa.int32()), pa.array([], pa.int32()))
+        yield pa.RecordBatch.from_pydict({"gram": gram[at], "a": sid[at], "na": n[at], "others": none[0], "sizes": none[1]})
+
+
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, seen) from each set's short lists, which come one after the other: a heap merges them, and what
+    comes out of it several times in a row occurs in so many. Lists of a set that go on in the next batch wait for it."""
+    a = na = None
+    own: list[list[int]] = []
+    sizes: dict[int, int] = {}
+    before: Counter = Counter()
+    elements = 0
+
+    def counted() -> Counter:
+        return before + Counter({b: sum(1 for _ in same) for b, same in groupby(heapq.merge(*own))})
+
+    for batch in batches:
+        out = []
+        for set_, n, others, ns in zip(*[batch.column(c).to_pylist() for c in ("a", "na", "others", "sizes")], strict=True):
+            if set_ != a:
+                out += [(a, b, na, sizes[b], seen) for b, seen in counted().items()]
+                a, na, own, sizes, before, elements = set_, n, [], {}, Counter(), 0
+            own.append(others)
+            sizes.update(zip(others, ns, strict=True))
+            elements += len(others)
+            if elements > MERGED:
+                # Of a very large set the lists so far become counts, so that it is never held as a whole.
+                before, own, elements = counted(), [], 0
+        if out:
+            yield _pairs(out)
+    if a is not None:
+        yield _pairs([(a, b, na, sizes[b], seen) for b, seen in counted().items()])
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = ("a", "b", "na", "nb", "seen"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def texts_of(docs: DataFrame, sids: DataFrame, k: int) -> DataFrame:
@@ -210,12 +257,24 @@ def probe(k: int):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(a, b, shared, both) for the pairs (a, b) of set ids."""
+    """(a, b, shared, both) for the pairs (a, b, spread) of set ids; spread: 0, or one of ``SPREAD`` shares of a leader's pairs."""
+    led = pairs.where("spread > 0").select(F.col("a").alias("sid"), "spread").distinct()
+    own = texts.withColumn("spread", F.lit(0)).unionByName(texts.join(led, "sid"))
     right = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
-    full = right.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
+    full = right.join(own.select(F.col("sid").alias("a"), "spread", F.col("text").alias("text_a")), ["a", "spread"])
     return full.select("a", "b", "text_a", "text_b").mapInArrow(probe(k), "a long, b long, shared long, both long")
 
 
+def share(sid: str) -> Column:
+    return (F.pmod(F.xxhash64(sid), F.lit(SPREAD)) + 1).cast("int")
+
+
+def with_gram(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """``rows`` with what ``grams`` has for their gram, a gram's rows being dealt out over ``SPREAD`` keys."""
+    many = grams.withColumn("spread", F.explode(F.sequence(F.lit(1), F.lit(SPREAD))))
+    return rows.withColumn("spread", share("sid")).join(many, ["gram", "spread"]).drop("spread")
+
+
 def block_links(k: int, percent: int):
     """Spanning links of all linked pairs of one block with another (or with itself)."""
 
@@ -265,9 +324,10 @@ def family_links(lists: DataFrame, checked: DataFrame, docs: DataFrame, k: int,
     far = materialise(far.select("gram", "sid", "d", "linked"), "families")
     least = far.where("not linked").groupBy("gram").agg(F.min("d").alias("least"))
     # d(x, y) >= d(leader, y) - d(leader, x); the margin is for rounding.
-    left = far.join(least, "gram").where(~F.col("linked") | (F.col("d") + (1 - percent / 100) + 1e-9 >= F.col("least"))).select("gram", "sid")
+    left = with_gram(far, least).where(~F.col("linked") | (F.col("d") + (1 - percent / 100) + 1e-9 >= F.col("least"))).select("gram", "sid")
+    left = materialise(left, "left")
     sizes = left.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1")
-    left = left.join(sizes, "gram").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    left = with_gram(left, sizes).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     left = left.select("gram", "sid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     left = materialise(left.select("gram", "sid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "blocks")
     if left.isEmpty():
@@ -276,15 +336,14 @@ def family_links(lists: DataFrame, checked: DataFrame, docs: DataFrame, k: int,
     return left.join(texts, "sid").groupBy("gram", "i", "j").applyInArrow(block_links(k, percent), "a long, b long")
 
 
-def enough(merged: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the merged pairs that met in as many short lists as two linked sets must.
+def enough(merged: DataFrame, skipped: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the merged pairs that met in as many short lists as two linked sets must: T - L.
 
     Of two sets, the one whose posted part ends first in the common order shares with the other what both
     posted, and at most all that it has not posted. What it shares in long lists isn't seen here, but is no more
     than the rows that either has there.
     """
-    skipped = merged.where("gram is not null").groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("skipped"))
-    pairs = merged.where("b is not null").join(skipped.select(F.col("sid").alias("a"), F.col("skipped").alias("sa")), "a", "left").join(skipped.select(F.col("sid").alias("b"), F.col("skipped").alias("sb")), "b", "left")
+    pairs = merged.join(skipped.select(F.col("sid").alias("a"), F.col("skipped").alias("sa")), "a", "left").join(skipped.select(F.col("sid").alias("b"), F.col("skipped").alias("sb")), "b", "left")
 
     def hidden(n: str) -> Column:
         own = F.col(n).cast("long")
@@ -303,21 +362,26 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataF
     long_lists = bitmap(counts, "gram")
     postings = docs.select("text").mapInArrow(post(k, percent, long_lists), "gram long, salt int, sid long, n int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = postings.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "sid").mapInArrow(merge_lists(percent, SHORT), "gram long, a long, b long, na int, nb int")
-    merged = materialise(merged.groupBy("gram", "a", "b", "na", "nb").agg(F.count("*").alias("seen")), "lists")
-    lists = merged.where("gram is not null").select("gram", F.col("a").alias("sid"), F.col("na").alias("n"))
-    heads = lists.groupBy("gram").agg(F.count("*").alias("m"), F.min("sid").alias("leader")).where("m > 1")
-    lists = lists.join(heads, "gram")
-    short = lists.where(F.col("m") <= SHORT).select("gram", "sid", "n")
+    kinds = "gram long, a long, na int, others array<long>, sizes array<int>"
+    listed = materialise(postings.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "sid").mapInArrow(lists(percent, SHORT), kinds), "lists")
+    merged = listed.where("gram is null").drop("gram").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(merge, "a long, b long, na int, nb int, seen int")
+    longs = listed.where("gram is not null").select("gram", F.col("a").alias("sid"), F.col("na").alias("n"))
+    skipped = longs.groupBy("sid").agg(F.count("*").alias("skipped"))
+    heads = longs.groupBy("gram").agg(F.count("*").alias("m"), F.min("sid").alias("leader"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y")).where("m > 1")
+    # Shingles of one passage have the same sets, again and again: one of them is enough.
+    heads = materialise(heads.groupBy("m", "leader", "x", "y").agg(F.min("gram").alias("gram")).select("gram", "m", "leader"), "heads")
+    longs = with_gram(longs, heads)
+    short = longs.where(F.col("m") <= SHORT).select("gram", "sid", "n")
     near = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     more = short.alias("x").join(short.alias("y"), F.expr("x.gram = y.gram and x.sid < y.sid") & near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-    lists = materialise(lists.where(F.col("m") > SHORT).select("gram", "sid", "leader"), "long")
-    led = lists.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b"))
-    pairs = materialise(enough(merged, percent).union(more).union(led).distinct(), "pairs")
+    longs = materialise(longs.where(F.col("m") > SHORT).select("gram", "sid", "leader"), "long")
+    led = longs.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b"), share("sid").alias("spread"))
+    pairs = enough(merged, skipped, percent).union(more).withColumn("spread", F.lit(0)).union(led).groupBy("a", "b").agg(F.max("spread").alias("spread"))
+    pairs = materialise(pairs, "pairs")
     texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("sid")), k)
     checked = materialise(verify(pairs, texts, k), "checked")
     links = checked.where(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select("a", "b")
-    rest = family_links(lists, checked, docs, k, percent)
+    rest = family_links(longs, checked, docs, k, percent)
     return sets.drop("head"), links if rest is None else links.union(rest)
 
 
@@ -337,7 +401,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group. Rows without a doc_id
-    stay."""
-    kept = jaccard_components(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of ``docs`` of each group: that with the smallest doc_id, of several the first one of the table. Rows
+    without a doc_id come last: one stays only if no other row of its group has a doc_id."""
+    if not is_table(docs):
+        docs = materialise(docs, "docs")
+    part, row = (next(n for n in (name + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("_part", "_row"))
+    placed = with_order(docs, part, row)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(part).alias("part"), F.col(row).alias("row"))
+    grouped = jaccard_components(placed.select(own.alias("doc_id"), "text"), k, percent)
+    kept = grouped.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.part").alias(part), F.col("doc_id.row").alias(row))
+    return placed.join(kept, [part, row], "left_semi").drop(part, row)

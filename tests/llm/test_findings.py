@@ -9,10 +9,11 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_operators import check_packing
 from tokenizers import Tokenizer
 
-from strandline.llm import entries, html_text, mixing, sharding, toxicity
+from strandline.llm import entries, html_text, jaccard_join, mixing, sharding, toxicity
 from strandline.llm.common import materialise, with_order
 
 
@@ -206,3 +207,13 @@ def test_html_wrappers_and_loose_ends(spark):
     for page in ("<b>" * 80_000 + "</i>" * 80_000, "<ul>" + "<b>" * 60_000 + "<li></li>" * 40_000, "<a><b>" * 50_000 + "<h1>x</h1>" * 50_000, "<svg>" * 100_000, "<div><b>" * 125_000):
         html_text.blocks(page)
     assert time.time() - begun < 30
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text, 1), (3, text, 2), (3, text, 3), (2, "other words that are alone in this table", 4), (None, "a row without id and without copies of it", 5), (None, "a row without id and without copies of it", 6), (None, None, 7), (2, "another text under the same id as one above", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept long").withColumn("_part", F.lit("x")).withColumn("_row", F.lit(1)).withColumn("gram", F.lit(None).cast("int"))
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r._kept for r in kept.collect())
+    assert got in ([2, 4, 5, 7, 8], [3, 4, 5, 7, 8], [2, 4, 6, 7, 8], [3, 4, 6, 7, 8])

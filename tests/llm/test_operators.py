@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from strandline.llm import edit_prints, entries, html_text, jaccard_join, language_id, mixing, neighbours, packing, sharding, shingles, toxicity, warc
 from strandline.llm.common import pieces
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, count long, rank int, sid long, _source string, _key long, part int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, count long, rank int, sid long, _source string, _key long, part int, _kept long, _part long, _row int"
 
 
 @pytest.fixture(scope="module")
 def edge(spark):
     """Nulls everywhere, empty and long texts, repeated rows, ties, and columns whose names operators use themselves."""
-    extra = (0.5, 1, 2, 3, 4, "x", 5, 6)
+    extra = (0.5, 1, 2, 3, 4, "x", 5, 6, 7, 8, 9)
     texts = [None, "", "  \n\t", "one two", "ONE  two", "Plain words of one text that repeats here again", "Plain words of one text that repeats here again", "x" * 50_000, "word " * 30_000, "é ü 日本 🙂 ́", "a\x0bb\x1cc", "12 34 !!", "it's <|endoftext|> l'eau"]
     rows = [(k, t, "en" if k % 2 else None, "s" if k % 3 else None, None, *extra) for k, t in enumerate(texts)]
     rows += [(6, texts[6], "en", "s", 1, *extra), (None, "no id", "en", "s", 1, *extra), (None, None, None, None, None, *extra)]
@@ -337,6 +337,7 @@ def test_jaccard_blocks(spark, monkeypatch):
     """Small lists and blocks, so that leaders and block pairs have to find all links."""
     monkeypatch.setattr(jaccard_join, "SHORT", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    monkeypatch.setattr(jaccard_join, "MERGED", 5)
     rows = made_texts(9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 4, 85).collect()} == brute_components(rows, 4, 85)
