@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,28 +12,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline import session
+
 #: Bytes of text that one vectorised step handles; bounds the memory of a Python worker.
 CHUNK_BYTES = 500_000
+#: Bytes of a batch that goes to a Python worker; the setting's name and default.
+BATCH_BYTES = 4_000_000
+BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Rows that are looked at at a time.
 CHUNK_ROWS = 1024
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lets texts go to Python workers in batches of ``BATCH_BYTES``, unless the session asks for a size of its own:
+    what a worker holds, and the JVM for it, then doesn't hang on how long the texts are."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), one of its own, which is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return session.table(small_batches(spark), sf_dir, name)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    return session.shared_path(small_batches(spark), name)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
