@@ -9,7 +9,8 @@ its successor, which the declared length fixes. Pointer jumping from the start o
 chain reaches, doubling the distance in every step; record-like text inside payloads is never reached.
 
 Defined cases: a null html is an empty payload; null urls are left out of the record; of rows that repeat a
-page_id and a payload all but revisits are responses; an empty table gives no records; a file whose chain ends
+page_id and a payload all but revisits are responses; an empty table gives no records; a page of any size
+gets a record, in a file of its own if it is large; a file whose chain ends
 before the end of the file raises an error, rather than losing what follows.
 """
 
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch
 
 LEAST_SHARED = 100
-#: Records of a file at most: keeps a file, which one task reads, to some tens of MB.
-FILE_RECORDS = 4096
+#: More bytes than a record's headers have beside the url.
+HEADERS = 2048
+#: Records by size: those of up to so many bytes share a file with so many others at most. A file, which one task
+#: reads, so has FILE_BYTES at most; a record that is larger than that is a file of its own.
+FILE_BYTES = 64 << 20
+SIZES = ((16 << 10, 4096), (1 << 20, 64))
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FOUND = "file string, start long, next long, file_bytes long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -63,8 +68,20 @@ def records(pages: DataFrame) -> DataFrame:
     return found.select(F.concat(head, http, F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value"))
 
 
-def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    records(pages).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path)
+def write(pages: DataFrame, path: str, sizes: tuple[tuple[int, int], ...] = SIZES) -> None:
+    """The archives, one folder for each class of sizes that occurs. Records of a class share files, so that no file is
+    larger than the class allows, whatever a page holds; nothing is shuffled for it."""
+    every = records(pages)
+    size = F.octet_length("value")
+    group = F.when(size > sizes[-1][0], len(sizes))
+    for k in reversed(range(len(sizes))):
+        group = F.when(size <= sizes[k][0], k).otherwise(group)
+    # The html gives a bound that needs no record: headers are small, and the classes' bounds leave room for them.
+    longest = pages.agg(F.max(F.octet_length("html") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0] or 0
+    for k, most in enumerate([*[n for _, n in sizes], 1]):
+        if k and longest + HEADERS <= sizes[k - 1][0]:
+            break
+        every.where(group == k).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(f"{path}/size={k}")
 
 
 def headers(raw: bytes) -> dict[str, str]:
@@ -136,9 +153,9 @@ def retained(group: pa.Table) -> pa.Table:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives in ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     found = files.mapInArrow(candidates, FOUND)
-    # A file's records are bounded by the writer; only their numbers travel here, not payloads.
+    # A file's records are bounded by the writer; only their offsets and numbers travel here, not payloads.
     return found.groupBy("file").applyInArrow(retained, FOUND).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from test_operators import check_packing
 from tokenizers import Tokenizer
 
-from strandline.llm import entries, html_text, jaccard_join, mixing, sharding, toxicity
+from strandline.llm import entries, html_text, jaccard_join, mixing, sharding, toxicity, warc
 from strandline.llm.common import materialise, with_order
 
 
@@ -217,3 +217,16 @@ def test_one_row_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     got = sorted(r._kept for r in kept.collect())
     assert got in ([2, 4, 5, 7, 8], [3, 4, 5, 7, 8], [2, 4, 6, 7, 8], [3, 4, 6, 7, 8])
+
+
+def test_archives_by_size(spark, tmp_path):
+    """Classes of sizes in files of their own, none larger than its class allows, and all read back."""
+    html = {k: "x" * n for k, n in enumerate([0, 10, 500, 3000, 40_000, 70_000, 2_000, 900, 1, 130_000])}
+    pages = spark.createDataFrame([(k, None, v) for k, v in html.items()], "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/w"
+    warc.write(pages, path, ((1500, 3), (50_000, 2)))
+    files = {f: f.stat().st_size for f in (tmp_path / "w").rglob("part-*")}
+    assert {f.parent.name for f in files} == {"size=0", "size=1", "size=2"} and all(n <= {"size=0": 4500, "size=1": 100_000, "size=2": 140_000}[f.parent.name] for f, n in files.items())
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read(spark, path).collect()}
+    assert got == {k: (len(v), hashlib.sha256(v.encode()).hexdigest()) for k, v in html.items()}
+    assert {r.page_id for r in warc.archive(pages).collect()} == set(html)
