@@ -37,6 +37,9 @@ CLASSES = 64
 PERIOD = 8192
 #: Characters that one vectorised run of walks handles; bounds a worker's memory.
 CHARS = 4_000_000
+#: So few walks or fewer are taken one by one. Bytes of a range of documents in order, which one task reads.
+FEW = 48
+RANGE_BYTES = 64 << 20
 #: Bands, and the chance at least that two fingerprints of the likeness sought agree in one of them.
 BANDS = 48
 AGREE = 0.13
@@ -99,13 +102,17 @@ def _walk(texts: list[str]) -> Iterator[str]:
     for k, p in enumerate(points):
         steps[rows[: len(p)] + k] = ((p * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.int32) * PERIOD
     table, now = dwell(), np.zeros(len(texts), np.int32)
-    for first in range(0, len(alive), 1 << 16):
-        some = slice(first, first + (1 << 16))
+    # While many walks are left they take each step together; the last ones, of the longest texts, end one by one.
+    together = int(np.searchsorted(-alive, -FEW, "right"))
+    for first in range(0, together, 1 << 16):
+        some = slice(first, min(first + (1 << 16), together))
         for top, n in zip(rows[some].tolist(), alive[some].tolist(), strict=False):
             part, t = steps[top : top + n], now[:n]
             part += t & (PERIOD - 1)
             t += table[part]
             part[:] = t
+    for k in range(int(alive[together]) if together < len(alive) else 0):
+        _finish(steps, rows[together : sizes[k]] + k, int(now[k]))
     lanes = np.arange(BITS, dtype=U) * U(0x9E3779B97F4A7C15)
     for k, p in enumerate(points):
         ends = steps[rows[: len(p)] + k]
@@ -113,6 +120,22 @@ def _walk(texts: list[str]) -> Iterator[str]:
         yield np.packbits((mix(chars.astype(U) ^ lanes) & U(1)).astype(np.uint8)).tobytes().hex()
 
 
+def _finish(steps: np.ndarray, where: np.ndarray, t: int) -> None:
+    """The rest of one walk, in plain numbers: for a single text that is a hundred times faster than by arrays of one."""
+    table = dwell_list()
+    for first in range(0, len(where), 1 << 16):
+        at, ends = where[first : first + (1 << 16)], []
+        for kind in steps[at].tolist():
+            t += table[kind + (t & (PERIOD - 1))]
+            ends.append(t)
+        steps[at] = ends
+
+
+@cache
+def dwell_list() -> list[int]:
+    return dwell().tolist()
+
+
 def likeness(a: str, b: str) -> float:
     differing = (int(a, 16) ^ int(b, 16)).bit_count()
     return max(0.0, 1 - 2 * differing / (4 * len(a)))
@@ -228,17 +251,29 @@ def followed(docs: DataFrame) -> DataFrame:
     """(part, borrowed, doc_id, text): every document in its range of doc_id, and with each range the document that
     comes after it (descending; after the last the first), borrowed from the range that has it.
 
-    Ranges come from quantiles of doc_id; only they and the ranges' first ids, one for each range, reach the driver.
+    Ranges come from quantiles of doc_id, as many as the bytes of the texts ask for; only they and the ranges' first
+    ids, one number for each range, reach the driver.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    ranges = min(1000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10_000).alias("c")).first()["c"] or []
-    cuts = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<bigint>")
-    placed = docs.select("doc_id", "text", key.alias("key"), F.size(F.filter(cuts, lambda c: c >= key)).alias("part"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    cuts = docs.agg(F.percentile_approx("doc_id", F.from_json(F.lit(str([k / ranges for k in range(1, ranges)])), "array<double>"), F.lit(max(10_000, 20 * ranges))).alias("c")).first()["c"] or []
+    cuts = sorted({int(c) for c in cuts}, reverse=True)
+    # One literal, and a bisection in it, however many there are: part k holds what k cuts are at or above.
+    literal = F.from_json(F.lit(str(cuts)), "array<bigint>")
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        right = F.get(literal, mid) >= key
+        open_ = s["a"] < s["b"]
+        return F.struct(F.when(open_ & right, mid + 1).otherwise(s["a"]).alias("a"), F.when(open_ & ~right, mid).otherwise(s["b"]).alias("b"))
+
+    part = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("b")), halve)["a"]
+    placed = docs.select("doc_id", "text", key.alias("key"), part.alias("part"))
     firsts = [(r["part"], r["first"]) for r in placed.groupBy("part").agg(F.max("key").alias("first")).orderBy("part").collect()]
     lent = spark.createDataFrame([(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)], "key long, to int")
-    # At most a thousand rows, one for each range.
+    # A row of two numbers for each range.
     placed = placed.join(F.broadcast(lent), "key", "left")
     whole = F.array(F.struct(F.col("part"), F.lit(False).alias("borrowed")))
     both = F.when(F.col("to").isNull(), whole).otherwise(F.concat(whole, F.array(F.struct(F.col("to").alias("part"), F.lit(True).alias("borrowed")))))

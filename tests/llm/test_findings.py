@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from test_operators import check_packing
 from tokenizers import Tokenizer
 
-from strandline.llm import entries, html_text, jaccard_join, mixing, sharding, toxicity, warc
+from strandline.llm import edit_prints, entries, html_text, jaccard_join, mixing, sharding, toxicity, warc
 from strandline.llm.common import materialise, with_order
 
 
@@ -230,3 +230,33 @@ def test_archives_by_size(spark, tmp_path):
     got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read(spark, path).collect()}
     assert got == {k: (len(v), hashlib.sha256(v.encode()).hexdigest()) for k, v in html.items()}
     assert {r.page_id for r in warc.archive(pages).collect()} == set(html)
+
+
+def test_walks_of_long_texts(monkeypatch):
+    """However many walks go together, the prints are the same; and the last steps of a long text take little time."""
+    r = random.Random(6)
+    texts = ["".join(r.choice("abc é日") for _ in range(r.randrange(1, 400))) for _ in range(90)]
+    found = []
+    for few in (0, 1, 7, 48, 1000):
+        monkeypatch.setattr(edit_prints, "FEW", few)
+        found.append(edit_prints.prints(texts))
+    assert all(x == found[0] for x in found)
+    monkeypatch.setattr(edit_prints, "FEW", 48)
+    begun = time.time()
+    edit_prints.prints(["a long text " * 100_000, "short"])
+    assert time.time() - begun < 10
+
+
+def test_ranges_by_bytes(spark, monkeypatch):
+    """Many small ranges: every document still meets the one after it."""
+    r = random.Random(6)
+    texts = {r.randrange(-10_000, 10_000): "".join(r.choice("abc ") for _ in range(r.randrange(0, 60))) for _ in range(500)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    want = {x.doc_id: tuple(x) for x in edit_prints.edited_prints(docs).collect()}
+    monkeypatch.setattr(edit_prints, "RANGE_BYTES", 200)
+    got = {x.doc_id: tuple(x) for x in edit_prints.edited_prints(docs).collect()}
+    assert got == want and set(got) == set(texts)
+    order = sorted(texts, reverse=True)
+    for i, after in zip(order, order[1:] + order[:1], strict=True):
+        own = texts[i]
+        assert got[i][2] == hashlib.sha256((own[: len(own) - len(own) // 3] + texts[after][: len(own) // 3]).encode()).hexdigest()
