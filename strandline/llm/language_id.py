@@ -9,11 +9,12 @@ go to the smaller code, so a ranking is a function of the text alone; ties in di
 sorts first.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; languages that are null teach
-nothing; without any profile every text is ``und``.
+nothing; without any profile every text is ``und``; more than ``MOST_LANGUAGES`` values of lang raise an error.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,6 +31,8 @@ RANKS = 400
 LONGEST = 3
 FIT_ROWS = 4_000
 UNDETERMINED = "und"
+#: Languages at most: their profiles, a few kB each, are sent to every task.
+MOST_LANGUAGES = 2_000
 #: For the least scores: documents of a language in expectation, quantiles of own scores and of shuffled texts,
 #: characters that are shuffled, and the score that is asked for in any case.
 LEAST_ROWS = 1_000
@@ -102,10 +105,14 @@ def fold(docs: DataFrame, rows: int, last: bool = False) -> DataFrame | None:
     """Documents outside the held-out fold: at most about ``rows`` of a language, those in a slice, the first or the
     last, of the hash of doc_id. None without any."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(True)))
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    marks = train.groupBy("lang").count()
+    if marks.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: they must be cleaned before profiles are learnt from them")
+    sizes = {r["lang"]: r["count"] for r in marks.collect()}
     if not sizes:
         return None
-    limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, rows / n) * 2**60))])[F.col("lang")]
+    # One literal, however many marks there are; profiles of all of them go to every task, hence the bound.
+    limit = F.from_json(F.lit(json.dumps({lang: int(min(1.0, rows / n) * 2**60) for lang, n in sizes.items()})), "map<string,bigint>")[F.col("lang")]
     key = hash63(F.lit("language"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return train.where(key >= 2**60 - limit if last else key < limit)
 

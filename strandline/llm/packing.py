@@ -49,7 +49,8 @@ class Tokens:
     For a tokenizer that lowers case, drops white space and splits letters, digits and signs before it merges,
     a text's ids are those of its runs in order. Runs are found and hashed over the bytes of many texts at a time.
     A run with an apostrophe, which can belong to letters, is kept whole up to white space. Texts with special
-    tokens or with characters beyond ``PLAIN`` are left to the tokenizer.
+    tokens or with characters beyond ``PLAIN`` are left to the tokenizer. Runs are known by 64-bit hashes, which are
+    not compared letter by letter: of a worker's two million runs two share one with a chance of about 10^-7.
     """
 
     def __init__(self, path: str):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from test_operators import check_packing
 from tokenizers import Tokenizer
 
-from strandline.llm import edit_prints, entries, html_text, jaccard_join, mixing, sharding, toxicity, warc
+from strandline.llm import edit_prints, entries, html_text, jaccard_join, language_id, mixing, sharding, toxicity, warc
 from strandline.llm.common import materialise, with_order
 
 
@@ -260,3 +260,11 @@ def test_ranges_by_bytes(spark, monkeypatch):
     for i, after in zip(order, order[1:] + order[:1], strict=True):
         own = texts[i]
         assert got[i][2] == hashlib.sha256((own[: len(own) - len(own) // 3] + texts[after][: len(own) // 3]).encode()).hexdigest()
+
+
+def test_marks_of_many_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "some words", 'odd "mark" \\ ' + str(k % 5)) for k in range(40)], "doc_id long, text string, lang string")
+    assert len(language_id.learn(docs)) == 5
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 4)
+    with pytest.raises(ValueError):
+        language_id.learn(docs)
