@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 # Words that say nothing about a query's subject, and those that say nothing about a concept.
 STOP_WORDS = (
-    "the a an is are was were be been for of in to and or on at by with from that this how what which do does should must can could would not no its their they it as"
-).split()
-CONCEPT_STOP_WORDS = "the and of for to in a an".split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "for", "of", "in", "to", "and", "or", "on", "at", "by", "with", "from", "that", "this", "how",
+    "what", "which", "do", "does", "should", "must", "can", "could", "would", "not", "no", "its", "their", "they", "it", "as",
+)
+CONCEPT_STOP_WORDS = ("the", "and", "of", "for", "to", "in", "a", "an")
 
 
 def tokens(text: Column, wide: bool = False) -> Column:
@@ -19,7 +20,7 @@ def tokens(text: Column, wide: bool = False) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)\s+" if wide else r"\s+"), lambda w: w != "")
 
 
-def without(words: Column, stop: list[str]) -> Column:
+def without(words: Column, stop: tuple[str, ...]) -> Column:
     """Distinct words that aren't in ``stop``."""
     return F.array_except(words, F.array(*[F.lit(w) for w in stop]))
 

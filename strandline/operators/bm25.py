@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.text import micro, occurrences
+from strandline.session import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Parts that the words of a set of queries are dealt into, where they are held against whole texts or vectors.
+QUERY_BLOCKS = 4
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(by, doc_id, term, f, dl), terms(by, term, df, idf), stats(by, n, avgdl)."""
+    """postings(by, doc_id, term, f, dl), terms(by, term, df, idf), stats(by, n, avgdl). Postings and statistics are
+    tables in the shared folder: whatever is asked of the index reads those, and no text again."""
 
     postings: DataFrame
     terms: DataFrame
@@ -34,15 +38,18 @@ def beside(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def index(docs: DataFrame, by: tuple[str, ...] = ()) -> Index:
-    """From docs(by, doc_id, tokens)."""
-    sized = docs.withColumn("dl", F.size("tokens"))
-    stats = sized.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = sized.select(*by, "doc_id", "dl", F.explode("tokens").alias("term")).groupBy(*by, "doc_id", "dl", "term").agg(F.count("*").alias("f"))
+    """From docs(by, doc_id, tokens). The texts are read once; documents without words leave no posting, but count."""
+    words = docs.select(*by, "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    postings = stored(words.groupBy(*by, "doc_id", "dl", "term").agg(F.count("*").alias("f")), "postings")
+    # The number of documents needs none of their words, and the sum of all lengths is that of all postings.
+    total, n = postings.groupBy(*by).agg(F.sum("f").alias("total")), docs.groupBy(*by).agg(F.count("*").alias("n"))
+    both = n.join(total, list(by), "left") if by else n.crossJoin(total)  # without ``by`` one row each
+    stats = stored(both.select(*by, "n", (F.coalesce("total", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl")), "stats")
     df = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
     raw = beside(df, stats, by).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*by).agg(F.avg("raw").alias("mean"))
     terms = beside(raw, mean, by).select(*by, "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms, stats, by)
+    return Index(postings, stored(terms, "terms"), stats, by)
 
 
 def scores(found: Index, queries: DataFrame) -> DataFrame:
@@ -60,17 +67,20 @@ def best(scored: DataFrame, k: int, *ties: Column | str, by: str = "query_id") -
     return scored.where(F.col("score") > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    return best(scores(index(docs), queries), k)
+def search(docs: DataFrame | Index, queries: DataFrame, k: int = 20) -> DataFrame:
+    """The k best documents of queries(query_id, tokens) in docs(doc_id, tokens) or an index of them."""
+    return best(scores(docs if isinstance(docs, Index) else index(docs), queries), k)
 
 
 def substring_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): how often each query word occurs inside the text, words or not; docs(doc_id, text).
 
-    Every query meets every document, as this score has no index: the queries are the side that is sent around,
-    if Spark finds them small enough.
+    This score has no index, as a word may begin anywhere: a stated set of queries is held against all documents.
+    Each document counts each distinct word of a block of queries once, blocks being rows of one small table, and
+    counts go to the queries by an ordinary join on words.
     """
-    words = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
-    pairs = docs.select("doc_id", F.lower("text").alias("low")).join(words, F.lit(True))
-    total = F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + occurrences(F.col("low"), t))
-    return pairs.select("query_id", "doc_id", total.cast("double").alias("score")).where("score > 0")
+    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    blocks = asked.select("term").distinct().groupBy(F.pmod(F.xxhash64("term"), F.lit(QUERY_BLOCKS)).cast("int").alias("block")).agg(F.collect_list("term").alias("terms"))
+    texts = docs.select("doc_id", F.lower("text").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))).alias("block"))
+    found = texts.join(blocks, "block").select("doc_id", F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), occurrences(F.col("low"), t).alias("n")))).alias("x")).where("x.n > 0")
+    return found.select("doc_id", "x.term", "x.n").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score"))

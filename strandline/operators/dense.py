@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.bm25 import best
+from strandline.operators.bm25 import QUERY_BLOCKS, best
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,9 +20,13 @@ def unit(v: Column) -> Column:
 def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of every query against all vectors: vectors(doc_id, v), queries(query_id, q).
 
-    The queries are a stated set; Spark sends them around when they are small, else it deals blocks of both.
+    The queries are a stated set, held against all vectors in blocks: a block of queries is one row of a small
+    table, and every vector is joined once for each of the blocks, by the block's number.
     """
-    return vectors.join(queries, F.lit(True)).select("query_id", "doc_id", dot(F.col("v"), F.col("q")).alias("score"))
+    blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(QUERY_BLOCKS)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    dealt = vectors.select("doc_id", "v", F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))).alias("block"))
+    scored = F.transform("asked", lambda x: F.struct(x["query_id"].alias("query_id"), dot(F.col("v"), x["q"]).alias("score")))
+    return dealt.join(blocks, "block").select("doc_id", F.explode(scored).alias("x")).select("x.query_id", "doc_id", "x.score")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.text import contained_words, doc_id_of, first_match, ordered_case, refs, strip
+from strandline.functions.text import chapter, contained_words, doc_id_of, first_match, ordered_case, refs, strip
 
 # What marks a type, and the references that a text can hold. (?d): a line ends at \n only.
 REVIEW_STANDARD = r"DESIGN[- ]*SPECIFIC REVIEW STANDARD"
@@ -24,6 +24,28 @@ QUESTION_REFERENCES = {
     "srp": REFERENCES["plan_refs"],
     "dsrs": REFERENCES["special_refs"],
 }
+# The sections of a document, in order of preference, and what their titles look like. (?sm): . is any
+# character, and lines begin at ^.
+SECTIONS = (
+    r"(?sm)(I+V?\.?\s+AREAS OF REVIEW.*?)(?=\nI+V?\.?\s+|\z)",
+    r"(?sm)(I+V?\.?\s+ACCEPTANCE CRITERIA.*?)(?=\nI+V?\.?\s+|\z)",
+    r"(?sm)(I+V?\.?\s+REVIEW PROCEDURES.*?)(?=\nI+V?\.?\s+|\z)",
+    r"(?sm)(I+V?\.?\s+EVALUATION FINDINGS.*?)(?=\nI+V?\.?\s+|\z)",
+    r"(?sm)(I+V?\.?\s+IMPLEMENTATION.*?)(?=\nI+V?\.?\s+|\z)",
+    r"(?sm)(I+V?\.?\s+REFERENCES.*?)(?=\nI+V?\.?\s+|\z)",
+    r"(?sm)(A\.\s+INTRODUCTION.*?)(?=\n[A-Z]\.\s+|\z)",
+    r"(?sm)(B\.\s+DISCUSSION.*?)(?=\n[A-Z]\.\s+|\z)",
+    r"(?sm)(C\.\s+STAFF REGULATORY GUIDANCE.*?)(?=\n[A-Z]\.\s+|\z)",
+)
+SECTION_TITLE = r"^([IVX]+\.?\s+[A-Z][A-Z\s]+|[A-Z]\.\s+[A-Z][A-Z\s]+)"
+# Where section and title stand in documents of a type, tried in order.
+SPECIAL_NAMED = r"(?s)DESIGN[- ]*SPECIFIC REVIEW STANDARD.*?for NuScale.*?\n\s*(\d+\.\d+(?:\.\d+)*)\s*(.*?)(?:\n|REVIEW)"
+SPECIAL_PLAIN = r"\n\s*(\d{1,2}\.\d{1,2}(?:\.\d{1,2})?)\s+\n?\s*([A-Z][A-Z\s\-()/,]+)"
+PLAN = r"(\d{1,2}\.\d{1,2}(?:\.\d{1,2})?)\s+([A-Z][A-Z\s\-()/,:]+)"
+GUIDE_NUMBER = r"REGULATORY GUIDE\s+(?:RG\s+)?(\d+\.\d+)"
+LAW_PART = r"Part\s+(\d+)"
+REVISION = r"Revision\s+(\d+)"
+ISSUE_DATE = r"Issue Date:\s*(\w+\s+\d{4})"
 BOILERPLATE = ("REACTOR REGULATION", "identifies differences", "However, an applicant")
 TITLE_ENDS = ("REVIEW RESPONSIBILITIES", "APPENDIX")
 LAW_TITLE = "Domestic Licensing of Production and Utilization Facilities"
@@ -46,9 +68,7 @@ def squeezed(text: Column) -> Column:
 
 
 def _special(text: Column) -> tuple[Column, Column]:
-    named = rf"(?s){REVIEW_STANDARD}.*?for NuScale.*?\n\s*(\d+\.\d+(?:\.\d+)*)\s*(.*?)(?:\n|REVIEW)"
-    plain = r"\n\s*(\d{1,2}\.\d{1,2}(?:\.\d{1,2})?)\s+\n?\s*([A-Z][A-Z\s\-()/,]+)"
-    pick = [F.coalesce(first_match(text, named, g), first_match(text, plain, g), F.lit("")) for g in (1, 2)]
+    pick = [F.coalesce(first_match(text, SPECIAL_NAMED, g), first_match(text, SPECIAL_PLAIN, g), F.lit("")) for g in (1, 2)]
     return pick[0], F.rtrim(F.regexp_replace(squeezed(pick[1]), ",+$", ""))
 
 
@@ -56,15 +76,14 @@ def _plan(text: Column) -> tuple[Column, Column]:
     # Positions count from 1, and a marker at the very begin is no end of boilerplate.
     marks = [F.when(F.instr(text, m) > 1, F.instr(text, m)).otherwise(1) for m in BOILERPLATE]
     rest = F.substring(text, F.greatest(*marks), F.length(text))
-    pattern = r"(\d{1,2}\.\d{1,2}(?:\.\d{1,2})?)\s+([A-Z][A-Z\s\-()/,:]+)"
-    title = squeezed(first_match(rest, pattern, 2, ""))
+    title = squeezed(first_match(rest, PLAN, 2, ""))
     for end in TITLE_ENDS:
         title = strip(F.substring_index(title, end, 1))
-    return first_match(rest, pattern, 1, ""), title
+    return first_match(rest, PLAN, 1, ""), title
 
 
 def _guide(text: Column) -> tuple[Column, Column]:
-    number = first_match(text, r"REGULATORY GUIDE\s+(?:RG\s+)?(\d+\.\d+)", 1, "")
+    number = first_match(text, GUIDE_NUMBER, 1, "")
     # The pattern holds the row's own number, in quotes.
     pattern = F.concat(F.lit(r"(?s)REGULATORY GUIDE\s+(?:RG\s+)?\Q"), number, F.lit(r"\E.*?\n\s*(.+?)(?:\n\s*A\.\s|$)"))
     lines = F.transform(F.split(strip(F.call_function("regexp_extract", text, pattern, F.lit(1))), "\n"), strip)
@@ -79,13 +98,13 @@ def documents(files: DataFrame) -> DataFrame:
     rows = files.select("filename", text.alias("text"), full.alias("full"), F.size("pages").alias("page_count"))
     rows = rows.withColumn("doc_type", doc_type(F.col("filename"), F.col("text")))
     t = F.col("text")
-    kinds = {"REG": (first_match(t, r"Part\s+(\d+)", 1, "50"), F.lit(LAW_TITLE)), "DSRS": _special(t), "SRP": _plan(t), "RG": _guide(t)}
+    kinds = {"REG": (first_match(t, LAW_PART, 1, "50"), F.lit(LAW_TITLE)), "DSRS": _special(t), "SRP": _plan(t), "RG": _guide(t)}
     section, title = (F.coalesce(*[F.when(F.col("doc_type") == k, v[g]) for k, v in kinds.items()], F.lit("")) for g in (0, 1))
     revised = F.col("doc_type").isin("DSRS", "SRP", "RG")
     rows = rows.select(
         doc_id_of(F.col("filename")).alias("doc_id"), "filename", "doc_type", section.alias("section_number"), title.alias("title"),
-        F.when(revised, first_match(F.substring(t, 1, 500), r"Revision\s+(\d+)", 1, "")).otherwise("").alias("revision"), "page_count",
-        F.when(F.col("doc_type") == "RG", first_match(F.substring(t, 1, 1000), r"Issue Date:\s*(\w+\s+\d{4})", 1, "")).otherwise("").alias("issue_date"),
+        F.when(revised, first_match(F.substring(t, 1, 500), REVISION, 1, "")).otherwise("").alias("revision"), "page_count",
+        F.when(F.col("doc_type") == "RG", first_match(F.substring(t, 1, 1000), ISSUE_DATE, 1, "")).otherwise("").alias("issue_date"),
         *[refs(F.col("full"), p).alias(c) for c, p in REFERENCES.items()],
     )
     for column, kind in (("guide_refs", "RG"), ("plan_refs", "SRP"), ("special_refs", "DSRS")):
@@ -99,12 +118,35 @@ def question_refs(text: Column) -> Column:
     return F.map_filter(every, lambda _, v: F.size(v) > 0)
 
 
-def enriched(title: Column, display: Column, kind: Column, section: Column, topic: Column, entity_texts: Column, *others: Column) -> Column:
-    """The text that a document is found by: its names, its chapter's topic, and what its references say."""
-    return F.concat_ws(" ", title, display, kind, section, topic, F.array_join(entity_texts, " "), *[F.array_join(o, " ") for o in others])
+def enriched(docs: DataFrame, topics: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """(doc_id, text): what a document is found by, in lower case: its names, its chapter's topic, and what its
+    references say. docs(doc_id, title, display_name, doc_type, section_number, entity_refs, guide_refs, plan_refs),
+    topics(chapter, topic), descriptions(entity, description)."""
+    cited = docs.select("doc_id", F.posexplode("entity_refs").alias("k", "entity")).join(descriptions, "entity", "left")
+    said = F.concat(F.lit("GDC "), "entity", F.lit(" general design criterion "), "entity", F.lit(" "), F.coalesce("description", F.lit("")))
+    cited = cited.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", said.alias("s")))), lambda x: x["s"]).alias("said"))
+    rows = docs.withColumn("chapter", chapter(F.col("section_number"))).join(topics, "chapter", "left").join(cited, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    others = [F.transform(c, lambda r: F.concat(F.lit(word), r)) for c, word in (("guide_refs", "regulatory guide "), ("plan_refs", "SRP "))]
+    parts = F.concat(F.array("title", "display_name", "doc_type", "section_number"), F.when(F.coalesce("topic", F.lit("")) != "", F.array("topic")).otherwise(none), F.coalesce("said", none), *others)
+    return rows.select("doc_id", F.lower(F.array_join(parts, " ")).alias("text"))
 
 
-def best_section(texts: DataFrame, patterns: list[str], title: str, least: int = 100, whole: int = 8000) -> DataFrame:
+def node_texts(nodes: DataFrame, cites: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """(node, node_kind, text): names of nodes(id, node_kind, title, display_name) and the descriptions of the entities
+    that they are or that they cite, cites(id, entity)."""
+    own = nodes.where("node_kind = 'entity'").select("id", F.regexp_replace("id", "^gdc:", "").alias("entity"))
+    said = own.union(cites.select("id", "entity")).join(descriptions, "entity").groupBy("id").agg(F.array_sort(F.collect_list("description")).alias("said"))
+    rows = nodes.join(said, "id", "left")
+    return rows.select(F.col("id").alias("node"), "node_kind", F.lower(F.concat_ws(" ", "title", "display_name", F.array_join(F.coalesce("said", F.array().cast("array<string>")), " "))).alias("text"))
+
+
+def bounded_text(pages: Column, error: Column, most: int = 30) -> Column:
+    """The text of the first pages; of a file that can't be read, the error in its place."""
+    return F.when(error.isNotNull(), F.concat(F.lit("[ERROR reading PDF: "), error, F.lit("]"))).otherwise(F.array_join(F.slice(pages, 1, most), "\n"))
+
+
+def best_section(texts: DataFrame, patterns: tuple[str, ...] = SECTIONS, title: str = SECTION_TITLE, least: int = 100, whole: int = 8000) -> DataFrame:
     """(id, title, body) for texts(id, text, query): of the sections that the patterns find, longer than ``least``, the
     one that holds most query words; the earliest of several; the text's begin if there is none."""
     found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda m: F.struct(m.alias("body"))) for p in patterns]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.text import micro
+from strandline.functions.text import CONCEPT_STOP_WORDS, micro, without
 
 
 @dataclass(frozen=True)
@@ -60,9 +60,10 @@ def fused(hits: DataFrame, how: Fusion | None = None) -> DataFrame:
 
 
 def concept_matches(queries: DataFrame, concepts: DataFrame, least: int = 2) -> DataFrame:
-    """(query_id, concept): concepts(concept, words) that share at least ``least`` words with queries(query_id, words)."""
-    asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("w"))
-    had = concepts.select("concept", F.explode(F.array_distinct("words")).alias("w"))
+    """(query_id, concept): concepts(concept, words) that share at least ``least`` words, stop words aside, with
+    queries(query_id, words)."""
+    asked = queries.select("query_id", F.explode(without(F.col("words"), CONCEPT_STOP_WORDS)).alias("w"))
+    had = concepts.select("concept", F.explode(without(F.col("words"), CONCEPT_STOP_WORDS)).alias("w"))
     return asked.join(had, "w").groupBy("query_id", "concept").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("query_id", "concept")
 
 

@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 from strandline.session import stored
 
+#: Documents of the type that every entity and every citing document is linked to.
+MOST_LAWS = 10_000
+
 
 def last_written(edges: DataFrame, order: str = "write_ord") -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.max_by("relation", order).alias("relation"))
@@ -19,15 +22,10 @@ def last_written(edges: DataFrame, order: str = "write_ord") -> DataFrame:
 def with_relation(pairs: DataFrame, schema: DataFrame, default: str | None = None) -> DataFrame:
     """Add the relation that the schema(src_type, dst_type, relation) has for a pair's types; without a default,
     pairs that it lacks are dropped."""
-    joined = pairs.join(F.broadcast(schema), ["src_type", "dst_type"], "inner" if default is None else "left")
+    joined = pairs.join(schema, ["src_type", "dst_type"], "inner" if default is None else "left")
     return joined if default is None else joined.withColumn("relation", F.coalesce("relation", F.lit(default)))
 
 
-def resolve(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(src, dst): references(src, kind, section) met by targets(dst, kind, section); a section may have many."""
-    return refs.join(targets, ["kind", "section"]).select("src", "dst")
-
-
 def pair_on(left: DataFrame, right: DataFrame, key: str, order: str = "ord") -> DataFrame:
     """(a, b): the last id of each key on either side; ids are ``id``."""
     a = left.groupBy(key).agg(F.max_by("id", order).alias("a"))
@@ -55,8 +53,11 @@ def build(docs: DataFrame, relations: DataFrame, law: str = "REG", guide: str =
     )
     laws = named.where(F.col("doc_type") == law).select(F.col("id").alias("law"))
     ord_ = F.col("doc_ord") * 10
-    # Laws are few by nature; the pairs of a law and what it holds are the result itself.
-    contains = laws.crossJoin(entities).select(F.col("law").alias("src"), F.concat(F.lit("gdc:"), "n").alias("dst"), F.lit("CONTAINS_GDC").alias("relation"), F.lit(-1).alias("write_ord"))
+    # Every law holds every entity: these pairs are the result itself, so laws, the side that is few, are counted first.
+    n_laws = laws.count()
+    if n_laws > MOST_LAWS:
+        raise ValueError(f"{n_laws} documents of type {law}: edges from each of them to all entities are made for {MOST_LAWS} at most")
+    contains = entities.crossJoin(F.broadcast(laws)).select(F.col("law").alias("src"), F.concat(F.lit("gdc:"), "n").alias("dst"), F.lit("CONTAINS_GDC").alias("relation"), F.lit(-1).alias("write_ord"))
     cites = named.select("id", "doc_type", "doc_ord", F.explode("entity_refs").alias("n"))
     forth = cites.select(F.col("id").alias("src"), F.concat(F.lit("gdc:"), "n").alias("dst"), F.lit("CITES_GDC").alias("relation"), ord_.alias("write_ord"))
     back = with_relation(cites.select(F.concat(F.lit("gdc:"), "n").alias("src"), F.col("id").alias("dst"), F.lit(entity).alias("src_type"), F.col("doc_type").alias("dst_type"), ord_.alias("write_ord")), relations)
@@ -66,7 +67,7 @@ def build(docs: DataFrame, relations: DataFrame, law: str = "REG", guide: str =
         pairs = named.select(F.col("id").alias("src"), F.col("doc_type").alias("src_type"), "doc_ord", F.explode(column).alias("section")).join(targets, "section").where("src <> dst")
         found = with_relation(pairs.withColumn("dst_type", F.lit(kind)), relations, "REFERENCES")
         edges = edges.union(found.select("src", "dst", "relation", (ord_ + step).alias("write_ord")))
-    citing = named.where((F.size("law_refs") > 0) & (F.col("doc_type") != law)).select("id", "doc_type", "doc_ord").crossJoin(laws)
+    citing = named.where((F.size("law_refs") > 0) & (F.col("doc_type") != law)).select("id", "doc_type", "doc_ord").crossJoin(F.broadcast(laws))
     down = with_relation(citing.select(F.col("law").alias("src"), F.col("id").alias("dst"), F.lit(law).alias("src_type"), F.col("doc_type").alias("dst_type"), (ord_ + 4).alias("write_ord")), relations)
     up = citing.join(down.select(F.col("dst").alias("id"), F.col("src").alias("law")), ["id", "law"], "left_semi").select(F.col("id").alias("src"), F.col("law").alias("dst"), F.lit("CITES_REGULATION").alias("relation"), (ord_ + 4).alias("write_ord"))
     edges = last_written(edges.union(down.select("src", "dst", "relation", "write_ord")).union(up))
@@ -113,11 +114,16 @@ def around_entities(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.join(both, "node").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, keep_every: int = 5) -> DataFrame:
+def pagerank(
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, keep_every: int = 5, again: tuple[int, float] | None = (300, 1e-4)
+) -> DataFrame:
     """(query_id, id, rank): personalised PageRank for all queries at once; nodes(id), seeds(query_id, node, weight).
 
     Weights are normalised for each query; what nodes without out-edges hold goes back to the seeds. Stops when no
-    query changes by nodes * tolerance or more, or after ``iterations``. Only that change reaches the driver.
+    query changes by nodes * tolerance or more, or after ``iterations``; then, with ``again``, it goes on up to so many
+    iterations in all and with that tolerance. Only the change, asked every ``keep_every`` iterations, reaches the
+    driver. Each iteration is one sum over what flows along edges, what jumps and what was there, and a table of its
+    own; nodes without rank aren't carried along.
     """
     ids = nodes.select("id").distinct()
     n = ids.count()
@@ -127,29 +133,33 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float
     degree = out.groupBy("src").agg(F.count("*").alias("degree"))
     links = stored(out.join(degree, "src"), "links")
     dead = stored(ids.join(degree, F.col("id") == F.col("src"), "left_anti").select("id"), "dead")
-    frame = stored(total.select("query_id").crossJoin(ids), "frame")  # the result has a row for each query and node
-    ranks = frame.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(1, iterations + 1):
-        flow = ranks.join(links, F.col("id") == F.col("src")).groupBy("query_id", F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("flow"))
-        lost = ranks.join(dead, "id", "left_semi").groupBy("query_id").agg(F.sum("rank").alias("lost"))
-        p, old = F.coalesce("p", F.lit(0.0)), ranks.withColumnRenamed("rank", "old")
-        new = frame.join(flow, ["query_id", "id"], "left").join(jump, ["query_id", "id"], "left").join(lost, "query_id", "left").join(old, ["query_id", "id"])
-        rank = alpha * (F.coalesce("flow", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * p) + (1 - alpha) * p
-        ranks = new.select("query_id", "id", rank.alias("rank"), F.abs(rank - F.col("old")).alias("change"))
-        if k % keep_every == 0 or k == iterations:
-            ranks = stored(ranks, "ranks")
-            change = ranks.groupBy("query_id").agg(F.sum("change").alias("d")).agg(F.max("d").alias("d")).first()["d"]
-            if change is None or change < n * tolerance:
-                break
-        ranks = ranks.drop("change")
-    return ranks.select("query_id", "id", "rank")
+    frame = total.select("query_id").crossJoin(ids)  # the result has a row for each query and node
+    none = F.lit(0.0)
+    ranks, k, settled = frame.withColumn("rank", F.lit(1.0 / max(n, 1))), 0, False
+    for most, small in ((iterations, tolerance), again or (0, 0.0)):
+        while k < most and not settled:
+            k += 1
+            flow = ranks.join(links, F.col("id") == F.col("src")).select("query_id", F.col("dst").alias("id"), (alpha * F.col("rank") / F.col("degree")).alias("part"), none.alias("old"))
+            lost = ranks.join(dead, "id", "left_semi").groupBy("query_id").agg(F.sum("rank").alias("lost"))
+            back = jump.join(lost, "query_id", "left").select("query_id", "id", ((alpha * F.coalesce("lost", none) + (1 - alpha)) * F.col("p")).alias("part"), none.alias("old"))
+            summed = flow.union(back).union(ranks.select("query_id", "id", none.alias("part"), F.col("rank").alias("old"))).groupBy("query_id", "id").agg(F.sum("part").alias("rank"), F.sum("old").alias("old"))
+            ranks = stored(summed.select("query_id", "id", "rank", F.abs(F.col("rank") - F.col("old")).alias("change")), "ranks")
+            if k % keep_every == 0 or k == most:
+                change = ranks.groupBy("query_id").agg(F.sum("change").alias("d")).agg(F.max("d").alias("d")).first()["d"]
+                settled = change is None or change < n * small
+            ranks = ranks.where("rank > 0").select("query_id", "id", "rank")
+    return frame.join(ranks, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("rank", none).alias("rank"))
 
 
 def overlap_seeds(node_words: DataFrame, queries: DataFrame, bonus: float = 0.1, least: float = 0.15, documents: int = 20) -> DataFrame:
     """(query_id, node, node_kind, weight): nodes by the share of a query's words that they have, plus a bonus for
     each; above ``least``; all entities, but the best ``documents`` documents. node_words(node, node_kind, words)."""
+    return overlap_of(node_words.select("node", "node_kind", F.explode(F.array_distinct("words")).alias("w")), queries, bonus, least, documents)
+
+
+def overlap_of(had: DataFrame, queries: DataFrame, bonus: float = 0.1, least: float = 0.15, documents: int = 20) -> DataFrame:
+    """``overlap_seeds`` from the distinct words of the nodes as rows, had(node, node_kind, w)."""
     asked = queries.select("query_id", F.size("words").alias("n"), F.explode("words").alias("w"))
-    had = node_words.select("node", "node_kind", F.explode(F.array_distinct("words")).alias("w"))
     shared = asked.join(had, "w").groupBy("query_id", "node", "node_kind", "n").agg(F.count("*").alias("o"))
     weighed = shared.withColumn("weight", F.col("o") / F.col("n") + bonus * F.col("o")).where(F.col("weight") > least)
     rank = F.row_number().over(Window.partitionBy("query_id", "node_kind").orderBy(F.desc(F.floor(F.col("weight") * 1e6 + 0.5)), "node"))

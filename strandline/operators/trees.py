@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import snippet, tokens, weighted_section
 from strandline.operators.bm25 import best, index, scores
+from strandline.session import stored
 
 
 def flatten(trees: DataFrame, deepest: int = 32) -> DataFrame:
@@ -27,9 +28,9 @@ def flatten(trees: DataFrame, deepest: int = 32) -> DataFrame:
             F.get_json_object("node", "$.title").alias("title"), F.get_json_object("node", "$.summary").alias("summary"),
             F.get_json_object("node", "$.start_index").cast("int").alias("start_index"), F.get_json_object("node", "$.end_index").cast("int").alias("end_index"),
             F.from_json(F.coalesce(F.get_json_object("node", "$.nodes"), F.lit("[]")), "array<string>").alias("children"),
-        ).persist()
+        )
+        rows = stored(rows, "level")
         if rows.isEmpty():
-            rows.unpersist()
             break
         own = rows.select(*[c for c in rows.columns if c != "children"], F.size("children").alias("n_children"))
         out = own if out is None else out.union(own)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.text import numbered, ordered_case, strip
+from strandline.functions.text import numbered, ordered_case, strip, unfenced
 from strandline.operators.extract import question_refs
 
 # Patterns of what a question's core begins with (at the begin of a line, in any case), and what a rule's text begins with.
@@ -27,6 +27,7 @@ MARKERS = (
     r"(?:It appears|It is unclear|It is not clear|The staff notes)",
     r"(?:a|b|c|1|2|3)\.\s+(?:Provide|Explain|Clarify|Describe|Identify|Justify|Address)",
 )
+# Fixed values as well: what a rule's text begins with, and the header before a background.
 RULE_BEGIN = r"^\s*(?:10\s*CFR|GDC|General Design|SRP Section|Standard Review|To meet the requirements|Regulatory [Bb]asis)"
 HEADER = r"(?i)^\s*(Regulatory\s+(?:Background|Basis)\s*:?\s*\n)"
 
@@ -74,9 +75,11 @@ def total_refs(refs: Column) -> Column:
 
 
 def capped(rows: DataFrame, group: str, order: list[str], most: int = 15) -> DataFrame:
-    """The first rows of each group; rows whose group is empty aren't capped."""
+    """The first rows of each group; rows whose group is empty aren't capped. As the rank alone decides, tasks keep the
+    first rows of a group before anything is shuffled."""
+    empty = F.coalesce(F.col(group).cast("string") == "", F.lit(False))
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("_p", place).where((F.col("_p") <= most) | (F.col(group).cast("string") == "")).drop("_p")
+    return rows.where(~empty).withColumn("_p", place).where(F.col("_p") <= most).drop("_p").union(rows.where(empty))
 
 
 def with_ordinals(rows: DataFrame, group: list[str], order: list[str], out: str = "id", width: int = 3) -> DataFrame:
@@ -122,6 +125,46 @@ def unskipped(queries: Column) -> Column:
     return F.filter(queries, lambda q: F.coalesce(q["answerable_without_fsar"], F.lit(True)))
 
 
+GENERATED = "struct<queries:array<struct<query:string,sub_difficulty:string,target_concepts:array<string>,answerable_without_fsar:boolean>>,skip_reason:string>"
+
+
+def step_two(replies: DataFrame, column: str = "reply") -> DataFrame:
+    """A generator's replies as ``generated_queries``, those that need the applicant's report left out, and ``skip_reason``."""
+    found = F.from_json(unfenced(F.col(column)), GENERATED)
+    rows = replies.withColumn("_g", found)
+    return rows.select("*", unskipped(F.coalesce(F.col("_g")["queries"], F.array().cast("array<struct<query:string,sub_difficulty:string,target_concepts:array<string>,answerable_without_fsar:boolean>>"))).alias("generated_queries"), F.coalesce(F.col("_g")["skip_reason"], F.lit("")).alias("skip_reason")).drop("_g")
+
+
+def flat_queries(rows: DataFrame) -> DataFrame:
+    """One row for each of the generated queries: (id, section, place, difficulty, query, target_concepts)."""
+    each = rows.select("id", "section_number", F.posexplode("generated_queries").alias("place", "q"))
+    return each.select("id", F.col("section_number").alias("section"), "place", F.coalesce("q.sub_difficulty", F.lit("?")).alias("difficulty"), "q.query", F.coalesce("q.target_concepts", F.array().cast("array<string>")).alias("target_concepts"))
+
+
+def flat_truth(rows: DataFrame) -> DataFrame:
+    """Questions to evaluate: answered and answerable ones, the evidence's file names as ids of documents."""
+    good = rows.where((F.coalesce("ground_truth", F.lit("")) != "") & F.coalesce("answerable", F.lit(False)))
+    return good.select(F.col("id").alias("query_id"), "query", F.col("ground_truth").alias("gt_answer"), F.transform(F.coalesce("evidence_docs", F.array().cast("array<string>")), lambda x: F.replace(x, F.lit(".pdf"), F.lit(""))).alias("matched_docs"), F.coalesce("difficulty", F.lit("?")).alias("difficulty"))
+
+
+def judged(rows: DataFrame, column: str | None = "reply") -> DataFrame:
+    """Rows that a judge's replies let pass, with ``judge_verdict`` and ``judge_issues``; a reply that isn't such JSON fails.
+    Without a judge all rows pass, marked SKIP."""
+    if column is None:
+        return rows.withColumn("judge_verdict", F.lit("SKIP")).withColumn("judge_issues", F.array().cast("array<string>"))
+    found = F.from_json(unfenced(F.col(column)), "struct<verdict:string,issues:array<string>>")
+    marked = rows.withColumn("judge_verdict", F.coalesce(found["verdict"], F.lit("FAIL"))).withColumn("judge_issues", F.coalesce(found["issues"], F.array().cast("array<string>")))
+    return marked.where(F.col("judge_verdict") == "PASS")
+
+
+def step_four(rows: DataFrame, judge: str | None = None, least: int = 20) -> DataFrame:
+    """The rows (id, source, query, ground_truth, answerable, confidence, ...) that no rule and no judge rejects, with ids given anew."""
+    kept = rows.where(reject_reason(F.col("ground_truth"), F.col("answerable"), F.col("confidence"), F.col("query"), least).isNull())
+    kept = judged(kept, judge)
+    number = F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1
+    return kept.withColumn("id", numbered(F.concat("source", F.lit("_Q")), number, 4))
+
+
 def pending(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Rows that an earlier run didn't finish."""
     return rows.join(done.select(key), key, "left_anti")
@@ -140,9 +183,9 @@ def with_evidence(relevant: Column, doc: Column) -> Column:
 
 
 def round_robin(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
-    """One row of each group in turn, groups by name, until there are n."""
+    """One row of each group in turn, groups by name, until there are n: of no group more than n are needed."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("turn", turn).orderBy("turn", group, *order).limit(n)
+    return rows.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", group, *order).limit(n)
 
 
 def heads(rows: DataFrame, group: str, names: list[str], order: list[str], n: int) -> DataFrame:

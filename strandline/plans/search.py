@@ -33,11 +33,11 @@ class Limits:
 
 @dataclass
 class Corpus:
-    """What a search reads. docs(doc_id, text, words), nodes and edges of the graph with ids as doc_ids there,
+    """What a search reads. docs(doc_id, words) or a BM25 index of them, nodes and edges of the graph with ids as doc_ids there,
     vectors(doc_id, v), sections(tree_nodes); cites and in_chapter (doc_id, concept), entities and chapters
     (concept, words). Parts that are None are skipped."""
 
-    docs: DataFrame
+    docs: DataFrame | bm25.Index
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     vectors: DataFrame | None = None
@@ -67,7 +67,8 @@ def route(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, how:
     hinted = hints(ask(queries.select("query_id", "text"), "text", "reply", corpus.decomposer, factory=False), "reply")
     asked = hinted.select(F.col("query_id").alias("own"), F.posexplode(F.concat(F.array("text"), F.col("hints.sub_queries"))).alias("sub", "text"))
     asked = asked.select("own", F.struct("own", "sub").alias("query_id"), "text", tokens(F.col("text")).alias("tokens"))
-    parts = [("rc", bm25.search(corpus.docs.select("doc_id", F.col("words").alias("tokens")), asked, limits.pool))]
+    docs = corpus.docs if isinstance(corpus.docs, bm25.Index) else corpus.docs.select("doc_id", F.col("words").alias("tokens"))
+    parts = [("rc", bm25.search(docs, asked, limits.pool))]
     if corpus.nodes is not None:
         parts.append(("kg_cs", constraint.search(asked, corpus.nodes, corpus.edges, limits.pool)))
         parts.append(("kg_fr", graph_hits(corpus, asked.select("query_id", without(F.col("tokens"), STOP_WORDS).alias("words")), limits.pool, limits.rank_iterations)))
@@ -97,8 +98,10 @@ def sections(picked: DataFrame, nodes: DataFrame, queries: DataFrame, limits: Li
     of its first documents as well, unless they were found (or found without content) before.
     """
     limits = limits or Limits()
-    have = picked.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = trees.section_search(have, nodes, queries, limits.sections)
+    # The trees of the picked documents alone are read from here on, several times.
+    nodes = stored(nodes.join(picked.select("doc_id").distinct(), "doc_id", "left_semi"), "nodes")
+    have = stored(picked.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi"), "have")
+    found = stored(trees.section_search(have, nodes, queries, limits.sections), "found")
     columns = ["query_id", "doc_id", "node_id", "title", F.coalesce("summary", F.lit("")).alias("content"), page_range(F.col("start_index"), F.col("end_index")).alias("pages")]
     hit = found.select(*columns, F.col("rank").cast("long").alias("place"), F.lit(True).alias("from_search"))
     full = hit.where(F.length("content") > 0)
@@ -126,12 +129,38 @@ def contexts(picked: DataFrame, chosen: DataFrame, limits: Limits | None = None)
     block = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(" "), F.col("node_id"), F.lit("] "), F.substring("title", 1, limits.title), F.lit(" (pp. "), F.col("pages"), F.lit(")\n"), shown)
     text = F.when(F.col("left") > 0, block)
     body = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("left") > 0, F.struct("place", "doc_id", "node_id", text.alias("t"))))).alias("b"), F.max((F.col("left") <= 0).cast("int")).alias("cut"))
+    # A document whose tree isn't there is named all the same, with what is known of it.
     names = picked.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("d")))), lambda x: x["d"]), ", ").alias("names"))
     head = F.concat(F.lit("Documents: "), F.col("names"))
     end = F.when(F.col("cut") == 1, F.lit("(context limit reached)"))
     return names.join(body, "query_id", "left").select("query_id", F.concat_ws("\n\n", head, F.array_join(F.transform("b", lambda x: x["t"]), "\n\n"), end).alias("context"))
 
 
+def without_trees(picked: DataFrame, meta: DataFrame, shown: int = 3) -> DataFrame:
+    """(query_id, context) from metadata alone, for queries none of whose documents has a tree: meta(doc_id, doc_type,
+    display_name, title, filename, page_count, guide_refs, entity_refs, plan_refs). Documents without metadata are left out."""
+    refs = [F.concat(F.lit(name + "=["), F.array_join(F.slice(c, 1, shown), ", "), F.lit("]")) for name, c in (("RG", "guide_refs"), ("GDC", "entity_refs"), ("SRP", "plan_refs"))]
+    block = F.concat(F.lit("["), "doc_type", F.lit("] "), "display_name", F.lit(": "), "title", F.lit("\n  File: "), "filename", F.lit(" ("), F.col("page_count").cast("string"), F.lit("p)\n  Cross-refs: "), F.array_join(F.array(*refs), ", "))
+    rows = picked.join(meta, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("t")))).alias("b"))
+    return rows.select("query_id", F.concat(F.lit("Documents (no trees available):\n"), F.array_join(F.transform("b", lambda x: x["t"]), "\n")).alias("context"))
+
+
+def trace(picked: DataFrame, chosen: DataFrame, contexts_: DataFrame) -> DataFrame:
+    """(query_id, step, line): what a search did, a line for each step."""
+    names = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("d")))), 1, 5), lambda x: x["d"])
+    one = picked.groupBy("query_id").agg(F.concat(F.lit("[Layer 1] Selected "), F.count("*").cast("string"), F.lit(" docs: "), F.array_join(names, ", "), F.when(F.count("*") > 5, "...").otherwise("")).alias("line"))
+    sections_ = chosen.groupBy("query_id").agg(F.count_if("from_search").alias("found"), F.count("*").alias("n"))
+    both = picked.select("query_id").distinct().join(sections_, "query_id", "left").select("query_id", F.coalesce("found", F.lit(0)).cast("string").alias("found"), F.coalesce("n", F.lit(0)).cast("string").alias("n"))
+    two = both.select("query_id", F.when(F.col("found") == "0", "[Layer 2] No search results, browsing top-level.").otherwise(F.concat(F.lit("[Layer 2] Search found "), "found", F.lit(" sections."))).alias("line"))
+    three = both.select("query_id", F.concat(F.lit("[Layer 2] Retrieved "), "n", F.lit(" sections total.")).alias("line"))
+    four = contexts_.select("query_id", F.concat(F.lit("[Done] Context: "), F.length("context").cast("string"), F.lit(" chars.")).alias("line"))
+    out = None
+    for k, lines in enumerate((one, two, three, four), 1):
+        rows = lines.select("query_id", F.lit(k).alias("step"), "line")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def search(corpus: Corpus, queries: DataFrame, limits: Limits | None = None) -> DataFrame:
     """(query_id, context) of the whole two-layer search."""
     picked, _ = route(corpus, queries, limits)

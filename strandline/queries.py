@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions import text as X
-from strandline.operators import bm25, dense, extract, fusion, graph, trees
+from strandline.operators import bm25, constraint, dense, extract, fusion, graph, trees
 from strandline.plans import evaluate, qa, search
-from strandline.session import shared_path, table
+from strandline.session import shared_path, stored, table
 from strandline.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +38,25 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # What several queries share, and its SQL.
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, d: str, name: str, make: Callable[[], object]) -> object:
+    """What several queries read, made once for a session's tables: an index is built once and then asked."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def corpus_index(spark: SparkSession, d: str) -> bm25.Index:
+    """The BM25 index of the documents."""
+    return kept(spark, d, "index", lambda: bm25.index(table(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))))
+
+
+def document_words(spark: SparkSession, d: str) -> DataFrame:
+    """(node, node_kind, w): the distinct words of the documents, which are the postings of the index."""
+    return corpus_index(spark, d).postings.select(F.col("doc_id").alias("node"), F.lit("document").alias("node_kind"), F.col("term").alias("w"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -135,13 +152,13 @@ CENTRES = """
 
 @query(f"WITH {RC} SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, {M('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS rank FROM rc WHERE score > 0) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = bm25.search(corpus(spark, d), questions(spark, d), 10)
+    found = bm25.search(corpus_index(spark, d), questions(spark, d), 10)
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), X.micro(F.col("score")).alias("score"))
 
 
 @query(f"WITH {TOKENS} SELECT term, df, {M('idf')} AS idf, n, {M('avgdl')} AS avgdl FROM terms, stats")
 def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
-    found = bm25.index(corpus(spark, d))
+    found = corpus_index(spark, d)
     return found.terms.crossJoin(F.broadcast(found.stats)).select("term", "df", X.micro(F.col("idf")).alias("idf"), "n", X.micro(F.col("avgdl")).alias("avgdl"))
 
 
@@ -181,9 +198,8 @@ STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
   SELECT query_id, node, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, node) AS r FROM x) WHERE r <= 20"""
 )
 def seed_nodes(spark: SparkSession, d: str) -> DataFrame:
-    had = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.lit("document").alias("node_kind"), X.tokens(F.col("text")).alias("words"))
     asked = questions(spark, d).select("query_id", X.without(F.col("tokens"), X.STOP_WORDS).alias("words"))
-    return graph.overlap_seeds(had, asked).select("query_id", "node", X.micro(F.col("weight")).alias("weight"))
+    return graph.overlap_of(document_words(spark, d), asked).select("query_id", "node", X.micro(F.col("weight")).alias("weight"))
 
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'ri') OR contains(lower(p_brand), 'ri') OR contains(lower(p_type), 'ri')")
@@ -206,10 +222,11 @@ def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
     return near.join(names.withColumn("size", F.length("name").cast("long")), "size").withColumn("score", score).where("score >= 0.8").select("mention", "name", X.micro(F.col("score")).alias("score"))
 
 
-@query(f"WITH {PAGE_LINKS} SELECT l.src AS page, o.p_partkey AS part FROM links l JOIN part o ON l.dst = 'path:/' || split_part(o.p_name, ' ', 1)")
+@query(f"WITH {PAGE_LINKS} SELECT l.src AS page, o.doc_id FROM links l JOIN documents o ON l.dst = 'path:/' || split_part(o.text, ' ', 1)")
 def exact_link(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").select(F.concat(F.lit("path:/"), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("dst"), F.col("p_partkey").alias("part"))
-    return links(spark, d).join(parts, "dst").select(F.col("src").alias("page"), "part")
+    """Pages and the documents that begin with the very word they link to."""
+    names = table(spark, d, "documents").select(F.concat(F.lit("path:/"), F.split_part("text", F.lit(" "), F.lit(1))).alias("dst"), "doc_id")
+    return links(spark, d).join(names, "dst").select(F.col("src").alias("page"), "doc_id")
 
 
 # The graph.
@@ -269,6 +286,72 @@ def entity_to_docs_bidir(spark: SparkSession, d: str) -> DataFrame:
     return graph.around_entities(edges, seeds).select("id", "score")
 
 
+TYPED = """
+  typed AS (SELECT 'R' || r_regionkey AS doc_id, r_regionkey::BIGINT AS ord, 'REG' AS doc_type, r_regionkey::VARCHAR AS section_number, [] AS ents, [] AS plans, [] AS laws FROM region
+    UNION ALL SELECT 'N' || n_nationkey, 100 + n_nationkey, 'SRP', n_nationkey || '.1', [(n_nationkey % 7)::VARCHAR], [], [n_regionkey::VARCHAR] FROM nation
+    UNION ALL SELECT 'S' || s_suppkey, 1000000000 + s_suppkey, 'DSRS', s_nationkey || '.1', [(s_suppkey % 7)::VARCHAR], [s_nationkey || '.1'], [] FROM supplier
+    UNION ALL SELECT 'C' || c_custkey, 2000000000000 + c_custkey, 'UNKNOWN', '', [], [c_nationkey || '.1'], [] FROM customer),
+  rel(a, b, r) AS (VALUES ('REG', 'SRP', 'ESTABLISHES_CRITERIA'), ('GDC', 'SRP', 'IMPOSES_REQUIREMENT'), ('GDC', 'DSRS', 'IMPOSES_REQUIREMENT'), ('SRP', 'DSRS', 'ADAPTED_FOR_NUSCALE'), ('DSRS', 'SRP', 'BASED_ON')),
+  cited AS (SELECT doc_id, doc_type, ord, unnest(ents) AS n FROM typed),
+  written AS (SELECT 'doc:' || doc_id AS src, 'gdc:' || n AS dst, 'CONTAINS_GDC' AS relation, -1::BIGINT AS w FROM typed, (SELECT DISTINCT n FROM cited) WHERE doc_type = 'REG'
+    UNION ALL SELECT 'doc:' || doc_id, 'gdc:' || n, 'CITES_GDC', ord * 10 FROM cited
+    UNION ALL SELECT 'gdc:' || n, 'doc:' || doc_id, r, ord * 10 FROM cited JOIN rel ON a = 'GDC' AND b = doc_type
+    UNION ALL SELECT 'doc:' || p.doc_id, 'doc:' || t.doc_id, coalesce(r, 'REFERENCES'), p.ord * 10 + 2 FROM (SELECT doc_id, doc_type, ord, unnest(plans) AS s FROM typed) p JOIN typed t ON t.doc_type = 'SRP' AND t.section_number = p.s LEFT JOIN rel ON a = p.doc_type AND b = 'SRP'
+    UNION ALL SELECT 'doc:' || l.doc_id, 'doc:' || d.doc_id, 'ESTABLISHES_CRITERIA', d.ord * 10 + 4 FROM typed l JOIN typed d ON l.doc_type = 'REG' AND d.doc_type = 'SRP'
+    UNION ALL SELECT 'doc:' || d.doc_id, 'doc:' || l.doc_id, 'CITES_REGULATION', d.ord * 10 + 4 FROM typed l JOIN typed d ON l.doc_type = 'REG' AND d.doc_type = 'SRP'),
+  one AS (SELECT src, dst, arg_max(relation, w) AS relation FROM written GROUP BY ALL),
+  twins AS (SELECT 'doc:' || n.doc_id AS src, 'doc:' || s.dst AS dst FROM typed n JOIN (SELECT section_number, arg_max(doc_id, ord) AS dst FROM typed WHERE doc_type = 'DSRS' GROUP BY 1) s USING (section_number) WHERE doc_type = 'SRP'),
+  built AS (SELECT * FROM one UNION ALL SELECT src, dst, 'ADAPTED_FOR_NUSCALE' FROM twins WHERE (src, dst) NOT IN (SELECT src, dst FROM one) UNION ALL SELECT dst, src, 'BASED_ON' FROM twins WHERE (dst, src) NOT IN (SELECT src, dst FROM one))"""
+
+
+def typed_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The relation graph of regions as laws, nations as plans, suppliers as special plans and customers as other documents."""
+    return kept(spark, d, "graph", lambda: tuple(stored(x, "graph") for x in _typed_graph(spark, d)))
+
+
+def _typed_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = lambda n: table(spark, d, n)
+    text = lambda c: F.col(c).cast("string")
+    section, none = lambda c: F.concat(text(c), F.lit(".1")), F.array().cast("array<string>")
+
+    def docs(rows: DataFrame, letter: str, key: str, base: int, kind: str, number: Column, ents: Column, plans: Column, laws: Column) -> DataFrame:
+        return rows.select(
+            (F.lit(base).cast("long") + F.col(key)).alias("doc_ord"), F.concat(F.lit(letter), text(key)).alias("doc_id"), F.lit(kind).alias("doc_type"), number.alias("section_number"), F.lit("").alias("title"),
+            ents.alias("entity_refs"), none.alias("guide_refs"), plans.alias("plan_refs"), none.alias("special_refs"), laws.alias("law_refs"),
+        )
+
+    every = docs(t("region"), "R", "r_regionkey", 0, "REG", text("r_regionkey"), none, none, none)
+    every = every.union(docs(t("nation"), "N", "n_nationkey", 100, "SRP", section("n_nationkey"), F.array((F.col("n_nationkey") % 7).cast("string")), none, F.array(text("n_regionkey"))))
+    every = every.union(docs(t("supplier"), "S", "s_suppkey", 1_000_000_000, "DSRS", section("s_nationkey"), F.array((F.col("s_suppkey") % 7).cast("string")), F.array(section("s_nationkey")), none))
+    every = every.union(docs(t("customer"), "C", "c_custkey", 2_000_000_000_000, "UNKNOWN", F.lit(""), none, F.array(section("c_nationkey")), none))
+    relations = spark.createDataFrame([("REG", "SRP", "ESTABLISHES_CRITERIA"), ("GDC", "SRP", "IMPOSES_REQUIREMENT"), ("GDC", "DSRS", "IMPOSES_REQUIREMENT"), ("SRP", "DSRS", "ADAPTED_FOR_NUSCALE"), ("DSRS", "SRP", "BASED_ON")], "src_type string, dst_type string, relation string")
+    return graph.build(every, relations)
+
+
+@query(f"WITH {TYPED} SELECT src, dst, relation FROM built")
+def graph_build(spark: SparkSession, d: str) -> DataFrame:
+    """Every edge of the typed graph, written in order, later ones over earlier ones, and the pairs by section last."""
+    return typed_graph(spark, d)[1]
+
+
+NAMED = """
+  q AS (SELECT n_nationkey AS query_id, n_nationkey % 3 AS way FROM nation),
+  direct AS (SELECT query_id, 'doc:' || doc_id AS id FROM q JOIN typed ON (way = 0 AND doc_type = 'SRP' OR way = 1 AND doc_type = 'DSRS') AND section_number = query_id || '.1'),
+  ent AS (SELECT query_id, 'gdc:' || query_id % 7 AS id FROM q WHERE way = 2 AND 'gdc:' || query_id % 7 IN (SELECT 'gdc:' || n FROM cited)),
+  e1 AS (SELECT DISTINCT query_id, dst AS id FROM ent JOIN built ON src = id), e2 AS (SELECT query_id, dst AS id FROM e1 JOIN built ON src = id), n1 AS (SELECT query_id, dst AS id FROM direct JOIN built ON src = id),
+  scored AS (SELECT query_id, id, max(s) AS score FROM (SELECT *, 1000000 AS s FROM direct UNION ALL SELECT *, 500000 FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM n1) WHERE starts_with(id, 'doc:')) GROUP BY ALL)"""
+
+
+@query(f"WITH {TYPED}, {NAMED} SELECT query_id, doc_id, rank, score::BIGINT AS score FROM (SELECT query_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 20")
+def constraint_search(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each nation that names a plan, a special plan or a criterion, in words, over the typed graph."""
+    k = F.col("n_nationkey")
+    text = F.element_at(F.array(F.concat(F.lit("What does SRP "), k.cast("string"), F.lit(".1 ask for?")), F.concat(F.lit("the limits of dsrs "), k.cast("string"), F.lit(".1")), F.concat(F.lit("How is GDC "), (k % 7).cast("string"), F.lit(" met?"))), (k % 3 + 1).cast("int"))
+    asked = table(spark, d, "nation").select(k.alias("query_id"), text.alias("text"))
+    found = constraint.search(asked, *typed_graph(spark, d))
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), X.micro(F.col("score")).alias("score"))
+
+
 _STEP = "r{k} AS (SELECT n.id, 0.85::DOUBLE * (coalesce(f.flow, 0) + (SELECT coalesce(sum(r), 0) FROM r{j} WHERE id NOT IN (SELECT src FROM und)) * coalesce(p.p, 0)) + (1 - 0.85::DOUBLE) * coalesce(p.p, 0) AS r FROM nodes n LEFT JOIN (SELECT dst, sum(r / deg) AS flow FROM r{j} JOIN und ON und.src = r{j}.id JOIN degs USING (src) GROUP BY dst) f ON f.dst = n.id LEFT JOIN p ON p.id = n.id)"
 
 
@@ -282,7 +365,7 @@ def ppr_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = keys_graph(spark, d)
     both = edges.select("src", "dst").union(edges.where("dst_type = 'region'").select("dst", "src"))
     seeds = nodes.where("kind = 'supplier'").select(F.lit(0).alias("query_id"), F.col("id").alias("node"), F.lit(1.0).alias("weight"))
-    found = graph.pagerank(nodes, both, seeds, iterations=6, tolerance=0.0, keep_every=3)
+    found = graph.pagerank(nodes, both, seeds, iterations=6, tolerance=0.0, keep_every=3, again=None)
     return found.select("id", F.floor(F.col("rank") * 1e9 + 0.5).cast("long").alias("rank"))
 
 
@@ -291,15 +374,22 @@ def ppr_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits of three retrievers for the benchmark's questions: BM25, shared words, and references (which short
-    questions lack): a question's own number, and documents of the same source and language as that."""
+    questions lack): a question's own number, and documents of the same source and language as that, the 20 best."""
+    return kept(spark, d, "hits", lambda: stored(_hits(spark, d), "hits"))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
     asked = questions(spark, d)
-    rc = bm25.search(corpus(spark, d), asked, 50).select("query_id", F.lit("rc").alias("source"), "doc_id", "score")
-    had = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.lit("document").alias("node_kind"), X.tokens(F.col("text")).alias("words"))
-    fr = graph.overlap_seeds(had, asked.select("query_id", X.without(F.col("tokens"), X.STOP_WORDS).alias("words"))).select("query_id", F.lit("kg_fr").alias("source"), F.col("node").alias("doc_id"), F.col("weight").alias("score"))
+    rc = bm25.search(corpus_index(spark, d), asked, 50).select("query_id", F.lit("rc").alias("source"), "doc_id", "score")
+    fr = graph.overlap_of(document_words(spark, d), asked.select("query_id", X.without(F.col("tokens"), X.STOP_WORDS).alias("words"))).select("query_id", F.lit("kg_fr").alias("source"), F.col("node").alias("doc_id"), F.col("weight").alias("score"))
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
     named = asked.where(F.length("text") > 200).select("query_id").join(docs, F.col("query_id") == F.col("doc_id")).select("query_id", "source", "lang")
-    near = named.join(docs, ["source", "lang"]).select("query_id", F.lit("kg_cs").alias("source"), "doc_id", F.when(F.col("doc_id") == F.col("query_id"), 1.0).otherwise(0.5).alias("score"))
-    return rc.union(fr).union(near)
+    # All questions of one source and language have the same neighbours: the first ones of each are taken once.
+    place = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))
+    first = docs.withColumn("r", place).where(F.col("r") <= 21).drop("r")
+    near = named.join(first, ["source", "lang"]).where("doc_id <> query_id").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("r") <= 19)
+    own = named.select("query_id", F.lit("kg_cs").alias("source"), F.col("query_id").alias("doc_id"), F.lit(1.0).alias("score"))
+    return rc.union(fr).union(own).union(near.select("query_id", F.lit("kg_cs"), "doc_id", F.lit(0.5)))
 
 
 HITS = RC + f""",
@@ -309,8 +399,9 @@ HITS = RC + f""",
   sx AS (SELECT query_id, node, len(any_value(w)) AS n, count(*) AS o FROM (SELECT query_id, w, unnest(w) AS t FROM sq) JOIN nw USING (t) GROUP BY ALL),
   fr AS (SELECT query_id, 'kg_fr' AS source, node AS doc_id, weight AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {M('weight')} DESC, node) AS r
          FROM (SELECT query_id, node, o / n + 0.1::DOUBLE * o AS weight FROM sx) WHERE weight > 0.15) WHERE r <= 20),
-  cs AS (SELECT b.item_id AS query_id, 'kg_cs' AS source, d.doc_id, CASE WHEN d.doc_id = b.item_id THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score
-         FROM benchmark b JOIN documents o ON o.doc_id = b.item_id JOIN documents d ON d.source = o.source AND d.lang = o.lang WHERE length(b.text) > 200),
+  cs AS (SELECT query_id, 'kg_cs' AS source, doc_id, score FROM (SELECT b.item_id AS query_id, d.doc_id, CASE WHEN d.doc_id = b.item_id THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score,
+         row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id <> b.item_id, d.doc_id) AS r
+         FROM benchmark b JOIN documents o ON o.doc_id = b.item_id JOIN documents d ON d.source = o.source AND d.lang = o.lang WHERE length(b.text) > 200) WHERE r <= 20),
   hits AS (SELECT * FROM rc50 UNION ALL SELECT * FROM fr UNION ALL SELECT * FROM cs)"""
 NORM = """
   norm AS (SELECT query_id, source, doc_id, score, (score - lo) / CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE hi - lo END AS norm FROM
@@ -374,10 +465,11 @@ def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+CONCEPT_STOPS = ", ".join(f"'{w}'" for w in X.CONCEPT_STOP_WORDS)
 BONUS = f"""
   ent AS (SELECT p_brand AS concept, {W("string_agg(DISTINCT p_name, ' ')")} AS w FROM part GROUP BY p_brand),
   cw AS (SELECT lang AS concept, list_distinct(list(t)) AS w FROM (SELECT lang, t, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, t) AS r FROM (SELECT lang, unnest({W('text')}) AS t FROM documents) GROUP BY lang, t) WHERE r <= 12 GROUP BY lang),
-  qw AS (SELECT item_id AS query_id, list_distinct({W('text')}) AS w FROM benchmark),
+  qw AS (SELECT item_id AS query_id, list_filter(list_distinct({W('text')}), lambda x: x NOT IN ({CONCEPT_STOPS})) AS w FROM benchmark),
   ch AS (SELECT query_id, concept FROM qw, cw WHERE len(list_intersect(qw.w, cw.w)) >= 4),
   em AS (SELECT query_id, source AS concept FROM qw, (SELECT source, list_distinct(list(t)) AS w FROM (SELECT source, t, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, t) AS r FROM (SELECT source, unnest({W('text')}) AS t FROM documents) GROUP BY source, t) WHERE r <= 12 GROUP BY source) s WHERE len(list_intersect(qw.w, s.w)) >= 6),
   cited AS (SELECT query_id, doc_id, count(DISTINCT concept) AS n FROM em JOIN documents d ON d.source = em.concept GROUP BY ALL),
@@ -417,9 +509,29 @@ def provenance_pivot(spark: SparkSession, d: str) -> DataFrame:
 # Section trees and the two-layer search.
 
 
-@query(f"WITH {LINES} SELECT * FROM tree")
+def structures(spark: SparkSession, d: str) -> DataFrame:
+    """trees(doc_id, structure): each document's lines, and their sentences where there are several, as JSON."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, k: F.struct(k.alias("k"), x.alias("line"))), lambda x: F.length(x["line"]) > 0)
+
+    def node(line: Column, k: Column, name: Column, nodes: Column) -> Column:
+        return F.struct(F.substring(line, 1, 40).alias("title"), name.alias("node_id"), line.alias("summary"), k.alias("start_index"), k.alias("end_index"), nodes.alias("nodes"))
+
+    none = F.expr("cast(array() as array<struct<title:string,node_id:string,summary:string,start_index:int,end_index:int,nodes:array<string>>>)")
+
+    def root(x: Column) -> Column:
+        parts = F.filter(F.split(x["line"], r"\. "), lambda p: p != "")
+        leaves = F.transform(parts, lambda p, j: node(p, x["k"], F.format_string("L%d.%d", x["k"], j), F.array().cast("array<string>")))
+        return node(x["line"], x["k"], F.format_string("L%d", x["k"]), F.when(F.size(parts) > 1, leaves).otherwise(none))
+
+    return table(spark, d, "documents").select("doc_id", F.to_json(F.transform(lines, root)).alias("structure"))
+
+
+@query(
+    f"""WITH {LINES}, o AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM ls)
+  SELECT t.* REPLACE (lpad(n::VARCHAR, 6, '0') || substring(path_ord, 7) AS path_ord) FROM tree t JOIN o ON o.doc_id = t.doc_id AND o.k = t.start_index"""
+)
 def tree_flatten(spark: SparkSession, d: str) -> DataFrame:
-    return lines_of(spark, d)
+    return trees.flatten(structures(spark, d))
 
 
 @query(f"WITH {LINES} SELECT doc_id, node_id, depth AS relative, title FROM tree WHERE depth < 1 UNION ALL SELECT doc_id || '', node_id, depth - 1, title FROM tree WHERE depth = 1 AND parent_node_id = 'L0'".replace("doc_id || ''", "doc_id"))
@@ -446,9 +558,10 @@ def read_section(spark: SparkSession, d: str) -> DataFrame:
     return lines_of(spark, d).select("doc_id", "node_id", "title", F.coalesce("summary", F.lit("")).alias("content"), X.page_range(F.col("start_index"), F.col("end_index")).alias("pages"))
 
 
-def _sections_sql() -> str:
-    return f"""
-  picked AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS rank FROM rc WHERE score > 0) WHERE rank <= 3),
+def _sections_sql(pick: bool = True) -> str:
+    picked = f"""
+  picked AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS rank FROM rc WHERE score > 0) WHERE rank <= 3),"""
+    return (picked if pick else "") + f"""
   sw AS (SELECT query_id, doc_id || '::' || node_id AS key, {W("title || ' ' || title || ' ' || title || ' ' || coalesce(summary, '')")} AS w FROM picked JOIN tree USING (doc_id)),
   sl AS (SELECT query_id, key, len(w) AS dl FROM sw), ss AS (SELECT query_id, count(*) AS n, avg(dl) AS avgdl FROM sl GROUP BY query_id),
   sp AS (SELECT query_id, key, term, count(*) AS f FROM (SELECT query_id, key, unnest(w) AS term FROM sw) GROUP BY ALL), sd AS (SELECT query_id, term, count(*) AS df FROM sp GROUP BY ALL),
@@ -460,7 +573,7 @@ def _sections_sql() -> str:
 
 
 def _picked(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.search(corpus(spark, d), questions(spark, d), 3).select("query_id", "doc_id", "rank")
+    return kept(spark, d, "picked", lambda: stored(bm25.search(corpus_index(spark, d), questions(spark, d), 3).select("query_id", "doc_id", "rank"), "picked"))
 
 
 @query(f"WITH {RC}, {LINES}, {_sections_sql()} SELECT query_id, key, rank, {M('score')} AS score FROM found")
@@ -469,23 +582,28 @@ def section_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "key", F.col("rank").cast("long").alias("rank"), X.micro(F.col("score")).alias("score"))
 
 
-LIMITS = search.Limits(documents=3, sections=5, chars=400)
+LIMITS = search.Limits()
+ROUTED = f"""
+  rc50 AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS r FROM rc WHERE score > 0) WHERE r <= 50),
+  rn AS (SELECT query_id, doc_id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE max(score) OVER w - min(score) OVER w END AS norm FROM rc50 WINDOW w AS (PARTITION BY query_id)),
+  routed AS (SELECT query_id, doc_id, norm * (0.15::DOUBLE + 0.2::DOUBLE * 0.35::DOUBLE) AS score FROM rn),
+  picked AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS rank FROM routed) WHERE rank <= 10)"""
 TWO_LAYER = f"""
   hit AS (SELECT f.query_id, t.doc_id, t.node_id, t.title, t.summary AS content, t.start_index || '-' || t.end_index AS pages, f.rank AS place FROM found f JOIN tree t ON f.key = t.doc_id || '::' || t.node_id),
   enough AS (SELECT query_id FROM hit WHERE length(content) > 0 GROUP BY query_id HAVING count(*) >= 2),
-  roots AS (SELECT p.query_id, t.*, p.rank, row_number() OVER (PARTITION BY p.query_id, t.doc_id ORDER BY path_ord) AS k FROM picked p JOIN tree t USING (doc_id) WHERE depth = 0 AND p.query_id NOT IN (SELECT query_id FROM enough)),
+  roots AS (SELECT p.query_id, t.*, p.rank, row_number() OVER (PARTITION BY p.query_id, t.doc_id ORDER BY path_ord) AS k FROM picked p JOIN tree t USING (doc_id) WHERE depth = 0 AND p.rank <= 3 AND p.query_id NOT IN (SELECT query_id FROM enough)),
   chosen AS (SELECT * FROM hit WHERE length(content) > 0 UNION ALL SELECT query_id, doc_id, node_id, title, summary, start_index || '-' || end_index, 1000 * rank + k + 1000 FROM roots WHERE k <= 2 AND (query_id, doc_id, node_id) NOT IN (SELECT query_id, doc_id, node_id FROM hit)),
-  run AS (SELECT *, 400 - coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY place, doc_id, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM chosen),
+  run AS (SELECT *, 8000 - coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY place, doc_id, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM chosen),
   texts AS (SELECT query_id, string_agg('[' || doc_id || ' ' || node_id || '] ' || substring(title, 1, 60) || ' (pp. ' || pages || ')' || chr(10) || CASE WHEN length(content) > room THEN substring(content, 1, room::INT) || '...' ELSE content END, chr(10) || chr(10) ORDER BY place, doc_id, node_id) FILTER (room > 0) AS body, bool_or(room <= 0) AS cut FROM run GROUP BY query_id),
   heads AS (SELECT query_id, string_agg(doc_id::VARCHAR, ', ' ORDER BY rank) AS names FROM picked GROUP BY query_id)"""
 
 
-@query(f"WITH {RC}, {LINES}, {_sections_sql()}, {TWO_LAYER} SELECT query_id, 'Documents: ' || names || coalesce(chr(10) || chr(10) || body, '') || CASE WHEN cut THEN chr(10) || chr(10) || '(context limit reached)' ELSE '' END AS context FROM heads LEFT JOIN texts USING (query_id)")
+@query(f"WITH {RC}, {LINES}, {ROUTED}, {_sections_sql(False)}, {TWO_LAYER} SELECT query_id, 'Documents: ' || names || coalesce(chr(10) || chr(10) || body, '') || CASE WHEN cut THEN chr(10) || chr(10) || '(context limit reached)' ELSE '' END AS context FROM heads LEFT JOIN texts USING (query_id)")
 def two_layer_search(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by BM25, sections in them, the fallback to first sections, and the context under its budget."""
-    picked = _picked(spark, d)
-    chosen = search.sections(picked, lines_of(spark, d), questions(spark, d).select("query_id", "text"), LIMITS)
-    return search.contexts(picked, chosen, LIMITS)
+    """The whole search with its default limits: documents by BM25, sections in them, the fallback to first sections,
+    and the context under its budget."""
+    corpus = search.Corpus(docs=corpus_index(spark, d), sections=lines_of(spark, d))
+    return search.search(corpus, questions(spark, d).select("query_id", "text"), LIMITS)
 
 
 @query(
@@ -522,9 +640,92 @@ def chunk_length_split(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk", F.substring("text", F.col("chunk") * 800 + 1, F.lit(1000)).alias("text"))
 
 
+META = "meta AS (SELECT doc_id, lang AS doc_type, lang || ' ' || source AS display_name, substring(text, 1, 40) AS title, 'd' || doc_id || '.pdf' AS filename, n_chars // 1000 AS page_count, ['1.' || doc_id % 9] AS rg, [(doc_id % 60)::VARCHAR, (doc_id % 50)::VARCHAR] AS gdc FROM documents)"
+
+
+def metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with what a metadata file would say of them."""
+    number = lambda n: (F.col("doc_id") % n).cast("string")
+    return table(spark, d, "documents").select(
+        "doc_id", F.col("lang").alias("doc_type"), F.concat_ws(" ", "lang", "source").alias("display_name"), F.substring("text", 1, 40).alias("title"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
+        F.floor(F.col("n_chars") / 1000).alias("page_count"), F.concat(number(20), F.lit(".1")).alias("section_number"), F.array(F.concat(F.lit("1."), number(9))).alias("guide_refs"), F.array(number(60), number(50)).alias("entity_refs"), F.array().cast("array<string>").alias("plan_refs"),
+    )
+
+
+@query(
+    f"""WITH {RC}, {META}, picked AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS rank FROM rc WHERE score > 0) WHERE rank <= 3)
+  SELECT query_id, 'Documents (no trees available):' || chr(10) || string_agg('[' || doc_type || '] ' || display_name || ': ' || title || chr(10) || '  File: ' || filename || ' (' || page_count || 'p)' || chr(10) || '  Cross-refs: RG=[' || rg[1] || '], GDC=[' || array_to_string(gdc, ', ') || '], SRP=[]', chr(10) ORDER BY rank) AS context
+  FROM picked JOIN meta USING (doc_id) GROUP BY query_id"""
+)
+def doc_only_context(spark: SparkSession, d: str) -> DataFrame:
+    """The contexts of the questions as if no document had a tree."""
+    return search.without_trees(_picked(spark, d), metadata(spark, d))
+
+
+@query(
+    f"""WITH {META}, t(chapter, topic) AS (VALUES ('3', 'structures'), ('7', 'controls')), e(n, w) AS (VALUES ('4', 'environment'), ('17', 'power'))
+  SELECT doc_id, lower(title || ' ' || display_name || ' ' || doc_type || ' ' || doc_id % 20 || '.1' || coalesce(' ' || topic, '') || ' GDC ' || gdc[1] || ' general design criterion ' || gdc[1] || ' ' || coalesce(a.w, '') || ' GDC ' || gdc[2] || ' general design criterion ' || gdc[2] || ' ' || coalesce(b.w, '') || ' regulatory guide ' || rg[1]) AS text
+  FROM meta LEFT JOIN t ON chapter = (doc_id % 20)::VARCHAR LEFT JOIN e a ON a.n = gdc[1] LEFT JOIN e b ON b.n = gdc[2]"""
+)
+def enriched_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What documents are found by: names, chapter topics, and what their references say."""
+    topics = spark.createDataFrame([("3", "structures"), ("7", "controls")], "chapter string, topic string")
+    return extract.enriched(metadata(spark, d), topics, spark.createDataFrame([("4", "environment"), ("17", "power")], "entity string, description string"))
+
+
+@query(
+    f"""WITH {RC}, {LINES}, {ROUTED}, {_sections_sql(False)}, {TWO_LAYER}, n AS (SELECT query_id, count(*) AS docs, string_agg(doc_id::VARCHAR, ', ' ORDER BY rank) FILTER (rank <= 5) AS names FROM picked GROUP BY 1),
+  s AS (SELECT p.query_id, (SELECT count(*) FROM chosen c WHERE c.query_id = p.query_id AND c.place < 1000) AS hits, (SELECT count(*) FROM chosen c WHERE c.query_id = p.query_id) AS total FROM n p)
+  SELECT query_id, 1 AS step, '[Layer 1] Selected ' || docs || ' docs: ' || names || CASE WHEN docs > 5 THEN '...' ELSE '' END AS line FROM n
+  UNION ALL SELECT query_id, 2, CASE WHEN hits = 0 THEN '[Layer 2] No search results, browsing top-level.' ELSE '[Layer 2] Search found ' || hits || ' sections.' END FROM s
+  UNION ALL SELECT query_id, 3, '[Layer 2] Retrieved ' || total || ' sections total.' FROM s
+  UNION ALL SELECT query_id, 4, '[Done] Context: ' || length('Documents: ' || names || coalesce(chr(10) || chr(10) || body, '') || CASE WHEN cut THEN chr(10) || chr(10) || '(context limit reached)' ELSE '' END) || ' chars.' FROM heads LEFT JOIN texts USING (query_id)"""
+)
+def search_trace(spark: SparkSession, d: str) -> DataFrame:
+    """What the two-layer search did for each question, line by line."""
+    corpus = search.Corpus(docs=corpus_index(spark, d), sections=lines_of(spark, d))
+    asked = questions(spark, d).select("query_id", "text")
+    picked, _ = search.route(corpus, asked, LIMITS)
+    chosen = stored(search.sections(picked, corpus.sections, asked, LIMITS), "chosen")
+    return search.trace(picked, chosen, search.contexts(picked, chosen, LIMITS))
+
+
 # Extraction.
 
 
+@query(
+    r"""WITH t AS (SELECT doc_id, ['RG', 'REG', 'SRP', 'DSRS', 'UNKNOWN'][doc_id % 5 + 1] AS kind, doc_id % 90 + 1 AS n FROM documents)
+  SELECT 'd_' || doc_id AS doc_id, kind AS doc_type, CASE kind WHEN 'RG' THEN '1.' || n WHEN 'REG' THEN (n)::VARCHAR WHEN 'UNKNOWN' THEN '' ELSE '6.' || n END AS section_number,
+    CASE kind WHEN 'RG' THEN 'Water Sources ' || n WHEN 'REG' THEN 'Domestic Licensing of Production and Utilization Facilities' WHEN 'UNKNOWN' THEN '' ELSE 'HEAT REMOVAL' END AS title,
+    CASE WHEN kind IN ('RG', 'SRP', 'DSRS') THEN (n % 4)::VARCHAR ELSE '' END AS revision, CASE WHEN kind = 'RG' THEN 'March 2012' ELSE '' END AS issue_date, [(n)::VARCHAR] AS entity_refs, 5 AS page_count FROM t"""
+)
+def extract_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Files of five pages of each type, the documents' texts being their later pages, through the whole extraction."""
+    k, n = (F.col("doc_id") % 5).cast("int"), (F.col("doc_id") % 90 + 1).cast("string")
+    rev = F.concat(F.lit(" Revision "), ((F.col("doc_id") % 90 + 1) % 4).cast("string"))
+    first = F.element_at(F.array(
+        F.concat(F.lit("REGULATORY GUIDE 1."), n, rev, F.lit("\n(Task)\n Water Sources "), n, F.lit("\n A. INTRODUCTION Issue Date: March 2012 ")),
+        F.concat(F.lit("10 CFR rules Part "), n, F.lit(" of all ")), F.concat(F.lit("STANDARD REVIEW PLAN"), rev, F.lit(" 6."), n, F.lit(" HEAT REMOVAL\nx ")),
+        F.concat(F.lit("DESIGN-SPECIFIC REVIEW STANDARD"), rev, F.lit(" for NuScale plants\n 6."), n, F.lit(" HEAT REMOVAL\n x ")), F.lit("nothing of note "),
+    ), k + 1)
+    plain = F.lower(F.regexp_replace("text", r"[0-9]", ""))
+    pages = F.array(first, F.lit("second "), F.lit("third "), plain, F.concat(F.lit(" GDC "), n, F.lit(" ")))
+    found = extract.documents(table(spark, d, "documents").select(F.concat(F.lit("d "), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), pages.alias("pages")))
+    return found.select("doc_id", "doc_type", "section_number", "title", "revision", "issue_date", "entity_refs", "page_count")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents), s AS (SELECT doc_id, 0 AS k, 'I. AREAS OF REVIEW' AS title, 'I. AREAS OF REVIEW ' || lower(substring(t, 1, 300)) AS body, t FROM p UNION ALL SELECT doc_id, 1, 'II. ACCEPTANCE CRITERIA', 'II. ACCEPTANCE CRITERIA ' || lower(substring(t, 301, 400)), t FROM p),
+  w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_filter(list_distinct({W('substring(t, 200, 300)')}), lambda x: length(x) > 3 AND contains(lower(body), x))) DESC, k) AS r FROM s WHERE length(body) > 100)
+  SELECT p.doc_id AS id, coalesce(w.title, 'Full Document') AS title, coalesce(w.body, substring('I. AREAS OF REVIEW ' || lower(substring(t_, 1, 300)) || chr(10) || 'II. ACCEPTANCE CRITERIA ' || lower(substring(t_, 301, 400)), 1, 8000)) AS body FROM (SELECT doc_id, t AS t_ FROM p) p LEFT JOIN w ON w.doc_id = p.doc_id AND r = 1"""
+)
+def best_heading(spark: SparkSession, d: str) -> DataFrame:
+    """Of two headed sections made from each document, the one that holds most words of a passage across both."""
+    t = F.replace("text", F.lit("\n"), F.lit(" "))
+    text = F.concat(F.lit("I. AREAS OF REVIEW "), F.lower(F.substring(t, 1, 300)), F.lit("\nII. ACCEPTANCE CRITERIA "), F.lower(F.substring(t, 301, 400)))
+    return extract.best_section(table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text"), F.substring(t, 200, 300).alias("query")))
+
+
 @query(
     r"""SELECT doc_id, CASE WHEN contains(text, ' | ') THEN 'TABLE' WHEN regexp_matches(text, '[A-Z]{2,}!!') THEN 'SHOUT' WHEN contains(substring(text, 1, 100), '###') OR contains(text, '%%%') THEN 'SIGNS'
   WHEN regexp_matches(text, '\d+\.\d+') THEN 'NUMBERS' ELSE 'UNKNOWN' END AS kind FROM documents"""
@@ -591,14 +792,31 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
 def best_section(spark: SparkSession, d: str) -> DataFrame:
     """Of a document's lines as sections, the one with most words of its begin."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.substring("text", 1, 60).alias("query"))
-    return extract.best_section(rows, [r"(?dm)^(.+)$"], r"^(\S+)").select("id", "body")
+    return extract.best_section(rows, (r"(?dm)^(.+)$",), r"^(\S+)").select("id", "body")
 
 
-@query()
+BLANK = "' ' || chr(10) || chr(9) || chr(13)"
+ASKED = """
+  asks AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN text ELSE text || chr(10) || 'Please explain how ' || text END AS q, text, turn % 4 = 0 AS plain FROM conversations WHERE role = 'user')"""
+SPLIT = f"""{ASKED},
+  halves AS (SELECT *, length(q) // 2 AS half, strpos(substring(q, length(q) // 2 + 1), chr(10)) AS line FROM asks),
+  cuts AS (SELECT *, CASE WHEN NOT plain THEN length(text) WHEN length(q) > 300 AND line > 0 THEN half + line - 1 ELSE -1 END AS pos FROM halves),
+  split AS (SELECT conv_id, turn, q, pos, trim(substring(q, 1, pos::INT), {BLANK}) AS b, trim(substring(q, pos::INT + 1), {BLANK}) AS c, plain FROM cuts),
+  parted AS (SELECT conv_id, turn, q, CASE WHEN pos >= 0 AND length(c) >= CASE WHEN plain THEN 80 ELSE 50 END THEN b ELSE '' END AS background, CASE WHEN pos >= 0 AND length(c) >= CASE WHEN plain THEN 80 ELSE 50 END THEN c ELSE q END AS core FROM split)"""
+
+
+def asked_questions(spark: SparkSession, d: str) -> DataFrame:
+    """(conv_id, turn, q): user turns as questions: of four, three go on with a request, one has only lines."""
+    text = F.col("text")
+    q = F.when(F.col("turn") % 4 == 0, text).otherwise(F.concat(text, F.lit("\nPlease explain how "), text))
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", q.alias("q"))
+
+
+@query(f"WITH {SPLIT} SELECT conv_id, turn, background, core FROM parted")
 def split_question(spark: SparkSession, d: str) -> DataFrame:
-    """Background and core of every user turn; tests hold the cascade against a plain one."""
-    rows = table(spark, d, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", qa.split_question(F.col("text")).alias("s")).select("conv_id", "turn", "s.background", "s.core")
+    """Background and core of every question: by the request, by a line break in the second half, or none. The other
+    rules of the cascade are tested on cases of their own."""
+    return asked_questions(spark, d).select("conv_id", "turn", qa.split_question(F.col("q")).alias("s")).select("conv_id", "turn", "s.background", "s.core")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) >= 50 THEN 'high' ELSE 'low' END AS level FROM events")
@@ -724,6 +942,67 @@ def evidence_append(spark: SparkSession, d: str) -> DataFrame:
     return p.select("src", qa.with_evidence(F.col("paths"), F.lit("the")).alias("paths"))
 
 
+RECORDS = f"""{SPLIT},
+  records AS (SELECT conv_id * 1000 + turn AS ord, 'u' || conv_id % 3 AS source, q AS question, 'See GDC ' || conv_id % 60 || ' and RG 1.' || turn || '.' AS answer, (conv_id % 20)::VARCHAR AS srp_section, background, core,
+              list_transform(range(conv_id % 4), lambda k: 'd' || k) AS matched_docs FROM parted WHERE turn % 5 <> 4),
+  capped AS (SELECT *, row_number() OVER (PARTITION BY srp_section ORDER BY ord) AS p FROM records WHERE len(matched_docs) > 0),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS k FROM capped WHERE p <= 15)"""
+
+
+@query(f"""WITH {RECORDS} SELECT source || '_' || lpad(k::VARCHAR, greatest(4, length(k::VARCHAR))::INT, '0') AS id, srp_section, CASE WHEN len(matched_docs) <= 1 THEN 'easy' WHEN len(matched_docs) >= 3 THEN 'hard' ELSE 'medium' END AS difficulty,
+  background AS regulatory_background, core AS core_question, 2 AS n_total_refs FROM numbered""")
+def qa_step_one(spark: SparkSession, d: str) -> DataFrame:
+    """User turns as records of a question set, through its first step: filters, caps, splits, references, ids."""
+    c = asked_questions(spark, d).where("turn % 5 <> 4")
+    number = (F.col("conv_id") % 4).cast("int")
+    docs = F.when(number > 0, F.transform(F.sequence(F.lit(0), F.greatest(number - 1, F.lit(0))), lambda k: F.concat(F.lit("d"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
+    records = c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.concat(F.lit("u"), (F.col("conv_id") % 3).cast("string")).alias("source"), F.col("q").alias("question"),
+        F.concat(F.lit("See GDC "), (F.col("conv_id") % 60).cast("string"), F.lit(" and RG 1."), F.col("turn").cast("string"), F.lit(".")).alias("answer"), F.lit("").alias("section_number"),
+        (F.col("conv_id") % 20).cast("string").alias("srp_section"), F.array(F.lit("x")).alias("relevant_docs"), docs.alias("matched_docs"),
+    )
+    return qa.step_one(records).select("id", "srp_section", "difficulty", "regulatory_background", "core_question", "n_total_refs")
+
+
+@query(
+    """SELECT conv_id AS id, 'S' || conv_id % 7 AS section, k AS place, CASE WHEN k = 0 THEN 'easy' ELSE '?' END AS difficulty, substring(text, k * 30 + 1, 30) AS query
+  FROM (SELECT *, unnest(CASE WHEN turn % 3 = 0 THEN [0, 1] ELSE [0] END) AS k FROM conversations WHERE role = 'user')"""
+)
+def generated_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Generators' replies of two queries about each user turn, of which some need the applicant's report, as rows."""
+    part = lambda k: F.substring("text", 30 * k + 1, 30)
+    needs = F.when(F.col("turn") % 3 == 0, F.lit(None).cast("boolean")).otherwise(F.lit(False))
+    reply = F.to_json(F.struct(F.array(F.struct(part(0).alias("query"), F.lit("easy").alias("sub_difficulty"), F.lit(None).cast("boolean").alias("answerable_without_fsar")), F.struct(part(1).alias("query"), F.lit(None).cast("string").alias("sub_difficulty"), needs.alias("answerable_without_fsar"))).alias("queries")))
+    rows = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("id"), F.concat(F.lit("S"), (F.col("conv_id") % 7).cast("string")).alias("section_number"), F.concat(F.lit("```json\n"), reply, F.lit("\n```")).alias("reply"))
+    return qa.flat_queries(qa.step_two(rows)).drop("target_concepts")
+
+
+@query(f"WITH {PAIRS} SELECT conv_id || '-' || turn AS query_id, query, answer AS gt_answer, ['c' || conv_id, 't' || turn] AS matched_docs, '?' AS difficulty FROM pairs WHERE coalesce(answer, '') <> '' AND contains(query, '.')")
+def truth_flatten(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with a true answer, for the evaluation: evidence files become ids."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"), F.lit(".pdf"))
+    rows = pairs(spark, d).select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "query", F.col("answer").alias("ground_truth"), F.contains("query", F.lit(".")).alias("answerable"),
+        F.array(name("c", "conv_id"), name("t", "turn")).alias("evidence_docs"), F.lit(None).cast("string").alias("difficulty"),
+    )
+    return qa.flat_truth(rows)
+
+
+@query(
+    f"""WITH {PAIRS}, k AS (SELECT *, 's' || conv_id % 2 AS source FROM pairs WHERE {REASONS.replace('< 60', '< 20')} IS NULL AND turn % 4 < 2),
+  n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY conv_id || '-' || turn) - 1 AS p FROM k)
+  SELECT source || '_Q_' || lpad(p::VARCHAR, greatest(4, length(p::VARCHAR))::INT, '0') AS id, query, 'PASS' AS judge_verdict FROM n"""
+)
+def qa_step_four(spark: SparkSession, d: str) -> DataFrame:
+    """The last step of the question set: rules, a judge's replies (one in four no JSON, one without a verdict), new ids."""
+    rows = pairs(spark, d).select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.concat(F.lit("s"), (F.col("conv_id") % 2).cast("string")).alias("source"), "query", F.col("answer").alias("ground_truth"),
+        F.contains("query", F.lit(".")).alias("answerable"), F.when(F.col("turn") >= 6, "low").otherwise("high").alias("confidence"),
+        F.element_at(F.array(F.lit('{"verdict": "PASS"}'), F.lit('```json\n{"verdict": "PASS", "issues": []}\n```'), F.lit("not sure"), F.lit('{"issues": ["x"]}')), (F.col("turn") % 4 + 1).cast("int")).alias("reply"),
+    )
+    return qa.step_four(rows, "reply").select("id", "query", "judge_verdict")
+
+
 # Evaluation.
 
 RELEVANT = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -749,7 +1028,7 @@ RANKED = f"ranked AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_i
   SELECT count(*) AS queries, {", ".join(f"{M(f'avg(CASE WHEN first <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS recall_at_{k}" for k in (2, 5, 10))}, {M("avg(coalesce(1.0::DOUBLE / first, 0.0::DOUBLE))")} AS mrr FROM r"""
 )
 def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
-    found = evaluate.retrieval(bm25.search(corpus(spark, d), questions(spark, d), 10), relevant(spark, d))
+    found = evaluate.retrieval(bm25.search(corpus_index(spark, d), questions(spark, d), 10), relevant(spark, d))
     return found.select("queries", *[X.micro(F.col(c)).alias(c) for c in found.columns[1:]])
 
 
@@ -758,7 +1037,7 @@ def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
   SELECT query_id, {M("coalesce(avg(CASE WHEN good THEN p END), 0)")} AS precision FROM p GROUP BY query_id"""
 )
 def context_precision(spark: SparkSession, d: str) -> DataFrame:
-    found = evaluate.context_precision(bm25.search(corpus(spark, d), questions(spark, d), 10), relevant(spark, d))
+    found = evaluate.context_precision(bm25.search(corpus_index(spark, d), questions(spark, d), 10), relevant(spark, d))
     return found.select("query_id", X.micro(F.col("precision")).alias("precision"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.session import stored
+
 TEXT_LISTS = ("law_refs", "entity_refs", "guide_refs", "plan_refs", "special_refs", "section_refs")
 METADATA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("doc_id", "filename", "doc_type", "section_number", "title", "revision", "pdf_path", "issue_date")]
@@ -19,21 +21,36 @@ METADATA = T.StructType(
 LIST_NAMES = dict(zip(("cfr_refs", "gdc_refs", "rg_refs", "srp_refs", "dsrs_refs", "section_refs"), TEXT_LISTS, strict=True))
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records; what a record lacks is empty. ``doc_ord``: its place by filename."""
+def read_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of records, or one record a line; what a record lacks is empty. ``doc_ord``: its place by filename."""
     names = {v: k for k, v in LIST_NAMES.items()}
     schema = T.StructType([T.StructField(names.get(f.name, f.name), f.dataType) for f in METADATA])
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+    rows = spark.read.schema(schema).json(path, multiLine=not lines)
     empty = {"string": F.lit(""), "int": F.lit(0), "array<string>": F.array().cast("array<string>")}
     rows = rows.select(*[F.coalesce(names.get(f.name, f.name), empty[f.dataType.simpleString()]).alias(f.name) for f in METADATA])
     return with_order(rows, "filename", "doc_ord")
 
 
+def write_metadata(rows: DataFrame, path: str) -> None:
+    """Records for ``read_metadata`` with ``lines``: one JSON object a line, in as many files as there are tasks."""
+    names = {v: k for k, v in LIST_NAMES.items()}
+    rows.select(*[F.col(f.name).alias(names.get(f.name, f.name)) for f in METADATA if f.name in rows.columns]).write.mode("overwrite").json(path)
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """vectors(doc_id, v) as 32-bit floats."""
+    vectors.select("doc_id", F.col("v").cast("array<float>").alias("v")).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def with_order(rows: DataFrame, by: str, out: str) -> DataFrame:
-    """0-based places in the order of a column, by counting in ranges rather than through one task."""
-    ranged = rows.repartitionByRange(by).sortWithinPartitions(by)
-    placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    placed = placed.persist()
+    """0-based places in the order of a column, by counting in ranges rather than through one task. The ranges are
+    written first: places come from files and rows in them, which no lost executor changes."""
+    ranged = stored(rows.repartitionByRange(by).sortWithinPartitions(by), "ranges")
+    placed = ranged.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int").alias("_part"), F.col("_metadata.row_index").alias("_in"))
     sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
     before, total = [], 0
     for part in sorted(sizes):
@@ -67,19 +84,20 @@ def read_questions(spark: SparkSession, paths: dict[str, str], schema: str) -> D
 
 
 def read_documents(spark: SparkSession, folder: str, pages: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:
-    """files(filename, pages) by a reader of pages; unreadable files are left out."""
+    """files(filename, pages, error) by a reader of pages; of a file that can't be read pages are null, and the error says why."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf.path, pdf.content, strict=True):
+                name = path.rsplit("/", 1)[-1]
                 try:
-                    rows.append((path.rsplit("/", 1)[-1], pages(content)))
-                except Exception:  # one bad file is no reason to lose the others
-                    continue
-            yield pd.DataFrame(rows, columns=["filename", "pages"])
+                    rows.append((name, pages(content), None))
+                except Exception as error:  # one bad file is no reason to lose the others
+                    rows.append((name, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["filename", "pages", "error"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content").mapInPandas(run, "filename string, pages array<string>")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content").mapInPandas(run, "filename string, pages array<string>, error string")
 
 
 def write_envelope(rows: DataFrame, path: str, stats: DataFrame) -> None:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def run(spark: SparkSession, source: str, schema, out: str, state: str, step: Callable[[DataFrame], DataFrame], key: str = "id", files_per_batch: int = 64) -> None:
+def run(spark: SparkSession, source: str, schema, out: str, state: str, step: Callable[[DataFrame], DataFrame], key: str = "id", files_per_batch: int = 64, time: str | None = None, within: str = "1 day") -> None:
     """Handle all rows in the Parquet files at ``source`` that earlier runs didn't, then stop.
 
-    ``state`` keeps what was read and which keys were seen; ``out`` gets the results of ``step``, once each.
+    ``state`` keeps what was read and which keys were seen; ``out`` gets the results of ``step``, once each. Keys are
+    known for as long as ``within`` says, by the column ``time``; without it, for good: then the state grows with the rows.
     """
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).dropDuplicates([key])
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    rows = rows.withWatermark(time, within).dropDuplicatesWithinWatermark([key]) if time else rows.dropDuplicates([key])
     step(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -25,8 +27,9 @@ def windowed(spark: SparkSession, source: str, schema, state: str, width: str =
     sums = events.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
     def commit(batch: DataFrame, number: int) -> None:
-        # Complete mode: the last batch holds all windows.
-        batch.write.mode("overwrite").parquet(f"{state}/out")
+        # Updated windows, a folder for each batch: of a window the last batch's row holds.
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{state}/out/number={number}")
 
-    sums.writeStream.queryName(name).outputMode("complete").option("checkpointLocation", f"{state}/state").foreachBatch(commit).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{state}/out").select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    sums.writeStream.queryName(name).outputMode("update").option("checkpointLocation", f"{state}/state").foreachBatch(commit).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{state}/out/*").groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+    return rows.select(F.col("window.start").alias("start"), "event_type", "x.n", "x.total")

@@ -235,3 +235,66 @@ def test_text_expressions(spark):
     got = row.select(X.slug(F.col("t")).alias("a"), X.occurrences(F.col("u"), F.lit("X")).alias("b"), X.occurrences(F.col("u"), F.lit("")).alias("c"), X.page_range(F.col("n"), F.lit(3)).alias("d"), X.display_name(F.lit("ZZ"), F.lit("1"), {"A": "a"}).alias("e"), X.unfenced(F.lit("```json\n{}\n```")).alias("f")).first()
     assert tuple(got) == ("the_heatremoval_a_b", 2, 0, "?-3", " 1", "{}")
     assert re.fullmatch(r"x_0007", row.select(X.numbered(F.lit("x"), F.lit(7), 4).alias("x")).first().x)
+
+
+def test_stop_words_are_no_concept(spark):
+    asked = spark.createDataFrame([(1, ["the", "and", "of", "heat"]), (2, ["heat", "removal", "of"])], "query_id int, words array<string>")
+    concepts = spark.createDataFrame([("c", ["the", "and", "of", "heat", "removal"])], "concept string, words array<string>")
+    # The first shares four words, but only one that isn't a stop word.
+    assert [r.query_id for r in fusion.concept_matches(asked, concepts, 2).collect()] == [2]
+
+
+def test_sinks_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "b.pdf", "RG", ["1"]), ("a", "a.pdf", "SRP", [])], "doc_id string, filename string, doc_type string, entity_refs array<string>").repartition(2)
+    files.write_metadata(rows, f"file://{tmp_path}/m")
+    got = {r.doc_id: r for r in files.read_metadata(spark, f"file://{tmp_path}/m", lines=True).collect()}
+    assert (got["a"].doc_ord, got["b"].doc_ord, got["b"].entity_refs, got["a"].title) == (0, 1, ["1"], "")
+    files.write_vectors(spark.createDataFrame([(1, [0.5, 2.0])], "doc_id int, v array<double>"), f"file://{tmp_path}/v")
+    assert files.read_vectors(spark, f"file://{tmp_path}/v").first().v == [0.5, 2.0]
+    files.write_envelope(rows, f"file://{tmp_path}/e", rows.groupBy().count())
+    assert spark.read.parquet(f"file://{tmp_path}/e/data").count() == 2
+
+
+def test_bad_files_say_why(spark, tmp_path):
+    for name, content in (("a.pdf", b"x|y|z"), ("b.pdf", b"broken")):
+        (tmp_path / name).write_bytes(content)
+
+    def pages(content):
+        if content == b"broken":
+            raise ValueError("no pages")
+        return content.decode().split("|")
+
+    got = files.read_documents(spark, f"file://{tmp_path}", pages)
+    texts = {r.filename: r.t for r in got.select("filename", extract.bounded_text(F.col("pages"), F.col("error"), 2).alias("t")).collect()}
+    assert texts == {"a.pdf": "x\ny", "b.pdf": "[ERROR reading PDF: ValueError: no pages]"}
+
+
+def test_judges_and_paths(spark):
+    rows = spark.createDataFrame([(1, '{"verdict": "PASS"}'), (2, "no"), (3, '```json\n{"verdict": "FAIL", "issues": ["x"]}\n```')], "id int, reply string")
+    assert [r.id for r in qa.judged(rows).collect()] == [1] and {r.judge_verdict for r in qa.judged(rows, None).collect()} == {"SKIP"}
+    hits = spark.createDataFrame([(1, "rc", "x", 1.0), (1, "kg_cs", "y", 1.0)], "query_id int, source string, doc_id string, score double")
+    edges = {(r.src, r.dst) for r in fusion.path_edges(hits, hits.where("doc_id = 'x'")).collect()}
+    assert edges == {("query:1", "source:rc"), ("query:1", "source:kg_cs"), ("source:rc", "doc:x")}
+    found = spark.createDataFrame([(1, 7, "n", "T", "c" * 400, 4)], "query_id int, doc_id int, node_id string, title string, content string, rank int")
+    row = evaluate.reciprocal_chunks(found).first()
+    assert (row.chunk_id, row.score, len(row.text)) == ("7_n", 0.25, 300)
+
+
+def test_node_texts(spark):
+    nodes = spark.createDataFrame([("gdc:4", "entity", "GDC 4", "GDC 4"), ("doc:a", "document", "Pumps", "SRP 6")], "id string, node_kind string, title string, display_name string")
+    got = {r.node: r.text for r in extract.node_texts(nodes, spark.createDataFrame([("doc:a", "4"), ("doc:a", "9")], "id string, entity string"), spark.createDataFrame([("4", "Missiles")], "entity string, description string")).collect()}
+    assert got == {"gdc:4": "gdc 4 gdc 4 missiles", "doc:a": "pumps srp 6 missiles"}
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from strandline import session
+
+    def made(master):
+        conf = SimpleNamespace(get=lambda key, default=None: None, set=lambda key, value: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda key: None)))
+
+    assert session.shared_dir(made("local[2]")).startswith("file:///tmp/spark-")
+    with pytest.raises(RuntimeError):
+        session.shared_dir(made("spark://host:7077"))
