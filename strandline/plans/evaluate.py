@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.text import tokens
+from strandline.operators.bm25 import QUERY_BLOCKS
 
 
 def retrieval(ranked: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (2, 5, 10)) -> DataFrame:
@@ -18,6 +19,26 @@ def retrieval(ranked: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (2
     return rows.agg(F.count("*").alias("queries"), *metrics, F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
+def holding(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id): documents(doc_id, text) whose text holds the passage of questions(query_id, text, tokens).
+
+    A passage may begin or end inside a word of the document, so that its second to sixth words are looked up among
+    the shingles of five words. Passages of fewer than seven words, a stated set, are held against all texts in blocks.
+    """
+
+    def grams(words: Column) -> Column:
+        shifted = F.arrays_zip(*[F.slice(words, k, F.greatest(F.size(words), F.lit(1))).alias(f"w{k}") for k in range(1, 6)])
+        return F.transform(shifted, lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(1, 6)]))
+
+    long, short = questions.where(F.size("tokens") >= 7), questions.where((F.size("tokens") < 7) & (F.col("text") != ""))
+    keyed = docs.select("doc_id", F.col("text").alias("body"), F.explode(F.array_distinct(grams(tokens(F.col("text"))))).alias("key"))
+    found = long.withColumn("key", F.array_join(F.slice("tokens", 2, 5), " ")).join(keyed, "key").where(F.contains("body", F.col("text"))).select("query_id", "doc_id")
+    blocks = short.groupBy(F.pmod(F.xxhash64("text"), F.lit(QUERY_BLOCKS)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "text")).alias("asked"))
+    dealt = docs.select("doc_id", F.col("text").alias("body"), F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))).alias("block")).join(blocks, "block")
+    more = dealt.select("doc_id", F.explode(F.filter("asked", lambda x: F.contains(F.col("body"), x["text"]))).alias("x")).select("x.query_id", "doc_id")
+    return found.union(more).distinct()
+
+
 def context_precision(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query_id, precision): the mean, over relevant hits, of the precision up to their rank; 0 without any."""
     marked = ranked.join(relevant.select("query_id", "doc_id").distinct().withColumn("good", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("good", F.coalesce("good", F.lit(0)))

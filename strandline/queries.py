@@ -1009,15 +1009,8 @@ RELEVANT = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN doc
 
 
 def relevant(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, doc_id): documents that hold a question's passage; candidates share its first five words in a row."""
-    def grams(words: Column) -> Column:
-        shifted = F.arrays_zip(*[F.slice(words, k, F.greatest(F.size(words), F.lit(1))).alias(f"w{k}") for k in range(1, 6)])
-        return F.transform(shifted, lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(1, 6)]))
-
-    # A passage may begin or end inside a word of the document, so its second to sixth words are looked up.
-    q = questions(spark, d).withColumn("key", F.array_join(F.slice("tokens", 2, 5), " "))
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"), F.explode(F.array_distinct(grams(X.tokens(F.col("text"))))).alias("key"))
-    return q.join(docs, "key").where(F.contains("body", F.col("text"))).select("query_id", "doc_id").distinct()
+    """(query_id, doc_id): documents that hold a question's passage."""
+    return evaluate.holding(questions(spark, d), table(spark, d, "documents").select("doc_id", "text"))
 
 
 RANKED = f"ranked AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS rank FROM rc WHERE score > 0) WHERE rank <= 10)"

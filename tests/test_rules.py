@@ -298,3 +298,11 @@ def test_shared_folder_is_needed_on_a_cluster():
     assert session.shared_dir(made("local[2]")).startswith("file:///tmp/spark-")
     with pytest.raises(RuntimeError):
         session.shared_dir(made("spark://host:7077"))
+
+
+def test_passages_of_any_length(spark):
+    docs = {1: "a b c d e f g h i", 2: "xx b c d e f g yy", 3: "b", 4: "no such thing", 5: "zb c d e f gg and b c"}
+    asked = {1: "b c d e f g", 2: "b c d e f g h", 3: "b", 4: "b c", 5: "such", 6: "a b c d e f g h i j", 7: "b c d e f g yy"}
+    q = spark.createDataFrame(list(asked.items()), "query_id int, text string").withColumn("tokens", X.tokens(F.col("text")))
+    got = {(r.query_id, r.doc_id) for r in evaluate.holding(q, spark.createDataFrame(list(docs.items()), "doc_id int, text string")).collect()}
+    assert got == {(i, j) for i, a in asked.items() for j, t in docs.items() if a in t}
