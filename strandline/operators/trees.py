@@ -12,6 +12,10 @@ from strandline.operators.bm25 import best, index, scores
 from strandline.session import stored
 
 
+#: A node; its children stay JSON for the next level.
+NODE = "node_id string, title string, summary string, start_index string, end_index string, nodes array<string>"
+
+
 def flatten(trees: DataFrame, deepest: int = 32) -> DataFrame:
     """tree_nodes from trees(doc_id, structure), structure being the JSON array of root nodes.
 
@@ -22,12 +26,10 @@ def flatten(trees: DataFrame, deepest: int = 32) -> DataFrame:
     level = trees.select("doc_id", F.from_json("structure", "array<string>").alias("nodes"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("path"), F.lit(0).alias("depth"))
     out = None
     for _ in range(deepest):
-        rows = level.select("doc_id", "parent", "path", "depth", F.posexplode("nodes").alias("k", "node"))
+        rows = level.select("doc_id", "parent", "path", "depth", F.posexplode("nodes").alias("k", "node")).withColumn("x", F.from_json("node", NODE))
         rows = rows.select(
-            "doc_id", F.get_json_object("node", "$.node_id").alias("node_id"), F.col("parent").alias("parent_node_id"), "depth", F.concat("path", F.format_string("%06d", "k")).alias("path_ord"),
-            F.get_json_object("node", "$.title").alias("title"), F.get_json_object("node", "$.summary").alias("summary"),
-            F.get_json_object("node", "$.start_index").cast("int").alias("start_index"), F.get_json_object("node", "$.end_index").cast("int").alias("end_index"),
-            F.from_json(F.coalesce(F.get_json_object("node", "$.nodes"), F.lit("[]")), "array<string>").alias("children"),
+            "doc_id", "x.node_id", F.col("parent").alias("parent_node_id"), "depth", F.concat("path", F.format_string("%06d", "k")).alias("path_ord"), "x.title", "x.summary",
+            F.col("x.start_index").try_cast("int").alias("start_index"), F.col("x.end_index").try_cast("int").alias("end_index"), F.coalesce("x.nodes", F.array().cast("array<string>")).alias("children"),
         )
         rows = stored(rows, "level")
         if rows.isEmpty():
