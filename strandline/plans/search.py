@@ -14,6 +14,15 @@ from strandline.plans.providers import Provider, ask, echo, hints, no_hints
 from strandline.session import stored
 
 
+# How the lines of a trace begin and end, and how a document without a tree is described.
+PICKED, PICKED_OF = "[Layer 1] Selected ", " docs: "
+BROWSED = "[Layer 2] No search results, browsing top-level."
+FOUND, FOUND_END = "[Layer 2] Search found ", " sections."
+READ, READ_END = "[Layer 2] Retrieved ", " sections total."
+DONE, DONE_END = "[Done] Context: ", " chars."
+FILE, FILE_END, REFS = "\n  File: ", "p)\n  Cross-refs: ", ("RG", "GDC", "SRP")
+
+
 @dataclass(frozen=True)
 class Limits:
     documents: int = 10
@@ -129,7 +138,6 @@ def contexts(picked: DataFrame, chosen: DataFrame, limits: Limits | None = None)
     block = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(" "), F.col("node_id"), F.lit("] "), F.substring("title", 1, limits.title), F.lit(" (pp. "), F.col("pages"), F.lit(")\n"), shown)
     text = F.when(F.col("left") > 0, block)
     body = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("left") > 0, F.struct("place", "doc_id", "node_id", text.alias("t"))))).alias("b"), F.max((F.col("left") <= 0).cast("int")).alias("cut"))
-    # A document whose tree isn't there is named all the same, with what is known of it.
     names = picked.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("d")))), lambda x: x["d"]), ", ").alias("names"))
     head = F.concat(F.lit("Documents: "), F.col("names"))
     end = F.when(F.col("cut") == 1, F.lit("(context limit reached)"))
@@ -139,8 +147,8 @@ def contexts(picked: DataFrame, chosen: DataFrame, limits: Limits | None = None)
 def without_trees(picked: DataFrame, meta: DataFrame, shown: int = 3) -> DataFrame:
     """(query_id, context) from metadata alone, for queries none of whose documents has a tree: meta(doc_id, doc_type,
     display_name, title, filename, page_count, guide_refs, entity_refs, plan_refs). Documents without metadata are left out."""
-    refs = [F.concat(F.lit(name + "=["), F.array_join(F.slice(c, 1, shown), ", "), F.lit("]")) for name, c in (("RG", "guide_refs"), ("GDC", "entity_refs"), ("SRP", "plan_refs"))]
-    block = F.concat(F.lit("["), "doc_type", F.lit("] "), "display_name", F.lit(": "), "title", F.lit("\n  File: "), "filename", F.lit(" ("), F.col("page_count").cast("string"), F.lit("p)\n  Cross-refs: "), F.array_join(F.array(*refs), ", "))
+    refs = [F.concat(F.lit(name + "=["), F.array_join(F.slice(c, 1, shown), ", "), F.lit("]")) for name, c in zip(REFS, ("guide_refs", "entity_refs", "plan_refs"), strict=True)]
+    block = F.concat(F.lit("["), "doc_type", F.lit("] "), "display_name", F.lit(": "), "title", F.lit(FILE), "filename", F.lit(" ("), F.col("page_count").cast("string"), F.lit(FILE_END), F.array_join(F.array(*refs), ", "))
     rows = picked.join(meta, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("t")))).alias("b"))
     return rows.select("query_id", F.concat(F.lit("Documents (no trees available):\n"), F.array_join(F.transform("b", lambda x: x["t"]), "\n")).alias("context"))
 
@@ -148,12 +156,12 @@ def without_trees(picked: DataFrame, meta: DataFrame, shown: int = 3) -> DataFra
 def trace(picked: DataFrame, chosen: DataFrame, contexts_: DataFrame) -> DataFrame:
     """(query_id, step, line): what a search did, a line for each step."""
     names = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("d")))), 1, 5), lambda x: x["d"])
-    one = picked.groupBy("query_id").agg(F.concat(F.lit("[Layer 1] Selected "), F.count("*").cast("string"), F.lit(" docs: "), F.array_join(names, ", "), F.when(F.count("*") > 5, "...").otherwise("")).alias("line"))
+    one = picked.groupBy("query_id").agg(F.concat(F.lit(PICKED), F.count("*").cast("string"), F.lit(PICKED_OF), F.array_join(names, ", "), F.when(F.count("*") > 5, "...").otherwise("")).alias("line"))
     sections_ = chosen.groupBy("query_id").agg(F.count_if("from_search").alias("found"), F.count("*").alias("n"))
     both = picked.select("query_id").distinct().join(sections_, "query_id", "left").select("query_id", F.coalesce("found", F.lit(0)).cast("string").alias("found"), F.coalesce("n", F.lit(0)).cast("string").alias("n"))
-    two = both.select("query_id", F.when(F.col("found") == "0", "[Layer 2] No search results, browsing top-level.").otherwise(F.concat(F.lit("[Layer 2] Search found "), "found", F.lit(" sections."))).alias("line"))
-    three = both.select("query_id", F.concat(F.lit("[Layer 2] Retrieved "), "n", F.lit(" sections total.")).alias("line"))
-    four = contexts_.select("query_id", F.concat(F.lit("[Done] Context: "), F.length("context").cast("string"), F.lit(" chars.")).alias("line"))
+    two = both.select("query_id", F.when(F.col("found") == "0", BROWSED).otherwise(F.concat(F.lit(FOUND), "found", F.lit(FOUND_END))).alias("line"))
+    three = both.select("query_id", F.concat(F.lit(READ), "n", F.lit(READ_END)).alias("line"))
+    four = contexts_.select("query_id", F.concat(F.lit(DONE), F.length("context").cast("string"), F.lit(DONE_END)).alias("line"))
     out = None
     for k, lines in enumerate((one, two, three, four), 1):
         rows = lines.select("query_id", F.lit(k).alias("step"), "line")
