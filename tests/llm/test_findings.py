@@ -268,3 +268,26 @@ def test_marks_of_many_languages(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MOST_LANGUAGES", 4)
     with pytest.raises(ValueError):
         language_id.learn(docs)
+
+
+def test_near_groups_of_texts(spark):
+    """Bands and verification against all pairs of a table of texts with near copies: nothing false, hardly a link lost."""
+    r, rows = random.Random(3), []
+    for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        rows.append((3 * x.doc_id, x.text))
+        for k in (1, 2):
+            t = list(x.text)
+            for _ in range(k):
+                t.insert(r.randrange(len(t) + 1), "q")
+            rows.append((3 * x.doc_id + k, "".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.fingerprint for r in edit_prints.fingerprints(docs).collect()}
+    bits = edit_prints.bits_of(sorted(set(found.values()))).astype(np.float32)
+    ones = bits.sum(1)
+    apart = ones[:, None] + ones[None] - 2 * bits @ bits.T
+    most = int(0.1 * edit_prints.BITS)
+    want = {(i, j) for i, j in zip(*[x.tolist() for x in np.nonzero(np.triu(apart <= most, 1))], strict=True)}
+    place = {f: k for k, f in enumerate(sorted(set(found.values())))}
+    got = {(place[r.a], place[r.b]) for r in edit_prints.near(spark.createDataFrame(list(found.items()), "doc_id long, fingerprint string"), 0.8).collect()}
+    print("links", len(want), "found", len(got & want), "false", len(got - want))
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 300
