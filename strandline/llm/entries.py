@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_prints, html_text, jaccard_join, language_id, mixing, neighbours, packing, sharding, toxicity, warc
-from .common import table
+from . import conversation_trie, edit_prints, filter_audit, html_text, jaccard_join, language_id, mixing, neighbours, packing, sharding, substring_dedup, toxicity, warc
+from .common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,23 @@ def op10_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_prints.edited_prints(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley of five filters."""
+    return filter_audit.audit_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document, for repeats of 20 words."""
+    out = substring_dedup.repeats(table(spark, sf_dir, "documents"), 20)
+    return out.select("doc_id", "n_words", substring_dedup.removed().alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node."""
+    rows = conversation_trie.borrowed(materialise(conversation_trie.turns(table(spark, sf_dir, "conversations")), "turns"))
+    return conversation_trie.trie(conversation_trie.paths(rows)).drop("node", "parent")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -79,6 +96,9 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_edit_prints": op10_edit_prints,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_substring_dedup": op12_substring_dedup,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
@@ -123,6 +143,51 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON doc = d.doc_id GR
 """
 
 
+AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM documents),
+  f AS (SELECT part,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+     coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM t),
+  g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+  l AS (SELECT unnest(range(1, 6)) AS k),
+  o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM l a, l b, l c, l d, l e WHERE a.k NOT IN (b.k, c.k, d.k, e.k) AND b.k NOT IN (c.k, d.k, e.k) AND c.k NOT IN (d.k, e.k) AND d.k <> e.k),
+  s AS (SELECT o, k AS step, o[k] AS own, list_transform(o, lambda x: substr('ABCDE', x::INT, 1)) AS names FROM o, l),
+  m AS (SELECT part, names, step, own, fails[own] AS failing, list_bool_or(list_transform(range(1, step), lambda i: fails[o[i]])) AS gone, list_sum(list_transform(fails, lambda x: x::INT)) = 1 AS one, n, good, toxic FROM g, s),
+  r AS (SELECT part, array_to_string(names, '') AS filter_order, step::INT AS step, own,
+    coalesce(sum(n) FILTER (WHERE NOT failing AND NOT coalesce(gone, false)), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE failing AND NOT coalesce(gone, false)), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE failing AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE failing AND one), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE failing AND NOT coalesce(gone, false)), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE failing AND NOT coalesce(gone, false)), 0)::BIGINT AS toxic_lost
+    FROM m GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
+REPEATS_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM documents),
+  v AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)),
+  r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM v) WHERE k > 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r),
+  words AS (SELECT doc_id, w[p] AS x, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM t)),
+  kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+TRIE_SQL = """
+WITH bits AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c // 2, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), b)) AS crcs),
+  rows AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  convs AS (SELECT c, xor(list_reduce(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i::INT, 1))::BIGINT), lambda s, b: xor(s // 256, crcs[(xor(s % 256, b) + 1)::INT]), 4294967295), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id AS c FROM rows), bits),
+  built AS (SELECT c, place, role, text FROM convs JOIN rows ON conv_id = c - c % 5 AND place <= h UNION ALL SELECT c, place, role, text FROM convs JOIN rows ON conv_id = c AND place > h),
+  paths AS (SELECT c, coalesce(list({'role': role, 'text': text} ORDER BY place) FILTER (WHERE place IS NOT NULL), []) AS p FROM convs LEFT JOIN built USING (c) GROUP BY c),
+  steps AS (SELECT c, d, p[1:d] AS prefix, len(p) AS whole FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM paths)),
+  nodes AS (SELECT prefix, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE whole = d), '')) AS ends_sha256 FROM steps GROUP BY ALL),
+  up AS (SELECT x.*, y.conv_id AS parent_conv_id, CASE WHEN x.d > 0 THEN (x.n_convs - 1) * strlen(x.prefix[x.d].text) ELSE 0 END AS own, x.prefix[1:x.d - 1] AS parent FROM nodes x LEFT JOIN nodes y ON x.d > 0 AND y.d = x.d - 1 AND y.prefix = x.prefix[1:x.d - 1]),
+  kids AS (SELECT parent AS prefix, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
+  families AS (SELECT up.*, coalesce(n, 0) AS n_children FROM up LEFT JOIN kids USING (prefix, d)),
+  sums AS (SELECT prefix[1:a] AS prefix, a AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own) AS saved FROM (SELECT prefix, own, n_children, unnest(range(0, d + 1)) AS a FROM families) GROUP BY ALL)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, ends_sha256 FROM families JOIN sums USING (prefix, d)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Learnt models, tokenizers, walks, check sums and searches that may miss are beyond SQL; tests/llm has their brute force."""
-    return {"op3_mixing": MIXING_SQL, "op6_warc": WARC_SQL, "op9_jaccard_join": JACCARD_SQL}
+    return {"op3_mixing": MIXING_SQL, "op6_warc": WARC_SQL, "op9_jaccard_join": JACCARD_SQL, "op11_filter_audit": AUDIT_SQL, "op12_substring_dedup": REPEATS_SQL, "op13_conversation_trie": TRIE_SQL}

@@ -39,19 +39,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word in order, and the number of words of each text. One very long text is read in pieces."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word in order, and the number of words of each text. One very long text is read in pieces.
+    Without ``lower``, words are taken as they are written."""
     if len(offsets) > 2 or len(data) <= CHUNK_BYTES:
-        return _word_hashes(data, offsets)
-    words = np.concatenate([_word_hashes(p, np.array([0, len(p)]))[0] for p in pieces(data)])
+        return _word_hashes(data, offsets, lower)
+    words = np.concatenate([_word_hashes(p, np.array([0, len(p)]), lower)[0] for p in pieces(data)])
     return words, np.array([len(words)])
 
 
-def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     n, docs = len(data), len(offsets) - 1
     if not n:
         return np.zeros(0, U), np.zeros(docs, np.int64)
-    low = data + (((data >= 65) & (data <= 90)) * np.uint8(32)).astype(np.uint8)
+    low = data + (((data >= 65) & (data <= 90)) * np.uint8(32)).astype(np.uint8) if lower else data
     space = (low == 32) | ((low >= 9) & (low <= 13))
     inside = ~space
     begins, ends = inside.copy(), inside.copy()

@@ -9,7 +9,7 @@ from strandline.llm import entries
 @pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
 def test_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     theirs = con.execute(entries.oracle_sql()[name])
     columns = sorted(d[0] for d in theirs.description)
