@@ -13,23 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.text import micro, occurrences
+from strandline.functions.text import micro
 from strandline.session import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Parts that the words of a set of queries are dealt into, where they are held against whole texts or vectors.
-QUERY_BLOCKS = 4
+#: Ranges of documents that a query reads before it knows a threshold.
+FIRST_RANGES = 8
+#: Parts of the folder of postings.
+TERM_BUCKETS = 16
 
 
 @dataclass(frozen=True)
 class Index:
     """postings(by, doc_id, term, f, dl), terms(by, term, df, idf), stats(by, n, avgdl). Postings and statistics are
-    tables in the shared folder: whatever is asked of the index reads those, and no text again."""
+    tables in the shared folder: whatever is asked of the index reads those, and no text again.
+
+    An index with ``blocks`` (term, range, n, most, least) has postings with ``range``, a few documents of about one
+    length: of each term and range the blocks tell the postings, their largest frequency and their shortest document."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     by: tuple[str, ...] = ()
+    blocks: DataFrame | None = None
 
 
 def beside(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -46,19 +52,70 @@ def index(docs: DataFrame, by: tuple[str, ...] = ()) -> Index:
     both = n.join(total, list(by), "left") if by else n.crossJoin(total)  # without ``by`` one row each
     stats = stored(both.select(*by, "n", (F.coalesce("total", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl")), "stats")
     df = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    return Index(postings, stored(weights(df, stats, by), "terms"), stats, by)
+
+
+def weights(df: DataFrame, stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """terms(by, term, df, idf) from (by, term, df) and the statistics."""
     raw = beside(df, stats, by).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*by).agg(F.avg("raw").alias("mean"))
-    terms = beside(raw, mean, by).select(*by, "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, stored(terms, "terms"), stats, by)
+    return beside(raw, mean, by).select(*by, "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def share(f: Column, dl: Column) -> Column:
+    """What a frequency in a document of some length counts for; it rises with the one and falls with the other."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / F.col("avgdl")))
+
+
+def weighed(found: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, term, times, idf) of the words of queries(query_id, tokens) that the index knows."""
+    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return asked.join(found.terms, [*[c for c in found.by if c == "query_id"], "term"])
+
+
+def summed(rows: DataFrame, found: Index) -> DataFrame:
+    """(query_id, doc_id, score) from words of queries with their postings."""
+    points = F.col("times") * F.col("idf") * share(F.col("f"), F.col("dl"))
+    return beside(rows, found.stats, found.by).groupBy("query_id", "doc_id").agg(F.sum(points).alias("score"))
 
 
 def scores(found: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): sums over the occurrences of query words; queries(query_id, tokens)."""
-    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighed = asked.join(found.terms, [*[c for c in found.by if c == "query_id"], "term"])
-    joined = beside(weighed.join(found.postings, [*found.by, "term"]), found.stats, found.by)
-    share = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * share).alias("score"))
+    return summed(weighed(found, queries).join(found.postings, [*found.by, "term"]), found)
+
+
+def block_bounds(found: Index, asked: DataFrame) -> DataFrame:
+    """(query_id, range, bound): the most that a document of a range can score, from the blocks of a query's words."""
+    most = F.greatest(F.col("times") * F.col("idf"), F.lit(0.0)) * share(F.col("most"), F.col("least"))
+    return beside(asked.join(found.blocks, "term"), found.stats, ()).groupBy("query_id", "range").agg(F.sum(most).alias("bound"))
+
+
+def in_ranges(found: Index, asked: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The scores of the documents in ranges(query_id, range): of their blocks alone, postings are met."""
+    met = asked.join(found.blocks.select("term", "range"), "term").join(ranges.select("query_id", "range"), ["query_id", "range"], "left_semi")
+    return summed(met.withColumn("bucket", bucket()).join(found.postings, ["bucket", "term", "range"]), found)
+
+
+def bucket() -> Column:
+    """The part of the postings' folder that has a term."""
+    return F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def bounded(found: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Scores among which are the ``k`` best of each query, and the ranges(query_id, range) that were read for them.
+
+    The ranges with the highest bounds are read first. The k-th best score in them is a threshold, and of the other
+    ranges only those are read whose bound reaches it; scores within a millionth count as equal, so that much is left.
+    """
+    asked = stored(weighed(found, queries), "asked")
+    bounds = stored(block_bounds(found, asked), "bounds").where("bound > 0")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
+    early = stored(bounds.withColumn("r", first).where(F.col("r") <= FIRST_RANGES).select("query_id", "range"), "early")
+    one = stored(in_ranges(found, asked, early), "one")
+    least = best(one, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    late = bounds.join(early, ["query_id", "range"], "left_anti").join(least, "query_id", "left").where(F.col("bound") * (1 + 1e-9) >= F.coalesce("least", F.lit(0.0)) - 2e-6).select("query_id", "range")
+    late = stored(late, "late")
+    return one.union(in_ranges(found, asked, late)), early.union(late)
 
 
 def best(scored: DataFrame, k: int, *ties: Column | str, by: str = "query_id") -> DataFrame:
@@ -69,18 +126,5 @@ def best(scored: DataFrame, k: int, *ties: Column | str, by: str = "query_id") -
 
 def search(docs: DataFrame | Index, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k best documents of queries(query_id, tokens) in docs(doc_id, tokens) or an index of them."""
-    return best(scores(docs if isinstance(docs, Index) else index(docs), queries), k)
-
-
-def substring_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): how often each query word occurs inside the text, words or not; docs(doc_id, text).
-
-    This score has no index, as a word may begin anywhere: a stated set of queries is held against all documents.
-    Each document counts each distinct word of a block of queries once, blocks being rows of one small table, and
-    counts go to the queries by an ordinary join on words.
-    """
-    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    blocks = asked.select("term").distinct().groupBy(F.pmod(F.xxhash64("term"), F.lit(QUERY_BLOCKS)).cast("int").alias("block")).agg(F.collect_list("term").alias("terms"))
-    texts = docs.select("doc_id", F.lower("text").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))).alias("block"))
-    found = texts.join(blocks, "block").select("doc_id", F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), occurrences(F.col("low"), t).alias("n")))).alias("x")).where("x.n > 0")
-    return found.select("doc_id", "x.term", "x.n").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score"))
+    found = docs if isinstance(docs, Index) else index(docs)
+    return best(scores(found, queries) if found.blocks is None else bounded(found, queries, k)[0], k)

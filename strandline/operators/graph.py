@@ -164,12 +164,3 @@ def overlap_of(had: DataFrame, queries: DataFrame, bonus: float = 0.1, least: fl
     weighed = shared.withColumn("weight", F.col("o") / F.col("n") + bonus * F.col("o")).where(F.col("weight") > least)
     rank = F.row_number().over(Window.partitionBy("query_id", "node_kind").orderBy(F.desc(F.floor(F.col("weight") * 1e6 + 0.5)), "node"))
     return weighed.withColumn("r", rank).where((F.col("node_kind") != "document") | (F.col("r") <= documents)).select("query_id", "node", "node_kind", "weight")
-
-
-def keyword(nodes: DataFrame, word: Column | str, *columns: str) -> DataFrame:
-    """Nodes one of whose columns holds a word, whatever the case."""
-    low = F.lower(word if isinstance(word, Column) else F.lit(word))
-    found = F.lit(False)
-    for c in columns:
-        found |= F.contains(F.lower(c), low)
-    return nodes.where(found)

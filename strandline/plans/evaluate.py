@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.text import tokens
-from strandline.operators.bm25 import QUERY_BLOCKS
+from strandline.operators.bm25 import Index, index
+from strandline.operators.substrings import gram_index, matches
+from strandline.session import stored
 
 
 def retrieval(ranked: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (2, 5, 10)) -> DataFrame:
@@ -19,24 +21,32 @@ def retrieval(ranked: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (2
     return rows.agg(F.count("*").alias("queries"), *metrics, F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
-def holding(questions: DataFrame, docs: DataFrame) -> DataFrame:
+#: Words of a passage that lead to documents.
+RAREST = 3
+
+
+def holding(questions: DataFrame, docs: DataFrame, found: Index | None = None) -> DataFrame:
     """(query_id, doc_id): documents(doc_id, text) whose text holds the passage of questions(query_id, text, tokens).
 
-    A passage may begin or end inside a word of the document, so that its second to sixth words are looked up among
-    the shingles of five words. Passages of fewer than seven words, a stated set, are held against all texts in blocks.
+    A passage may begin or end inside a word of the document; the words between are its own. So the rarest of those
+    lead to documents by their postings; of passages of one or two words, the index words that hold them do. Only
+    documents that have all are looked at. ``found``: an index of the documents' tokens. A passage without words is held
+    nowhere.
     """
-
-    def grams(words: Column) -> Column:
-        shifted = F.arrays_zip(*[F.slice(words, k, F.greatest(F.size(words), F.lit(1))).alias(f"w{k}") for k in range(1, 6)])
-        return F.transform(shifted, lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(1, 6)]))
-
-    long, short = questions.where(F.size("tokens") >= 7), questions.where((F.size("tokens") < 7) & (F.col("text") != ""))
-    keyed = docs.select("doc_id", F.col("text").alias("body"), F.explode(F.array_distinct(grams(tokens(F.col("text"))))).alias("key"))
-    found = long.withColumn("key", F.array_join(F.slice("tokens", 2, 5), " ")).join(keyed, "key").where(F.contains("body", F.col("text"))).select("query_id", "doc_id")
-    blocks = short.groupBy(F.pmod(F.xxhash64("text"), F.lit(QUERY_BLOCKS)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "text")).alias("asked"))
-    dealt = docs.select("doc_id", F.col("text").alias("body"), F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))).alias("block")).join(blocks, "block")
-    more = dealt.select("doc_id", F.explode(F.filter("asked", lambda x: F.contains(F.col("body"), x["text"]))).alias("x")).select("x.query_id", "doc_id")
-    return found.union(more).distinct()
+    found = found or index(docs.select("doc_id", tokens(F.col("text")).alias("tokens")))
+    long, short = questions.where(F.size("tokens") > 2), questions.where(F.size("tokens").between(1, 2))
+    inner = long.select("query_id", F.explode(F.array_distinct(F.expr("slice(tokens, 2, size(tokens) - 2)"))).alias("string"))
+    inner = inner.join(found.terms.select(F.col("term").alias("string"), "df"), "string", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "string"))
+    chosen = inner.withColumn("r", rank).where(F.col("r") <= RAREST).select("query_id", "string", F.col("string").alias("term"))
+    outer = short.select("query_id", F.explode(F.array_distinct("tokens")).alias("string"))
+    # One row per query, its word, and an index word that stands for it.
+    led = stored(chosen.union(outer.join(matches(outer, gram_index(found.terms)), "string").select("query_id", "string", "term")), "led")
+    wanted = stored(chosen.select("query_id", "string").union(outer.select("query_id", "string")).groupBy("query_id").agg(F.count("*").alias("wanted")), "wanted")
+    pairs = led.join(found.postings.select("term", "doc_id"), "term").select("query_id", "string", "doc_id").distinct().groupBy("query_id", "doc_id").agg(F.count("*").alias("had"))
+    pairs = stored(pairs.join(wanted, "query_id").where("had = wanted").select("query_id", "doc_id"), "pairs")
+    met = pairs.join(questions.select("query_id", "text"), "query_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
+    return met.where(F.contains("body", F.col("text"))).select("query_id", "doc_id").distinct()
 
 
 def context_precision(ranked: DataFrame, relevant: DataFrame) -> DataFrame:

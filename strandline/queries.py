@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions import text as X
-from strandline.operators import bm25, constraint, dense, extract, fusion, graph, trees
+from strandline.operators import bm25, constraint, dense, extract, fusion, fuzzy, graph, segments, substrings, trees
 from strandline.plans import evaluate, qa, search
 from strandline.session import shared_path, stored, table
+from strandline.sources import files
 from strandline.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,20 +39,33 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # What several queries share, and its SQL.
 
 
-_KEPT: dict[tuple[str, str, str], object] = {}
+_KEPT: dict[tuple[str, str, str], tuple[object, object]] = {}
 
 
-def kept(spark: SparkSession, d: str, name: str, make: Callable[[], object]) -> object:
-    """What several queries read, made once for a session's tables: an index is built once and then asked."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
+def kept(spark: SparkSession, d: str, name: str, tables: tuple[str, ...], make: Callable[[], object]) -> object:
+    """What several queries read, made once for a session and a state of the tables' files, and again when they change."""
+    key, state = (spark.sparkContext.applicationId, d, name), files.state_of(spark, *[f"{d}/{t}.parquet" for t in tables])
+    if _KEPT.get(key, (None,))[0] != state:
+        _KEPT[key] = state, make()
+    return _KEPT[key][1]
+
+
+_FOLDERS: dict[tuple[str, str], str] = {}
 
 
 def corpus_index(spark: SparkSession, d: str) -> bm25.Index:
-    """The BM25 index of the documents."""
-    return kept(spark, d, "index", lambda: bm25.index(table(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))))
+    """The BM25 index of the documents, which follows their files: a session's first query builds it, later ones add
+    what is new and drop what is gone."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _FOLDERS:
+        _FOLDERS[key] = shared_path(spark, "index")
+    version = segments.refresh(spark, _FOLDERS[key], f"{d}/documents.parquet", X.tokens(F.col("text")))
+    return segments.load(spark, _FOLDERS[key], version)
+
+
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The n-grams of the index's words."""
+    return kept(spark, d, "vocabulary", ("documents",), lambda: substrings.gram_index(corpus_index(spark, d).terms))
 
 
 def document_words(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +81,11 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
 
 
+def cells(spark: SparkSession, d: str) -> dense.Cells:
+    """The vectors in their cells."""
+    return kept(spark, d, "cells", ("embeddings",), lambda: dense.index(vectors(spark, d)))
+
+
 def links(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst, relation): pages and the paths they link to."""
     found = X.refs(F.col("html"), r'href="([^"]*)"')
@@ -170,21 +189,21 @@ def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
 def tf_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
     words = F.concat(X.tokens(F.replace("n_name", F.lit("_"), F.lit(" "))), F.array(*[F.lit(w) for w in ("ing", "or", "de")]))
     asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), words.alias("tokens"))
-    found = bm25.best(bm25.substring_scores(table(spark, d, "documents"), asked), 20)
+    found = bm25.best(substrings.substring_scores(corpus_index(spark, d), asked, vocabulary(spark, d)), 20)
     return found.select("query_id", "doc_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {CENTRES} SELECT * FROM (SELECT query_id, doc_id, {M('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS rank FROM sims WHERE score > 0) WHERE rank <= 10")
 def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    found = dense.nearest(v, dense.centroids(v), 10)
+    found = dense.nearest(cells(spark, d), dense.centroids(v), 10)
     return found.select("query_id", "doc_id", X.micro(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {CENTRES} SELECT query_id, doc_id, {M('score')} AS score FROM sims WHERE score >= 0.3")
 def threshold_vector(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return dense.within(v, dense.centroids(v), 0.3).select("query_id", "doc_id", X.micro(F.col("score")).alias("score"))
+    return dense.within(cells(spark, d), dense.centroids(v), 0.3).select("query_id", "doc_id", X.micro(F.col("score")).alias("score"))
 
 
 STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -204,7 +223,9 @@ def seed_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'ri') OR contains(lower(p_brand), 'ri') OR contains(lower(p_type), 'ri')")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    return graph.keyword(table(spark, d, "part"), "RI", "p_name", "p_brand", "p_type").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    parts = table(spark, d, "part")
+    found = kept(spark, d, "part_words", ("part",), lambda: substrings.words_of(parts, "p_partkey", "p_name", "p_brand", "p_type"))
+    return substrings.keyword(parts, found, "RI").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
 
 
 @query(
@@ -216,10 +237,7 @@ def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
     """Mentions (here part names in the plural) and the entities whose names are alike by edit distance."""
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     mentions = names.select(F.concat(F.split_part("name", F.lit(" "), F.lit(1)), F.lit(" "), F.split_part("name", F.lit(" "), F.lit(2)), F.lit("s")).alias("mention")).distinct()
-    score = 1.0 - F.levenshtein("mention", "name").cast("double") / F.greatest(F.length("mention"), F.length("name"))
-    # Names within a fifth of their length of each other have near lengths: the bands that a mention can meet.
-    near = mentions.withColumn("size", F.explode(F.sequence(F.ceil(F.length("mention") * 0.8), F.floor(F.length("mention") / 0.8))))
-    return near.join(names.withColumn("size", F.length("name").cast("long")), "size").withColumn("score", score).where("score >= 0.8").select("mention", "name", X.micro(F.col("score")).alias("score"))
+    return fuzzy.link(mentions, names, 0.8).select("mention", "name", X.micro(F.col("score")).alias("score"))
 
 
 @query(f"WITH {PAGE_LINKS} SELECT l.src AS page, o.doc_id FROM links l JOIN documents o ON l.dst = 'path:/' || split_part(o.text, ' ', 1)")
@@ -306,7 +324,7 @@ TYPED = """
 
 def typed_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The relation graph of regions as laws, nations as plans, suppliers as special plans and customers as other documents."""
-    return kept(spark, d, "graph", lambda: tuple(stored(x, "graph") for x in _typed_graph(spark, d)))
+    return kept(spark, d, "graph", ("region", "nation", "supplier", "customer"), lambda: tuple(stored(x, "graph") for x in _typed_graph(spark, d)))
 
 
 def _typed_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -375,7 +393,7 @@ def ppr_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
 def hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits of three retrievers for the benchmark's questions: BM25, shared words, and references (which short
     questions lack): a question's own number, and documents of the same source and language as that, the 20 best."""
-    return kept(spark, d, "hits", lambda: stored(_hits(spark, d), "hits"))
+    return kept(spark, d, "hits", ("documents", "benchmark"), lambda: stored(_hits(spark, d), "hits"))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -573,7 +591,7 @@ def _sections_sql(pick: bool = True) -> str:
 
 
 def _picked(spark: SparkSession, d: str) -> DataFrame:
-    return kept(spark, d, "picked", lambda: stored(bm25.search(corpus_index(spark, d), questions(spark, d), 3).select("query_id", "doc_id", "rank"), "picked"))
+    return kept(spark, d, "picked", ("documents", "benchmark"), lambda: stored(bm25.search(corpus_index(spark, d), questions(spark, d), 3).select("query_id", "doc_id", "rank"), "picked"))
 
 
 @query(f"WITH {RC}, {LINES}, {_sections_sql()} SELECT query_id, key, rank, {M('score')} AS score FROM found")
@@ -1010,7 +1028,7 @@ RELEVANT = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN doc
 
 def relevant(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, doc_id): documents that hold a question's passage."""
-    return evaluate.holding(questions(spark, d), table(spark, d, "documents").select("doc_id", "text"))
+    return evaluate.holding(questions(spark, d), table(spark, d, "documents").select("doc_id", "text"), corpus_index(spark, d))
 
 
 RANKED = f"ranked AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS rank FROM rc WHERE score > 0) WHERE rank <= 10)"
@@ -1037,7 +1055,7 @@ def context_precision(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CENTRES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS rank FROM sims WHERE score > 0) SELECT query_id, {M('avg((label = query_id)::INT::DOUBLE)')} AS precision FROM r JOIN embeddings ON vec_id = doc_id WHERE rank <= 10 GROUP BY query_id")
 def label_precision(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    near = dense.nearest(v, dense.centroids(v), 10).join(v.select("doc_id", "label"), "doc_id")
+    near = dense.nearest(cells(spark, d), dense.centroids(v), 10).join(v.select("doc_id", "label"), "doc_id")
     return near.groupBy("query_id").agg(X.micro(F.avg((F.col("label") == F.col("query_id")).cast("double"))).alias("precision"))
 
 

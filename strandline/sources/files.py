@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,28 @@ METADATA = T.StructType(
 LIST_NAMES = dict(zip(("cfr_refs", "gdc_refs", "rg_refs", "srp_refs", "dsrs_refs", "section_refs"), TEXT_LISTS, strict=True))
 
 
+def plain_path(uri: Column) -> Column:
+    """A file's path as any reader names it: without its scheme and escapes."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), r"^\w+:/+", "/")
+
+
+def fingerprint(path: Column, length: Column, modified: Column) -> Column:
+    """What stands for one state of a file."""
+    return F.xxhash64(path, length.cast("long"), modified.cast("timestamp"))
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(file, path, length, modified) of the files at ``path``, of which nothing is read; ``file`` is their fingerprint."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    plain = F.regexp_replace("path", r"^\w+:/+", "/")
+    return rows.select(fingerprint(plain, F.col("length"), F.col("modified")).alias("file"), "path", "length", "modified")
+
+
+def state_of(spark: SparkSession, *paths: str) -> tuple:
+    """A value that differs when a file at one of the paths was added, removed or written again."""
+    return tuple(tuple(listing(spark, p).agg(F.count("*"), F.bit_xor("file"), F.sum(F.col("file").cast("decimal(38,0)"))).first()) for p in paths)
+
+
 def read_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A JSON array of records, or one record a line; what a record lacks is empty. ``doc_ord``: its place by filename."""
     names = {v: k for k, v in LIST_NAMES.items()}
