@@ -41,11 +41,11 @@ BOILER = {"nav": STRONG, "footer": STRONG, "aside": STRONG, "menu": STRONG, "dia
 GOOD = frozenset(("article", "main"))
 # Words of class, id or role that name what encloses a block: beside the text without doubt, or likely so.
 STRONG_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay nav navbar navigation menu breadcrumb "
-    "breadcrumbs comment comments commentlist commentform respond reply replies disqus newsletter subscribe subscription signup login search pagination pager contentinfo complementary".split()
+    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr nav navbar navigation menu breadcrumb "
+    "breadcrumbs comment comments commentlist commentform respond reply replies disqus pagination pager contentinfo complementary".split()
 )
 WEAK_WORDS = frozenset(
-    "banner notice notices alert footer header masthead sidebar aside widget widgets related recommended share sharing social toc copyright legal disclaimer toolbar skip hidden".split()
+    "popup modal overlay newsletter subscribe subscription signup login search banner notice notices alert footer header masthead sidebar aside widget widgets related recommended share sharing social toc copyright legal disclaimer toolbar skip hidden".split()
 )
 #: Words that say what shape something has, not what it is: a comment-list is comments, a legal-basis isn't legal matter.
 SHAPES = frozenset(
@@ -56,11 +56,10 @@ SHAPES = frozenset(
 PROPERTIES = frozenset("has have no not non with without is hide show after before".split())
 GOOD_WORDS = frozenset("article articlebody content post entry story main maincontent body text prose".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-# Elements that p may not hold.
-SCOPE = frozenset("div section article main aside nav header footer form table td th li ul ol body html blockquote details dialog figure fieldset".split())
 LISTS = frozenset(("ul", "ol", "menu"))
 
-TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z][^>]*\Z", re.S)
+# A quote opens a value only right after "="; anywhere else it is a character like others, and ">" ends the tag.
+TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)>|<[a-zA-Z][^>]*\Z", re.S)
 NAMED = re.compile(r"(?:\s|^|[\"'])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 SPACE = re.compile(r"\s+")
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
@@ -170,43 +169,50 @@ class Open:
     """The open elements of a page, each with what holds from it on: level of boilerplate, article, the place of what
     the article was rescued from (0: nothing), the place where boilerplate begins.
 
-    Counts by name, and the places of lists and their items, say in one step what a search of the stack would:
-    the work on a page grows with its length, however deep it nests."""
+    The places of elements by name, and of blocks, say in one step what a search of the stack would: the work on a page
+    grows with its length, however deep it nests."""
 
     def __init__(self):
         self.tags: list[str] = []
         self.states: list[tuple[int, bool, int, int]] = []
-        self.counts: dict[str, int] = {}
-        self.items: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
         self.lists: list[int] = []
         self.heads = 0
 
     def state(self) -> tuple[int, bool, int, int]:
         return self.states[-1] if self.states else (CLEAR, False, 0, 0)
 
+    def has(self, *tags: str) -> bool:
+        return any(self.places.get(tag) for tag in tags)
+
     def push(self, tag: str, state: tuple[int, bool, int, int]) -> None:
-        if tag == "li":
-            self.items.append(len(self.tags))
-        elif tag in LISTS:
+        if tag in LISTS:
             self.lists.append(len(self.tags))
-        elif tag in HEADINGS:
-            self.heads += 1
-        self.counts[tag] = self.counts.get(tag, 0) + 1
+        if tag in BLOCKS:
+            self.blocks.append(len(self.tags))
+        self.heads += tag in HEADINGS
+        self.places.setdefault(tag, []).append(len(self.tags))
         self.tags.append(tag)
         self.states.append(state)
 
     def close(self, tag: str) -> bool | None:
-        """Close the last ``tag`` and all inside it: whether text before and after are separate blocks; None without one."""
-        if not self.counts.get(tag):
+        """Close the last ``tag`` and all inside it: whether text before and after are separate blocks; None without one.
+        The end of what is no block, as bold type, leaves the blocks open that began inside it."""
+        if not self.has(tag):
             return None
+        if tag not in BLOCKS and self.blocks and self.blocks[-1] > self.places[tag][-1]:
+            self.forget(tag)
+            return False
         before, apart = self.state(), False
         while True:
             last = self.tags.pop()
             self.states.pop()
-            self.counts[last] -= 1
+            if last:
+                self.places[last].pop()
             apart |= last in BLOCKS
             self.heads -= last in HEADINGS
-            for places in (self.items, self.lists):
+            for places in (self.blocks, self.lists):
                 if places and places[-1] >= len(self.tags):
                     places.pop()
             if last == tag:
@@ -214,21 +220,16 @@ class Open:
 
     def forget(self, tag: str) -> None:
         """The last ``tag`` ends, but not what is inside it."""
-        if self.counts.get(tag):
-            k = len(self.tags) - 1
-            while self.tags[k] != tag:
-                k -= 1
-            self.counts[tag] -= 1
-            self.tags[k] = ""
-            self.counts[""] = self.counts.get("", 0) + 1
+        if self.has(tag):
+            self.tags[self.places[tag].pop()] = ""
 
 
 def within(outer: tuple[int, bool, int, int], bad: int, good: bool, tag: str, place: int) -> tuple[int, bool, int, int]:
-    """What holds inside an element. An article or main that only a form or a name calls boilerplate is text again:
-    rescued, which counts if the page has no other article."""
+    """What holds inside an element. An article or main that only a form or a name, be it its own, calls boilerplate is
+    text again: rescued, which counts if the page has no other article."""
     level, article, rescued, begin = outer
-    if tag in GOOD and CLEAR < level < STRONG and bad == CLEAR:
-        return CLEAR, True, begin, 0
+    if tag in GOOD and CLEAR < max(level, bad) < STRONG:
+        return CLEAR, True, begin if level else place, 0
     return max(level, bad), article or good or tag in GOOD, rescued, begin if level else place if bad else 0
 
 
@@ -256,19 +257,19 @@ def blocks(page: str) -> list[Block]:
             if "&" in text:
                 text = entities.unescape(text)
             now.parts.append(text)
-            if stack.counts.get("a"):
+            if stack.has("a"):
                 now.linked.append(text)
         if not m:
             break
         at = m.end()
-        closed, opened = m[1], m[2] or m[4]
+        closed, opened = m[1], m[2]
         if closed:
             tag = closed.lower()
             apart = stack.close(tag)
             if apart or apart is None and tag in BLOCKS:
                 turn()
         elif opened:
-            tag, attributes = opened.lower(), m[3] or m[5] or ""
+            tag, attributes = opened.lower(), m[3]
             if tag in RAW:
                 # Nothing in them is text of the page. Without an end, scripts and the like last until the page ends;
                 # the other elements aren't waited for, and a head ends with the body's begin.
@@ -293,15 +294,16 @@ def blocks(page: str) -> list[Block]:
                     turn()
             else:
                 if tag in BLOCKS:
-                    # An open p is never outside an open element of SCOPE, as those end it.
                     stack.close("p")
-                    if tag == "li" and stack.items and (not stack.lists or stack.items[-1] > stack.lists[-1]):
+                    if tag == "li" and stack.has("li") and (not stack.lists or stack.places["li"][-1] > stack.lists[-1]):
                         stack.close("li")
                 elif tag == "a":
                     stack.forget("a")
                 before = stack.state()
                 article = before[1]
-                bad, good = names(attributes, article) if attributes and tag not in ("body", "html") else (CLEAR, False)
+                # Inside of code, classes name what its words are, as comments.
+                told = attributes and tag not in ("body", "html") and not stack.has("pre", "code")
+                bad, good = names(attributes, article) if told else (CLEAR, False)
                 bad = max(bad, BOILER.get(tag, CLEAR), WEAK if tag == "header" and not article else CLEAR)
                 state = within(before, bad, good, tag, at)
                 stack.push(tag, state)
