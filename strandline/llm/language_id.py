@@ -9,7 +9,8 @@ go to the smaller code, so a ranking is a function of the text alone; ties in di
 sorts first.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; languages that are null teach
-nothing; without any profile every text is ``und``; more than ``MOST_LANGUAGES`` values of lang raise an error.
+nothing; without any profile every text is ``und``. Any number of languages can be learnt; each has a profile of some
+kB that goes to every task.
 """
 
 from __future__ import annotations
@@ -31,14 +32,11 @@ RANKS = 400
 LONGEST = 3
 FIT_ROWS = 4_000
 UNDETERMINED = "und"
-#: Languages at most: their profiles, a few kB each, are sent to every task.
-MOST_LANGUAGES = 2_000
-#: For the least scores: documents of a language in expectation, quantiles of own scores and of shuffled texts,
-#: characters that are shuffled, and the score that is asked for in any case.
+#: For the least scores: documents of a language in expectation, quantiles of own scores and of shuffled texts, and
+#: the score that is asked for in any case.
 LEAST_ROWS = 1_000
 LOW = 0.01
 HIGH = 0.95
-JUNK_CHARS = 4_000
 LEAST = 0.02
 #: Stands for what lies between letters; not 0, so that n-grams of different lengths have different codes.
 BOUNDARY = 1
@@ -105,13 +103,10 @@ def fold(docs: DataFrame, rows: int, last: bool = False) -> DataFrame | None:
     """Documents outside the held-out fold: at most about ``rows`` of a language, those in a slice, the first or the
     last, of the hash of doc_id. None without any."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(True)))
-    marks = train.groupBy("lang").count()
-    if marks.count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: they must be cleaned before profiles are learnt from them")
-    sizes = {r["lang"]: r["count"] for r in marks.collect()}
+    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    # One literal, however many marks there are; profiles of all of them go to every task, hence the bound.
+    # One literal, however many languages there are.
     limit = F.from_json(F.lit(json.dumps({lang: int(min(1.0, rows / n) * 2**60) for lang, n in sizes.items()})), "map<string,bigint>")[F.col("lang")]
     key = hash63(F.lit("language"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return train.where(key >= 2**60 - limit if last else key < limit)
@@ -135,19 +130,29 @@ def learn(docs: DataFrame, rows: int = FIT_ROWS, ranks: int = RANKS) -> dict[str
 
 
 class Ranked:
-    """The profiles as one sorted table, for all distances at once."""
+    """The profiles as one sorted table of codes with the languages that have them, for all distances at once."""
 
     def __init__(self, profiles: dict[str, np.ndarray], ranks: int = RANKS):
         self.langs, self.ranks = list(profiles), ranks
-        self.codes = np.unique(np.concatenate([np.zeros(1, np.int64), *profiles.values()]))
-        self.places = np.full((len(self.langs), len(self.codes)), -1, np.int32)
-        for k, lang in enumerate(self.langs):
-            self.places[k, np.searchsorted(self.codes, profiles[lang])] = np.arange(len(profiles[lang]))
+        codes = np.concatenate([np.zeros(0, np.int64), *profiles.values()])
+        langs = np.repeat(np.arange(len(self.langs)), [len(p) for p in profiles.values()])
+        places = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(p)) for p in profiles.values()]])
+        order = np.argsort(codes, kind="stable")
+        self.codes, begins = np.unique(codes[order], return_index=True)
+        self.tops = np.append(begins, len(codes))
+        self.entries, self.places = langs[order].astype(np.int32), places[order].astype(np.int32)
 
     def distances(self, own: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.full(len(self.langs), len(own) * self.ranks)
         at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
-        places = np.where(self.codes[at] == own, self.places[:, at], -1)
-        return np.where(places >= 0, np.abs(places - np.arange(len(own))), self.ranks).sum(1)
+        known = np.flatnonzero(self.codes[at] == own)
+        counts = self.tops[at[known] + 1] - self.tops[at[known]]
+        rank = np.repeat(known, counts)
+        entry = np.arange(len(rank)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.tops[at[known]], counts)
+        # Every n-gram that a profile has adds its difference instead of the profile's length.
+        less = self.ranks - np.abs(self.places[entry] - rank)
+        return len(own) * self.ranks - np.bincount(self.entries[entry], less, len(self.langs)).astype(np.int64)
 
     def predict(self, text: str) -> tuple[str, float]:
         """A language and the share of the largest possible distance that the text stays below."""
@@ -190,9 +195,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def junk_of(text: str) -> str:
-    """The first letters and signs of a text in another order: what has a language's letters, but isn't of it."""
-    points = np.array(list(text[:JUNK_CHARS]))
-    return "".join(np.random.default_rng(len(text)).permutation(points))
+    """The letters and signs of a text in another order: what has a language's letters, but isn't of it."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.random.default_rng(len(text)).permutation(points).tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], rows: int = LEAST_ROWS) -> dict[str, float]:
