@@ -8,6 +8,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import check_packing
@@ -262,12 +263,70 @@ def test_ranges_by_bytes(spark, monkeypatch):
         assert got[i][2] == hashlib.sha256((own[: len(own) - len(own) // 3] + texts[after][: len(own) // 3]).encode()).hexdigest()
 
 
-def test_marks_of_many_languages(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, "some words", 'odd "mark" \\ ' + str(k % 5)) for k in range(40)], "doc_id long, text string, lang string")
-    assert len(language_id.learn(docs)) == 5
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 4)
-    with pytest.raises(ValueError):
-        language_id.learn(docs)
+def test_marks_of_many_languages(spark):
+    docs = spark.createDataFrame([(k, f"some words {'abcdefgh'[k % 8] * 3}", f'odd "mark" \\ {k % 4500}') for k in range(14_000)], "doc_id long, text string, lang string").repartition(4)
+    profiles = language_id.learn(docs)
+    assert len(profiles) > 4000 and language_id.identify(docs.limit(50), profiles).where("lang_pred <> 'und'").count() == 50
+
+
+def test_distances_by_hand():
+    r = np.random.default_rng(4)
+    profiles = {f"l{k}": r.permutation(60)[: r.integers(0, 30)].astype(np.int64) for k in range(40)}
+    ranked = language_id.Ranked(profiles, 30)
+    for _ in range(20):
+        own = r.permutation(80)[: r.integers(1, 30)].astype(np.int64)
+        wanted = [sum(abs(p.tolist().index(c) - i) if c in p else 30 for i, c in enumerate(own)) for p in profiles.values()]
+        assert ranked.distances(own).tolist() == wanted
+    assert language_id.Ranked({"a": np.zeros(0, np.int64)}, 5).distances(np.array([3, 4])).tolist() == [10]
+
+
+def test_junk_is_of_the_whole_text():
+    text = "a" * 5000 + "é🙂" * 3000
+    junk = language_id.junk_of(text)
+    assert sorted(junk) == sorted(text) and junk != text and "🙂" in junk[:200]
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<article><p title='it's'>One of them, it's said.</p><p>Two.</p></article>", "One of them, it's said. Two."),
+        ('<article><p a="x>y" b=z"q>text', "text"),
+        ('<div id="overlay"><article><p>Inside of it all.</p></article></div>', "Inside of it all."),
+        ('<main class="subscription"><p>What the page is about.</p></main>', "What the page is about."),
+        ("<article><b><p>1 one</b><p>2 two</article><nav>menu</nav>", "1 one 2 two"),
+        ('<article><p>See</p><pre><code><span class="hljs-comment"># why</span> x = 1</code></pre></article>', "See # why x = 1"),
+        ('<article><p>The text of it.</p></article><div class="comments"><article class="comment"><p>A reader.</p></article></div>', "The text of it."),
+        ('<article><p>The text of it.</p></article><div class="modal"><article><p>Join us.</p></article></div>', "The text of it."),
+    ],
+)
+def test_html_probes(spark, page, wanted):
+    tree = html_text.train(spark)
+    assert html_text.main_text(page, tree) == wanted
+
+
+def test_html_of_many_ends_takes_linear_time():
+    took = []
+    for n in (20_000, 40_000):
+        begun = time.time()
+        html_text.blocks("<b><div>" * n + "</b>" * n + "<p>x='" * n)
+        took.append(time.time() - begun)
+    assert took[1] < 4 * took[0] + 0.5
+
+
+def test_records_in_payloads_cost_linear_time(spark):
+    """Pages of nested records, of first lines alone, and of lengths alone."""
+    for fake in ("WARC/1.1\r\nContent-Length: {}\r\n\r\n", "WARC/1.1\r\n", "WARC/1.1\r\n\r\n", "\r\nContent-Length: 4\r\n\r\n"):
+        took = []
+        for n in (10_000, 40_000):
+            payload = "".join(fake.format(7 * k) for k in range(n)).encode()
+            raw = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(payload), payload)
+            begun = time.time()
+            batch = pa.RecordBatch.from_pydict({"content": pa.array([raw, raw], pa.binary())})
+            rows = [r for b in warc.file_records([batch]) for r in b.to_pylist()]
+            took.append(time.time() - begun)
+            body = payload[payload.find(b"\r\n\r\n") + 4 :] if b"\r\n\r\n" in payload else payload
+            assert [r["page_id"] for r in rows] == [5, 5] and rows[0]["payload_digest"] == hashlib.sha256(body).hexdigest()
+        assert took[1] < 8 * took[0] + 0.3
 
 
 def test_near_groups_of_texts(spark):
