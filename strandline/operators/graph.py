@@ -5,7 +5,10 @@ One edge for each (src, dst): where several are written, the last one holds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -114,41 +117,58 @@ def around_entities(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.join(both, "node").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
 
 
-def pagerank(
-    nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, keep_every: int = 5, again: tuple[int, float] | None = (300, 1e-4)
-) -> DataFrame:
+def out_links(edges: DataFrame) -> DataFrame:
+    """(src, dst, degree): each edge once, with the number of its source's."""
+    out = edges.select("src", "dst").distinct()
+    return stored(out.join(out.groupBy("src").agg(F.count("*").alias("degree")), "src"), "links")
+
+
+def jumps(seeds: DataFrame) -> DataFrame:
+    """(query_id, id, v): the weights of seeds(query_id, node, weight), of each query as shares of one."""
+    total = seeds.groupBy("query_id").agg(F.sum("weight").alias("total"))
+    return seeds.join(total, "query_id").groupBy("query_id", F.col("node").alias("id")).agg((F.sum("weight") / F.first("total")).alias("v"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, least: float = 1e-12) -> DataFrame:
     """(query_id, id, rank): personalised PageRank for all queries at once; nodes(id), seeds(query_id, node, weight).
 
-    Weights are normalised for each query; what nodes without out-edges hold goes back to the seeds. Stops when no
-    query changes by nodes * tolerance or more, or after ``iterations``; then, with ``again``, it goes on up to so many
-    iterations in all and with that tolerance. Only the change, asked every ``keep_every`` iterations, reaches the
-    driver. Each iteration is one sum over what flows along edges, what jumps and what was there, and a table of its
-    own; nodes without rank aren't carried along.
+    Weights are normalised for each query; what nodes without out-edges hold goes back to the seeds. So the ranks are
+    the sum of what the seeds' weights become as they are pushed along edges, alpha of them each time, normalised: each
+    round pushes the residual of every query, a frontier of its own, and only nodes that it touches are rows. Residuals
+    below ``least`` aren't pushed on. Rounds go on until what is left is less than nodes * tolerance, or there is none.
+    Nodes that no seed reaches have no rank and no row.
     """
+    n = max(nodes.select("id").distinct().count(), 1)
+    rounds = iterations if tolerance <= 0 else min(iterations, max(1, math.ceil(math.log(min(n * tolerance, 0.5)) / math.log(alpha))))
+    links = out_links(edges)
+    front = stored(jumps(seeds), "front")
+    fronts = [front]
+    for k in range(1, rounds + 1):
+        flow = front.where(F.col("v") >= least).join(links, F.col("id") == F.col("src"))
+        front = stored(flow.groupBy("query_id", F.col("dst").alias("id")).agg(F.sum(alpha * F.col("v") / F.col("degree")).alias("v")), "front")
+        fronts.append(front)
+        if k % 8 == 0 and front.isEmpty():
+            break
+    summed = stored(reduce(DataFrame.union, fronts).groupBy("query_id", "id").agg(F.sum("v").alias("v")), "summed")
+    total = summed.groupBy("query_id").agg(F.sum("v").alias("total"))
+    return summed.join(total, "query_id").select("query_id", "id", (F.col("v") / F.col("total")).alias("rank"))
+
+
+def walked(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, iterations: int, alpha: float = 0.85) -> DataFrame:
+    """(id, rank) after so many iterations of one walk from the same rank everywhere; seeds(node, weight). A table per
+    iteration; nodes without rank aren't carried along, but are in the result."""
     ids = nodes.select("id").distinct()
-    n = ids.count()
-    total = seeds.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    jump = stored(seeds.join(total, "query_id").groupBy("query_id", F.col("node").alias("id")).agg((F.sum("weight") / F.first("total")).alias("p")), "jump")
-    out = edges.select("src", "dst").distinct()
-    degree = out.groupBy("src").agg(F.count("*").alias("degree"))
-    links = stored(out.join(degree, "src"), "links")
-    dead = stored(ids.join(degree, F.col("id") == F.col("src"), "left_anti").select("id"), "dead")
-    frame = total.select("query_id").crossJoin(ids)  # the result has a row for each query and node
-    none = F.lit(0.0)
-    ranks, k, settled = frame.withColumn("rank", F.lit(1.0 / max(n, 1))), 0, False
-    for most, small in ((iterations, tolerance), again or (0, 0.0)):
-        while k < most and not settled:
-            k += 1
-            flow = ranks.join(links, F.col("id") == F.col("src")).select("query_id", F.col("dst").alias("id"), (alpha * F.col("rank") / F.col("degree")).alias("part"), none.alias("old"))
-            lost = ranks.join(dead, "id", "left_semi").groupBy("query_id").agg(F.sum("rank").alias("lost"))
-            back = jump.join(lost, "query_id", "left").select("query_id", "id", ((alpha * F.coalesce("lost", none) + (1 - alpha)) * F.col("p")).alias("part"), none.alias("old"))
-            summed = flow.union(back).union(ranks.select("query_id", "id", none.alias("part"), F.col("rank").alias("old"))).groupBy("query_id", "id").agg(F.sum("part").alias("rank"), F.sum("old").alias("old"))
-            ranks = stored(summed.select("query_id", "id", "rank", F.abs(F.col("rank") - F.col("old")).alias("change")), "ranks")
-            if k % keep_every == 0 or k == most:
-                change = ranks.groupBy("query_id").agg(F.sum("change").alias("d")).agg(F.max("d").alias("d")).first()["d"]
-                settled = change is None or change < n * small
-            ranks = ranks.where("rank > 0").select("query_id", "id", "rank")
-    return frame.join(ranks, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("rank", none).alias("rank"))
+    n = max(ids.count(), 1)
+    jump = stored(jumps(seeds.withColumn("query_id", F.lit(0))).select("id", F.col("v").alias("p")), "jump")
+    links = out_links(edges)
+    dead = stored(ids.join(links.select("src").distinct(), F.col("id") == F.col("src"), "left_anti").select("id"), "dead")
+    ranks = ids.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(iterations):
+        flow = ranks.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (alpha * F.col("rank") / F.col("degree")).alias("part"))
+        lost = ranks.join(dead, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
+        back = jump.crossJoin(F.broadcast(lost)).select("id", ((alpha * F.col("lost") + (1 - alpha)) * F.col("p")).alias("part"))
+        ranks = stored(flow.union(back).groupBy("id").agg(F.sum("part").alias("rank")).where("rank > 0"), "ranks")
+    return ids.join(ranks, "id", "left").select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"))
 
 
 def overlap_seeds(node_words: DataFrame, queries: DataFrame, bonus: float = 0.1, least: float = 0.15, documents: int = 20) -> DataFrame:

@@ -12,36 +12,43 @@ from strandline.operators.bm25 import best, index, scores
 from strandline.session import stored
 
 
-#: A node; its children stay JSON for the next level.
-NODE = "node_id string, title string, summary string, start_index string, end_index string, nodes array<string>"
-
-
-def flatten(trees: DataFrame, deepest: int = 32) -> DataFrame:
+#: Every node of the trees, from the roots down, each tree being parsed once.
+DESCENT = """
+WITH RECURSIVE nodes(doc_id, parent_node_id, path_ord, depth, node) AS (
+  SELECT doc_id, CAST(NULL AS STRING), format_string('%06d', e.pos), 0, e.value FROM {trees}, LATERAL variant_explode(try_parse_json(structure)) e
+  UNION ALL
+  SELECT n.doc_id, coalesce(try_variant_get(n.node, '$.node_id', 'string'), n.parent_node_id), concat(n.path_ord, format_string('%06d', e.pos)), n.depth + 1, e.value
+  FROM nodes n, LATERAL variant_explode(try_variant_get(n.node, '$.nodes', 'variant')) e)
+SELECT doc_id, try_variant_get(node, '$.node_id', 'string') AS node_id, parent_node_id, depth, path_ord, try_variant_get(node, '$.title', 'string') AS title,
+  try_variant_get(node, '$.summary', 'string') AS summary, try_cast(try_variant_get(node, '$.start_index', 'string') AS INT) AS start_index,
+  try_cast(try_variant_get(node, '$.end_index', 'string') AS INT) AS end_index, coalesce(size(try_variant_get(node, '$.nodes', 'array<variant>')), 0) AS n_children
+FROM nodes
+"""
+#: Neither rows nor levels of a descent are limited.
+LIMITS = ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")
+
+
+def descended(trees: DataFrame) -> DataFrame:
+    """All nodes of trees(doc_id, structure), with and without id, as a table."""
+    conf = trees.sparkSession.conf
+    before = [conf.get(name) for name in LIMITS]
+    for name in LIMITS:
+        conf.set(name, "-1")
+    try:
+        return stored(trees.sparkSession.sql(DESCENT, trees=trees.select("doc_id", "structure")), "nodes")
+    finally:
+        for name, value in zip(LIMITS, before, strict=True):
+            conf.set(name, value)
+
+
+def flatten(trees: DataFrame) -> DataFrame:
     """tree_nodes from trees(doc_id, structure), structure being the JSON array of root nodes.
 
     Nodes without an id are left out, but their children count, under the nearest ancestor with an id. Of nodes
-    that share an id in a document, the last one's values stand at the first one's place. Goes down level by
-    level; levels are bounded by the depth of the deepest tree, and an error is raised beyond ``deepest``.
+    that share an id in a document, the last one's values stand at the first one's place. What isn't JSON, or no array, has
+    no nodes. Trees are as deep as JSON can be read.
     """
-    level = trees.select("doc_id", F.from_json("structure", "array<string>").alias("nodes"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("path"), F.lit(0).alias("depth"))
-    out = None
-    for _ in range(deepest):
-        rows = level.select("doc_id", "parent", "path", "depth", F.posexplode("nodes").alias("k", "node")).withColumn("x", F.from_json("node", NODE))
-        rows = rows.select(
-            "doc_id", "x.node_id", F.col("parent").alias("parent_node_id"), "depth", F.concat("path", F.format_string("%06d", "k")).alias("path_ord"), "x.title", "x.summary",
-            F.col("x.start_index").try_cast("int").alias("start_index"), F.col("x.end_index").try_cast("int").alias("end_index"), F.coalesce("x.nodes", F.array().cast("array<string>")).alias("children"),
-        )
-        rows = stored(rows, "level")
-        if rows.isEmpty():
-            break
-        own = rows.select(*[c for c in rows.columns if c != "children"], F.size("children").alias("n_children"))
-        out = own if out is None else out.union(own)
-        level = rows.where(F.size("children") > 0).select("doc_id", F.col("children").alias("nodes"), F.coalesce("node_id", "parent_node_id").alias("parent"), F.col("path_ord").alias("path"), (F.col("depth") + 1).alias("depth"))
-    else:
-        raise ValueError(f"a tree is deeper than {deepest} levels")
-    if out is None:
-        return level.select("doc_id", F.lit("").alias("node_id"), F.col("parent").alias("parent_node_id"), "depth", F.col("path").alias("path_ord"), *[F.lit(None).cast("string").alias(c) for c in ("title", "summary")], *[F.lit(0).alias(c) for c in ("start_index", "end_index", "n_children")]).where("false")
-    known = out.where(F.coalesce("node_id", F.lit("")) != "")
+    known = descended(trees).where(F.coalesce("node_id", F.lit("")) != "")
     last = F.max_by(F.struct("parent_node_id", "depth", "title", "summary", "start_index", "end_index", "n_children"), "path_ord")
     return known.groupBy("doc_id", "node_id").agg(F.min("path_ord").alias("path_ord"), last.alias("x")).select("doc_id", "node_id", "x.parent_node_id", "x.depth", "path_ord", "x.title", "x.summary", "x.start_index", "x.end_index", "x.n_children")
 

@@ -382,11 +382,30 @@ _STEP = "r{k} AS (SELECT n.id, 0.85::DOUBLE * (coalesce(f.flow, 0) + (SELECT coa
 def ppr_fixed_iters(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = keys_graph(spark, d)
     both = edges.select("src", "dst").union(edges.where("dst_type = 'region'").select("dst", "src"))
-    seeds = nodes.where("kind = 'supplier'").select(F.lit(0).alias("query_id"), F.col("id").alias("node"), F.lit(1.0).alias("weight"))
-    found = graph.pagerank(nodes, both, seeds, iterations=6, tolerance=0.0, keep_every=3, again=None)
+    seeds = nodes.where("kind = 'supplier'").select(F.col("id").alias("node"), F.lit(1.0).alias("weight"))
+    found = graph.walked(nodes, both, seeds, 6)
     return found.select("id", F.floor(F.col("rank") * 1e9 + 0.5).cast("long").alias("rank"))
 
 
+_PUSH = "v{k} AS (SELECT q, dst AS id, sum(0.85::DOUBLE * v / deg) AS v FROM v{j} JOIN und ON src = id JOIN degs USING (src) GROUP BY q, dst)"
+
+
+@query(
+    f"""WITH {KEYS}, und AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE dst_type = 'region'), degs AS (SELECT src, count(*) AS deg FROM und GROUP BY src),
+  w AS (SELECT s_nationkey AS q, 'supplier:' || s_suppkey AS id, s_suppkey % 3 + 1 AS w FROM supplier), v0 AS (SELECT q, id, w::DOUBLE / sum(w) OVER (PARTITION BY q) AS v FROM w),
+  {", ".join(_PUSH.format(k=k, j=k - 1) for k in range(1, 9))},
+  s AS (SELECT q, id, sum(v) AS v FROM ({" UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(9))}) GROUP BY q, id)
+  SELECT q AS query_id, id, CAST(floor(v / sum(v) OVER (PARTITION BY q) * 1000000000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS rank FROM s"""
+)
+def ppr_push(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks for a query per nation, from its suppliers, after eight rounds: a query's rows are the nodes it reaches."""
+    nodes, edges = keys_graph(spark, d)
+    both = edges.select("src", "dst").union(edges.where("dst_type = 'region'").select("dst", "src"))
+    seeds = table(spark, d, "supplier").select(F.col("s_nationkey").alias("query_id"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node"), (F.col("s_suppkey") % 3 + 1).cast("double").alias("weight"))
+    found = graph.pagerank(nodes, both, seeds, iterations=8, tolerance=0.0, least=0.0)
+    return found.select("query_id", "id", F.floor(F.col("rank") * 1e9 + 0.5).cast("long").alias("rank"))
+
+
 # Fusion.
 
 
