@@ -62,10 +62,11 @@ CLEAN_SUPPORT = 3
 
 
 def base(text: str) -> str:
-    """Lower case, compatibility forms, without hidden characters: what word boundaries are taken from."""
+    """Lower case, compatibility forms, without hidden characters, one space for any white space: what word boundaries
+    and phrases are taken from."""
     if not text.isascii():
         text = HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-    return text.lower()
+    return " ".join(text.lower().split())
 
 
 def fold(plain: str) -> str:

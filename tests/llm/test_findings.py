@@ -134,6 +134,13 @@ def test_toxicity_long_texts_and_learnt_phrases(spark):
     assert toxicity.density("a foulword here", found)[1] == 1 and toxicity.density("a foulword garden here", found)[1] == 0
 
 
+def test_phrases_across_any_white_space():
+    lexicon = toxicity.Lexicon({toxicity.fold("stupid"): (2.0, False)}, exceptions=("stupid mistake",))
+    found = lexicon.automaton()
+    for text, hits in (("a stupid mistake", 0), ("a stupid\nmistake", 0), ("a stupid \t\u00a0 mistake", 0), ("stupid  mis take", 1), ("mistake stupid", 1)):
+        assert toxicity.density(text, found)[1] == hits, text
+
+
 def test_copies_teach_once(spark):
     r = random.Random(2)
     words = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(900)) for _ in range(n))
