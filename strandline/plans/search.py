@@ -8,19 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.text import STOP_WORDS, page_range, tokens, without
-from strandline.operators import bm25, constraint, dense, fusion, graph, trees
+from strandline.functions.text import STOP_WORDS, chapter, page_range, tokens, without
+from strandline.operators import bm25, constraint, dense, extract, fusion, graph, trees
 from strandline.plans.providers import Provider, ask, echo, hints, no_hints
 from strandline.session import stored
 
 
-# How the lines of a trace begin and end, and how a document without a tree is described.
-PICKED, PICKED_OF = "[Layer 1] Selected ", " docs: "
+# The lines of a trace, and how a document without a tree is described.
+PICKED = "[Layer 1] Selected %d docs: %s"
 BROWSED = "[Layer 2] No search results, browsing top-level."
-FOUND, FOUND_END = "[Layer 2] Search found ", " sections."
-READ, READ_END = "[Layer 2] Retrieved ", " sections total."
-DONE, DONE_END = "[Done] Context: ", " chars."
-FILE, FILE_END, REFS = "\n  File: ", "p)\n  Cross-refs: ", ("RG", "GDC", "SRP")
+FOUND = "[Layer 2] Search found %d sections."
+READ = "[Layer 2] Retrieved %d sections total."
+DONE = "[Done] Context: %d chars."
+DOCUMENT = "[%s] %s: %s\n  File: %s (%dp)\n  Cross-refs: RG=[%s], GDC=[%s], SRP=[%s]"
 
 
 @dataclass(frozen=True)
@@ -43,13 +43,16 @@ class Limits:
 @dataclass
 class Corpus:
     """What a search reads. docs(doc_id, words) or a BM25 index of them, nodes and edges of the graph with ids as doc_ids there,
-    vectors(doc_id, v), sections(tree_nodes); cites and in_chapter (doc_id, concept), entities and chapters
+    node_texts (node, node_kind, text) that seeds are found by (titles and sections, where there are none), vectors(doc_id, v)
+    or cells of them, sections(tree_nodes), meta for documents without sections; cites and in_chapter (doc_id, concept), entities and chapters
     (concept, words). Parts that are None are skipped."""
 
     docs: DataFrame | bm25.Index
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
-    vectors: DataFrame | None = None
+    node_texts: DataFrame | None = None
+    meta: DataFrame | None = None
+    vectors: DataFrame | dense.Cells | None = None
     sections: DataFrame | None = None
     cites: DataFrame | None = None
     in_chapter: DataFrame | None = None
@@ -59,10 +62,28 @@ class Corpus:
     decomposer: Provider = field(default=no_hints)
 
 
+def corpus_of(docs: DataFrame, relations: DataFrame, topics: DataFrame, descriptions: DataFrame, **more: object) -> Corpus:
+    """What a search reads, made from metadata: docs as ``graph.build`` and ``extract.enriched`` take them, the relations of
+    types, topics(chapter, topic) and descriptions(entity, description). doc_ids are node ids; ``more``: other parts."""
+    docs = stored(docs, "docs")
+    nodes, edges = (stored(x, "graph") for x in graph.build(docs, relations))
+    id_ = F.concat(F.lit("doc:"), "doc_id")
+    found = bm25.index(extract.enriched(docs, topics, descriptions).select(id_.alias("doc_id"), tokens(F.col("text")).alias("tokens")))
+    cited = docs.select(id_.alias("id"), F.explode("entity_refs").alias("entity"))
+    names = docs.select(id_.alias("id"), "display_name")
+    texts = extract.node_texts(nodes.join(names, "id", "left").withColumn("display_name", F.coalesce("display_name", "title")), cited, descriptions)
+    words = lambda c: tokens(F.col(c)).alias("words")
+    parts = {
+        "node_texts": stored(texts, "node_texts"), "meta": docs.withColumn("doc_id", id_), "cites": cited.select(F.col("id").alias("doc_id"), F.col("entity").alias("concept")).distinct(),
+        "in_chapter": docs.select(id_.alias("doc_id"), chapter(F.col("section_number")).alias("concept")), "entities": descriptions.select(F.col("entity").alias("concept"), words("description")), "chapters": topics.select(F.col("chapter").alias("concept"), words("topic")),
+    }
+    return Corpus(found, nodes, edges, **(parts | more))
+
+
 def graph_hits(corpus: Corpus, queries: DataFrame, k: int, iterations: int = 100) -> DataFrame:
     """Entities next to documents, plus personalised PageRank from all seeds; queries(query_id, words)."""
-    words = corpus.nodes.select(F.col("id").alias("node"), "node_kind", tokens(F.concat_ws(" ", "title", "section_number")).alias("words"))
-    seeds = graph.overlap_seeds(words, queries)
+    named = corpus.nodes.select(F.col("id").alias("node"), "node_kind", F.concat_ws(" ", "title", "section_number").alias("text")) if corpus.node_texts is None else corpus.node_texts
+    seeds = stored(graph.overlap_seeds(named.select("node", "node_kind", tokens(F.col("text")).alias("words")), queries), "seeds")
     near = graph.around_entities(corpus.edges, seeds.where("node_kind = 'entity'"))
     ranks = graph.pagerank(corpus.nodes, corpus.edges, seeds, iterations=iterations).withColumnRenamed("rank", "score")
     docs = corpus.nodes.where("node_kind = 'document'").select("id")
@@ -147,8 +168,8 @@ def contexts(picked: DataFrame, chosen: DataFrame, limits: Limits | None = None)
 def without_trees(picked: DataFrame, meta: DataFrame, shown: int = 3) -> DataFrame:
     """(query_id, context) from metadata alone, for queries none of whose documents has a tree: meta(doc_id, doc_type,
     display_name, title, filename, page_count, guide_refs, entity_refs, plan_refs). Documents without metadata are left out."""
-    refs = [F.concat(F.lit(name + "=["), F.array_join(F.slice(c, 1, shown), ", "), F.lit("]")) for name, c in zip(REFS, ("guide_refs", "entity_refs", "plan_refs"), strict=True)]
-    block = F.concat(F.lit("["), "doc_type", F.lit("] "), "display_name", F.lit(": "), "title", F.lit(FILE), "filename", F.lit(" ("), F.col("page_count").cast("string"), F.lit(FILE_END), F.array_join(F.array(*refs), ", "))
+    refs = [F.array_join(F.slice(c, 1, shown), ", ") for c in ("guide_refs", "entity_refs", "plan_refs")]
+    block = F.format_string(DOCUMENT, "doc_type", "display_name", "title", "filename", "page_count", *refs)
     rows = picked.join(meta, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("t")))).alias("b"))
     return rows.select("query_id", F.concat(F.lit("Documents (no trees available):\n"), F.array_join(F.transform("b", lambda x: x["t"]), "\n")).alias("context"))
 
@@ -156,12 +177,12 @@ def without_trees(picked: DataFrame, meta: DataFrame, shown: int = 3) -> DataFra
 def trace(picked: DataFrame, chosen: DataFrame, contexts_: DataFrame) -> DataFrame:
     """(query_id, step, line): what a search did, a line for each step."""
     names = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("d")))), 1, 5), lambda x: x["d"])
-    one = picked.groupBy("query_id").agg(F.concat(F.lit(PICKED), F.count("*").cast("string"), F.lit(PICKED_OF), F.array_join(names, ", "), F.when(F.count("*") > 5, "...").otherwise("")).alias("line"))
+    one = picked.groupBy("query_id").agg(F.format_string(PICKED, F.count("*"), F.concat(F.array_join(names, ", "), F.when(F.count("*") > 5, "...").otherwise(""))).alias("line"))
     sections_ = chosen.groupBy("query_id").agg(F.count_if("from_search").alias("found"), F.count("*").alias("n"))
-    both = picked.select("query_id").distinct().join(sections_, "query_id", "left").select("query_id", F.coalesce("found", F.lit(0)).cast("string").alias("found"), F.coalesce("n", F.lit(0)).cast("string").alias("n"))
-    two = both.select("query_id", F.when(F.col("found") == "0", BROWSED).otherwise(F.concat(F.lit(FOUND), "found", F.lit(FOUND_END))).alias("line"))
-    three = both.select("query_id", F.concat(F.lit(READ), "n", F.lit(READ_END)).alias("line"))
-    four = contexts_.select("query_id", F.concat(F.lit(DONE), F.length("context").cast("string"), F.lit(DONE_END)).alias("line"))
+    both = picked.select("query_id").distinct().join(sections_, "query_id", "left").select("query_id", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("n", F.lit(0)).alias("n"))
+    two = both.select("query_id", F.when(F.col("found") == 0, BROWSED).otherwise(F.format_string(FOUND, "found")).alias("line"))
+    three = both.select("query_id", F.format_string(READ, "n").alias("line"))
+    four = contexts_.select("query_id", F.format_string(DONE, F.length("context")).alias("line"))
     out = None
     for k, lines in enumerate((one, two, three, four), 1):
         rows = lines.select("query_id", F.lit(k).alias("step"), "line")
@@ -170,10 +191,17 @@ def trace(picked: DataFrame, chosen: DataFrame, contexts_: DataFrame) -> DataFra
 
 
 def search(corpus: Corpus, queries: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """(query_id, context) of the whole two-layer search."""
+    """(query_id, context) of the whole two-layer search. Where none of a query's documents has sections, or there are
+    none at all, the context tells what the documents' metadata say."""
     picked, _ = route(corpus, queries, limits)
+    if corpus.sections is None:
+        return without_trees(picked, corpus.meta)
     chosen = stored(sections(picked, corpus.sections, queries, limits), "sections")
-    return contexts(picked, chosen, limits)
+    if corpus.meta is None:
+        return contexts(picked, chosen, limits)
+    read = stored(picked.join(corpus.sections.select("doc_id").distinct(), "doc_id", "left_semi").select("query_id").distinct(), "read")
+    whole = contexts(picked.join(read, "query_id", "left_semi"), chosen, limits)
+    return whole.union(without_trees(picked.join(read, "query_id", "left_anti"), corpus.meta))
 
 
 def answers(searched: DataFrame, queries: DataFrame, generator: Provider = echo) -> DataFrame:

@@ -9,6 +9,7 @@ the long jobs' rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -328,6 +329,11 @@ def typed_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _typed_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return graph.build(*typed_docs(spark, d))
+
+
+def typed_docs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The typed documents, and the relations of their types."""
     t = lambda n: table(spark, d, n)
     text = lambda c: F.col(c).cast("string")
     section, none = lambda c: F.concat(text(c), F.lit(".1")), F.array().cast("array<string>")
@@ -343,7 +349,7 @@ def _typed_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     every = every.union(docs(t("supplier"), "S", "s_suppkey", 1_000_000_000, "DSRS", section("s_nationkey"), F.array((F.col("s_suppkey") % 7).cast("string")), F.array(section("s_nationkey")), none))
     every = every.union(docs(t("customer"), "C", "c_custkey", 2_000_000_000_000, "UNKNOWN", F.lit(""), none, F.array(section("c_nationkey")), none))
     relations = spark.createDataFrame([("REG", "SRP", "ESTABLISHES_CRITERIA"), ("GDC", "SRP", "IMPOSES_REQUIREMENT"), ("GDC", "DSRS", "IMPOSES_REQUIREMENT"), ("SRP", "DSRS", "ADAPTED_FOR_NUSCALE"), ("DSRS", "SRP", "BASED_ON")], "src_type string, dst_type string, relation string")
-    return graph.build(every, relations)
+    return every, relations
 
 
 @query(f"WITH {TYPED} SELECT src, dst, relation FROM built")
@@ -363,11 +369,14 @@ NAMED = """
 @query(f"WITH {TYPED}, {NAMED} SELECT query_id, doc_id, rank, score::BIGINT AS score FROM (SELECT query_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 20")
 def constraint_search(spark: SparkSession, d: str) -> DataFrame:
     """A question for each nation that names a plan, a special plan or a criterion, in words, over the typed graph."""
+    found = constraint.search(named_questions(spark, d), *typed_graph(spark, d))
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), X.micro(F.col("score")).alias("score"))
+
+
+def named_questions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
     text = F.element_at(F.array(F.concat(F.lit("What does SRP "), k.cast("string"), F.lit(".1 ask for?")), F.concat(F.lit("the limits of dsrs "), k.cast("string"), F.lit(".1")), F.concat(F.lit("How is GDC "), (k % 7).cast("string"), F.lit(" met?"))), (k % 3 + 1).cast("int"))
-    asked = table(spark, d, "nation").select(k.alias("query_id"), text.alias("text"))
-    found = constraint.search(asked, *typed_graph(spark, d))
-    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), X.micro(F.col("score")).alias("score"))
+    return table(spark, d, "nation").select(k.alias("query_id"), text.alias("text"))
 
 
 _STEP = "r{k} AS (SELECT n.id, 0.85::DOUBLE * (coalesce(f.flow, 0) + (SELECT coalesce(sum(r), 0) FROM r{j} WHERE id NOT IN (SELECT src FROM und)) * coalesce(p.p, 0)) + (1 - 0.85::DOUBLE) * coalesce(p.p, 0) AS r FROM nodes n LEFT JOIN (SELECT dst, sum(r / deg) AS flow FROM r{j} JOIN und ON und.src = r{j}.id JOIN degs USING (src) GROUP BY dst) f ON f.dst = n.id LEFT JOIN p ON p.id = n.id)"
@@ -699,6 +708,93 @@ def doc_only_context(spark: SparkSession, d: str) -> DataFrame:
     return search.without_trees(_picked(spark, d), metadata(spark, d))
 
 
+TREELESS = TWO_LAYER.replace("picked p JOIN tree t", "read p JOIN tree t").replace("FROM picked GROUP BY query_id", "FROM two GROUP BY query_id")
+
+
+@query(
+    f"""WITH {RC}, {LINES.replace("  tree AS (", "  every AS (")}, tree AS (SELECT * FROM every WHERE doc_id % 4 = 0), {META}, {ROUTED.replace("rank <= 10", "rank <= 2").replace("  picked AS", "  two AS")},
+  picked AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM two WHERE doc_id IN (SELECT doc_id FROM tree)), read AS (SELECT * FROM picked), {_sections_sql(False)}, {TREELESS}
+  SELECT query_id, 'Documents: ' || names || coalesce(chr(10) || chr(10) || body, '') || CASE WHEN cut THEN chr(10) || chr(10) || '(context limit reached)' ELSE '' END AS context FROM heads LEFT JOIN texts USING (query_id) WHERE query_id IN (SELECT query_id FROM picked)
+  UNION ALL
+  SELECT query_id, 'Documents (no trees available):' || chr(10) || string_agg('[' || doc_type || '] ' || display_name || ': ' || title || chr(10) || '  File: ' || filename || ' (' || page_count || 'p)' || chr(10) || '  Cross-refs: RG=[' || rg[1] || '], GDC=[' || array_to_string(gdc, ', ') || '], SRP=[]', chr(10) ORDER BY rank) AS context
+  FROM two JOIN meta USING (doc_id) WHERE query_id NOT IN (SELECT query_id FROM picked) GROUP BY query_id"""
+)
+def search_few_trees(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search for two documents a question where one document in four has a tree: some contexts are sections,
+    the others what metadata say."""
+    sections_ = lines_of(spark, d).where("doc_id % 4 = 0")
+    corpus = search.Corpus(docs=corpus_index(spark, d), sections=sections_, meta=metadata(spark, d))
+    return search.search(corpus, questions(spark, d).select("query_id", "text"), search.Limits(documents=2))
+
+
+TOPICS, SAID = (("3", "structures and systems"), ("7", "controls of nation"), ("11", "waste")), (("0", "quality standards"), ("2", "natural phenomena"), ("4", "dynamic effects of nation"), ("6", "customer records"))
+VALUES = lambda rows: ", ".join(f"('{a}', '{b}')" for a, b in rows)
+_PUSHED = "f{k} AS (SELECT query_id, dst AS id, sum(0.85::DOUBLE * v / deg) AS v FROM f{j} JOIN pairs ON src = id JOIN outs USING (src) GROUP BY query_id, dst)"
+FOUR = f"""
+  t(chapter, topic) AS (VALUES {VALUES(TOPICS)}), e(n, said) AS (VALUES {VALUES(SAID)}),
+  titles AS (SELECT 'R' || r_regionkey AS doc_id, replace(r_name, '_', ' ') AS title FROM region UNION ALL SELECT 'N' || n_nationkey, replace(n_name, '_', ' ') FROM nation UNION ALL SELECT 'S' || s_suppkey, replace(s_name, '#', ' ') FROM supplier UNION ALL SELECT 'C' || c_custkey, replace(c_name, '#', ' ') FROM customer),
+  told AS (SELECT doc_id, string_agg(' GDC ' || x || ' general design criterion ' || x || ' ' || coalesce(said, ''), '') AS long, coalesce(string_agg(' ' || said, ''), '') AS short FROM (SELECT doc_id, unnest(ents) AS x FROM typed) LEFT JOIN e ON n = x GROUP BY doc_id),
+  texts4 AS (SELECT 'doc:' || doc_id AS id, title || ' ' || doc_type || ' ' || section_number || ' ' || doc_type || ' ' || section_number || coalesce(' ' || topic, '') || coalesce(long, '') || coalesce(array_to_string(list_transform(plans, lambda p: ' SRP ' || p), ''), '') AS text
+     FROM typed JOIN titles USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN t ON chapter = split_part(section_number, '.', 1)),
+  asked4 AS (SELECT n_nationkey AS query_id, ['What does SRP ' || n_nationkey || '.1 ask for?', 'the limits of dsrs ' || n_nationkey || '.1', 'How is GDC ' || n_nationkey % 7 || ' met?'][n_nationkey % 3 + 1] || ' ' || replace(n_name, '_', ' ') || ' customer effects' AS text FROM nation),
+  w4 AS (SELECT id, {W('text')} AS w FROM texts4), l4 AS (SELECT id, len(w) AS dl FROM w4), s4 AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l4),
+  p4 AS (SELECT id, term, count(*) AS f FROM (SELECT id, unnest(w) AS term FROM w4) GROUP BY ALL), d4 AS (SELECT term, count(*) AS df FROM p4 GROUP BY term),
+  r4 AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM d4, s4), m4 AS (SELECT avg(raw) AS mean FROM r4), i4 AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM r4, m4),
+  q4 AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({W('text')}) AS term FROM asked4) GROUP BY ALL),
+  b4 AS (SELECT query_id, id, sum(times * idf * (f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS score FROM q4 JOIN i4 USING (term) JOIN p4 USING (term) JOIN l4 USING (id), s4 GROUP BY ALL),
+  nodes4 AS (SELECT 'doc:' || doc_id AS node, 'document' AS kind, title || ' ' || doc_type || ' ' || section_number || coalesce(short, '') AS text FROM typed JOIN titles USING (doc_id) LEFT JOIN told USING (doc_id)
+     UNION ALL SELECT 'gdc:' || c.n, 'entity', 'GDC ' || c.n || ' GDC ' || c.n || coalesce(' ' || said, '') FROM (SELECT DISTINCT n FROM cited) c LEFT JOIN e ON e.n = c.n),
+  nw4 AS (SELECT DISTINCT node, kind, unnest({W('text')}) AS t FROM nodes4), qw4 AS (SELECT query_id, list_filter(list_distinct({W('text')}), lambda x: x NOT IN ({STOPS})) AS w FROM asked4),
+  sh4 AS (SELECT query_id, node, kind, len(any_value(w)) AS n, count(*) AS o FROM (SELECT query_id, w, unnest(w) AS t FROM qw4) JOIN nw4 USING (t) GROUP BY ALL),
+  sd4 AS (SELECT * FROM (SELECT query_id, node, kind, weight, row_number() OVER (PARTITION BY query_id, kind ORDER BY {M('weight')} DESC, node) AS r FROM (SELECT query_id, node, kind, o / n + 0.1::DOUBLE * o AS weight FROM sh4) WHERE weight > 0.15) WHERE kind = 'entity' OR r <= 20),
+  pairs AS (SELECT DISTINCT src, dst FROM built), outs AS (SELECT src, count(*) AS deg FROM pairs GROUP BY src), sides AS (SELECT src AS node, dst AS id FROM pairs UNION SELECT dst, src FROM pairs),
+  f0 AS (SELECT query_id, node AS id, weight / sum(weight) OVER (PARTITION BY query_id) AS v FROM sd4), {", ".join(_PUSHED.format(k=k, j=k - 1) for k in range(1, 9))},
+  fs AS (SELECT query_id, id, sum(v) AS v FROM ({" UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(9))}) GROUP BY ALL),
+  near4 AS (SELECT query_id, id, sum(weight) AS score FROM sd4 JOIN sides USING (node) WHERE kind = 'entity' GROUP BY query_id, id),
+  g4 AS (SELECT query_id, id, sum(score) AS score FROM (SELECT query_id, id, v / sum(v) OVER (PARTITION BY query_id) AS score FROM fs UNION ALL SELECT query_id, id, score FROM near4) WHERE starts_with(id, 'doc:') GROUP BY ALL),
+  v4 AS (SELECT q.vec_id AS query_id, 'doc:C' || v.vec_id AS id, list_inner_product(list_transform(v.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)) AS score FROM embeddings v, embeddings q WHERE q.vec_id IN (SELECT n_nationkey FROM nation)),
+  hits AS (SELECT query_id, source, id AS doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY source, query_id ORDER BY {M('score')} DESC, id) AS r FROM (
+     SELECT query_id, 'rc' AS source, id, score FROM b4 UNION ALL SELECT query_id, 'kg_fr', id, score FROM g4 UNION ALL SELECT query_id, 'kg_cs', id, score / 1000000.0::DOUBLE FROM scored UNION ALL SELECT query_id, 'rc_embed', id, score FROM v4) WHERE score > 0) WHERE r <= 50)"""
+FUSED4 = """
+  has AS (SELECT query_id, bool_or(source = 'kg_cs') AS cs FROM norm GROUP BY query_id),
+  weights(source, w, more) AS (VALUES ('kg_cs', 0.35::DOUBLE, -0.35::DOUBLE), ('kg_fr', 0.30::DOUBLE, 0.5::DOUBLE * 0.35::DOUBLE), ('rc', 0.15::DOUBLE, 0.2::DOUBLE * 0.35::DOUBLE), ('rc_embed', 0.20::DOUBLE, 0.3::DOUBLE * 0.35::DOUBLE)),
+  fused AS (SELECT query_id, doc_id, count(*) AS sources, sum(norm * (w + CASE WHEN cs THEN 0 ELSE more END)) * CASE WHEN count(*) >= 2 THEN 1 + 0.15::DOUBLE * (count(*) - 1) ELSE 1 END AS score
+            FROM norm JOIN has USING (query_id) JOIN weights USING (source) GROUP BY query_id, doc_id)"""
+
+
+def typed_corpus(spark: SparkSession, d: str) -> search.Corpus:
+    """The typed documents with names, topics, descriptions and, for customers, vectors."""
+
+    def make() -> search.Corpus:
+        names = None
+        for letter, name, key, title in (("R", "region", "r_regionkey", "r_name"), ("N", "nation", "n_nationkey", "n_name"), ("S", "supplier", "s_suppkey", "s_name"), ("C", "customer", "c_custkey", "c_name")):
+            rows = table(spark, d, name).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("doc_id"), F.translate(title, "_#", "  ").alias("title"))
+            names = rows if names is None else names.union(rows)
+        docs, relations = typed_docs(spark, d)
+        docs = docs.drop("title").join(names, "doc_id").withColumn("display_name", F.concat_ws(" ", "doc_type", "section_number"))
+        topics, said = spark.createDataFrame(list(TOPICS), "chapter string, topic string"), spark.createDataFrame(list(SAID), "entity string, description string")
+        own = table(spark, d, "embeddings").select(F.col("vec_id").alias("vec"), F.col("embedding").cast("array<double>").alias("q"))
+        found = dense.index(vectors(spark, d).select(F.concat(F.lit("doc:C"), F.col("doc_id").cast("string")).alias("doc_id"), "v"))
+        # A question's vector is that of its number.
+        return search.corpus_of(docs, relations, topics, said, vectors=found, encoder=lambda asked: asked.join(own, F.col("query_id.own") == F.col("vec")).select("query_id", "q"))
+
+    return kept(spark, d, "typed_corpus", ("region", "nation", "supplier", "customer", "embeddings"), make)
+
+
+def nation_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each nation that names a plan, a special plan or a criterion, with other words."""
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.replace("n_name", F.lit("_"), F.lit(" ")).alias("name"))
+    return named_questions(spark, d).join(names, "query_id").select("query_id", F.concat("text", F.lit(" "), "name", F.lit(" customer effects")).alias("text"))
+
+
+@query(f"WITH {TYPED}, {NAMED}, {FOUR}, {NORM}, {FUSED4} {TOP10.format('fused')}")
+def route_full(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by all four retrievers: references, seeds with what is near them, BM25 over enriched texts, vectors."""
+    corpus = replace(typed_corpus(spark, d), cites=None)
+    ranked, _ = search.route(corpus, nation_questions(spark, d), search.Limits(rank_iterations=8))
+    return ranked.select("query_id", "doc_id", F.col("sources").cast("long").alias("sources"), F.col("rank").cast("long").alias("rank"), X.micro(F.col("score")).alias("score"))
+
+
 @query(
     f"""WITH {META}, t(chapter, topic) AS (VALUES ('3', 'structures'), ('7', 'controls')), e(n, w) AS (VALUES ('4', 'environment'), ('17', 'power'))
   SELECT doc_id, lower(title || ' ' || display_name || ' ' || doc_type || ' ' || doc_id % 20 || '.1' || coalesce(' ' || topic, '') || ' GDC ' || gdc[1] || ' general design criterion ' || gdc[1] || ' ' || coalesce(a.w, '') || ' GDC ' || gdc[2] || ' general design criterion ' || gdc[2] || ' ' || coalesce(b.w, '') || ' regulatory guide ' || rg[1]) AS text
