@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.text import numbered, ordered_case, strip, unfenced
-from strandline.operators.extract import question_refs
+from strandline.functions.text import basename, numbered, ordered_case, strip, unfenced
+from strandline.operators.extract import best_section, bounded_text, question_refs
+from strandline.plans.providers import Policy, Provider, ask
 
 # Patterns of what a question's core begins with (at the begin of a line, in any case), and what a rule's text begins with.
 MARKERS = (
@@ -141,6 +142,45 @@ def flat_queries(rows: DataFrame) -> DataFrame:
     return each.select("id", F.col("section_number").alias("section"), "place", F.coalesce("q.sub_difficulty", F.lit("?")).alias("difficulty"), "q.query", F.coalesce("q.target_concepts", F.array().cast("array<string>")).alias("target_concepts"))
 
 
+#: Characters of evidence that a prompt shows, of a core question, and of an answer to be judged.
+EVIDENCE_CHARS, CORE_CHARS, ANSWER_CHARS = 6000, 1500, 1000
+TRUTH = "struct<ground_truth:string,evidence_section:string,confidence:string,answerable:boolean>"
+
+
+def evidence(rows: DataFrame, documents: DataFrame, files: DataFrame, most_pages: int = 30, **sections: object) -> DataFrame:
+    """(id, place, query, section_number, doc_type, doc_title, evidence_doc, section, evidence): what each generated query
+    is to be answered from.
+
+    rows(id, section_number, generated_queries, relevant_docs of structs with path, reference, type), documents(doc_ord,
+    filename, doc_type, title, section_number), files(filename, pages, error). The document is the first one of the row's
+    section, or else the first relevant one that is among the files; of its first pages the section that fits the query
+    best is taken. Rows without queries or without document give nothing.
+    """
+    by_section = documents.groupBy("section_number").agg(F.min_by(F.struct("filename", "doc_type", "title"), "doc_ord").alias("own"))
+    cited = rows.select("id", F.posexplode("relevant_docs").alias("k", "x")).select("id", "k", basename(F.col("x.path")).alias("filename"), F.col("x.type").alias("doc_type"), F.col("x.reference").alias("title"))
+    cited = cited.join(files.select("filename"), "filename", "left_semi").groupBy("id").agg(F.min_by(F.struct("filename", "doc_type", "title"), "k").alias("other"))
+    found = rows.join(by_section, "section_number", "left").join(cited, "id", "left").withColumn("doc", F.coalesce("own", "other")).where("doc is not null")
+    asked = found.select("id", "section_number", "doc", F.posexplode("generated_queries").alias("place", "q"))
+    key = F.struct("id", "place").alias("id")
+    texts = asked.select(key, F.col("q.query").alias("query"), F.col("doc.filename").alias("filename")).join(files.select("filename", bounded_text(F.col("pages"), F.col("error"), most_pages).alias("text")), "filename").select("id", "text", "query")
+    best = best_section(texts, **sections)
+    both = asked.select(key, "section_number", "doc", F.col("q.query").alias("query")).join(best, "id")
+    return both.select("id.id", "id.place", "query", "section_number", "doc.doc_type", F.col("doc.title").alias("doc_title"), F.col("doc.filename").alias("evidence_doc"), F.col("title").alias("section"), F.col("body").alias("evidence"))
+
+
+def step_three(found: DataFrame, generator: Provider, policy: Policy | None = None) -> DataFrame:
+    """(id, place, query, ground_truth, evidence_doc, evidence_section, confidence, answerable) from ``evidence``: a
+    generator's replies as JSON; a reply that isn't, and a generator that fails, leave the query unanswerable."""
+    prompt = F.format_string("Query: %s\nDocument: %s %s, %s\nEvidence:\n%s", "query", F.coalesce("doc_type", F.lit("")), "section_number", F.coalesce("doc_title", F.lit("")), F.substring("evidence", 1, EVIDENCE_CHARS))
+    rows = ask(found.select("id", "place", "query", "evidence_doc", "section", prompt.alias("prompt")), "prompt", "reply", generator, policy=policy or Policy(default=""))
+    reply = F.from_json(unfenced(F.col("reply")), TRUTH)
+    known = F.coalesce(reply["ground_truth"], reply["evidence_section"], reply["confidence"], reply["answerable"].cast("string")).isNotNull()
+    return rows.select(
+        "id", "place", "query", F.coalesce(reply["ground_truth"], F.lit("")).alias("ground_truth"), "evidence_doc", F.coalesce(reply["evidence_section"], F.when(known, F.col("section")).otherwise("")).alias("evidence_section"),
+        F.coalesce(reply["confidence"], F.lit("low")).alias("confidence"), F.coalesce(reply["answerable"], F.lit(False)).alias("answerable"),
+    )
+
+
 def flat_truth(rows: DataFrame) -> DataFrame:
     """Questions to evaluate: answered and answerable ones, the evidence's file names as ids of documents."""
     good = rows.where((F.coalesce("ground_truth", F.lit("")) != "") & F.coalesce("answerable", F.lit(False)))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from strandline.functions.text import STOP_WORDS, chapter, page_range, tokens, without
 from strandline.operators import bm25, constraint, dense, extract, fusion, graph, trees
-from strandline.plans.providers import Provider, ask, echo, hints, no_hints
+from strandline.plans.providers import Policy, Provider, ask, echo, hints, no_hints
 from strandline.session import stored
 
 
@@ -60,6 +60,7 @@ class Corpus:
     chapters: DataFrame | None = None
     encoder: object = None
     decomposer: Provider = field(default=no_hints)
+    decomposing: Policy = field(default=Policy())
 
 
 def corpus_of(docs: DataFrame, relations: DataFrame, topics: DataFrame, descriptions: DataFrame, **more: object) -> Corpus:
@@ -92,9 +93,12 @@ def graph_hits(corpus: Corpus, queries: DataFrame, k: int, iterations: int = 100
 
 
 def route(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, how: fusion.Fusion | None = None) -> tuple[DataFrame, DataFrame]:
-    """(ranked documents, hits) for queries(query_id, text). Hits of sub-queries count for their query."""
+    """(ranked documents, hits) for queries(query_id, text). Hits of sub-queries count for their query.
+
+    A decomposer that fails gives no hints, and a query without a vector has no hits by vectors: its other sources stay.
+    """
     limits = limits or Limits()
-    hinted = hints(ask(queries.select("query_id", "text"), "text", "reply", corpus.decomposer, factory=False), "reply")
+    hinted = hints(ask(queries.select("query_id", "text"), "text", "reply", corpus.decomposer, policy=corpus.decomposing), "reply")
     asked = hinted.select(F.col("query_id").alias("own"), F.posexplode(F.concat(F.array("text"), F.col("hints.sub_queries"))).alias("sub", "text"))
     asked = asked.select("own", F.struct("own", "sub").alias("query_id"), "text", tokens(F.col("text")).alias("tokens"))
     docs = corpus.docs if isinstance(corpus.docs, bm25.Index) else corpus.docs.select("doc_id", F.col("words").alias("tokens"))
@@ -204,12 +208,13 @@ def search(corpus: Corpus, queries: DataFrame, limits: Limits | None = None) ->
     return whole.union(without_trees(picked.join(read, "query_id", "left_anti"), corpus.meta))
 
 
-def answers(searched: DataFrame, queries: DataFrame, generator: Provider = echo) -> DataFrame:
-    """(query_id, context, answer): empty contexts get no answer; a generator's error is the answer."""
+def answers(searched: DataFrame, queries: DataFrame, generator: Provider = echo, policy: Policy | None = None) -> DataFrame:
+    """(query_id, context, answer, status): empty contexts get no answer, and where the generator fails or is late the
+    context is all there is: the answer is the policy's default, or names the error."""
     rows = searched.join(queries.select("query_id", "text"), "query_id")
     prompt = F.concat(F.lit("Question: "), "text", F.lit("\n\nContext:\n"), F.coalesce("context", F.lit("")))
-    asked = ask(rows.select("query_id", "context", prompt.alias("prompt")), "prompt", "answer", generator)
-    return asked.select("query_id", "context", F.when(F.length(F.coalesce("context", F.lit(""))) > 0, F.col("answer")).otherwise("").alias("answer"))
+    asked = ask(rows.select("query_id", "context", prompt.alias("prompt")), "prompt", "answer", generator, policy=policy, status="status")
+    return asked.select("query_id", "context", F.when(F.length(F.coalesce("context", F.lit(""))) > 0, F.col("answer")).otherwise("").alias("answer"), "status")
 
 
 def merged(sections_: DataFrame, chunks: DataFrame, chars: int) -> DataFrame:

@@ -8,6 +8,8 @@ the long jobs' rows.
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -17,7 +19,7 @@ from pyspark.sql.window import Window
 
 from strandline.functions import text as X
 from strandline.operators import bm25, constraint, dense, extract, fusion, fuzzy, graph, segments, substrings, trees
-from strandline.plans import evaluate, qa, search
+from strandline.plans import evaluate, providers, qa, search
 from strandline.session import shared_path, stored, table
 from strandline.sources import files
 from strandline.streaming import resume
@@ -580,6 +582,15 @@ def tree_flatten(spark: SparkSession, d: str) -> DataFrame:
     return trees.flatten(structures(spark, d))
 
 
+@query(f"WITH {LINES} SELECT doc_id, node_id, path_ord, title FROM tree WHERE doc_id IN (SELECT n_nationkey * 3 FROM nation)")
+def tree_store(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of some documents from a store of all, of which the parts that they are in are read."""
+    path = shared_path(spark, "store")
+    files.write_tree_nodes(lines_of(spark, d), path)
+    wanted = table(spark, d, "nation").select((F.col("n_nationkey") * 3).cast("long").alias("doc_id"))
+    return files.read_tree_nodes(spark, path, wanted).select("doc_id", "node_id", "path_ord", "title")
+
+
 @query(f"WITH {LINES} SELECT doc_id, node_id, depth AS relative, title FROM tree WHERE depth < 1 UNION ALL SELECT doc_id || '', node_id, depth - 1, title FROM tree WHERE depth = 1 AND parent_node_id = 'L0'".replace("doc_id || ''", "doc_id"))
 def browse_depth(spark: SparkSession, d: str) -> DataFrame:
     """The roots of all documents, then what is below each document's first line."""
@@ -1110,6 +1121,78 @@ def generated_queries(spark: SparkSession, d: str) -> DataFrame:
     return qa.flat_queries(qa.step_two(rows)).drop("target_concepts")
 
 
+EVIDENCE = f"""
+  meta3 AS (SELECT doc_id, 'd' || doc_id || '.pdf' AS filename, lang AS doc_type, source AS title, 'S' || doc_id % 9 AS section_number, CASE WHEN doc_id % 50 = 7 THEN '[ERROR reading PDF: bad file]' ELSE array_to_string(list_slice(string_split(text, chr(10)), 1, 30), chr(10)) END AS body FROM documents),
+  firsts AS (SELECT section_number, min(doc_id) AS doc_id FROM meta3 GROUP BY 1),
+  rows3 AS (SELECT conv_id * 1000 + turn AS id, 'S' || conv_id % 12 AS section_number, unnest(CASE WHEN turn % 3 = 0 THEN [0, 1] ELSE [0] END) AS place, text, conv_id FROM conversations WHERE role = 'user'),
+  asked3 AS (SELECT id, r.section_number, place, substring(r.text, place * 60 + 1, 60) AS query, coalesce(f.doc_id, d.doc_id) AS doc_id, f.doc_id IS NULL AS cited FROM rows3 r LEFT JOIN firsts f USING (section_number) LEFT JOIN documents d ON d.doc_id = r.conv_id),
+  both3 AS (SELECT id, a.section_number, place, query, CASE WHEN cited THEN 'PDF' ELSE doc_type END AS doc_type, CASE WHEN cited THEN 'cited' ELSE title END AS doc_title, filename, body FROM asked3 a JOIN meta3 m USING (doc_id)),
+  parts3 AS (SELECT id, place, k, l[k] AS line, query FROM (SELECT id, place, query, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT *, string_split(body, chr(10)) AS l FROM both3)) WHERE length(l[k]) > 100),
+  points3 AS (SELECT *, len(list_filter(list_distinct({W('query')}), lambda w: length(w) > 3 AND contains(lower(line), w))) AS score FROM parts3),
+  best3 AS (SELECT id, place, arg_max(line, (score, -k)) AS line FROM points3 GROUP BY id, place),
+  evidence3 AS (SELECT b.*, CASE WHEN line IS NULL THEN 'Full Document' ELSE coalesce(nullif(regexp_extract(line, '^([^ \t\r\f\x0b]+)', 1), ''), 'Unknown') END AS section, coalesce(line, substring(body, 1, 8000)) AS evidence FROM both3 b LEFT JOIN best3 USING (id, place)),
+  prompts3 AS (SELECT *, 'Query: ' || query || chr(10) || 'Document: ' || doc_type || ' ' || section_number || ', ' || doc_title || chr(10) || 'Evidence:' || chr(10) || substring(evidence, 1, 6000) AS prompt FROM evidence3)"""
+
+
+@query(
+    f"""WITH {EVIDENCE}
+  SELECT id, place, query, filename AS evidence_doc, CASE length(prompt) % 4 WHEN 0 THEN '' WHEN 1 THEN right(prompt, 40) WHEN 2 THEN right(prompt, 40) ELSE '' END AS ground_truth,
+    CASE length(prompt) % 4 WHEN 1 THEN 'found here' WHEN 2 THEN section ELSE '' END AS evidence_section, CASE length(prompt) % 4 WHEN 1 THEN 'high' ELSE 'low' END AS confidence, length(prompt) % 4 IN (1, 2) AS answerable FROM prompts3"""
+)
+def truth_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """What a stand-in for a model takes from evidence for queries about user turns: the document of the turn's section, or
+    else a cited one, its first thirty pages (here lines), and in those the line that fits best."""
+    part = lambda k: F.struct(F.substring("text", 60 * k + 1, 60).alias("query"))
+    cited = F.struct(F.concat(F.lit("files/d"), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("path"), F.lit("cited").alias("reference"), F.lit("PDF").alias("type"))
+    rows = table(spark, d, "conversations").where("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("S"), (F.col("conv_id") % 12).cast("string")).alias("section_number"),
+        F.when(F.col("turn") % 3 == 0, F.array(part(0), part(1))).otherwise(F.array(part(0))).alias("generated_queries"), F.array(cited).alias("relevant_docs"),
+    )
+    docs, name = table(spark, d, "documents"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename")
+    meta = docs.select(F.col("doc_id").alias("doc_ord"), name, F.col("lang").alias("doc_type"), F.col("source").alias("title"), F.concat(F.lit("S"), (F.col("doc_id") % 9).cast("string")).alias("section_number"))
+    read = docs.select(name, F.split("text", "\n").alias("pages"), F.when(F.col("doc_id") % 50 == 7, "bad file").alias("error"))
+
+    def model(prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            reply = {0: None, 1: {"ground_truth": p[-40:], "evidence_section": "found here", "confidence": "high", "answerable": True}, 2: {"ground_truth": p[-40:], "answerable": True}, 3: None}[len(p) % 4]
+            out.append("```json\n" + json.dumps(reply) + "\n```" if reply else "no JSON")
+        return out
+
+    found = qa.evidence(rows, meta, read, patterns=(r"(?dm)^(.+)$",), title=r"^([^ \t\r\f\x0B]+)")
+    return qa.step_three(found, model)
+
+
+@query(
+    """WITH k AS (SELECT *, CASE WHEN conv_id % 5 <> 2 OR conv_id % 25 = 2 THEN conv_id % 5 ELSE 0 END AS k FROM conversations WHERE role = 'user' AND turn < 2)
+  SELECT conv_id, turn, ['ok', 'retried', 'late', 'failed', 'ok'][k + 1] AS status, CASE WHEN k IN (2, 3) THEN 'none' ELSE upper(substring(text, 1, 20)) END AS reply FROM k"""
+)
+def provider_calls(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in for a model that answers, fails once, is late, or always fails, asked about every first user turn."""
+    c = F.col("conv_id")
+    kind = F.when((c % 5 != 2) | (c % 25 == 2), c % 5).otherwise(0)
+    rows = table(spark, d, "conversations").where("role = 'user' AND turn < 2").select("conv_id", "turn", F.concat_ws("|", kind.cast("string"), F.col("text")).alias("prompt"))
+
+    def make() -> providers.Provider:
+        failed: set[str] = set()
+
+        def model(texts: list[str]) -> list[str]:
+            kind, _, text = texts[0].partition("|")
+            if kind == "2":
+                time.sleep(0.6)
+            if kind == "3" or kind == "1" and texts[0] not in failed:
+                failed.add(texts[0])
+                raise ConnectionError(kind)
+            failed.discard(texts[0])
+            return [text[:20].upper()]
+
+        return model
+
+    policy = providers.Policy(texts=1, seconds=0.25, retries=1, default="none")
+    # A call that answers takes no time; one that sleeps is late twice.
+    return providers.ask(rows, "prompt", "reply", make, factory=True, policy=policy, status="status").select("conv_id", "turn", "status", "reply")
+
+
 @query(f"WITH {PAIRS} SELECT conv_id || '-' || turn AS query_id, query, answer AS gt_answer, ['c' || conv_id, 't' || turn] AS matched_docs, '?' AS difficulty FROM pairs WHERE coalesce(answer, '') <> '' AND contains(query, '.')")
 def truth_flatten(spark: SparkSession, d: str) -> DataFrame:
     """Questions with a true answer, for the evaluation: evidence files become ids."""
@@ -1219,4 +1302,4 @@ def stream_resume(spark: SparkSession, d: str) -> DataFrame:
     step = lambda rows: rows.select("event_id", "user_id", F.from_json("props", "k long")["k"].alias("k"))
     for _ in range(2):
         resume.run(spark, *event_files(spark, d), out, state, step, "event_id")
-    return spark.read.parquet(out)
+    return resume.results(spark, out)

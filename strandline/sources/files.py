@@ -83,11 +83,41 @@ def with_order(rows: DataFrame, by: str, out: str) -> DataFrame:
 
 
 def read_trees(spark: SparkSession, folder: str, doc_ids: DataFrame | None = None) -> DataFrame:
-    """trees(doc_id, structure) from ``<doc_id>_structure.json`` files; with ``doc_ids``, of those alone."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*_structure.json").select(F.regexp_extract(F.input_file_name(), r"([^/]+)_structure\.json$", 1).alias("doc_id"), "value")
+    """trees(doc_id, structure) from ``<doc_id>_structure.json`` files; with ``doc_ids``, those alone are opened."""
+    name = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^(.+)_structure\.json$", 1)
+    paths = [folder]
     if doc_ids is not None:
-        files = files.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    return files.select("doc_id", F.coalesce(F.get_json_object("value", "$.structure"), F.lit("[]")).alias("structure"))
+        wanted = listing(spark, folder).select("path", name.alias("doc_id")).where("doc_id <> ''").join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        paths = [r.path for r in wanted.select("path").collect()]  # a list of files to read
+        if not paths:
+            return spark.createDataFrame([], "doc_id string, structure string")
+    files = spark.read.text(paths, wholetext=True, pathGlobFilter="*_structure.json").select(F.input_file_name().alias("path"), "value")
+    return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("doc_id"), F.coalesce(F.get_json_object("value", "$.structure"), F.lit("[]")).alias("structure"))
+
+
+#: Parts of a store of tree nodes.
+TREE_PARTS = 256
+
+
+def tree_part() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(TREE_PARTS)).cast("int")
+
+
+def write_tree_nodes(nodes: DataFrame, path: str) -> None:
+    """A store of tree_nodes that documents can be read from without the others; a part's nodes come by document."""
+    rows = nodes.withColumn("part", tree_part())
+    rows.repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id", "path_ord").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_tree_nodes(spark: SparkSession, path: str, doc_ids: DataFrame | None = None) -> DataFrame:
+    """The nodes of a store; with ``doc_ids``, of those documents, from the parts that they are in (a list of bounded
+    length)."""
+    rows = spark.read.parquet(path)
+    if doc_ids is None:
+        return rows.drop("part")
+    wanted = stored(doc_ids.select("doc_id").distinct(), "wanted")
+    parts = [r.part for r in wanted.select(tree_part().alias("part")).distinct().collect()]
+    return rows.where(F.col("part").isin(parts)).join(wanted, "doc_id", "left_semi").drop("part")
 
 
 def read_envelope(spark: SparkSession, path: str, schema: str, start: int = 0, end: int = 0) -> DataFrame:

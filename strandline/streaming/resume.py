@@ -8,15 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def run(spark: SparkSession, source: str, schema, out: str, state: str, step: Callable[[DataFrame], DataFrame], key: str = "id", files_per_batch: int = 64, time: str | None = None, within: str = "1 day") -> None:
+def run(spark: SparkSession, source: str, schema, out: str, state: str, step: Callable[[DataFrame], DataFrame], key: str = "id", files_per_batch: int = 64, time: str | None = None, within: str | None = "7 days") -> None:
     """Handle all rows in the Parquet files at ``source`` that earlier runs didn't, then stop.
 
-    ``state`` keeps what was read and which keys were seen; ``out`` gets the results of ``step``, once each. Keys are
-    known for as long as ``within`` says, by the column ``time``; without it, for good: then the state grows with the rows.
+    ``state`` keeps what was read and which keys were seen. Results of ``step`` go to ``out``, a folder for each batch, which
+    a batch that is run again after a failure writes again: ``results`` reads each once. Keys are known for as long as
+    ``within`` says, by the column ``time`` or else by when they came, so that the state is bounded; with neither, for good.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    rows = rows.withWatermark(time, within).dropDuplicatesWithinWatermark([key]) if time else rows.dropDuplicates([key])
-    step(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    if within is None:
+        rows = rows.dropDuplicates([key])
+    else:
+        # Rows that come late by their own time aren't known any more; by the time of their coming none is late.
+        named = rows if time else rows.withColumn("_came", F.current_timestamp())
+        rows = named.withWatermark(time or "_came", within).dropDuplicatesWithinWatermark([key]).drop("_came")
+
+    def commit(batch: DataFrame, number: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    rows.writeStream.option("checkpointLocation", state).foreachBatch(commit).trigger(availableNow=True).start().awaitTermination()
+
+
+def results(spark: SparkSession, out: str) -> DataFrame:
+    """What all runs wrote."""
+    return spark.read.parquet(out).drop("batch")
 
 
 def windowed(spark: SparkSession, source: str, schema, state: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
