@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -97,8 +98,26 @@ def provenance(hits: DataFrame, sources: tuple[str, ...]) -> DataFrame:
     return hits.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("source")).alias("found_by"), *columns)
 
 
-def path_edges(hits: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(query_id, src, dst, kind): the way of each answer from query over sub-query and retriever to document."""
-    sub = hits.select("query_id", F.concat(F.lit("query:"), F.col("query_id").cast("string")).alias("src"), F.concat(F.lit("source:"), "source").alias("dst"), F.lit("asks").alias("kind"))
-    found = hits.join(ranked.select("query_id", "doc_id"), ["query_id", "doc_id"]).select("query_id", F.concat(F.lit("source:"), "source").alias("src"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("dst"), F.lit("finds").alias("kind"))
-    return sub.union(found).distinct()
+def path_edges(hits: DataFrame, ranked: DataFrame, subs: DataFrame | None = None, likely: DataFrame | None = None, cites: DataFrame | None = None) -> DataFrame:
+    """(query_id, src, dst, kind): the way of each query over its retrievers and their merger to its documents, the rank
+    being in ``ranked``; and, where it was decomposed, over the decomposer to sub-queries, subs(query_id, sub), and likely
+    entities, likely(query_id, concept), which lead to those of its documents that cite them, cites(doc_id, concept)."""
+
+    def edges(rows: DataFrame, src: Column, dst: Column, kind: str) -> DataFrame:
+        return rows.select("query_id", src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
+
+    text = lambda word, c: F.concat(F.lit(word), F.col(c).cast("string"))
+    query, merger, decomposer = text("query:", "query_id"), F.lit("merger"), F.lit("decomposer")
+    sources = hits.select("query_id", "source").distinct()
+    parts = [edges(sources, query, text("source:", "source"), "asks"), edges(sources, text("source:", "source"), merger, "gives"), edges(ranked, merger, text("doc:", "doc_id"), "ranks")]
+    found = hits.select("query_id", "source", "doc_id").distinct().join(ranked.select("query_id", "doc_id"), ["query_id", "doc_id"])
+    parts.append(edges(found, text("source:", "source"), text("doc:", "doc_id"), "finds"))
+    if subs is not None:
+        parts += [edges(subs.select("query_id").distinct(), query, decomposer, "splits"), edges(subs, decomposer, text("sub:", "sub"), "makes")]
+        if likely is not None:
+            known = likely.join(subs.select("query_id").distinct(), "query_id", "left_semi")
+            parts.append(edges(known, decomposer, text("entity:", "concept"), "suggests"))
+            if cites is not None:
+                cited = known.join(cites, "concept").join(ranked.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+                parts.append(edges(cited, text("entity:", "concept"), text("doc:", "doc_id"), "is cited by"))
+    return reduce(DataFrame.union, parts).distinct()

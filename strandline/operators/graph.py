@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from strandline.session import stored
 
-#: Documents of the type that every entity and every citing document is linked to.
-MOST_LAWS = 10_000
+#: Laws in a block, which every entity and every citing document meets as a whole.
+LAW_BLOCK = 1_000
 
 
 def last_written(edges: DataFrame, order: str = "write_ord") -> DataFrame:
@@ -56,11 +56,16 @@ def build(docs: DataFrame, relations: DataFrame, law: str = "REG", guide: str =
     )
     laws = named.where(F.col("doc_type") == law).select(F.col("id").alias("law"))
     ord_ = F.col("doc_ord") * 10
-    # Every law holds every entity: these pairs are the result itself, so laws, the side that is few, are counted first.
-    n_laws = laws.count()
-    if n_laws > MOST_LAWS:
-        raise ValueError(f"{n_laws} documents of type {law}: edges from each of them to all entities are made for {MOST_LAWS} at most")
-    contains = entities.crossJoin(F.broadcast(laws)).select(F.col("law").alias("src"), F.concat(F.lit("gdc:"), "n").alias("dst"), F.lit("CONTAINS_GDC").alias("relation"), F.lit(-1).alias("write_ord"))
+    # Every law holds every entity: these pairs are the result itself. Laws, the side that is few, are dealt into blocks
+    # and over as many keys as spread the other side, which is joined by block and key.
+    blocks = max(1, -(-laws.count() // LAW_BLOCK))
+    keyed = laws.select("law", F.pmod(F.xxhash64("law"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("key"))
+
+    def with_laws(rows: DataFrame, by: str) -> DataFrame:
+        dealt = rows.withColumn("key", F.pmod(F.xxhash64(by), F.lit(16)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        return dealt.join(keyed, ["block", "key"]).drop("block", "key")
+
+    contains = with_laws(entities, "n").select(F.col("law").alias("src"), F.concat(F.lit("gdc:"), "n").alias("dst"), F.lit("CONTAINS_GDC").alias("relation"), F.lit(-1).alias("write_ord"))
     cites = named.select("id", "doc_type", "doc_ord", F.explode("entity_refs").alias("n"))
     forth = cites.select(F.col("id").alias("src"), F.concat(F.lit("gdc:"), "n").alias("dst"), F.lit("CITES_GDC").alias("relation"), ord_.alias("write_ord"))
     back = with_relation(cites.select(F.concat(F.lit("gdc:"), "n").alias("src"), F.col("id").alias("dst"), F.lit(entity).alias("src_type"), F.col("doc_type").alias("dst_type"), ord_.alias("write_ord")), relations)
@@ -70,7 +75,8 @@ def build(docs: DataFrame, relations: DataFrame, law: str = "REG", guide: str =
         pairs = named.select(F.col("id").alias("src"), F.col("doc_type").alias("src_type"), "doc_ord", F.explode(column).alias("section")).join(targets, "section").where("src <> dst")
         found = with_relation(pairs.withColumn("dst_type", F.lit(kind)), relations, "REFERENCES")
         edges = edges.union(found.select("src", "dst", "relation", (ord_ + step).alias("write_ord")))
-    citing = named.where((F.size("law_refs") > 0) & (F.col("doc_type") != law)).select("id", "doc_type", "doc_ord").crossJoin(F.broadcast(laws))
+    citing = named.where((F.size("law_refs") > 0) & (F.col("doc_type") != law)).select("id", "doc_type", "doc_ord")
+    citing = with_laws(citing, "id")
     down = with_relation(citing.select(F.col("law").alias("src"), F.col("id").alias("dst"), F.lit(law).alias("src_type"), F.col("doc_type").alias("dst_type"), (ord_ + 4).alias("write_ord")), relations)
     up = citing.join(down.select(F.col("dst").alias("id"), F.col("src").alias("law")), ["id", "law"], "left_semi").select(F.col("id").alias("src"), F.col("law").alias("dst"), F.lit("CITES_REGULATION").alias("relation"), (ord_ + 4).alias("write_ord"))
     edges = last_written(edges.union(down.select("src", "dst", "relation", "write_ord")).union(up))

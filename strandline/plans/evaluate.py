@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.text import tokens
+from strandline.functions.text import basename, tokens
 from strandline.operators.bm25 import Index, index
 from strandline.operators.substrings import gram_index, matches
+from strandline.plans import search
+from strandline.plans.providers import Policy, Provider
 from strandline.session import stored
 
 
@@ -96,3 +100,66 @@ def percentiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
 def reciprocal_chunks(found: DataFrame) -> DataFrame:
     """The chunks of a query's evaluation row: id, section, 1 / rank, and the text's begin."""
     return found.select("query_id", F.concat(F.col("doc_id").cast("string"), F.lit("_"), "node_id").alias("chunk_id"), "doc_id", F.col("title").alias("section_path"), (1.0 / F.col("rank")).alias("score"), "rank", F.substring("content", 1, 300).alias("text"))
+
+
+#: How an evaluation row names what answered, and what stands for an answer that wasn't asked for.
+BACKEND, UNASKED = "doc_search_2layer", "[SEARCH ONLY]"
+
+
+def rows_of(picked: DataFrame, chosen: DataFrame, questions: DataFrame, top_k: int) -> DataFrame:
+    """Evaluation rows without answers: questions(query_id, text, gt_answer, relevant_docs of structs (path, reference),
+    matched_docs), documents picked(query_id, doc_id) and sections chosen in order of ``place``. A matched document that no
+    relevant path names is added to those."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "doc_id", "node_id"))
+    chunks = reciprocal_chunks(chosen.withColumn("rank", rank))
+    chunks = chunks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "doc_id", "section_path", "score", "text"))).alias("retrieved_chunks"))
+    counts = picked.groupBy("query_id").agg(F.count("*").alias("n_docs_selected"))
+    rows = questions.join(chunks, "query_id", "left").join(counts, "query_id", "left")
+    relevant = F.coalesce("relevant_docs", F.expr("cast(array() as array<struct<path:string,reference:string>>)"))
+    more = F.filter(F.coalesce("matched_docs", F.array().cast("array<string>")), lambda d: ~F.exists(relevant, lambda r: F.contains(r["path"], d)))
+    added = F.transform(more, lambda d: F.struct(d.alias("path"), d.alias("reference")))
+    none = F.array().cast(chunks.schema["retrieved_chunks"].dataType)
+    return rows.select("query_id", F.col("text").alias("query"), "gt_answer", F.lit("").alias("answer_pdf"), F.concat(relevant, added).alias("relevant_docs"), F.coalesce("retrieved_chunks", none).alias("retrieved_chunks"), F.lit(top_k).alias("top_k"), F.lit(BACKEND).alias("backend"), F.coalesce("n_docs_selected", F.lit(0)).cast("int").alias("n_docs_selected"))
+
+
+def run(corpus: search.Corpus, questions: DataFrame, out: str, limits: search.Limits | None = None, generator: Provider | None = None, policy: Policy | None = None) -> DataFrame:
+    """A batch evaluation, which can be stopped and run again: questions as in ``rows_of`` that ``out`` has no rows of are
+    searched and, with a generator, answered. Returns all rows of ``out``; times are a question's share of its batch's.
+    """
+    limits, spark = limits or search.Limits(), questions.sparkSession
+    path = f"{out}/rows"
+    if there(spark, path):
+        questions = questions.join(spark.read.parquet(path).select("query_id"), "query_id", "left_anti")
+    asked = stored(questions, "questions")
+    n = asked.count()
+    if n:
+        begun = time.time()
+        texts = asked.select("query_id", "text")
+        picked, _ = search.route(corpus, texts, limits)
+        chosen = stored(search.sections(picked, corpus.sections, texts, limits), "chosen")
+        context = stored(search.contexts(picked, chosen, limits), "contexts")
+        searched = (time.time() - begun) / n
+        begun = time.time()
+        said = context.select("query_id", F.lit(UNASKED).alias("answer")) if generator is None else stored(search.answers(context, texts, generator, policy), "answers").select("query_id", "answer")
+        answered = (time.time() - begun) / n if generator else 0.0
+        rows = rows_of(picked, chosen, asked, limits.sections).join(said, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+        rows.withColumn("retrieval_time", F.lit(searched)).withColumn("generation_time", F.lit(answered)).write.mode("append").parquet(path)
+    found = spark.read.parquet(path)
+    metrics(found).write.mode("overwrite").json(f"{out}/metrics")
+    return found
+
+
+def metrics(rows: DataFrame) -> DataFrame:
+    """One row over evaluation rows: hit rates and reciprocal ranks of relevant documents among the chunks, exact matches
+    and ROUGE-L of answers, latencies."""
+    ranked = rows.select("query_id", F.explode("retrieved_chunks").alias("c")).groupBy("query_id", F.col("c.doc_id").cast("string").alias("doc_id")).agg(F.min("c.rank").alias("rank"))
+    relevant = rows.select("query_id", F.explode("relevant_docs").alias("r")).select("query_id", F.replace(basename(F.col("r.path")), F.lit(".pdf"), F.lit("")).alias("doc_id"))
+    told = rows.where(F.col("answer") != UNASKED)
+    same = told.agg(F.avg(exact_match(F.col("answer"), F.col("gt_answer")).cast("double")).alias("exact_match"), F.avg(rouge_l("answer", "gt_answer")).alias("rouge_l"))
+    times = rows.agg(*[F.percentile(F.col("retrieval_time") + F.col("generation_time"), F.lit(p)).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95))])
+    return retrieval(ranked, relevant).crossJoin(same).crossJoin(times)  # one row each
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)

@@ -834,6 +834,60 @@ def search_trace(spark: SparkSession, d: str) -> DataFrame:
     return search.trace(picked, chosen, search.contexts(picked, chosen, LIMITS))
 
 
+@query(
+    f"""WITH {RC}, {LINES}, {ROUTED}, {_sections_sql(False)}, {TWO_LAYER}, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, doc_id, node_id) AS rank FROM chosen),
+  n AS (SELECT query_id, count(*) AS n FROM picked GROUP BY 1)
+  SELECT query_id, rank::BIGINT AS rank, doc_id || '_' || node_id AS chunk_id, {M('1.0::DOUBLE / rank')} AS score, substring(content, 1, 300) AS text, n AS n_docs,
+    ['path/' || (query_id + 1) || '.pdf'] || CASE WHEN contains('path/' || (query_id + 1) || '.pdf', query_id::VARCHAR) THEN [] ELSE [query_id::VARCHAR] END AS relevant FROM placed JOIN n USING (query_id)"""
+)
+def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of the evaluation job's rows for the benchmark's questions, whose own number is a document."""
+    corpus = search.Corpus(docs=corpus_index(spark, d), sections=lines_of(spark, d))
+    number = F.col("query_id").cast("string")
+    path = F.concat(F.lit("path/"), (F.col("query_id") + 1).cast("string"), F.lit(".pdf"))
+    asked = questions(spark, d).select("query_id", "text", F.lit("").alias("gt_answer"), F.array(F.struct(path.alias("path"), F.lit("r").alias("reference"))).alias("relevant_docs"), F.array(number).alias("matched_docs"))
+    rows = evaluate.run(corpus, asked, shared_path(spark, "evaluation"), LIMITS)
+    each = rows.select("query_id", F.explode("retrieved_chunks").alias("c"), F.col("n_docs_selected").cast("long").alias("n_docs"), F.col("relevant_docs.path").alias("relevant"))
+    return each.select("query_id", F.col("c.rank").cast("long").alias("rank"), "c.chunk_id", X.micro(F.col("c.score")).alias("score"), "c.text", "n_docs", "relevant")
+
+
+SUBS = """
+  subs AS (SELECT item_id AS query_id, unnest([0, 1]) AS sub FROM benchmark WHERE item_id % 2 = 0), likely AS (SELECT b.item_id AS query_id, source AS concept FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
+
+
+@query(
+    f"""WITH {HITS}, {fused_sql()}, {SUBS}, tops AS (SELECT query_id, doc_id FROM ({TOP10.format('fused')})), s AS (SELECT DISTINCT query_id, source FROM hits), l AS (SELECT * FROM likely WHERE query_id IN (SELECT query_id FROM subs))
+  SELECT query_id, 'query:' || query_id AS src, 'source:' || source AS dst, 'asks' AS kind FROM s UNION ALL SELECT query_id, 'source:' || source, 'merger', 'gives' FROM s UNION ALL SELECT query_id, 'merger', 'doc:' || doc_id, 'ranks' FROM tops
+  UNION ALL SELECT DISTINCT query_id, 'source:' || source, 'doc:' || doc_id, 'finds' FROM hits JOIN tops USING (query_id, doc_id) UNION ALL SELECT DISTINCT query_id, 'query:' || query_id, 'decomposer', 'splits' FROM subs
+  UNION ALL SELECT query_id, 'decomposer', 'sub:' || sub, 'makes' FROM subs UNION ALL SELECT query_id, 'decomposer', 'entity:' || concept, 'suggests' FROM l
+  UNION ALL SELECT l.query_id, 'entity:' || concept, 'doc:' || t.doc_id, 'is cited by' FROM l JOIN tops t USING (query_id) JOIN documents d ON d.doc_id = t.doc_id AND d.source = l.concept"""
+)
+def path_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The ways of all questions, half of them decomposed, with the source of the question's own document as its entity."""
+    found = hits(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("concept"))
+    own = questions(spark, d).select("query_id")
+    subs = own.where("query_id % 2 = 0").select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("sub"))
+    likely = own.join(docs, F.col("query_id") == F.col("doc_id")).select("query_id", "concept")
+    return fusion.path_edges(found, fusion.top(fusion.fused(found), 10), subs, likely, docs)
+
+
+@query(
+    """WITH t AS (SELECT doc_id, doc_id % 90 + 1 AS n, doc_id % 7 AS k FROM documents)
+  SELECT 'd' || doc_id AS doc_id, [n || '.46'] AS law_refs, list_sort(list_distinct([n::VARCHAR, k::VARCHAR])) AS entity_refs, ['1.' || n] AS guide_refs,
+    CASE WHEN k = 2 THEN [] ELSE ['6.' || n || '.2'] END AS plan_refs, ['9.' || n] AS special_refs FROM t"""
+)
+def reference_lists(spark: SparkSession, d: str) -> DataFrame:
+    """All five lists of references, out of texts between which documents' own words stand; a plan isn't in its own list."""
+    n, k = (F.col("doc_id") % 90 + 1).cast("string"), (F.col("doc_id") % 7).cast("string")
+    plain = F.lower(F.regexp_replace("text", r"[0-9]", ""))
+    first = F.when(k == "2", F.concat(F.lit("STANDARD REVIEW PLAN 6."), n, F.lit(".2 HEAT REMOVAL\nx "))).otherwise("nothing of note ")
+    cited = [F.concat(F.lit(" see 10 CFR Part "), n, F.lit(".46, GDC "), n, F.lit(" and GDC "), k), plain, F.concat(F.lit(" Regulatory Guide 1."), n, F.lit("; SRP Section 6."), n, F.lit(".2 ")), plain, F.concat(F.lit(" DSRS 9."), n, F.lit(" RG 1."), n, F.lit(" "))]
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    found = extract.documents(table(spark, d, "documents").select(name.alias("filename"), F.array(first, F.lit("second "), F.lit("third "), *cited).alias("pages")))
+    return found.select("doc_id", *extract.REFERENCES)
+
+
 # Extraction.
 
 

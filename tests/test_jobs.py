@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline import queries
-from strandline.plans import providers, qa, search
+from strandline.operators import graph
+from strandline.plans import evaluate, providers, qa, search
 from strandline.sources import files
 from strandline.streaming import resume
 
@@ -140,3 +141,36 @@ def test_evidence_of_odd_rows(spark):
     got = {r.id: r for r in qa.step_three(qa.evidence(rows, docs, read), model).collect()}
     assert (got[1].ground_truth, got[1].answerable, got[1].confidence, got[1].evidence_section) == ("yes", True, "low", found[1].section)
     assert (got[2].ground_truth, got[2].answerable, got[2].evidence_section) == ("", False, "")
+
+
+def test_an_evaluation_goes_on_where_it_stopped(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"pump valve w{k} part{k}".split()) for k in range(6)], "doc_id int, words array<string>")
+    nodes = spark.createDataFrame([(k, f"n{j}", None, 0, f"00000{j}", f"w{k}", f"about part{k} and w{k}, {j}", 1, 2, 0) for k in range(6) for j in range(2)], "doc_id int, node_id string, parent_node_id string, depth int, path_ord string, title string, summary string, start_index int, end_index int, n_children int")
+    schema = "query_id int, text string, gt_answer string, relevant_docs array<struct<path:string,reference:string>>, matched_docs array<string>"
+    asked = spark.createDataFrame([(1, "w3 part3", "W3, part3!", [("a/3.pdf", "r")], ["3"]), (2, "w5", "no", None, ["5"]), (3, "zzz", "no", [], [])], schema)
+    seen = []
+
+    def model(texts):
+        return [t.split("Question: ")[1].split("\n")[0] for t in texts]
+
+    corpus, out = search.Corpus(docs, sections=nodes), str(tmp_path / "out")
+    first = evaluate.run(corpus, asked.where("query_id = 1"), out, generator=model)
+    assert first.count() == 1
+    rows = {r.query_id: r for r in evaluate.run(corpus, asked, out, generator=model).collect()}
+    assert set(rows) == {1, 2, 3} and rows[1].answer == "w3 part3" and rows[1].relevant_docs[0].path == "a/3.pdf" and len(rows[1].relevant_docs) == 1
+    assert rows[2].relevant_docs[0].path == "5" and rows[2].retrieved_chunks[0].doc_id == 5 and rows[2].retrieved_chunks[0].score == 1.0
+    assert rows[3].retrieved_chunks == [] and rows[3].n_docs_selected == 0 and rows[3].answer == ""
+    told = spark.read.json(f"{out}/metrics").first()
+    assert told.queries == 2 and told.recall_at_2 == 1.0 and abs(told.exact_match - 1 / 3) < 1e-9 and told.p95 > 0
+    assert evaluate.run(corpus, asked, out).count() == 3 and seen == []
+
+
+def test_more_laws_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LAW_BLOCK", 3)
+    row = lambda k, kind, e=(), c=(): (k, f"{kind}{k}", kind, str(k), "t", list(e), [], [], [], list(c))
+    docs = [row(k, "REG") for k in range(10)] + [row(20 + k, "SRP", [str(k)], ["50"]) for k in range(7)]
+    frame = spark.createDataFrame(docs, "doc_ord int, doc_id string, doc_type string, section_number string, title string, entity_refs array<string>, guide_refs array<string>, plan_refs array<string>, special_refs array<string>, law_refs array<string>")
+    relations = spark.createDataFrame([("REG", "SRP", "ESTABLISHES_CRITERIA")], "src_type string, dst_type string, relation string")
+    _, edges = graph.build(frame, relations)
+    counts = {r.relation: r["count"] for r in edges.groupBy("relation").count().collect()}
+    assert counts["CONTAINS_GDC"] == 70 and counts["ESTABLISHES_CRITERIA"] == 70 and counts["CITES_REGULATION"] == 70

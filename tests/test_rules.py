@@ -276,7 +276,7 @@ def test_judges_and_paths(spark):
     assert [r.id for r in qa.judged(rows).collect()] == [1] and {r.judge_verdict for r in qa.judged(rows, None).collect()} == {"SKIP"}
     hits = spark.createDataFrame([(1, "rc", "x", 1.0), (1, "kg_cs", "y", 1.0)], "query_id int, source string, doc_id string, score double")
     edges = {(r.src, r.dst) for r in fusion.path_edges(hits, hits.where("doc_id = 'x'")).collect()}
-    assert edges == {("query:1", "source:rc"), ("query:1", "source:kg_cs"), ("source:rc", "doc:x")}
+    assert edges == {("query:1", "source:rc"), ("query:1", "source:kg_cs"), ("source:rc", "doc:x"), ("source:rc", "merger"), ("source:kg_cs", "merger"), ("merger", "doc:x")}
     found = spark.createDataFrame([(1, 7, "n", "T", "c" * 400, 4)], "query_id int, doc_id int, node_id string, title string, content string, rank int")
     row = evaluate.reciprocal_chunks(found).first()
     assert (row.chunk_id, row.score, len(row.text)) == ("7_n", 0.25, 300)
