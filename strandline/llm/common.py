@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +134,31 @@ def pieces(data: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
         at = to
 
 
+def give_back() -> None:
+    """Memory that was freed goes back to the system, where the system's library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose freed memory is given back at the end and about twice a second: a worker that is used again for
+    other stages then doesn't keep the most that any of them held."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        for out in run(batches):
+            yield out
+            del out
+            if time.monotonic() - last > 0.5:
+                give_back()
+                last = time.monotonic()
+        give_back()
+
+    return wrapped
+
+
 def local_only() -> None:
     """One thread for each worker's libraries: Spark sets the parallelism."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")

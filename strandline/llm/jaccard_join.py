@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import is_table, materialise, with_order
+from .common import is_table, lean, materialise, with_order
 from .components import components
 from .shingles import U, batch_sets, one_set, set_id
 
@@ -230,7 +230,7 @@ def texts_of(docs: DataFrame, sids: DataFrame, k: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pydict({"sid": pa.array(keys, pa.int64()), "text": batch.column("text").take(pa.array(rows))})
 
-    found = docs.select("text").mapInArrow(run, "sid long, text string")
+    found = docs.select("text").mapInArrow(lean(run), "sid long, text string")
     # Equal sets from other tasks: any of their texts will do.
     return found.withColumn("_r", F.row_number().over(Window.partitionBy("sid").orderBy("sid"))).where("_r = 1").drop("_r")
 
@@ -262,7 +262,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     own = texts.withColumn("spread", F.lit(0)).unionByName(texts.join(led, "sid"))
     right = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
     full = right.join(own.select(F.col("sid").alias("a"), "spread", F.col("text").alias("text_a")), ["a", "spread"])
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(probe(k), "a long, b long, shared long, both long")
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(lean(probe(k)), "a long, b long, shared long, both long")
 
 
 def share(sid: str) -> Column:
@@ -357,14 +357,14 @@ def enough(merged: DataFrame, skipped: DataFrame, percent: int) -> DataFrame:
 def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of every row, and links (a, b) between set ids that have the components of all links."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = materialise(docs.select("doc_id", "text").mapInArrow(hash_sets(k, percent), f"doc_id {kind}, n long, sid long, head array<int>"), "sets")
+    sets = materialise(docs.select("doc_id", "text").mapInArrow(lean(hash_sets(k, percent)), f"doc_id {kind}, n long, sid long, head array<int>"), "sets")
     counts = sets.select(F.explode("head").alias("gram")).groupBy("gram").count().where(F.col("count") > SHORT)
     long_lists = bitmap(counts, "gram")
-    postings = docs.select("text").mapInArrow(post(k, percent, long_lists), "gram long, salt int, sid long, n int")
+    postings = docs.select("text").mapInArrow(lean(post(k, percent, long_lists)), "gram long, salt int, sid long, n int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = "gram long, a long, na int, others array<long>, sizes array<int>"
-    listed = materialise(postings.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "sid").mapInArrow(lists(percent, SHORT), kinds), "lists")
-    merged = listed.where("gram is null").drop("gram").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(merge, "a long, b long, na int, nb int, seen int")
+    listed = materialise(postings.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "sid").mapInArrow(lean(lists(percent, SHORT)), kinds), "lists")
+    merged = listed.where("gram is null").drop("gram").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(lean(merge), "a long, b long, na int, nb int, seen int")
     longs = listed.where("gram is not null").select("gram", F.col("a").alias("sid"), F.col("na").alias("n"))
     skipped = longs.groupBy("sid").agg(F.count("*").alias("skipped"))
     heads = longs.groupBy("gram").agg(F.count("*").alias("m"), F.min("sid").alias("leader"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y")).where("m > 1")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, hash63, texts
+from .common import crc_mod, hash63, lean, texts
 
 #: N-grams in a ranking; longest n-gram; documented bound of the documents to learn a language from (in expectation).
 RANKS = 400
@@ -119,7 +119,7 @@ def learn(docs: DataFrame, rows: int = FIT_ROWS, ranks: int = RANKS) -> dict[str
         return {}
     counted = (
         train.select("text", "lang")
-        .mapInArrow(count_grams, "lang string, gram long, n long")
+        .mapInArrow(lean(count_grams), "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= ranks)
@@ -177,7 +177,7 @@ def predictor(profiles: dict[str, np.ndarray], keep: tuple[str, ...]):
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """One row per document: doc_id, lang_pred, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(predictor(profiles, ("doc_id",)), f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(predictor(profiles, ("doc_id",))), f"doc_id {kind}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -219,7 +219,7 @@ def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], rows: int = L
     some = fold(docs, rows, last=True) if profiles else None
     if some is None:
         return {}
-    scores = some.select("text").mapInArrow(run, "lang string, score double, junk double")
+    scores = some.select("text").mapInArrow(lean(run), "lang string, score double, junk double")
     rows_ = scores.groupBy("lang").agg(F.percentile("score", F.lit(LOW)).alias("low"), F.percentile("junk", F.lit(HIGH)).alias("junk")).collect()
     return {r["lang"]: max(LEAST, min(r["low"], r["junk"])) for r in rows_}
 
@@ -235,4 +235,4 @@ def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], least: dict[str
             found = [ranked.predict(t) for t in texts(batch, "text")]
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= bounds.get(lang, LEAST) for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, HASH_BITS, byte_chunks, hash63, local_only, materialise, pieces, rank_sliced, rank_within, with_order
+from .common import CHUNK_BYTES, HASH_BITS, byte_chunks, hash63, lean, local_only, materialise, pieces, rank_sliced, rank_within, with_order
 from .shingles import U, mix, powers
 
 WINDOW = 2048
@@ -268,7 +268,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, in_order: bool =
     own = {"doc_id": kind} | ({"_part": "long", "_row": "long"} if in_order else {})
     rows_of = with_order(docs) if in_order else docs
     schema = ", ".join(f"{k} {v}" for k, v in own.items())
-    pieces = rows_of.select(*own, "text").mapInArrow(cut(tokenizer, window, tuple(own)), f"{schema}, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = rows_of.select(*own, "text").mapInArrow(lean(cut(tokenizer, window, tuple(own))), f"{schema}, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = materialise(pieces, "pieces")
     histogram = np.zeros(window + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash63, materialise, texts
+from .common import crc_mod, hash63, lean, materialise, texts
 from .shingles import batch_sets
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -148,7 +148,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     small = known.count() <= 4 * rows
     found = docs.select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, toxic int, least long"
-    found = materialise(found.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(with_least, kinds), "train")
+    found = materialise(found.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(lean(with_least), kinds), "train")
     first = found.groupBy("least", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return found.join(F.broadcast(first) if small else first, "doc_id", "left_semi").drop("least")
 
@@ -180,7 +180,7 @@ def counter(terms_of):
 
 def counted(train: DataFrame, terms_of) -> DataFrame:
     """(term, toxic, clean): documents by term."""
-    found = train.select("text", "toxic").mapInArrow(counter(terms_of), "term string, toxic long, clean long")
+    found = train.select("text", "toxic").mapInArrow(lean(counter(terms_of)), "term string, toxic long, clean long")
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -288,7 +288,7 @@ def scorer(lexicon: Lexicon, keep: tuple[str, ...]):
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row per document: doc_id, score (0 to 1), predicted (1 from 0.5 on), density, hits, n_words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scorer(lexicon, ("doc_id",)), f"doc_id {kind}, score double, predicted int, density double, hits long, n_words long")
+    return docs.select("doc_id", "text").mapInArrow(lean(scorer(lexicon, ("doc_id",))), f"doc_id {kind}, score double, predicted int, density double, hits long, n_words long")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -307,4 +307,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Data
             z = np.array([lexicon.slope * density(t, found)[0] + lexicon.offset for t in texts(batch, "text")])
             yield batch.filter(pa.array(z < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
