@@ -17,6 +17,9 @@ REFERENCES = {
     "plan_refs": r"(?iu)(?:SRP|NUREG[- ]0800)\s+(?:Section\s+)?([\d]+\.[\d]+(?:\.[\d]+)*)",
     "special_refs": r"(?iu)DSRS\s+([\d]+\.[\d]+(?:\.[\d]+)*)",
 }
+# The words around references in the text that a document is found by.
+SAID = "GDC %s general design criterion %s %s"
+SAID_GUIDE, SAID_PLAN = "regulatory guide %s", "SRP %s"
 QUESTION_REFERENCES = {
     "gdc": r"(?iu)(?:GDC|General Design Criteri(?:on|a))\s*\(?\s*(?:GDC\s*)?(\d+)",
     "cfr": r"(?iu)10\s*CFR\s*(?:Part\s*)?([\d]+(?:\.[\d]+[a-z]*(?:\([a-z0-9]+\))*)*)",
@@ -118,16 +121,20 @@ def question_refs(text: Column) -> Column:
     return F.map_filter(every, lambda _, v: F.size(v) > 0)
 
 
+def said_each(column: str, words: str) -> Column:
+    return F.transform(column, lambda r: F.format_string(words, r))
+
+
 def enriched(docs: DataFrame, topics: DataFrame, descriptions: DataFrame) -> DataFrame:
     """(doc_id, text): what a document is found by, in lower case: its names, its chapter's topic, and what its
     references say. docs(doc_id, title, display_name, doc_type, section_number, entity_refs, guide_refs, plan_refs),
     topics(chapter, topic), descriptions(entity, description)."""
     cited = docs.select("doc_id", F.posexplode("entity_refs").alias("k", "entity")).join(descriptions, "entity", "left")
-    said = F.concat(F.lit("GDC "), "entity", F.lit(" general design criterion "), "entity", F.lit(" "), F.coalesce("description", F.lit("")))
+    said = F.format_string(SAID, "entity", "entity", F.coalesce("description", F.lit("")))
     cited = cited.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", said.alias("s")))), lambda x: x["s"]).alias("said"))
     rows = docs.withColumn("chapter", chapter(F.col("section_number"))).join(topics, "chapter", "left").join(cited, "doc_id", "left")
     none = F.array().cast("array<string>")
-    others = [F.transform(c, lambda r: F.concat(F.lit(word), r)) for c, word in (("guide_refs", "regulatory guide "), ("plan_refs", "SRP "))]
+    others = [said_each(c, words) for c, words in (("guide_refs", SAID_GUIDE), ("plan_refs", SAID_PLAN))]
     parts = F.concat(F.array("title", "display_name", "doc_type", "section_number"), F.when(F.coalesce("topic", F.lit("")) != "", F.array("topic")).otherwise(none), F.coalesce("said", none), *others)
     return rows.select("doc_id", F.lower(F.array_join(parts, " ")).alias("text"))
 
