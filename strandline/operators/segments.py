@@ -44,11 +44,19 @@ def _all(spark: SparkSession, folder: str, segments: list[str], name: str) -> Da
     """A table of several segments, with the column ``segment``."""
     out = None
     for segment in segments:
-        rows = spark.read.parquet(f"{folder}/segments/{segment}/{name}").withColumn("segment_of", F.lit(segment))
+        path = f"{folder}/segments/{segment}"
+        # Documents without words leave no file of postings, of which Spark could learn their columns.
+        reader = spark.read.schema(_postings(spark, path)) if name == "postings" else spark.read
+        rows = reader.parquet(f"{path}/{name}").withColumn("segment_of", F.lit(segment))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _postings(spark: SparkSession, path: str) -> str:
+    kind = spark.read.parquet(f"{path}/documents").schema["doc_id"].dataType.simpleString()
+    return f"term string, range long, doc_id {kind}, file long, f long, dl int, bucket int"
+
+
 def _filled(known: list) -> list:
     """Segments that brought documents, with which the segments that removed some come."""
     return [r for r in known if r.n or r.n_removed] if any(r.n for r in known) else []
@@ -96,7 +104,7 @@ def _write(spark: SparkSession, folder: str, known: list, kept: list, docs: Data
         placed = postings.join(_ranges(docs, segment).withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc").withColumn("bucket", bm25.bucket())
         # By ranges of terms, of which one that is everywhere spans several tasks.
         placed.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
-        placed = spark.read.parquet(f"{path}/postings")
+        placed = spark.read.schema(_postings(spark, path)).parquet(f"{path}/postings")
         placed.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("f").alias("most"), F.min("dl").alias("least")).write.parquet(f"{path}/blocks")
         counts = spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df"))
         n, words = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
@@ -181,7 +189,8 @@ def load(spark: SparkSession, folder: str, version: int | None = None) -> bm25.I
     known = _manifest(spark, folder, version)
     stats, terms = spark.read.parquet(f"{folder}/stats/{version:08d}"), spark.read.parquet(f"{folder}/terms/{version:08d}")
     if not _filled(known):
-        raise ValueError(f"the index in {folder} has never had a document")
+        none = spark.createDataFrame([], "bucket int, term string, range long, doc_id long, f long, dl int, n long, most long, least int")
+        return bm25.Index(none.select("bucket", "term", "range", "doc_id", "f", "dl"), terms, stats, (), none.select("term", "range", "n", "most", "least"))
     postings = _live(spark, folder, _filled(known), "postings").select("bucket", "term", "range", "doc_id", "f", "dl")
     blocks = _all(spark, folder, [r.segment for r in known if r.n], "blocks").select("term", "range", "n", "most", "least")
     return bm25.Index(postings, terms, stats, (), blocks)

@@ -135,13 +135,14 @@ def M(c: str) -> str:
 
 
 TOKENS = f"""
-  words AS (SELECT doc_id, {W('text')} AS w FROM documents),
+  words AS MATERIALIZED (SELECT doc_id, {W('text')} AS w FROM documents),
   lens AS (SELECT doc_id, len(w) AS dl FROM words),
   stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
-  post AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL),
+  post AS MATERIALIZED (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL),
   dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-  raws AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs, stats),
-  terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+  raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs, stats),
+  mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raws),
+  terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM raws, mean)"""
 RC = TOKENS + f""",
   asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({W('text')}) AS term FROM benchmark) GROUP BY ALL),
   rc AS (SELECT query_id, doc_id, sum(times * idf * (f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS score

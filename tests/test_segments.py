@@ -39,7 +39,7 @@ ASKED = ["w1 w2 rare3", "rare7 rare8 w1 w1", "nothing here", "w250 w251 rare1 ra
 
 def test_index_follows_its_table(spark, tmp_path):
     table, folder = str(tmp_path / "docs"), str(tmp_path / "index")
-    first, more = made(1, 150), made(2, 60, 1000)
+    first, more = made(1, 60), made(2, 30, 1000)
     write(spark, table, first)
     one = segments.refresh(spark, folder, table, words())
     assert segments.refresh(spark, folder, table, words()) == one
@@ -50,7 +50,7 @@ def test_index_follows_its_table(spark, tmp_path):
     assert two > one and answers(spark, segments.load(spark, folder), ASKED) == plain(spark, first + more, ASKED)
     assert answers(spark, segments.load(spark, folder, one), ASKED) == plain(spark, first, ASKED)
     new = segments._manifest(spark, folder)[-1]
-    assert (new.n, new.n_removed) == (60, 0)
+    assert (new.n, new.n_removed) == (30, 0)
     # Single documents, then a merge, then another table in the place of the first.
     gone = {r[0] for r in (first + more)[::7]}
     segments.delete(spark, folder, spark.createDataFrame([(i,) for i in gone], "doc_id long"))
@@ -59,27 +59,36 @@ def test_index_follows_its_table(spark, tmp_path):
     assert segments.refresh(spark, folder, table, words()) == segments.versions(spark, folder)[-1]
     segments.merge(spark, folder)
     assert len(segments._manifest(spark, folder)) == 1 and answers(spark, segments.load(spark, folder), ASKED) == plain(spark, left, ASKED)
-    write(spark, table, more[:30])
+    write(spark, table, more[:10])
     segments.refresh(spark, folder, table, words())
-    assert answers(spark, segments.load(spark, folder), ASKED) == plain(spark, more[:30], ASKED)
+    assert answers(spark, segments.load(spark, folder), ASKED) == plain(spark, more[:10], ASKED)
     df = {r.term: r.df for r in segments.load(spark, folder).terms.collect()}
-    assert df == {r.term: r.df for r in bm25.index(spark.createDataFrame(more[:30], "doc_id long, text string").select("doc_id", words().alias("tokens"))).terms.collect()}
+    assert df == {r.term: r.df for r in bm25.index(spark.createDataFrame(more[:10], "doc_id long, text string").select("doc_id", words().alias("tokens"))).terms.collect()}
 
 
 def test_many_segments_are_merged(spark, tmp_path):
     table, folder, rows = str(tmp_path / "docs"), str(tmp_path / "index"), []
-    for k in range(4):
+    for k in range(3):
         rows += made(k, 20, 100 * k)
         write(spark, table, rows[-20:], "append")
-        segments.refresh(spark, folder, table, words(), most_segments=3)
+        segments.refresh(spark, folder, table, words(), most_segments=2)
     assert len(segments._manifest(spark, folder)) == 1
     assert answers(spark, segments.load(spark, folder), ASKED) == plain(spark, rows, ASKED)
 
 
+def test_tables_without_words(spark, tmp_path):
+    """An empty table, then documents without words, then one with some."""
+    table, folder = str(tmp_path / "docs"), str(tmp_path / "index")
+    for rows in ([], [(1, ""), (2, None)], [(1, ""), (3, "w5 w5")]):
+        write(spark, table, rows)
+        segments.refresh(spark, folder, table, words())
+        assert [(q, d) for q, _, d, _ in answers(spark, segments.load(spark, folder), ASKED)] == [(q, d) for q, _, d, _ in plain(spark, rows, ASKED)]
+
+
 def test_ranges_that_cannot_matter_are_not_read(spark, tmp_path):
     """The same results as from all postings, from a part of them; a word that is everywhere is in many ranges."""
     table, folder = str(tmp_path / "docs"), str(tmp_path / "index")
-    rows = made(9, 3000)
+    rows = made(9, 2000)
     write(spark, table, rows, parts=3)
     segments.refresh(spark, folder, table, words())
     found = segments.load(spark, folder)
