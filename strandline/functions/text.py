@@ -35,6 +35,24 @@ def micro(value: Column) -> Column:
     return F.floor(value * F.lit(1e6) + F.lit(0.5)).cast("long")
 
 
+def rounded(value: Column, digits: int = 2) -> Column:
+    """The decimal of so many places nearest to a double's exact value, of two equally near the even one, as a double.
+
+    ``round`` goes by the shortest decimal that stands for the double, and takes halves up: 2.675, which is a little less
+    than that, would become 2.68. Here the product with the power of ten is taken with its error. Values whose product
+    is 2^52 or more stay as they are; null, infinite and undefined ones too.
+    """
+    scale = float(10**digits)
+    product, spread = value * F.lit(scale), value * F.lit(float(2**27 + 1))
+    high = spread - (spread - value)
+    error = (high * F.lit(scale) - product) + (value - high) * F.lit(scale)
+    low = F.floor(product).cast("double")
+    past_half = product - low - F.lit(0.5)
+    # The error is less than any difference from a half that isn't none.
+    up = (past_half > 0) | ((past_half == 0) & ((error > 0) | ((error == 0) & (F.pmod(low, F.lit(2.0)) == 1))))
+    return F.when(F.abs(product) < F.lit(float(2**52)), (low + up.cast("double")) / F.lit(scale)).otherwise(value)
+
+
 def occurrences(text: Column, part: Column) -> Column:
     """How often a part occurs in a text, without overlaps; 0 for an empty part."""
     return F.when(F.length(part) > 0, ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("long")).otherwise(F.lit(0).cast("long"))

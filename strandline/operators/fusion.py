@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.text import CONCEPT_STOP_WORDS, micro, without
+from strandline.session import stored
 
 
 @dataclass(frozen=True)
@@ -68,22 +69,57 @@ def concept_matches(queries: DataFrame, concepts: DataFrame, least: int = 2) ->
     return asked.join(had, "w").groupBy("query_id", "concept").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("query_id", "concept")
 
 
-def with_bonus(scored: DataFrame, entities: DataFrame, chapters: DataFrame, cites: DataFrame, in_chapter: DataFrame, how: Fusion | None = None) -> DataFrame:
+def bonus_parts(entities: DataFrame, chapters: DataFrame, cites: DataFrame, in_chapter: DataFrame, key: str, how: Fusion) -> DataFrame:
+    """(query_id, key, part): what ``with_bonus`` gives, as a share of the query's scale; cites and in_chapter (key, concept)."""
+    cited = entities.join(cites, "concept").groupBy("query_id", key).agg(F.count_distinct("concept").alias("n"))
+    covered = chapters.join(in_chapter, "concept").select("query_id", key).distinct()
+    has_chapter = chapters.select("query_id").distinct()
+    base, step = how.bonus_both
+    both = cited.join(covered, ["query_id", key], "left_semi").select("query_id", key, (base + step * F.col("n")).alias("part"))
+    alone = cited.join(has_chapter, "query_id", "left_anti").select("query_id", key, (how.bonus_entity * F.col("n")).alias("part"))
+    return both.union(alone)
+
+
+def kinds_of(cites: DataFrame, in_chapter: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, kind) of documents that cite anything, those with the same entities and chapters being of one kind, and
+    what the kinds cite and are in: (kind, concept) each."""
+    cited = cites.groupBy("doc_id").agg(F.array_sort(F.collect_set("concept")).alias("cited"))
+    inside = in_chapter.groupBy("doc_id").agg(F.array_sort(F.collect_set("concept")).alias("inside"))
+    rows = cited.join(inside, "doc_id", "left").withColumn("kind", F.sha2(F.to_json(F.struct("cited", "inside")), 256))
+    one = stored(rows.groupBy("kind").agg(F.any_value("cited").alias("cited"), F.any_value("inside").alias("inside")), "kinds")
+    return stored(rows.select("doc_id", "kind"), "kind_of"), one.select("kind", F.explode("cited").alias("concept")), one.select("kind", F.explode("inside").alias("concept"))
+
+
+def with_bonus(scored: DataFrame, entities: DataFrame, chapters: DataFrame, cites: DataFrame, in_chapter: DataFrame, how: Fusion | None = None, k: int | None = None) -> DataFrame:
     """Add what matched concepts give: entities and chapters are (query_id, concept), cites and in_chapter (doc_id, concept).
 
     Where a query matched both, only documents under both gain, by the number of entities they cite; nothing is
     given if there are none. Where it matched entities only, each matched entity gives its documents a part.
     The scale is the query's best score before, 1 if it found nothing. Documents that no source found can enter.
+
+    With ``k``, of those that no source found only such are among the rows as can be among the query's ``k`` first by
+    ``top``. Gains are then made for kinds of documents, so that a concept that many documents cite gives no row
+    for each query and document: a query has at most k + the most that any query found kinds, and as many rows of each.
     """
     how = how or Fusion()
     top = scored.groupBy("query_id").agg(F.max("score").alias("top"))
-    cited = entities.join(cites, "concept").groupBy("query_id", "doc_id").agg(F.count_distinct("concept").alias("n"))
-    covered = chapters.join(in_chapter, "concept").select("query_id", "doc_id").distinct()
-    has_chapter = chapters.select("query_id").distinct()
-    base, step = how.bonus_both
-    both = cited.join(covered, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", (base + step * F.col("n")).alias("part"))
-    alone = cited.join(has_chapter, "query_id", "left_anti").select("query_id", "doc_id", (how.bonus_entity * F.col("n")).alias("part"))
-    gains = both.union(alone).join(top, "query_id", "left").select("query_id", "doc_id", (F.col("part") * F.coalesce("top", F.lit(1.0))).alias("gain"))
+    if k is None:
+        parts = bonus_parts(entities, chapters, cites, in_chapter, "doc_id", how)
+    else:
+        kind_of, cited, inside = kinds_of(cites, in_chapter)
+        kinds = bonus_parts(entities, chapters, cited, inside, "kind", how)
+        found = scored.select("query_id", "doc_id")
+        most = k + (found.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
+        # Each kind that comes before another has a document that does, and of them only those found don't count.
+        firsts = kind_of.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("doc_id"))).where(F.col("nth") <= most)
+        firsts = stored(firsts, "firsts")
+        gain = micro(F.col("part") * F.coalesce("top", F.lit(1.0)))
+        order = Window.partitionBy("query_id").orderBy(F.desc(gain), "doc_id")
+        best = kinds.join(top, "query_id", "left").join(firsts.where("nth = 1"), "kind").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+        new = best.select("query_id", "kind", "part").join(firsts.select("kind", "doc_id"), "kind").select("query_id", "doc_id", "part")
+        known = found.join(kind_of, "doc_id").join(kinds, ["query_id", "kind"]).select("query_id", "doc_id", "part")
+        parts = known.union(new.join(found, ["query_id", "doc_id"], "left_anti"))
+    gains = parts.join(top, "query_id", "left").select("query_id", "doc_id", (F.col("part") * F.coalesce("top", F.lit(1.0))).alias("gain"))
     return scored.join(gains, ["query_id", "doc_id"], "full").select("query_id", "doc_id", F.coalesce("sources", F.lit(0)).alias("sources"), (F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"))
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import snippet, tokens, weighted_section
+from strandline.functions.text import rounded, snippet, tokens, weighted_section
 from strandline.operators.bm25 import best, index, scores
 from strandline.session import stored
 
@@ -79,6 +79,11 @@ def section_key() -> Column:
     return F.concat(F.col("doc_id").cast("string"), F.lit("::"), F.col("node_id"))
 
 
+def results(found: DataFrame) -> DataFrame:
+    """What is shown of ``section_search``: scores to two places."""
+    return found.select("query_id", "doc_id", "node_id", "title", "start_index", "end_index", rounded(F.col("score")).alias("score"), "snippet")
+
+
 def section_search(picked: DataFrame, nodes: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k best sections inside the documents picked(query_id, doc_id) for queries(query_id, text).
 

@@ -121,6 +121,10 @@ def step_one(records: DataFrame, cap: int = 15) -> DataFrame:
     )
 
 
+#: Characters of evidence that a prompt shows, of a core question, and of an answer to be judged.
+EVIDENCE_CHARS, CORE_CHARS, ANSWER_CHARS = 6000, 1500, 1000
+
+
 def unskipped(queries: Column) -> Column:
     """Generated queries that can be answered without the applicant's own report; unmarked ones can."""
     return F.filter(queries, lambda q: F.coalesce(q["answerable_without_fsar"], F.lit(True)))
@@ -136,14 +140,19 @@ def step_two(replies: DataFrame, column: str = "reply") -> DataFrame:
     return rows.select("*", unskipped(F.coalesce(F.col("_g")["queries"], F.array().cast("array<struct<query:string,sub_difficulty:string,target_concepts:array<string>,answerable_without_fsar:boolean>>"))).alias("generated_queries"), F.coalesce(F.col("_g")["skip_reason"], F.lit("")).alias("skip_reason")).drop("_g")
 
 
+def generated(rows: DataFrame, generator: Provider, policy: Policy | None = None) -> DataFrame:
+    """``step_two`` of what a generator replies to the core questions of step one's rows; where it fails there are no queries."""
+    prompt = F.format_string("Section: %s\nDifficulty: %s\nReferences: %s\nQuestion:\n%s", F.coalesce("section_number", F.lit("")), F.coalesce("difficulty", F.lit("medium")), F.to_json("extracted_refs"), F.substring(F.coalesce("core_question", F.lit("")), 1, CORE_CHARS))
+    replies = ask(rows.select("id", prompt.alias("prompt")), "prompt", "reply", generator, policy=policy or Policy(default=""))
+    return rows.join(step_two(replies).drop("prompt", "reply"), "id")
+
+
 def flat_queries(rows: DataFrame) -> DataFrame:
     """One row for each of the generated queries: (id, section, place, difficulty, query, target_concepts)."""
     each = rows.select("id", "section_number", F.posexplode("generated_queries").alias("place", "q"))
     return each.select("id", F.col("section_number").alias("section"), "place", F.coalesce("q.sub_difficulty", F.lit("?")).alias("difficulty"), "q.query", F.coalesce("q.target_concepts", F.array().cast("array<string>")).alias("target_concepts"))
 
 
-#: Characters of evidence that a prompt shows, of a core question, and of an answer to be judged.
-EVIDENCE_CHARS, CORE_CHARS, ANSWER_CHARS = 6000, 1500, 1000
 TRUTH = "struct<ground_truth:string,evidence_section:string,confidence:string,answerable:boolean>"
 
 
@@ -197,9 +206,18 @@ def judged(rows: DataFrame, column: str | None = "reply") -> DataFrame:
     return marked.where(F.col("judge_verdict") == "PASS")
 
 
-def step_four(rows: DataFrame, judge: str | None = None, least: int = 20) -> DataFrame:
-    """The rows (id, source, query, ground_truth, answerable, confidence, ...) that no rule and no judge rejects, with ids given anew."""
+def verdicts(rows: DataFrame, judge: Provider, policy: Policy | None = None) -> DataFrame:
+    """Rows (query, difficulty, ground_truth, evidence_doc, ...) with ``reply``: what a judge says of the answer's begin."""
+    prompt = F.format_string("Query: %s\nDifficulty: %s\nAnswer: %s\nDocument: %s", "query", F.coalesce("difficulty", F.lit("")), F.substring("ground_truth", 1, ANSWER_CHARS), F.coalesce("evidence_doc", F.lit("")))
+    return ask(rows.withColumn("prompt", prompt), "prompt", "reply", judge, policy=policy or Policy(default="")).drop("prompt")
+
+
+def step_four(rows: DataFrame, judge: str | Provider | None = None, least: int = 20, policy: Policy | None = None) -> DataFrame:
+    """The rows (id, source, query, ground_truth, answerable, confidence, ...) that no rule and no judge rejects, with ids
+    given anew. ``judge``: a column of replies, or a provider that is asked about what the rules leave."""
     kept = rows.where(reject_reason(F.col("ground_truth"), F.col("answerable"), F.col("confidence"), F.col("query"), least).isNull())
+    if judge is not None and not isinstance(judge, str):
+        kept, judge = verdicts(kept, judge, policy), "reply"
     kept = judged(kept, judge)
     number = F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1
     return kept.withColumn("id", numbered(F.concat("source", F.lit("_Q")), number, 4))

@@ -121,7 +121,7 @@ def route(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, how:
     scored = fusion.fused(hits, how)
     if corpus.cites is not None:
         words = queries.select("query_id", tokens(F.col("text")).alias("words"))
-        scored = fusion.with_bonus(scored, fusion.concept_matches(words, corpus.entities), fusion.concept_matches(words, corpus.chapters), corpus.cites, corpus.in_chapter, how)
+        scored = fusion.with_bonus(scored, fusion.concept_matches(words, corpus.entities), fusion.concept_matches(words, corpus.chapters), corpus.cites, corpus.in_chapter, how, limits.documents)
     return stored(fusion.top(scored, limits.documents), "ranked"), hits
 
 

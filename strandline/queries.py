@@ -542,7 +542,7 @@ def concept_bonus(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     asked = questions(spark, d).select("query_id", F.col("tokens").alias("words"))
     entities, chapters = fusion.concept_matches(asked, frequent_words(docs, "source"), 6), fusion.concept_matches(asked, frequent_words(docs, "lang"), 4)
-    scored = fusion.with_bonus(fusion.fused(hits(spark, d)), entities, chapters, docs.select("doc_id", F.col("source").alias("concept")), docs.select("doc_id", F.col("lang").alias("concept")))
+    scored = fusion.with_bonus(fusion.fused(hits(spark, d)), entities, chapters, docs.select("doc_id", F.col("source").alias("concept")), docs.select("doc_id", F.col("lang").alias("concept")), k=10)
     return _top(scored)
 
 
@@ -640,6 +640,22 @@ def section_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "key", F.col("rank").cast("long").alias("rank"), X.micro(F.col("score")).alias("score"))
 
 
+@query(
+    f"""WITH {RC}, {LINES}, {_sections_sql()}, shown AS (SELECT query_id, doc_id, node_id, title, start_index, end_index, printf('%.2f', score)::DOUBLE AS score, summary, b.text AS q, strpos(lower(summary), lower(b.text)) AS p FROM found JOIN tree ON key = doc_id || '::' || node_id JOIN benchmark b ON item_id = query_id)
+  SELECT query_id, doc_id, node_id, title, start_index, end_index, score, trim(CASE WHEN contains(lower(title), lower(q)) OR p = 0 THEN title ELSE substring(summary, greatest(p - 81, 0) + 1, p - 1 + length(q) + 80 - greatest(p - 81, 0)) END, ' ' || chr(9) || chr(10) || chr(13)) AS snippet FROM shown"""
+)
+def section_results(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of the sections found: a title, or what surrounds a question that a section holds; scores to two places."""
+    return trees.results(trees.section_search(_picked(spark, d), lines_of(spark, d), questions(spark, d).select("query_id", "text"), 5))
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('%.2f', l_extendedprice / 8)::DOUBLE AS eighth, printf('%.2f', l_extendedprice * l_discount * l_tax)::DOUBLE AS product FROM lineitem")
+def rounded_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values to two places, by their exact binary value and ties to even."""
+    price = F.col("l_extendedprice")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.rounded(price / 8).alias("eighth"), X.rounded(price * F.col("l_discount") * F.col("l_tax")).alias("product"))
+
+
 LIMITS = search.Limits()
 ROUTED = f"""
   rc50 AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {M('score')} DESC, doc_id) AS r FROM rc WHERE score > 0) WHERE r <= 50),
@@ -698,14 +714,14 @@ def chunk_length_split(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk", F.substring("text", F.col("chunk") * 800 + 1, F.lit(1000)).alias("text"))
 
 
-META = "meta AS (SELECT doc_id, lang AS doc_type, lang || ' ' || source AS display_name, substring(text, 1, 40) AS title, 'd' || doc_id || '.pdf' AS filename, n_chars // 1000 AS page_count, ['1.' || doc_id % 9] AS rg, [(doc_id % 60)::VARCHAR, (doc_id % 50)::VARCHAR] AS gdc FROM documents)"
+META = "meta AS (SELECT doc_id, lang AS doc_type, lang || ' ' || source AS display_name, split_part(text, chr(10), 1) AS title, 'd' || doc_id || '.pdf' AS filename, n_chars // 1000 AS page_count, ['1.' || doc_id % 9] AS rg, [(doc_id % 60)::VARCHAR, (doc_id % 50)::VARCHAR] AS gdc FROM documents)"
 
 
 def metadata(spark: SparkSession, d: str) -> DataFrame:
     """Documents with what a metadata file would say of them."""
     number = lambda n: (F.col("doc_id") % n).cast("string")
     return table(spark, d, "documents").select(
-        "doc_id", F.col("lang").alias("doc_type"), F.concat_ws(" ", "lang", "source").alias("display_name"), F.substring("text", 1, 40).alias("title"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
+        "doc_id", F.col("lang").alias("doc_type"), F.concat_ws(" ", "lang", "source").alias("display_name"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
         F.floor(F.col("n_chars") / 1000).alias("page_count"), F.concat(number(20), F.lit(".1")).alias("section_number"), F.array(F.concat(F.lit("1."), number(9))).alias("guide_refs"), F.array(number(60), number(50)).alias("entity_refs"), F.array().cast("array<string>").alias("plan_refs"),
     )
 
@@ -914,15 +930,16 @@ def extract_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents), s AS (SELECT doc_id, 0 AS k, 'I. AREAS OF REVIEW' AS title, 'I. AREAS OF REVIEW ' || lower(substring(t, 1, 300)) AS body, t FROM p UNION ALL SELECT doc_id, 1, 'II. ACCEPTANCE CRITERIA', 'II. ACCEPTANCE CRITERIA ' || lower(substring(t, 301, 400)), t FROM p),
-  w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_filter(list_distinct({W('substring(t, 200, 300)')}), lambda x: length(x) > 3 AND contains(lower(body), x))) DESC, k) AS r FROM s WHERE length(body) > 100)
-  SELECT p.doc_id AS id, coalesce(w.title, 'Full Document') AS title, coalesce(w.body, substring('I. AREAS OF REVIEW ' || lower(substring(t_, 1, 300)) || chr(10) || 'II. ACCEPTANCE CRITERIA ' || lower(substring(t_, 301, 400)), 1, 8000)) AS body FROM (SELECT doc_id, t AS t_ FROM p) p LEFT JOIN w ON w.doc_id = p.doc_id AND r = 1"""
+    f"""WITH p AS (SELECT doc_id, t, (length(t) // 2)::INT AS h FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)), s AS (SELECT doc_id, 0 AS k, 'I. AREAS OF REVIEW' AS title, 'I. AREAS OF REVIEW ' || lower(substring(t, 1, h)) AS body, t, h FROM p UNION ALL SELECT doc_id, 1, 'II. ACCEPTANCE CRITERIA', 'II. ACCEPTANCE CRITERIA ' || lower(substring(t, h + 1)), t, h FROM p),
+  w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_filter(list_distinct({W('substring(t, greatest(h - 150, 1), 300)')}), lambda x: length(x) > 3 AND contains(lower(body), x))) DESC, k) AS r FROM s WHERE length(body) > 100)
+  SELECT p.doc_id AS id, coalesce(w.title, 'Full Document') AS title, coalesce(w.body, substring('I. AREAS OF REVIEW ' || lower(substring(t_, 1, h_)) || chr(10) || 'II. ACCEPTANCE CRITERIA ' || lower(substring(t_, h_ + 1)), 1, 8000)) AS body FROM (SELECT doc_id, t AS t_, h AS h_ FROM p) p LEFT JOIN w ON w.doc_id = p.doc_id AND r = 1"""
 )
 def best_heading(spark: SparkSession, d: str) -> DataFrame:
-    """Of two headed sections made from each document, the one that holds most words of a passage across both."""
+    """Of two headed sections made from each document's halves, the one that holds most words of a passage across both."""
     t = F.replace("text", F.lit("\n"), F.lit(" "))
-    text = F.concat(F.lit("I. AREAS OF REVIEW "), F.lower(F.substring(t, 1, 300)), F.lit("\nII. ACCEPTANCE CRITERIA "), F.lower(F.substring(t, 301, 400)))
-    return extract.best_section(table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text"), F.substring(t, 200, 300).alias("query")))
+    half = F.floor(F.length(t) / 2).cast("int")
+    text = F.concat(F.lit("I. AREAS OF REVIEW "), F.lower(F.substring(t, F.lit(1), half)), F.lit("\nII. ACCEPTANCE CRITERIA "), F.lower(F.substring(t, half + 1, F.length(t))))
+    return extract.best_section(table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text"), F.substring(t, F.greatest(half - 150, F.lit(1)), F.lit(300)).alias("query")))
 
 
 @query(
@@ -1121,15 +1138,15 @@ def join_first_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT s_nationkey AS k, list(s_suppkey ORDER BY s_suppkey) AS docs FROM supplier GROUP BY 1), r AS (SELECT c_custkey, coalesce(docs, []) AS docs FROM customer LEFT JOIN s ON s.k = c_nationkey)
-  SELECT c_custkey AS id, docs, len(docs) AS n FROM r"""
+    """WITH s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey)) AS docs FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey, coalesce(docs, []) AS docs FROM orders LEFT JOIN s ON s.k = o_orderkey)
+  SELECT o_orderkey AS id, docs, len(docs) AS n FROM r"""
 )
 def section_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Customers with the suppliers of their nation, in order: the candidates of a record's section."""
-    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("docs"))
-    rows = table(spark, d, "customer").join(s, F.col("c_nationkey") == F.col("k"), "left")
+    """Orders with the suppliers of their lines, in order: the candidates of a record's section."""
+    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("docs"))
+    rows = table(spark, d, "orders").join(s, F.col("o_orderkey") == F.col("k"), "left")
     docs = F.coalesce("docs", F.array().cast("array<bigint>"))
-    return rows.select(F.col("c_custkey").alias("id"), docs.alias("docs"), F.size(docs).cast("long").alias("n"))
+    return rows.select(F.col("o_orderkey").alias("id"), docs.alias("docs"), F.size(docs).cast("long").alias("n"))
 
 
 @query(
@@ -1163,13 +1180,19 @@ def qa_step_one(spark: SparkSession, d: str) -> DataFrame:
     return qa.step_one(records).select("id", "srp_section", "difficulty", "regulatory_background", "core_question", "n_total_refs")
 
 
+def half(text: str, k: int) -> Column:
+    """The first or second half of a text."""
+    middle = F.floor(F.length(text) / 2).cast("int")
+    return F.substring(text, F.lit(1), middle) if k == 0 else F.substring(text, middle + 1, F.length(text))
+
+
 @query(
-    """SELECT conv_id AS id, 'S' || conv_id % 7 AS section, k AS place, CASE WHEN k = 0 THEN 'easy' ELSE '?' END AS difficulty, substring(text, k * 30 + 1, 30) AS query
+    """SELECT conv_id AS id, 'S' || conv_id % 7 AS section, k AS place, CASE WHEN k = 0 THEN 'easy' ELSE '?' END AS difficulty, CASE WHEN k = 0 THEN substring(text, 1, length(text) // 2) ELSE substring(text, length(text) // 2 + 1) END AS query
   FROM (SELECT *, unnest(CASE WHEN turn % 3 = 0 THEN [0, 1] ELSE [0] END) AS k FROM conversations WHERE role = 'user')"""
 )
 def generated_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Generators' replies of two queries about each user turn, of which some need the applicant's report, as rows."""
-    part = lambda k: F.substring("text", 30 * k + 1, 30)
+    """Generators' replies of two queries made of each user turn's halves, of which some need the applicant's report, as rows."""
+    part = lambda k: half("text", k)
     needs = F.when(F.col("turn") % 3 == 0, F.lit(None).cast("boolean")).otherwise(F.lit(False))
     reply = F.to_json(F.struct(F.array(F.struct(part(0).alias("query"), F.lit("easy").alias("sub_difficulty"), F.lit(None).cast("boolean").alias("answerable_without_fsar")), F.struct(part(1).alias("query"), F.lit(None).cast("string").alias("sub_difficulty"), needs.alias("answerable_without_fsar"))).alias("queries")))
     rows = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("id"), F.concat(F.lit("S"), (F.col("conv_id") % 7).cast("string")).alias("section_number"), F.concat(F.lit("```json\n"), reply, F.lit("\n```")).alias("reply"))
@@ -1179,8 +1202,8 @@ def generated_queries(spark: SparkSession, d: str) -> DataFrame:
 EVIDENCE = f"""
   meta3 AS (SELECT doc_id, 'd' || doc_id || '.pdf' AS filename, lang AS doc_type, source AS title, 'S' || doc_id % 9 AS section_number, CASE WHEN doc_id % 50 = 7 THEN '[ERROR reading PDF: bad file]' ELSE array_to_string(list_slice(string_split(text, chr(10)), 1, 30), chr(10)) END AS body FROM documents),
   firsts AS (SELECT section_number, min(doc_id) AS doc_id FROM meta3 GROUP BY 1),
-  rows3 AS (SELECT conv_id * 1000 + turn AS id, 'S' || conv_id % 12 AS section_number, unnest(CASE WHEN turn % 3 = 0 THEN [0, 1] ELSE [0] END) AS place, text, conv_id FROM conversations WHERE role = 'user'),
-  asked3 AS (SELECT id, r.section_number, place, substring(r.text, place * 60 + 1, 60) AS query, coalesce(f.doc_id, d.doc_id) AS doc_id, f.doc_id IS NULL AS cited FROM rows3 r LEFT JOIN firsts f USING (section_number) LEFT JOIN documents d ON d.doc_id = r.conv_id),
+  rows3 AS (SELECT conv_id * 1000 + turn AS id, 'S' || conv_id % 12 AS section_number, unnest(CASE WHEN turn % 3 = 0 THEN [0, 1] ELSE [0] END) AS place, text, conv_id, turn FROM conversations WHERE role = 'user'),
+  asked3 AS (SELECT id, r.section_number, place, CASE WHEN turn % 3 > 0 THEN r.text WHEN place = 0 THEN substring(r.text, 1, length(r.text) // 2) ELSE substring(r.text, length(r.text) // 2 + 1) END AS query, coalesce(f.doc_id, d.doc_id) AS doc_id, f.doc_id IS NULL AS cited FROM rows3 r LEFT JOIN firsts f USING (section_number) LEFT JOIN documents d ON d.doc_id = r.conv_id),
   both3 AS (SELECT id, a.section_number, place, query, CASE WHEN cited THEN 'PDF' ELSE doc_type END AS doc_type, CASE WHEN cited THEN 'cited' ELSE title END AS doc_title, filename, body FROM asked3 a JOIN meta3 m USING (doc_id)),
   parts3 AS (SELECT id, place, k, l[k] AS line, query FROM (SELECT id, place, query, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT *, string_split(body, chr(10)) AS l FROM both3)) WHERE length(l[k]) > 100),
   points3 AS (SELECT *, len(list_filter(list_distinct({W('query')}), lambda w: length(w) > 3 AND contains(lower(line), w))) AS score FROM parts3),
@@ -1197,11 +1220,11 @@ EVIDENCE = f"""
 def truth_extraction(spark: SparkSession, d: str) -> DataFrame:
     """What a stand-in for a model takes from evidence for queries about user turns: the document of the turn's section, or
     else a cited one, its first thirty pages (here lines), and in those the line that fits best."""
-    part = lambda k: F.struct(F.substring("text", 60 * k + 1, 60).alias("query"))
+    part = lambda k: F.struct(half("text", k).alias("query"))
     cited = F.struct(F.concat(F.lit("files/d"), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("path"), F.lit("cited").alias("reference"), F.lit("PDF").alias("type"))
     rows = table(spark, d, "conversations").where("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("S"), (F.col("conv_id") % 12).cast("string")).alias("section_number"),
-        F.when(F.col("turn") % 3 == 0, F.array(part(0), part(1))).otherwise(F.array(part(0))).alias("generated_queries"), F.array(cited).alias("relevant_docs"),
+        F.when(F.col("turn") % 3 == 0, F.array(part(0), part(1))).otherwise(F.array(F.struct(F.col("text").alias("query")))).alias("generated_queries"), F.array(cited).alias("relevant_docs"),
     )
     docs, name = table(spark, d, "documents"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename")
     meta = docs.select(F.col("doc_id").alias("doc_ord"), name, F.col("lang").alias("doc_type"), F.col("source").alias("title"), F.concat(F.lit("S"), (F.col("doc_id") % 9).cast("string")).alias("section_number"))
@@ -1219,14 +1242,14 @@ def truth_extraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT *, CASE WHEN conv_id % 5 <> 2 OR conv_id % 25 = 2 THEN conv_id % 5 ELSE 0 END AS k FROM conversations WHERE role = 'user' AND turn < 2)
-  SELECT conv_id, turn, ['ok', 'retried', 'late', 'failed', 'ok'][k + 1] AS status, CASE WHEN k IN (2, 3) THEN 'none' ELSE upper(substring(text, 1, 20)) END AS reply FROM k"""
+    """WITH k AS (SELECT *, CASE WHEN conv_id % 5 <> 2 OR conv_id % 25 = 2 THEN conv_id % 5 ELSE 0 END AS k FROM conversations WHERE role = 'user')
+  SELECT conv_id, turn, ['ok', 'retried', 'late', 'failed', 'ok'][k + 1] AS status, CASE WHEN k IN (2, 3) THEN 'none' ELSE 're: ' || text END AS reply FROM k"""
 )
 def provider_calls(spark: SparkSession, d: str) -> DataFrame:
-    """A stand-in for a model that answers, fails once, is late, or always fails, asked about every first user turn."""
+    """A stand-in for a model that answers, fails once, is late, or always fails, asked about every user turn."""
     c = F.col("conv_id")
     kind = F.when((c % 5 != 2) | (c % 25 == 2), c % 5).otherwise(0)
-    rows = table(spark, d, "conversations").where("role = 'user' AND turn < 2").select("conv_id", "turn", F.concat_ws("|", kind.cast("string"), F.col("text")).alias("prompt"))
+    rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat_ws("|", kind.cast("string"), F.col("text")).alias("prompt"))
 
     def make() -> providers.Provider:
         failed: set[str] = set()
@@ -1239,7 +1262,7 @@ def provider_calls(spark: SparkSession, d: str) -> DataFrame:
                 failed.add(texts[0])
                 raise ConnectionError(kind)
             failed.discard(texts[0])
-            return [text[:20].upper()]
+            return [f"re: {text}"]
 
         return model
 
@@ -1259,6 +1282,26 @@ def truth_flatten(spark: SparkSession, d: str) -> DataFrame:
     return qa.flat_truth(rows)
 
 
+@query(
+    """WITH a AS (SELECT doc_id, split_part(text, chr(10), 1) AS query, lang, source, text FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 20 AND length(split_part(text, chr(10), 1)) >= 20),
+  p AS (SELECT *, length('Query: ' || query || chr(10) || 'Difficulty: ' || lang || chr(10) || 'Answer: ' || substring(text, 1, 1000) || chr(10) || 'Document: ' || source) % 3 AS m FROM a),
+  n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM p WHERE m = 0)
+  SELECT source || '_Q_' || lpad(k::VARCHAR, greatest(4, length(k::VARCHAR))::INT, '0') AS id, query, 'PASS' AS judge_verdict FROM n"""
+)
+def judged_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as answers to their first lines, of which a stand-in for a judge sees the answer's begin; its replies
+    pass, fail, or are no JSON."""
+    rows = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("query"), F.col("text").alias("ground_truth"), F.lit(True).alias("answerable"), F.lit("high").alias("confidence"),
+        F.col("lang").alias("difficulty"), F.col("source").alias("evidence_doc"),
+    )
+
+    def judge(prompts: list[str]) -> list[str | None]:
+        return [('{"verdict": "PASS"}', '{"verdict": "FAIL", "issues": ["x"]}', "not sure")[len(p) % 3] for p in prompts]
+
+    return qa.step_four(rows, judge).select("id", "query", "judge_verdict")
+
+
 @query(
     f"""WITH {PAIRS}, k AS (SELECT *, 's' || conv_id % 2 AS source FROM pairs WHERE {REASONS.replace('< 60', '< 20')} IS NULL AND turn % 4 < 2),
   n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY conv_id || '-' || turn) - 1 AS p FROM k)

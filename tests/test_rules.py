@@ -129,6 +129,45 @@ def test_bonus_needs_both(spark):
     assert got == {(1, "x"): 0.5, (2, "x"): 0.52, (2, "n"): 0.12}
 
 
+def test_bonus_of_the_first(spark):
+    """With ``k``, the first rows are those of all gains, and a concept that all documents have gives few rows."""
+    docs = [(n, f"e{n % 3}") for n in range(400)] + [(n, "e0") for n in range(400)] + [(7, "e5")]
+    cites = spark.createDataFrame(docs, "doc_id int, concept string")
+    inside = spark.createDataFrame([(n, f"c{n % 2}") for n in range(350)], "doc_id int, concept string")
+    scored = spark.createDataFrame([(1, 399, 1, 0.5), (1, 6, 2, 0.9), (2, 3, 1, 1e-9), (4, 500, 1, 0.3)], "query_id int, doc_id int, sources int, score double")
+    entities = spark.createDataFrame([(1, "e0"), (1, "e1"), (2, "e0"), (2, "e5"), (3, "e2"), (3, "e5"), (5, "none")], "query_id int, concept string")
+    chapters = spark.createDataFrame([(1, "c1"), (3, "c1"), (4, "c0")], "query_id int, concept string")
+    given = scored, entities, chapters, cites, inside
+    some = fusion.with_bonus(*given, k=5)
+    # At most 5 + 2 rows of each kind for a query, whatever the number of documents.
+    kinds = fusion.kinds_of(cites, inside)[0].select("kind").distinct().count()
+    assert some.count() <= 3 * 7 * kinds + 4 and 5 * some.count() < fusion.with_bonus(*given).count()
+    first = lambda df: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 12)) for r in fusion.top(df, 5).collect())
+    assert first(some) == first(fusion.with_bonus(*given))
+    assert first(fusion.with_bonus(scored, entities.limit(0), chapters, cites.limit(0), inside, k=5)) == first(scored)
+
+
+def test_rounding_goes_by_the_exact_value(spark):
+    values = [0.125, 0.375, 2.675, 1.005, -0.125, -2.675, 0.005, 0.015, -0.001, 0.0, 1e-320, 12345678.905, 2.0**45 - 0.5, 1e300, 99.995, 0.1 + 0.2] + [k / 8 for k in range(-40, 40)] + [k * 0.005 for k in range(3000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("inf")]], "v double").repartition(3)
+    got = {r.v: (r.a, r.b) for r in df.select("v", X.rounded(F.col("v")).alias("a"), X.rounded(F.col("v"), 1).alias("b")).collect()}
+    assert all(got[v] == (round(v, 2), round(v, 1)) for v in values) and got[None] == (None, None) and got[float("inf")][0] == float("inf")
+
+
+def test_prompts_show_the_begin(spark):
+    """A generator sees 1500 characters of a core question, a judge 1000 of an answer."""
+    rows = spark.createDataFrame([("a", "1", "q" * 1501, None), ("b", None, None, ["x"])], "id string, section_number string, core_question string, difficulty array<string>").withColumn("difficulty", F.lit("easy")).withColumn("extracted_refs", F.struct(F.array(F.lit("1.1")).alias("rg")))
+
+    def generator(prompts):
+        return [json.dumps({"queries": [{"query": str(p.count("q")), "target_concepts": []}]}) if "1.1" in p and "qqq" in p else "none" for p in prompts]
+
+    made = {r.id: [q.query for q in r.generated_queries] for r in qa.generated(rows, generator).collect()}
+    assert made == {"a": ["1500"], "b": []}
+    found = spark.createDataFrame([("a", "s", "w" * 30, "z" * 1001, True, "high", None, None)], "id string, source string, query string, ground_truth string, answerable boolean, confidence string, difficulty string, evidence_doc string")
+    kept = qa.step_four(found, lambda ps: [json.dumps({"verdict": "PASS", "issues": [str(p.count("z"))]}) for p in ps]).first()
+    assert (kept.id, kept.judge_issues, kept.ground_truth) == ("s_Q_0000", ["1000"], "z" * 1001)
+
+
 def test_trees(spark):
     tree = [{"title": "A", "node_id": "1", "summary": None, "start_index": 1, "end_index": 9, "nodes": [{"title": "no id", "nodes": [{"title": "C", "node_id": "3", "nodes": [{"title": "D", "node_id": "4"}]}]}, {"title": "E", "node_id": "2"}]}, {"title": "again", "node_id": "2"}]
     nodes = trees.flatten(spark.createDataFrame([("d", json.dumps(tree)), ("empty", "[]")], "doc_id string, structure string"))
