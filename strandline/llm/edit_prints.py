@@ -11,7 +11,7 @@ the same length. The likeness of two fingerprints is 1 - 2 * differing bits / BI
 texts agree in half of their bits.
 
 Defined cases: a null text is the empty one, whose fingerprint is all zeros; a table of one document is its own
-next document; rows that repeat a doc_id follow each other by text; rows with a null doc_id come last; an empty
+next document; rows that repeat a doc_id follow each other by a hash of the text, then text; rows with a null doc_id come last; an empty
 table gives an empty one.
 """
 
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise
 from .components import components
@@ -247,68 +248,93 @@ def near_groups(docs: DataFrame, least: float = 0.9) -> DataFrame:
     return printed.join(named, "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def followed(docs: DataFrame) -> DataFrame:
-    """(part, borrowed, doc_id, text): every document in its range of doc_id, and with each range the document that
-    comes after it (descending; after the last the first), borrowed from the range that has it.
+#: Results of a document, and how they are sent.
+RESULTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+NAMES = [c.split()[0] for c in RESULTS.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+#: Ranges whose numbers one task puts in order.
+SLICE = 1024
 
-    Ranges come from quantiles of doc_id, as many as the bytes of the texts ask for; only they and the ranges' first
-    ids, one number for each range, reach the driver.
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """(part, doc_id, text): documents by descending doc_id, those without one last, in ranges of about ``RANGE_BYTES``.
+
+    Rows of one doc_id (and those without) come by a hash of the text, which the ranges are cut by as well, so that
+    however many there are, they are several ranges. The order is Spark's own range sort.
     """
-    spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    cuts = docs.agg(F.percentile_approx("doc_id", F.from_json(F.lit(str([k / ranges for k in range(1, ranges)])), "array<double>"), F.lit(max(10_000, 20 * ranges))).alias("c")).first()["c"] or []
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    # One literal, and a bisection in it, however many there are: part k holds what k cuts are at or above.
-    literal = F.from_json(F.lit(str(cuts)), "array<bigint>")
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["a"] + s["b"]) / 2).cast("int")
-        right = F.get(literal, mid) >= key
-        open_ = s["a"] < s["b"]
-        return F.struct(F.when(open_ & right, mid + 1).otherwise(s["a"]).alias("a"), F.when(open_ & ~right, mid).otherwise(s["b"]).alias("b"))
-
-    part = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("b")), halve)["a"]
-    placed = docs.select("doc_id", "text", key.alias("key"), part.alias("part"))
-    firsts = [(r["part"], r["first"]) for r in placed.groupBy("part").agg(F.max("key").alias("first")).orderBy("part").collect()]
-    lent = spark.createDataFrame([(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)], "key long, to int")
-    # A row of two numbers for each range.
-    placed = placed.join(F.broadcast(lent), "key", "left")
-    whole = F.array(F.struct(F.col("part"), F.lit(False).alias("borrowed")))
-    both = F.when(F.col("to").isNull(), whole).otherwise(F.concat(whole, F.array(F.struct(F.col("to").alias("part"), F.lit(True).alias("borrowed")))))
-    dealt = placed.select("doc_id", "text", "key", F.explode(both).alias("x")).select("x.*", "key", "doc_id", "text")
-    return dealt.repartition(ranges, "part").sortWithinPartitions("part", "borrowed", F.desc("key"), "text").select("part", "borrowed", "doc_id", "text")
+    ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    by = [F.desc_nulls_last("doc_id"), F.col("h")]
+    return rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by, "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+
+
+def results(pairs: list[tuple]) -> list[list]:
+    """Columns of results for (doc_id, text, text of the next document)."""
+    edited = [t[: len(t) - len(t) // 3] + after[: len(t) // 3] for _, t, after in pairs]
+    whole = list({t: None for _, t, after in pairs for t in (t, after)})
+    found = prints([*whole, *edited])
+    by = dict(zip(whole, found, strict=False))
+    rows = [
+        (doc_id, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), by[t], ep, likeness(by[t], ep), likeness(by[t], by[after]))
+        for (doc_id, t, after), e, ep in zip(pairs, edited, found[len(whole) :], strict=True)
+    ]
+    return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)]
 
 
 def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``followed`` to results: each document with the one after it."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    last: tuple | None = None  # the document that waits for its next one
+    """A range of ``in_order`` to results, and its ends (end: 1 the first, 2 the last document, with their texts): each
+    document has the one after it, but for the last, whose next one is another range's first."""
+    names = [*NAMES, "part", "end", "text"]
+
+    def end(which: int, part: int, doc_id: int | None, text: str) -> pa.RecordBatch:
+        empty = [pa.nulls(1, k) for k in KINDS[1:]]
+        return pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *empty, pa.array([part], pa.int32()), pa.array([which], pa.int32()), pa.array([text])], names)
 
+    last: tuple | None = None  # the document that waits for its next one
     for batch in batches:
         ready: list[tuple] = []
-        for part, borrowed, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("part", "borrowed", "doc_id", "text")], strict=True):
+        for part, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "text")], strict=True):
             text = text or ""
-            if last is not None and last[0] == part:
-                ready.append((last[1], last[2], text))
-            last = None if borrowed else (part, doc_id, text)
+            if last is None:
+                yield end(1, part, doc_id, text)
+            else:
+                ready.append((*last[1:], text))
+            last = part, doc_id, text
         for at in range(0, len(ready), 1000):
-            some = ready[at : at + 1000]
-            edited = [t[: len(t) - len(t) // 3] + after[: len(t) // 3] for _, t, after in some]
-            whole = list({t: None for _, t, after in some for t in (t, after)})
-            found = prints([*whole, *edited])
-            by = dict(zip(whole, found, strict=False))
-            rows = [
-                (doc_id, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), by[t], ep, likeness(by[t], ep), likeness(by[t], by[after]))
-                for (doc_id, t, after), e, ep in zip(some, edited, found[len(whole) :], strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            some = results(ready[at : at + 1000])
+            yield pa.RecordBatch.from_arrays([*some, *[pa.nulls(len(some[0]), k) for k in (pa.int32(), pa.int32(), pa.string())]], names)
+    if last is not None:
+        yield end(2, *last)
+
+
+def pair_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = list(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "after")], strict=True))
+        if rows:
+            yield pa.RecordBatch.from_arrays(results(rows), NAMES)
+
+
+def next_parts(parts: DataFrame) -> DataFrame:
+    """(part, next): of the ranges that hold anything each one's next, and of the last the first."""
+    sliced = parts.withColumn("slice", F.floor(F.col("part") / SLICE))
+    heads = sliced.groupBy("slice").agg(F.min("part").alias("head"))
+    # One number for each SLICE ranges.
+    heads = heads.select("slice", F.coalesce(F.lead("head").over(Window.orderBy("slice")), F.min("head").over(Window.partitionBy(F.lit(0)))).alias("after"))
+    own = F.lead("part").over(Window.partitionBy("slice").orderBy("part"))
+    return sliced.withColumn("own", own).join(heads, "slice").select("part", F.coalesce("own", "after").alias("next"))
 
 
 def edited_prints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its text with the last third replaced by the begin of the next
-    document (descending doc_id), and the likeness of its own to that and to the next document's."""
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return followed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(pair_up, schema)
+    document (descending doc_id, then by a hash of the text), and the likeness of its own to that and to the next document's.
+
+    Texts are shuffled once. What a range can't say by itself is said by joins of the ranges' first and last documents;
+    nothing but the number of bytes, and Spark's sample for the ranges, reaches the driver.
+    """
+    ordered = in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = materialise(ordered.mapInArrow(pair_up, f"{RESULTS}, part int, end int, text string"), "ranges")
+    firsts = found.where("end = 1").select("part", "text")
+    after = next_parts(firsts.select("part")).join(firsts.select(F.col("part").alias("next"), F.col("text").alias("after")), "next")
+    ends = found.where("end = 2").select("part", "doc_id", "text").join(after, "part").select("doc_id", "text", "after")
+    return found.where("end is null").select(*NAMES).union(ends.mapInArrow(pair_ends, RESULTS))

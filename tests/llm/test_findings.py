@@ -270,6 +270,24 @@ def test_ranges_by_bytes(spark, monkeypatch):
         assert got[i][2] == hashlib.sha256((own[: len(own) - len(own) // 3] + texts[after][: len(own) // 3]).encode()).hexdigest()
 
 
+def test_ranges_of_one_id(spark, monkeypatch):
+    """Rows of one doc_id, or of none, are cut into ranges too; each meets the one after it, and the last the first."""
+    r = random.Random(8)
+    rows = [(r.choice([None, None, 3, k]), "".join(r.choice("abc ") for _ in range(r.randrange(0, 40)))) for k in range(400)] + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(edit_prints, "RANGE_BYTES", 150)
+    monkeypatch.setattr(edit_prints, "SLICE", 4)
+    parts = edit_prints.in_order(docs).collect()
+    assert len({x.part for x in parts if x.doc_id is None}) > 5 < len({x.part for x in parts if x.doc_id == 3})
+    hashed = docs.select("doc_id", F.xxhash64("text"), F.coalesce("text", F.lit(""))).collect()
+    order = sorted(map(tuple, hashed), key=lambda x: (x[0] is None, -(x[0] or 0), x[1], x[2]))
+    texts = [x[2] for x in order]
+    edited = [t[: len(t) - len(t) // 3] + after[: len(t) // 3] for t, after in zip(texts, texts[1:] + texts[:1], strict=True)]
+    wanted = [(str(x[0]), len(x[2]), hashlib.sha256(e.encode()).hexdigest()) for x, e in zip(order, edited, strict=True)]
+    got = [(str(x.doc_id), x.n_chars, x.edited_sha256) for x in edit_prints.edited_prints(docs).collect()]
+    assert sorted(got) == sorted(wanted)
+
+
 def test_marks_of_many_languages(spark):
     docs = spark.createDataFrame([(k, f"some words {'abcdefgh'[k % 8] * 3}", f'odd "mark" \\ {k % 4500}') for k in range(14_000)], "doc_id long, text string, lang string").repartition(4)
     profiles = language_id.learn(docs)
