@@ -1,6 +1,7 @@
 """Indexes of vectors, substrings and names against all pairs; ranks by pushing; trees of any depth."""
 
 import json
+import math
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as X
 from strandline.operators import bm25, dense, fuzzy, graph, substrings, trees
+from strandline.plans import search
 
 
 def made_vectors(n, width, clusters, seed):
@@ -180,3 +182,22 @@ def test_trees_of_any_depth(spark):
     deep = {r.node_id: r for r in got if r.doc_id == "deep"}
     assert len(deep) == 40 and deep["n44"].depth == 44 and deep["n44"].parent_node_id == "n43" and deep["n44"].path_ord == "000000" * 45
     assert [(r.doc_id, r.node_id, r.start_index, r.n_children) for r in got if r.doc_id != "deep" and r.doc_id != "map"] == [("odd", "7", 3, 0)]
+
+
+def test_sections_without_asked_words_leave_no_rows(spark):
+    """Words that no query asks for are not written, and roots are found without them."""
+    nodes = spark.createDataFrame(
+        [(d, f"L{k}", None, 0, f"{k:06d}", f"title {d}", " ".join(f"word{d}x{k}x{i}" for i in range(50)), k, k, 0) for d in range(3) for k in range(4)],
+        "doc_id long, node_id string, parent_node_id string, depth int, path_ord string, title string, summary string, start_index int, end_index int, n_children int",
+    )
+    asked = spark.createDataFrame([(0, "nowhere"), (1, "word1x2x7 of all"), (2, "title")], "query_id long, text string")
+    picked = asked.select("query_id", F.col("query_id").alias("doc_id"), F.lit(1).alias("rank"))
+    rows = trees.sized(picked, nodes, asked).collect()
+    assert len(rows) == 12 and {(r.query_id, tuple(r.hit)) for r in rows if r.hit} == {(1, ("word1x2x7",)), (2, ("title",) * 3)}
+    assert all((r.x is None) == (not r.hit) and r.dl == 56 for r in rows)
+    got = sorted((r.query_id, r.node_id, r.from_search) for r in search.sections(picked, nodes, asked).collect())
+    assert [g for g in got if g[0] == 0] == [(0, "L0", False), (0, "L1", False)] and [g for g in got if g[0] == 1] == [(1, "L0", False), (1, "L1", False), (1, "L2", True)]
+    # All sections have the word: its weight is a quarter of the mean over all words, asked for or not.
+    found = trees.section_search(picked, nodes, asked).where("query_id = 2").collect()
+    mean = (200 * (math.log(3.5) - math.log(1.5)) + (math.log(0.5) - math.log(4.5)) + (math.log(0.5) - math.log(4.5))) / 202
+    assert len(found) == 4 and all(abs(r.score - 0.25 * mean * 3 * 2.5 / (3 + 1.5)) < 1e-9 for r in found)
