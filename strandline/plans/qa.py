@@ -170,11 +170,11 @@ def evidence(rows: DataFrame, documents: DataFrame, files: DataFrame, most_pages
     cited = cited.join(files.select("filename"), "filename", "left_semi").groupBy("id").agg(F.min_by(F.struct("filename", "doc_type", "title"), "k").alias("other"))
     found = rows.join(by_section, "section_number", "left").join(cited, "id", "left").withColumn("doc", F.coalesce("own", "other")).where("doc is not null")
     asked = found.select("id", "section_number", "doc", F.posexplode("generated_queries").alias("place", "q"))
-    key = F.struct("id", "place").alias("id")
-    texts = asked.select(key, F.col("q.query").alias("query"), F.col("doc.filename").alias("filename")).join(files.select("filename", bounded_text(F.col("pages"), F.col("error"), most_pages).alias("text")), "filename").select("id", "text", "query")
+    # What is known of a query goes along with it, so that the sections found need no join.
+    key = F.struct("id", "place", "section_number", "doc", F.col("q.query").alias("query"))
+    texts = asked.select(key.alias("id"), F.col("q.query").alias("query"), F.col("doc.filename").alias("filename")).join(files.select("filename", bounded_text(F.col("pages"), F.col("error"), most_pages).alias("text")), "filename").select("id", "text", "query")
     best = best_section(texts, **sections)
-    both = asked.select(key, "section_number", "doc", F.col("q.query").alias("query")).join(best, "id")
-    return both.select("id.id", "id.place", "query", "section_number", "doc.doc_type", F.col("doc.title").alias("doc_title"), F.col("doc.filename").alias("evidence_doc"), F.col("title").alias("section"), F.col("body").alias("evidence"))
+    return best.select("id.id", "id.place", "id.query", "id.section_number", "id.doc.doc_type", F.col("id.doc.title").alias("doc_title"), F.col("id.doc.filename").alias("evidence_doc"), F.col("title").alias("section"), F.col("body").alias("evidence"))
 
 
 def step_three(found: DataFrame, generator: Provider, policy: Policy | None = None) -> DataFrame:
