@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -201,3 +202,26 @@ def test_sections_without_asked_words_leave_no_rows(spark):
     found = trees.section_search(picked, nodes, asked).where("query_id = 2").collect()
     mean = (200 * (math.log(3.5) - math.log(1.5)) + (math.log(0.5) - math.log(4.5)) + (math.log(0.5) - math.log(4.5))) / 202
     assert len(found) == 4 and all(abs(r.score - 0.25 * mean * 3 * 2.5 / (3 + 1.5)) < 1e-9 for r in found)
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
+    """Postings are dealt by their documents, and each task keeps its best: only those are dealt by queries."""
+    r = random.Random(3)
+    docs = [(k, [f"w{r.randrange(30)}" for _ in range(r.randrange(12))]) for k in range(200)]
+    asked = spark.createDataFrame([(q, [f"w{r.randrange(40)}" for _ in range(5)]) for q in range(20)], "query_id long, tokens array<string>")
+    found = bm25.index(spark.createDataFrame(docs, "doc_id long, tokens array<string>"))
+    plan = lambda df: re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
+    assert "hashpartitioning(query_id, doc_id" not in plan(bm25.search(found, asked, 3))
+    assert sorted(bm25.search(found, asked, 3).select("query_id", "rank", "doc_id").collect()) == sorted(bm25.best(bm25.scores(found, asked), 3).select("query_id", "rank", "doc_id").collect())
+    had = [(str(k), ("document", "entity", "law")[k % 3], w) for k, words in docs for w in set(words)]
+    wanted = asked.select("query_id", F.array_distinct("tokens").alias("words"))
+    got = graph.overlap_of(spark.createDataFrame(had, "node string, node_kind string, w string"), wanted, documents=2)
+    assert "hashpartitioning(query_id, node," not in plan(got) and "WindowGroupLimit" in plan(got)
+    kinds = {str(k): ("document", "entity", "law")[k % 3] for k, _ in docs}
+    every = []
+    for q in wanted.collect():
+        points = [(q.query_id, str(k), o / len(q.words) + 0.1 * o) for k, words in docs if (o := len(set(words) & set(q.words)))]
+        points = [p for p in points if p[2] > 0.15]
+        first = sorted((p for p in points if kinds[p[1]] == "document"), key=lambda p: (-math.floor(p[2] * 1e6 + 0.5), p[1]))[:2]
+        every += first + [p for p in points if kinds[p[1]] != "document"]
+    assert sorted((x.query_id, x.node, round(x.weight, 9)) for x in got.collect()) == sorted((q, n, round(w, 9)) for q, n, w in every)
