@@ -15,7 +15,6 @@ kB that goes to every task.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,19 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, hash63, lean, texts
+from .common import crc_mod, lean, texts
 
-#: N-grams in a ranking; longest n-gram; documented bound of the documents to learn a language from (in expectation).
+#: N-grams in a ranking; longest n-gram; sums by language and n-gram that a task holds before it gives them on.
 RANKS = 400
 LONGEST = 3
-FIT_ROWS = 4_000
+MOST_SUMS = 2_000_000
 UNDETERMINED = "und"
-#: For the least scores: documents of a language in expectation, quantiles of own scores and of shuffled texts, and
-#: the score that is asked for in any case.
-LEAST_ROWS = 1_000
+#: For the least scores: quantiles of own scores and of shuffled texts, the score that is asked for in any case, and
+#: the steps from 0 to 1 that scores are counted by, which bound the counts.
 LOW = 0.01
 HIGH = 0.95
 LEAST = 0.02
+STEPS = 1_000_000
 #: Stands for what lies between letters; not 0, so that n-grams of different lengths have different codes.
 BOUNDARY = 1
 _BITS = 21  # a code point's bits; three make a code of 63
@@ -81,9 +80,15 @@ def ranking(text: str, ranks: int = RANKS) -> np.ndarray | None:
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by language and n-gram over what the task reads."""
+    """Sums by language and n-gram over what the task reads, in parts of a bounded number."""
     sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for lang, (codes, counts) in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "gram": codes, "n": counts.astype(np.int64)})
+        sums.clear()
+
+    for batch in slices(batches):
         by: dict[str, list[np.ndarray]] = {}
         for text, lang in zip(texts(batch, "text"), batch.column("lang").to_pylist(), strict=True):
             if (codes := grams(text)) is not None:
@@ -95,30 +100,20 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 codes, where = np.unique(both, return_inverse=True)
                 counts = np.bincount(where, np.concatenate([sums[lang][1], counts])).astype(np.int64)
             sums[lang] = codes, counts
-    for lang, (codes, counts) in sums.items():
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "gram": codes, "n": counts.astype(np.int64)})
+        if sum(len(codes) for codes, _ in sums.values()) > MOST_SUMS:
+            yield from given()
+    yield from given()
 
 
-def fold(docs: DataFrame, rows: int, last: bool = False) -> DataFrame | None:
-    """Documents outside the held-out fold: at most about ``rows`` of a language, those in a slice, the first or the
-    last, of the hash of doc_id. None without any."""
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(True)))
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
-    if not sizes:
-        return None
-    # One literal, however many languages there are.
-    limit = F.from_json(F.lit(json.dumps({lang: int(min(1.0, rows / n) * 2**60) for lang, n in sizes.items()})), "map<string,bigint>")[F.col("lang")]
-    key = hash63(F.lit("language"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return train.where(key >= 2**60 - limit if last else key < limit)
+def fold(docs: DataFrame) -> DataFrame:
+    """All documents outside the held-out fold that have a text and a language."""
+    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(True)))
 
 
-def learn(docs: DataFrame, rows: int = FIT_ROWS, ranks: int = RANKS) -> dict[str, np.ndarray]:
-    """Profiles (``ranks`` codes each) from documents outside the held-out fold: at most about ``rows`` of a language."""
-    train = fold(docs, rows)
-    if train is None:
-        return {}
+def learn(docs: DataFrame, ranks: int = RANKS) -> dict[str, np.ndarray]:
+    """Profiles (``ranks`` codes each) from all documents outside the held-out fold."""
     counted = (
-        train.select("text", "lang")
+        fold(docs).select("text", "lang")
         .mapInArrow(lean(count_grams), "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
@@ -180,9 +175,9 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lean(predictor(profiles, ("doc_id",))), f"doc_id {kind}, lang_pred string, score double")
 
 
-def language_id(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+def language_id(docs: DataFrame) -> DataFrame:
     """``identify`` by profiles learnt outside the held-out fold, with that fold as ``held_out``."""
-    out = identify(docs, learn(docs, rows))
+    out = identify(docs, learn(docs))
     return out.withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)))
 
 
@@ -200,9 +195,9 @@ def junk_of(text: str) -> str:
     return np.random.default_rng(len(text)).permutation(points).tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], rows: int = LEAST_ROWS) -> dict[str, float]:
-    """By predicted language, the score that a text of it has to reach: a high quantile of what documents outside the
-    held-out fold score with their letters shuffled, but no more than a low quantile of their own scores.
+def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray]) -> dict[str, float]:
+    """By predicted language, the score that a text of it has to reach: a high quantile of what all documents outside
+    the held-out fold score with their letters shuffled, but no more than a low quantile of their own scores.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +211,15 @@ def least_scores(docs: DataFrame, profiles: dict[str, np.ndarray], rows: int = L
                     found.append((lang, score, float(1 - ranked.distances(own)[ranked.langs.index(lang)] / (ranked.ranks * len(own)))))
             yield pa.RecordBatch.from_pylist([dict(zip(("lang", "score", "junk"), x, strict=True)) for x in found], pa.schema([("lang", pa.string()), ("score", pa.float64()), ("junk", pa.float64())]))
 
-    some = fold(docs, rows, last=True) if profiles else None
-    if some is None:
+    if not profiles:
         return {}
-    scores = some.select("text").mapInArrow(lean(run), "lang string, score double, junk double")
-    rows_ = scores.groupBy("lang").agg(F.percentile("score", F.lit(LOW)).alias("low"), F.percentile("junk", F.lit(HIGH)).alias("junk")).collect()
-    return {r["lang"]: max(LEAST, min(r["low"], r["junk"])) for r in rows_}
+    scores = fold(docs).select("text").mapInArrow(lean(run), "lang string, score double, junk double")
+    # Scores are counted by steps, so that a language's counts are bounded, however many documents it has.
+    each = scores.select("lang", F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.floor(F.col(c) * STEPS).alias("step")) for c in ("score", "junk")])).alias("x"))
+    counts = each.groupBy("lang", "x.what", "x.step").agg(F.count("*").alias("n"))
+    quantile = lambda what, q: (F.percentile(F.when(F.col("what") == what, F.col("step")), F.lit(q), F.col("n")) / STEPS).alias(what)
+    rows_ = counts.groupBy("lang").agg(quantile("score", LOW), quantile("junk", HIGH)).collect()
+    return {r["lang"]: max(LEAST, min(r["score"], r["junk"])) for r in rows_}
 
 
 def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], least: dict[str, float] | None = None) -> DataFrame:
