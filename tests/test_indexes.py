@@ -225,3 +225,37 @@ def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
         first = sorted((p for p in points if kinds[p[1]] == "document"), key=lambda p: (-math.floor(p[2] * 1e6 + 0.5), p[1]))[:2]
         every += first + [p for p in points if kinds[p[1]] != "document"]
     assert sorted((x.query_id, x.node, round(x.weight, 9)) for x in got.collect()) == sorted((q, n, round(w, 9)) for q, n, w in every)
+
+
+def test_texts_are_searched_without_an_index(spark, monkeypatch):
+    """A batch gives what an index would, with words in most texts, rows of one doc_id, and texts that are empty or null."""
+    r = random.Random(5)
+    docs = [(k, ["all"] * (k % 8 > 0) + [f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randrange(14))]) for k in range(300)]
+    asked = spark.createDataFrame([(q, ["all", "all"] + [f"w{r.randrange(70)}" for _ in range(5)]) for q in range(20)] + [(20, []), (21, ["nowhere"])], "query_id long, tokens array<string>")
+    for rows in (docs + [(300, []), (301, None)], docs + [(k, docs[k][1]) for k in range(9)] + [(7, ["w1", "w2"]), (None, ["w3"])]):
+        texts = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+        wanted = bm25.best(bm25.scores(bm25.index(texts), asked), 4)
+        wanted = sorted((x.query_id, x.rank, x.doc_id, round(x.score, 9)) for x in wanted.collect())
+        with monkeypatch.context() as m:
+            m.setattr(bm25, "index", None)
+            m.setattr(bm25, "BLOCK_SCORES", 300)
+            got = bm25.search(texts, asked, 4)
+            assert sorted((x.query_id, x.rank, x.doc_id, round(x.score, 9)) for x in got.collect()) == wanted
+        assert len(wanted) == 80
+
+
+
+def test_only_picked_documents_are_parted(spark):
+    """Where nodes are made from texts, each step asks for those of its own documents."""
+    columns = "doc_id long, node_id string, parent_node_id string, depth int, path_ord string, title string, summary string, start_index int, end_index int, n_children int"
+    nodes = spark.createDataFrame([(d, f"L{k}", None, 0, f"{k:06d}", f"t{d}", f"word{k} of {d}", k, k, 0) for d in range(5) for k in range(3)], columns)
+    asked = spark.createDataFrame([(0, "word1"), (1, "nowhere")], "query_id long, text string")
+    picked = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 3, 1)], "query_id long, doc_id long, rank int")
+    seen = set()
+
+    def made(ids):
+        seen.update(r.doc_id for r in ids.collect())
+        return nodes.join(ids, "doc_id", "left_semi")
+
+    show = lambda found: sorted((r.query_id, r.place, r.doc_id, r.node_id, r.content) for r in found.collect())
+    assert show(search.sections(picked, made, asked)) == show(search.sections(picked, nodes, asked)) and seen == {1, 2, 3}
