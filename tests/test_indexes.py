@@ -244,6 +244,17 @@ def test_texts_are_searched_without_an_index(spark, monkeypatch):
         assert len(wanted) == 80
 
 
+def test_few_strings_are_counted_in_texts(spark):
+    rows = [(1, "Aaaa or\nfor orr"), (2, "none"), (3, None), (1, "or"), (4, "x.y xxy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(0, ["or", "aa", "or"]), (1, ["x.y"]), (2, ["a o", "", "zz"])], "query_id long, tokens array<string>")
+    found = bm25.index(docs.select("doc_id", X.tokens(F.col("text")).alias("tokens")))
+    got = sorted(substrings.counted_scores(docs, asked).collect())
+    assert got == sorted(substrings.substring_scores(found, asked).collect()) == [(0, 1, 10.0), (1, 4, 1.0)]
+    many = spark.createDataFrame([(q, [f"s{q}"]) for q in range(substrings.FEW_STRINGS + 1)], "query_id long, tokens array<string>")
+    assert substrings.counted_scores(docs, many) is None
+
+
 
 def test_only_picked_documents_are_parted(spark):
     """Where nodes are made from texts, each step asks for those of its own documents."""
