@@ -255,6 +255,16 @@ def test_few_strings_are_counted_in_texts(spark):
     assert substrings.counted_scores(docs, many) is None
 
 
+def test_texts_of_nodes_are_not_dealt(spark):
+    """Only where an id is there more than once, the nodes with that id are."""
+    node = lambda i, *nodes: {"node_id": i, "title": f"t{i}", "summary": "long", "nodes": list(nodes)}
+    rows = [("a", json.dumps([node("x", node("y"))])), (None, json.dumps([node("x")]))]
+    flat = trees.flatten(spark.createDataFrame(rows, "doc_id string, structure string"))
+    assert "Exchange" not in flat._jdf.queryExecution().executedPlan().toString() and flat.count() == 3
+    twice = rows + [("b", json.dumps([{**node("x"), "title": "first"}, node("y"), {**node("x"), "title": "last"}])), (None, json.dumps([node("z"), node("z")]))]
+    got = {(x.doc_id, x.node_id): (x.path_ord, x.title) for x in trees.flatten(spark.createDataFrame(twice, "doc_id string, structure string")).collect()}
+    assert len(got) == 6 and got["b", "x"] == ("000000", "last") and got["b", "y"] == ("000001", "ty") and got[None, "z"] == ("000000", "tz")
+
 
 def test_only_picked_documents_are_parted(spark):
     """Where nodes are made from texts, each step asks for those of its own documents."""
