@@ -68,7 +68,7 @@ def test_all_four_retrievers_have_hits(spark, sf):
 
 def test_no_table_of_the_corpus_goes_to_every_task(spark, sf, monkeypatch):
     """By the bytes of its files Spark would send a table of millions of rows to every task, through the driver's memory."""
-    sent, nodes, folders = [], lambda x: [x.apply(k) for k in range(x.size())], ("/docs-", "/graph-", "/links-", "/customer.parquet")
+    sent, nodes, folders = [], lambda x: [x.apply(k) for k in range(x.size())], ("/docs-", "/edges-", "/graph-", "/links-", "/customer.parquet")
 
     def look(plan, below):
         if plan.nodeName().startswith("Scan parquet"):
